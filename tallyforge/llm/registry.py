@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and the module that holds its function ``opN``.
 _MODULES = {
+    "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
     "op9_simhash_near_dedup": ("simhash", "op9"),
 }
 
