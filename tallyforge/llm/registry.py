@@ -6,14 +6,22 @@ import importlib
 
 #: Query name and the module that holds its function ``opN``.
 _MODULES = {
+    "op3_mix_sources": ("mixing", "op3"),
+    "op5_secret_scan": ("secrets", "op5"),
+    "op8_decontaminate": ("decontaminate", "op8"),
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
     "op9_simhash_near_dedup": ("simhash", "op9"),
 }
 
+_SQL = {
+    "op3_mix_sources": ("mixing", "OP3_SQL"),
+    "op8_decontaminate": ("decontaminate", "OP8_SQL"),
+}
+
 
 def queries() -> dict:
     return {name: getattr(importlib.import_module(f"tallyforge.llm.{module}"), function) for name, (module, function) in _MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(importlib.import_module(f"tallyforge.llm.{module}"), text) for name, (module, text) in _SQL.items()}
