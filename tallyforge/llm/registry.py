@@ -9,6 +9,8 @@ _MODULES = {
     "op1_toxicity": ("toxicity", "op1"),
     "op4_quality_rules": ("quality", "op4"),
     "op6_language_id": ("langid", "op6"),
+    "op2_html_text": ("html_text", "op2"),
+    "op10_warc": ("warc", "op10"),
     "op3_mix_sources": ("mixing", "op3"),
     "op5_secret_scan": ("secrets", "op5"),
     "op8_decontaminate": ("decontaminate", "op8"),
