@@ -203,7 +203,7 @@ def _scorer(model):
             p = 1 / (1 + np.exp(-np.clip(slope * col["z"] + shift, -30, 30)))
             failed = (col["n_words"] < 10) | (100 * col["n_repeat_words"] > 20 * col["n_words"])
             arrays = [batch.column("doc_id"), *(pa.array(col[k].astype(np.int64)) for k in _COUNTS), pa.array(failed), pa.array(~failed & (p >= KEEP)), pa.array(p)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_COUNTS, "base_failed", "kept", "quality"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_COUNTS, "base_failed", "kept", "probability"])
 
     return score
 
@@ -212,7 +212,7 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base verdict, verdict and probability of every row of ``documents``."""
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(model), "doc_id long, " + ", ".join(f"{k} long" for k in _COUNTS) + ", base_failed boolean, kept boolean, quality double")
+    return rows.mapInArrow(_scorer(model), "doc_id long, " + ", ".join(f"{k} long" for k in _COUNTS) + ", base_failed boolean, kept boolean, probability double")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
