@@ -239,7 +239,8 @@ def repeats(documents: DataFrame) -> DataFrame:
     """(row, spans) of the rows with repeated passages: byte ranges start..end, not yet merged."""
     rows = with_row_id(documents).select(ROW_ID, F.col("text").cast("string").alias("text"))
     found = stored(rows.filter(F.octet_length("text") >= WIDTH).mapInArrow(_segments, _SEGMENTS), "segments")
-    twice = found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("gram")
+    # stored, so that both sides of the join are exchanges and a frequent minimizer can be split
+    twice = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("gram"), "twice")
     found = stored(found.join(twice, "gram", "left_semi"), "shared")
     kinds = found.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct(ROW_ID, "off")).alias("at"), F.max("n").alias("n"))
     kinds = stored(kinds, "kinds")
