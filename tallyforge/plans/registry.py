@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import ingest, ledger, linkage, series
-from tallyforge.sources.tables import TODAY, Tables, with_tables
+from tallyforge.plans import linking, normalising  # noqa: F401  (they register their queries)
+from tallyforge.plans.catalog import QUERIES, SQL, query
+from tallyforge.sources.tables import TODAY, Tables
 
 RULES = [
     {"id": "r1", "category_id": "salary", "economic_role": "income", "field": "description", "operator": "contains", "pattern": "urgent", "priority": 110, "direction": "inflow"},
@@ -18,20 +20,6 @@ RULES = [
     {"id": "r4", "category_id": "fun", "economic_role": "spending", "field": "description", "operator": "starts_with", "pattern": "2-", "priority": 100, "direction": "outflow"},
 ]
 
-_QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = with_tables(sql)
-        return f
-
-    return add
-
-
 def _activity(t: Tables) -> DataFrame:
     return ledger.activity(t["transactions"], t["rates"], RULES)
 
@@ -421,8 +409,8 @@ def _(t):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
