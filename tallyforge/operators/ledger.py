@@ -184,3 +184,40 @@ def week_summary(spending: DataFrame, today: str) -> DataFrame:
     rows = spending.filter((F.col("day") >= F.date_sub(this, 56)) & (F.col("day") <= F.lit(today).cast("date")))
     rows = rows.withColumn("week", C.week_start(F.col("day"))).filter(F.datediff("day", "week") <= upto)
     return rows.groupBy("week").agg(F.sum("amount").cast("double").alias("total"), F.max("amount").cast("double").alias("largest"), F.count(F.lit(1)).alias("entries"))
+
+
+def most_frequent(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) with the value that is most frequent, then smallest."""
+    n = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value))
+
+
+def usable_months(summary: DataFrame) -> DataFrame:
+    """(usable_months, median_income): months with at least half of the fullest month's activity, and the median of their positive incomes."""
+    most = F.max("activity_count").over(Window.partitionBy())  # one row a month
+    rows = summary.withColumn("_most", most).filter((F.col("activity_count") > 0) & (F.col("activity_count") * 2 >= F.col("_most")))
+    return rows.agg(F.count(F.lit(1)).alias("usable_months"), F.median(F.when(F.col("income") > 0, F.col("income"))).alias("median_income"))
+
+
+def item_category(items: DataFrame, share: float = 0.4) -> DataFrame:
+    """(invoice_id, category_id): the category with the greatest weight of lines if it has ``share`` of all; of equals the first seen,
+    then the smallest id.
+
+    items: invoice_id, line_number, amount, category_id (null if no word fits).  A line weighs its positive amount, else 1.
+    """
+    rows = items.withColumn("w", F.when(F.col("amount") > 0, F.col("amount")).otherwise(1).cast("decimal(20,2)"))
+    by = rows.groupBy("invoice_id", "category_id").agg(F.sum("w").alias("w"), F.min("line_number").alias("first"))
+    best = F.min(F.when(F.col("category_id").isNotNull(), F.struct((-F.col("w")).alias("less"), "first", "category_id"))).alias("best")
+    out = by.groupBy("invoice_id").agg(best, F.sum("w").alias("total")).filter(-F.col("best.less").cast("double") / F.col("total").cast("double") >= share)
+    return out.select("invoice_id", "best.category_id")
+
+
+def is_withdrawal(item: dict[str, Column]) -> Column:
+    """A cash withdrawal whose use is unknown: a TWD outflow of a bank account, spending, uncategorised, no duplicate and no fee.
+
+    ``item``: source, amount, currency, role, category_id, duplicate (boolean), text.
+    """
+    text = F.coalesce(item["text"], F.lit(""))
+    words = text.rlike(r"(?iu)無卡提款|atm\s*提款|跨行提款|提款(?!卡|機)") & ~text.rlike(r"(?iu)手續費|\bfee\b")
+    test = (item["source"] == "bank") & (item["currency"] == "TWD") & (item["amount"] < 0) & (item["role"] == "spending") & ~F.coalesce(item["duplicate"], F.lit(False))
+    return F.coalesce(test & F.coalesce(item["category_id"], F.lit("other")).isin("misc", "other") & words, F.lit(False))

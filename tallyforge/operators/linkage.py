@@ -6,7 +6,7 @@ assignment needs no graph in one task: see :func:`assign`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.sources.durable import stored
@@ -122,3 +122,96 @@ def anchored_groups(rows: DataFrame, keys: list[str], hours: int = 24) -> DataFr
     marked = keyed.select(*keys, F.col("_at").alias("at"), "id").unionByName(spans.select(*keys, F.col("anchor").alias("at"), F.lit(None).cast("long").alias("id")))
     w = Window.partitionBy(*keys).orderBy("at", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return marked.withColumn("anchor", F.max(F.when(F.col("id").isNull(), F.col("at"))).over(w)).filter("id is not null").select(*keys, "id", "anchor")
+
+
+def unique_both_ways(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """The pairs whose two ends occur in no other pair."""
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
+    return pairs.withColumns({"_l": alone(left), "_r": alone(right)}).filter("_l and _r").drop("_l", "_r")
+
+
+def late_invoices(invoices: DataFrame, transactions: DataFrame, learned: DataFrame, window: int = 7) -> DataFrame:
+    """(invoice_id, transaction_id, late_by): invoices issued up to ``window`` days after an equal payment, unique both ways.
+
+    ``learned``: seller, account_id, merchant.  Payments take the sellers learned for their account and merchant
+    first, so that the join has the seller in its key besides day and amount.
+    """
+    i = invoices.select(F.col("id").alias("invoice_id"), "seller", "amount", "day", F.explode(F.sequence(F.lit(0), F.lit(window))).alias("late_by"))
+    i = i.filter("amount > 0").withColumn("day", F.date_sub("day", F.col("late_by")))
+    t = transactions.select(F.col("id").alias("transaction_id"), "account_id", "merchant", "amount", "day").join(learned.distinct(), ["account_id", "merchant"])
+    return unique_both_ways(i.join(t, ["seller", "day", "amount"]).select("invoice_id", "transaction_id", "late_by"), "invoice_id", "transaction_id")
+
+
+def near_unique_pairs(left: DataFrame, right: DataFrame, keys: list[str], days: int = 1) -> DataFrame:
+    """(left_id, right_id) with equal keys at most ``days`` apart, where neither has another candidate."""
+    a = left.select(*keys, F.col("id").alias("left_id"), F.explode(F.array(*(F.date_add("day", k) for k in range(-days, days + 1)))).alias("day"))
+    return unique_both_ways(a.join(right.select(*keys, "day", F.col("id").alias("right_id")), [*keys, "day"]).select("left_id", "right_id"), "left_id", "right_id")
+
+
+def own_account_matches(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """(id, own_id, kind): the user's account at the row's bank whose four or five last digits end the row's; the longest, then the first declared.
+
+    rows: id, bank_code, account_suffix; owned: id, bank_code, account_suffix, kind, position.  Endings of a row are
+    exploded, so the match is an equi-join.
+    """
+    tails = rows.select("id", "bank_code", F.explode(F.sequence(F.lit(4), F.lit(5))).alias("k"), F.col("account_suffix").alias("full")).filter("length(full) >= k")
+    tails = tails.withColumn("account_suffix", F.right("full", F.col("k")))
+    found = tails.join(owned.select(F.col("id").alias("own_id"), "bank_code", "account_suffix", "kind", "position"), ["bank_code", "account_suffix"])
+    best = F.max_by(F.struct("own_id", "kind"), F.struct("k", -F.col("position"))).alias("best")
+    return found.groupBy("id").agg(best).select("id", "best.own_id", "best.kind")
+
+
+def foreign_fees(fees: DataFrame, purchases: DataFrame, days: int = 2, rate: float = 0.015, slack: int = 1) -> DataFrame:
+    """(fee_id, purchase_id): the one purchase of the same account a fee belongs to.
+
+    fees: id, account_id, day, amount (paid, positive), base (the purchase's amount, or null); purchases: id,
+    account_id, day, amount, text.  With a base the amounts agree when rounded, else the fee is ``rate`` of the
+    purchase, give or take ``slack``.  Of several only those without Chinese characters count.
+    """
+    whole = lambda x: F.floor(x + 0.5)
+    f = fees.select(F.col("id").alias("fee_id"), "account_id", F.col("amount").alias("fee"), "base", F.explode(F.array(*(F.date_add("day", k) for k in range(-days, days + 1)))).alias("day"))
+    p = purchases.select(F.col("id").alias("purchase_id"), "account_id", "day", F.col("amount").alias("paid"), F.coalesce("text", F.lit("")).rlike(r"\p{IsHan}").alias("han"))
+    fits = F.when(F.col("base").isNotNull(), whole(F.col("paid")) == whole(F.col("base"))).otherwise(F.abs(whole(F.col("paid") * rate) - F.col("fee")) <= slack)
+    found = f.join(p, ["account_id", "day"]).filter(fits & (F.col("fee_id") != F.col("purchase_id")))
+    found = found.groupBy("fee_id").agg(F.count(F.lit(1)).alias("n"), F.min("purchase_id").alias("one"), F.count_if(~F.col("han")).alias("m"), F.min(F.when(~F.col("han"), F.col("purchase_id"))).alias("latin"))
+    return found.withColumn("purchase_id", F.when(F.col("n") == 1, F.col("one")).when(F.col("m") == 1, F.col("latin"))).filter("purchase_id is not null").select("fee_id", "purchase_id")
+
+
+def explicit_peers(rows: DataFrame) -> DataFrame:
+    """(id, peer_id): posted time-deposit rows with the opposite leg they name, if no other row names it.
+
+    rows: id, account_id, account_type, status, amount, currency, day, transfer_peer_id.
+    """
+    named = rows.filter("transfer_peer_id is not null")
+    once = named.groupBy("transfer_peer_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("transfer_peer_id")
+    claims = named.filter("account_type = 'time_deposit' and status = 'posted' and amount <> 0").join(once, "transfer_peer_id", "left_semi").alias("c")
+    peers = rows.filter("account_type not in ('time_deposit', 'credit') and status = 'posted'").alias("p")
+    same = (F.col("c.transfer_peer_id") == F.col("p.id")) & (F.col("c.amount") == -F.col("p.amount")) & (F.col("c.currency") == F.col("p.currency")) & (F.col("c.day") == F.col("p.day")) & (F.col("c.account_id") != F.col("p.account_id"))
+    return claims.join(peers, same).select("c.id", F.col("p.id").alias("peer_id"))
+
+
+def claim_identities(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(incoming_id, existing_id): incoming rows with unknown ids take, oldest first, the existing rows of equal keys that did not come again."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("k")
+    new = incoming.join(existing.select("id"), "id", "left_anti").select(*keys, F.col("id").alias("incoming_id"), rank)
+    old = existing.join(incoming.select("id"), "id", "left_anti").select(*keys, F.col("id").alias("existing_id"), rank)
+    return new.join(old, [*keys, "k"]).select("incoming_id", "existing_id")
+
+
+def survivors(rows: DataFrame, number: str, preferred: Column) -> DataFrame:
+    """(old_id, new_id): all rows of a number but one give way to it, a preferred one if there is any, then the smallest id."""
+    best = rows.groupBy(number).agg(F.min_by("id", F.struct(~preferred, F.col("id"))).alias("new_id"))
+    return rows.select(number, F.col("id").alias("old_id")).join(best, number).filter("old_id <> new_id").select("old_id", "new_id")
+
+
+def carried_settings(settings: DataFrame, links: DataFrame) -> DataFrame:
+    """Settings (id, value, updated_at) with old ids replaced along ``links`` (old_id, new_id); of several for an id the newest wins."""
+    moved = settings.join(links, settings["id"] == links["old_id"], "left").select(F.coalesce("new_id", "id").alias("id"), "value", "updated_at")
+    return moved.groupBy("id").agg(F.max_by("value", F.struct("updated_at", "value")).alias("value"), F.max("updated_at").alias("updated_at"))
+
+
+def single_card_folds(accounts: DataFrame) -> DataFrame:
+    """(summary_id, card_id) of the groups with one summary account and exactly one card.  accounts: id, group_id, is_summary."""
+    is_summary = F.col("is_summary")
+    found = accounts.groupBy("group_id").agg(F.count_if(~is_summary).alias("cards"), F.count_if(is_summary).alias("totals"), F.min(F.when(is_summary, F.col("id"))).alias("summary_id"), F.min(F.when(~is_summary, F.col("id"))).alias("card_id"))
+    return found.filter("cards = 1 and totals = 1").select("summary_id", "card_id")

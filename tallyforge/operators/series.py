@@ -75,3 +75,64 @@ def bill_status(bills: DataFrame, payments: DataFrame) -> DataFrame:
     status = F.when(F.col("paid") >= F.col("statement_amount"), "paid").when(F.col("paid") > 0, "partial").otherwise("unpaid")
     remaining = F.greatest(F.lit(0).cast("decimal(18,2)"), F.col("statement_amount") - F.col("paid"))
     return out.select("account_id", "billing_period", F.col("statement_amount").cast("double").alias("statement_amount"), F.col("paid").cast("double").alias("paid"), remaining.cast("double").alias("remaining"), status.alias("status"))
+
+
+def carry_forward(points: DataFrame, key: str, until: str) -> DataFrame:
+    """(key, month, value): each monthly value holds until the key's next one, the last until the month ``until``.
+
+    points: key, month (a first day), value.  A point is exploded over its own months, so nothing is joined to a calendar.
+    """
+    following = F.lead("month").over(Window.partitionBy(key).orderBy("month"))
+    stop = F.coalesce(F.add_months(following, -1), F.greatest(F.col("month"), F.lit(until).cast("date")))
+    return points.withColumn("_stop", stop).select(key, F.explode(F.sequence("month", "_stop", F.expr("interval 1 month"))).alias("month"), "value")
+
+
+def comparisons(points: DataFrame, key: str) -> DataFrame:
+    """(key, period, previous_day, previous_value, change, percent) of a series' last point with the latest at or before a day, a week and a calendar month earlier.
+
+    points: key, day, value, one row a day and key.  Percent is null from zero.
+    """
+    rows = points.withColumn("_last", F.max("day").over(Window.partitionBy(key)))
+    targets = {"day": F.date_sub("_last", 1), "week": F.date_sub("_last", 7), "month": F.add_months("_last", -1)}
+    found = rows.groupBy(key).agg(F.max_by("value", "day").alias("_now"), *(F.max(F.when(F.col("day") <= at, F.struct("day", "value"))).alias(p) for p, at in targets.items()))
+    each = F.array(*(F.struct(F.lit(p).alias("period"), F.col(p).alias("before")) for p in targets))
+    out = found.select(key, "_now", F.inline(each)).filter("before is not null")
+    change = F.col("_now") - F.col("before.value")
+    percent = F.when(F.col("before.value") != 0, change.cast("double") / F.abs(F.col("before.value")).cast("double") * 100)
+    return out.select(key, "period", F.col("before.day").alias("previous_day"), F.col("before.value").cast("double").alias("previous_value"), change.cast("double").alias("change"), percent.alias("percent"))
+
+
+def issuer_bills(bills: DataFrame) -> DataFrame:
+    """One bill for each issuer and period: in TWD if any is, else in the smallest currency code; null-aware sums of sizes, earliest due, latest closing.
+
+    bills: issuer, billing_period, currency, statement_amount, paid_amount, is_paid, due_date, closing_date.
+    """
+    size = lambda c: F.sum(F.abs(c)).alias(c)
+    by = bills.groupBy("issuer", "billing_period", "currency").agg(size("statement_amount"), size("paid_amount"), F.min(F.coalesce("is_paid", F.lit(False))).alias("is_paid"), F.min("due_date").alias("due_date"), F.max("closing_date").alias("closing_date"))
+    rest = [c for c in by.columns if c not in ("issuer", "billing_period")]
+    best = F.min_by(F.struct(*rest), F.struct(F.col("currency") != "TWD", "currency")).alias("b")
+    return by.groupBy("issuer", "billing_period").agg(best).select("issuer", "billing_period", "b.*")
+
+
+def estimated_statements(bills: DataFrame, lines: DataFrame) -> DataFrame:
+    """(account_id, billing_period, estimate): net charges in (previous closing, closing], at least zero; null if one of them has no rate.
+
+    bills: account_id, billing_period, closing_date; lines: account_id, day, twd (null without a rate).  Both are
+    laid in one order of days and a line takes the next closing, as in :func:`bill_status`.
+    """
+    w = Window.partitionBy("account_id").orderBy("closing_date")
+    known = bills.select("account_id", "closing_date", "billing_period", F.lag("closing_date").over(w).isNotNull().alias("bounded"))
+    marks = known.select("account_id", F.col("closing_date").alias("day"), F.lit(1).alias("kind"), F.when(F.col("bounded"), F.col("billing_period")).otherwise("").alias("billing_period"), F.lit(None).cast("decimal(18,2)").alias("twd"))
+    rows = lines.select("account_id", "day", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("billing_period"), F.col("twd").cast("decimal(18,2)").alias("twd")).unionByName(marks)
+    ahead = Window.partitionBy("account_id").orderBy("day", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    taken = rows.withColumn("billing_period", F.first("billing_period", True).over(ahead)).filter("kind = 0 and billing_period <> ''")
+    sums = taken.groupBy("account_id", "billing_period").agg(F.sum(-F.col("twd")).alias("net"), F.bool_or(F.col("twd").isNull()).alias("unknown"))
+    out = known.filter("bounded").join(sums, ["account_id", "billing_period"], "left")
+    zero = F.lit(0).cast("decimal(18,2)")
+    return out.select("account_id", "billing_period", F.when(~F.coalesce("unknown", F.lit(False)), F.greatest(zero, F.coalesce("net", zero))).cast("double").alias("estimate"))
+
+
+def replace_derived(existing: DataFrame, planned: DataFrame) -> DataFrame:
+    """Snapshots after a rebuild: real ones stay as they are, derived ones are those planned.  Both: id, account_id, as_of_day, balance, derived."""
+    real = existing.filter("not derived")
+    return real.unionByName(planned.join(real.select("id"), "id", "left_anti").select(*real.columns))

@@ -408,6 +408,31 @@ def _(t):
     return t["transactions"].select("id", F.row_number().over(w).alias("occurrence"))
 
 
+@query("ag9_usable_months", f"""{_ACT}, m AS (SELECT month, count(*) FILTER ({_PLAIN}) AS n, {_sum(_PLAIN + " AND role = 'income'", "twd")} AS income FROM act GROUP BY 1)
+  SELECT count(*) AS usable_months, median(CASE WHEN income > 0 THEN income END) AS median_income FROM m WHERE n > 0 AND n * 2 >= (SELECT max(n) FROM m)""")
+def _(t):
+    return ledger.usable_months(ledger.month_summary(_activity(t)))
+
+
+@query("ag12_merchant_history", f"""{_ACT}, c AS (SELECT counterparty, category_id, count(*) AS n FROM act WHERE rule_id IS NOT NULL GROUP BY 1, 2)
+  SELECT counterparty, category_id FROM (SELECT *, row_number() OVER (PARTITION BY counterparty ORDER BY n DESC, category_id) AS r FROM c) WHERE r = 1""")
+def _(t):
+    return ledger.most_frequent(_activity(t).filter("rule_id is not null"), "counterparty", "category_id")
+
+
+@query("ag31_month_trend", f"""{_ACT}, s AS (SELECT strftime(CAST(range AS DATE), '%Y-%m') AS month FROM range(DATE '2000-11-01', DATE '2001-11-01', INTERVAL 1 MONTH)), m AS (SELECT month, {_sum(_PLAIN + " AND role = 'spending'", "-twd")} AS spending FROM act GROUP BY 1)
+  SELECT s.month, coalesce(spending, 0) AS spending, m.month IS NULL AS no_data FROM s LEFT JOIN m USING (month)""")
+def _(t):
+    months = t.spark.sql("SELECT date_format(d, 'yyyy-MM') AS month FROM (SELECT explode(sequence(DATE '2000-11-01', DATE '2001-10-01', INTERVAL 1 MONTH)) AS d)")
+    got = ledger.month_summary(_activity(t).filter("month between '2000-11' and '2001-10'")).select("month", "spending")
+    return months.join(got, "month", "left").select("month", F.coalesce("spending", F.lit(0.0)).alias("spending"), F.col("spending").isNull().alias("no_data"))
+
+
+@query("st2_largest_amounts", f"{_ACT} SELECT id, CAST(abs(twd) AS DOUBLE) AS size FROM act ORDER BY size DESC NULLS LAST, id LIMIT 100")
+def _(t):
+    return _activity(t).select("id", F.abs("twd").cast("double").alias("size")).orderBy(F.desc_nulls_last("size"), "id").limit(100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}
 
