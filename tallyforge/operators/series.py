@@ -136,3 +136,40 @@ def replace_derived(existing: DataFrame, planned: DataFrame) -> DataFrame:
     """Snapshots after a rebuild: real ones stay as they are, derived ones are those planned.  Both: id, account_id, as_of_day, balance, derived."""
     real = existing.filter("not derived")
     return real.unionByName(planned.join(real.select("id"), "id", "left_anti").select(*real.columns))
+
+
+def day_end_balances(rows: DataFrame) -> DataFrame:
+    """(account_id, day, balance, net): the running balance no other row of the day starts from, if one is; else the last row's.
+
+    rows: account_id, day, n (order), amount, running (balance after the row).  Starts are counted by value, so
+    rows of a day are not compared in pairs.
+    """
+    begins = rows.groupBy("account_id", "day", (F.col("running") - F.col("amount")).alias("running")).agg(F.count(F.lit(1)).alias("starts"))
+    own = F.when(F.col("amount") == 0, 1).otherwise(0)
+    marked = rows.join(begins.withColumn("running", F.col("running").cast("decimal(18,2)")), ["account_id", "day", "running"], "left")
+    end = F.coalesce("starts", F.lit(0)) - own <= 0
+    out = marked.groupBy("account_id", "day").agg(F.count_if(end).alias("ends"), F.min(F.when(end, F.col("running"))).alias("one"), F.max_by("running", "n").alias("last"), F.sum("amount").alias("net"))
+    return out.select("account_id", "day", F.when(F.col("ends") == 1, F.col("one")).otherwise(F.col("last")).alias("balance"), "net")
+
+
+def opening_balances(day_ends: DataFrame) -> DataFrame:
+    """(account_id, first_day, opening): the balance before the first day, computed back from its end."""
+    return day_ends.groupBy("account_id").agg(F.min("day").alias("first_day"), F.min_by(F.col("balance") - F.col("net"), "day").alias("opening"))
+
+
+def history_in_twd(history: DataFrame, assets: DataFrame, rates: DataFrame) -> DataFrame:
+    """(id, day, value): manual values converted by their asset's currency, zero without a rate; other sources are in TWD.
+
+    history: id, day, source, asset_type (the asset's id if manual), net_worth; assets: id, currency.
+    """
+    a = assets.select(F.col("id").alias("asset_type"), F.lit("manual").alias("source"), "currency")
+    rows = history.join(a, ["asset_type", "source"], "left").join(rates, "currency", "left")
+    value = F.col("net_worth").cast("double")
+    return rows.select("id", "day", F.when((F.col("source") != "manual") | (F.col("currency") == "TWD"), value).when(F.col("rate_to_twd").isNotNull(), value * F.col("rate_to_twd")).otherwise(0.0).alias("value"))
+
+
+def upsert_points(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Points by (source, asset_type, day); the new value wins."""
+    keys = ["source", "asset_type", "day"]
+    both = old.join(new.withColumnRenamed("value", "_new"), keys, "full")
+    return both.select(*keys, F.coalesce("_new", "value").alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import ingest, ledger, linkage, series
-from tallyforge.plans import linking, normalising  # noqa: F401  (they register their queries)
+from tallyforge.plans import linking, normalising, settling  # noqa: F401  (they register their queries)
 from tallyforge.plans.catalog import QUERIES, SQL, query
 from tallyforge.sources.tables import TODAY, Tables
 
