@@ -215,3 +215,45 @@ def single_card_folds(accounts: DataFrame) -> DataFrame:
     is_summary = F.col("is_summary")
     found = accounts.groupBy("group_id").agg(F.count_if(~is_summary).alias("cards"), F.count_if(is_summary).alias("totals"), F.min(F.when(is_summary, F.col("id"))).alias("summary_id"), F.min(F.when(~is_summary, F.col("id"))).alias("card_id"))
     return found.filter("cards = 1 and totals = 1").select("summary_id", "card_id")
+
+
+def preferred_links(preferences: DataFrame) -> DataFrame:
+    """(invoice_id, transaction_id, outcome) fixed by the user before any matching: ``separate`` invoices, and one ``linked`` invoice a transaction, the smallest id.
+
+    preferences: invoice_id, transaction_id, decision.  Links that lose their transaction are open to matching again.
+    """
+    links = preferences.filter("decision = 'linked' and transaction_id is not null").groupBy("transaction_id").agg(F.min("invoice_id").alias("invoice_id"))
+    apart = preferences.filter("decision = 'separate'").select("invoice_id", F.lit(None).cast(preferences.schema["transaction_id"].dataType).alias("transaction_id"), F.lit("separate").alias("outcome"))
+    return links.select("invoice_id", "transaction_id", F.lit("linked").alias("outcome")).unionByName(apart)
+
+
+def open_edges(edges: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Candidate edges that touch neither a fixed invoice nor a linked transaction."""
+    rest = edges.join(fixed.select("invoice_id"), "invoice_id", "left_anti")
+    return rest.join(fixed.filter("transaction_id is not null").select("transaction_id"), "transaction_id", "left_anti")
+
+
+def synced_carriers(invoices: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(id, carrier_suffix): the invoice's carrier suffix if a synced credit account ends in it, else null."""
+    cards = accounts.filter("account_type = 'credit'").select(F.col("account_last4").alias("carrier_suffix"), F.lit(True).alias("_known")).distinct()
+    return invoices.join(cards, "carrier_suffix", "left").select("id", F.when(F.col("_known"), F.col("carrier_suffix")).alias("carrier_suffix"))
+
+
+def carrier_edges(edges: DataFrame, carriers: DataFrame, cards: DataFrame) -> DataFrame:
+    """Edges of invoices without a synced carrier, and of the others those to the carrier's card; these score higher.
+
+    carriers: id, carrier_suffix of invoices; cards: id, account_type, account_last4 of transactions.
+    """
+    c = carriers.filter("carrier_suffix is not null").select(F.col("id").alias("invoice_id"), "carrier_suffix")
+    t = cards.filter("account_type = 'credit'").select(F.col("id").alias("transaction_id"), "account_last4")
+    rows = edges.join(c, "invoice_id", "left").join(t, "transaction_id", "left")
+    has = F.col("carrier_suffix").isNotNull()
+    rows = rows.filter(~has | (F.col("carrier_suffix") == F.col("account_last4")))
+    return rows.select("invoice_id", "transaction_id", "gap", "exact", (F.col("score") + F.when(has, CARRIER).otherwise(0)).alias("score"))
+
+
+def shared_notes(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """(id, note): a row's own note, else that of its matched partner.  pairs: id, peer_id; notes: id, note."""
+    own = notes.select("id", F.col("note").alias("_own"))
+    other = notes.select(F.col("id").alias("peer_id"), F.col("note").alias("_other"))
+    return pairs.join(own, "id", "left").join(other, "peer_id", "left").select("id", F.coalesce("_own", "_other").alias("note"))

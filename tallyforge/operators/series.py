@@ -173,3 +173,18 @@ def upsert_points(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = ["source", "asset_type", "day"]
     both = old.join(new.withColumnRenamed("value", "_new"), keys, "full")
     return both.select(*keys, F.coalesce("_new", "value").alias("value"))
+
+
+def issuer_totals(bills: DataFrame) -> DataFrame:
+    """For each issuer the statement and remaining totals in TWD, and the unpaid bill due next.
+
+    bills: issuer, account_id, currency, statement_amount, remaining, status, due_date.
+    """
+    twd = lambda c: F.coalesce(F.sum(F.when(F.col("currency") == "TWD", F.col(c))), F.lit(0)).cast("double").alias(c)
+    next_due = F.min(F.when((F.col("status") != "paid") & F.col("due_date").isNotNull(), F.struct("due_date", "account_id"))).alias("n")
+    return bills.groupBy("issuer").agg(twd("statement_amount"), twd("remaining"), next_due).select("issuer", "statement_amount", "remaining", F.col("n.due_date").alias("next_due"), F.col("n.account_id").alias("next_account"))
+
+
+def latest_manual_values(history: DataFrame) -> DataFrame:
+    """(asset_id, day, value): the latest value of each manual asset; of one day the greatest id.  history: id, asset_id, day, value."""
+    return history.groupBy("asset_id").agg(F.max("day").alias("day"), F.max_by("value", F.struct("day", "id")).alias("value"))

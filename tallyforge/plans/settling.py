@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import invoices, series
+from tallyforge.operators import invoices, linkage, series
 from tallyforge.plans.catalog import query
 
 _C = F.col
@@ -105,3 +105,48 @@ _P1, _P2 = (_POINTS.format(scale=k, gone=k).replace("{{", "{").replace("}}", "}"
 @query("sk5_history_upsert", f"WITH o AS ({_P1}), n AS ({_P2}) SELECT source, asset_type, day, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (source, asset_type, day)")
 def _(t):
     return series.upsert_points(t.spark.sql(_P1, snapshots=t["snapshots"]), t.spark.sql(_P2, snapshots=t["snapshots"]))
+
+
+_PREF = "SELECT id AS invoice_id, CASE WHEN id % 3 <> 0 THEN id // 8 END AS transaction_id, CASE WHEN id % 3 = 0 THEN 'separate' ELSE 'linked' END AS decision FROM {dense_invoices} WHERE id % 4 = 0"
+
+
+@query("jn13_preferred_links", f"""WITH p AS ({_PREF}) SELECT min(invoice_id) AS invoice_id, transaction_id, 'linked' AS outcome FROM p WHERE decision = 'linked' GROUP BY transaction_id UNION ALL SELECT invoice_id, NULL, 'separate' FROM p WHERE decision = 'separate'""")
+def _(t):
+    return linkage.preferred_links(t.spark.sql(_PREF.replace("id // 8", "id div 8"), dense_invoices=t["dense_invoices"]))
+
+
+@query("jn13_open_edges", f"""WITH p AS ({_PREF}), f AS (SELECT min(invoice_id) AS invoice_id, transaction_id FROM p WHERE decision = 'linked' GROUP BY transaction_id UNION ALL SELECT invoice_id, NULL FROM p WHERE decision = 'separate')
+  SELECT i.id AS invoice_id, t.id AS transaction_id FROM {{dense_invoices}} i JOIN {{dense_transactions}} t ON t.day = i.day AND t.amount = i.amount AND NOT t.inflow WHERE i.id NOT IN (SELECT invoice_id FROM f) AND t.id NOT IN (SELECT transaction_id FROM f WHERE transaction_id IS NOT NULL)""")
+def _(t):
+    fixed = linkage.preferred_links(t.spark.sql(_PREF.replace("id // 8", "id div 8"), dense_invoices=t["dense_invoices"]))
+    edges = linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow"), 0).filter("exact")
+    return linkage.open_edges(edges, fixed).select("invoice_id", "transaction_id")
+
+
+_CARR = "SELECT id, CASE WHEN id % 3 = 0 THEN lpad(CAST(id % 10000 AS STRING), 4, '0') END AS carrier_suffix FROM {dense_invoices}"
+
+
+@query("jn19_synced_carriers", f"SELECT id, CASE WHEN carrier_suffix IN (SELECT account_last4 FROM {{accounts}} WHERE account_type = 'credit') THEN carrier_suffix END AS carrier_suffix FROM ({_CARR})")
+def _(t):
+    return linkage.synced_carriers(t.spark.sql(_CARR, dense_invoices=t["dense_invoices"]), t["accounts"])
+
+
+@query("cl20_shared_notes", "SELECT id, CASE WHEN n % 3 = 0 THEN 'note ' || n WHEN (n + 1) % 3 = 0 AND n + 1 IN (SELECT n FROM {transactions}) THEN 'note ' || (n + 1) END AS note FROM {transactions}")
+def _(t):
+    tx = t["transactions"]
+    return linkage.shared_notes(tx.selectExpr("id", "'txn:' || (n + 1) AS peer_id"), tx.filter("n % 3 = 0").selectExpr("id", "'note ' || n AS note"))
+
+
+_DUE = "SELECT connector_id AS issuer, account_id, currency, statement_amount, CAST(CASE WHEN billing_period < '2000' THEN 0 ELSE statement_amount END AS DECIMAL(18,2)) AS remaining, CASE WHEN billing_period < '2000' THEN 'paid' ELSE 'unpaid' END AS status, closing_date + 15 AS due_date FROM {bills}"
+
+
+@query("ag23_issuer_totals", f"""SELECT issuer, CAST(coalesce(sum(statement_amount) FILTER (currency = 'TWD'), 0) AS DOUBLE) AS statement_amount, CAST(coalesce(sum(remaining) FILTER (currency = 'TWD'), 0) AS DOUBLE) AS remaining,
+  min(due_date) FILTER (status <> 'paid') AS next_due, arg_min(account_id, (due_date, account_id)) FILTER (status <> 'paid') AS next_account FROM ({_DUE}) GROUP BY 1""")
+def _(t):
+    return series.issuer_totals(t.spark.sql(_DUE, bills=t["bills"]))
+
+
+@query("ag18_latest_manual_values", "SELECT account_id AS asset_id, max(as_of_day) AS day, CAST(arg_max(balance, (as_of_day, id)) AS DOUBLE) AS value FROM {snapshots} WHERE NOT derived GROUP BY 1")
+def _(t):
+    rows = t["snapshots"].filter("not derived").select("id", F.col("account_id").alias("asset_id"), F.col("as_of_day").alias("day"), F.col("balance").cast("double").alias("value"))
+    return series.latest_manual_values(rows)

@@ -96,3 +96,17 @@ def test_export_masks_and_parts_by_month(spark, tmp_path):
     export_items(rows, str(tmp_path / "out"))
     lines = [json.loads(x) for p in (tmp_path / "out").glob("month=2024-01/*.json") for x in p.read_text().splitlines()]
     assert lines == [{"id": "1", "description": "to ****7890"}]
+
+
+def test_carriers_restrict_and_raise_edges(spark):
+    edges = spark.createDataFrame([(1, 10, 0, True, 8), (1, 11, 0, True, 8), (2, 11, 1, True, 7), (1, 12, 0, True, 8)], "invoice_id long, transaction_id long, gap int, exact boolean, score int")
+    carriers = spark.createDataFrame([(1, "0042"), (2, None)], "id long, carrier_suffix string")
+    cards = spark.createDataFrame([(10, "credit", "0042"), (11, "credit", "0001"), (12, "checking", "0042")], "id long, account_type string, account_last4 string")
+    got = sorted((r.invoice_id, r.transaction_id, r.score) for r in linkage.carrier_edges(edges, carriers, cards).collect())
+    assert got == [(1, 10, 8 + linkage.CARRIER), (2, 11, 7)]
+
+
+def test_linked_invoices_compete_for_a_transaction(spark):
+    rows = spark.createDataFrame([(3, 9, "linked"), (2, 9, "linked"), (4, None, "separate"), (5, None, "linked")], "invoice_id long, transaction_id long, decision string")
+    got = sorted((r.invoice_id, r.transaction_id, r.outcome) for r in linkage.preferred_links(rows).collect())
+    assert got == [(2, 9, "linked"), (4, None, "separate")]
