@@ -18,15 +18,20 @@ def foreign_edges(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """(invoice_id, transaction_id, gap, score) of foreign invoices with card payments to the same merchant.
 
     invoices: id, seller, amount, currency, twd (null without a rate), day; payments: id, merchant, amount (paid,
-    positive), currency, day, all of credit accounts.  The join has day and merchant in its key.
+    positive), currency, day, all of credit accounts.  The join has day, merchant, currency and a bucket of
+    the size in its key.  Invoices are in another currency than TWD and positive.
     """
-    i = invoices.select(F.col("id").alias("invoice_id"), F.col("seller").alias("merchant"), F.col("amount").alias("asked"), F.col("currency").alias("asked_in"), "twd", F.col("day").alias("invoice_day"), F.explode(F.sequence(F.lit(-DAYS_BEFORE), F.lit(DAYS_AFTER))).alias("offset"))
-    i = i.withColumn("day", F.date_add("invoice_day", F.col("offset")))
-    found = i.join(payments.select(F.col("id").alias("transaction_id"), "merchant", F.col("amount").cast("double").alias("paid"), F.col("currency").alias("paid_in"), "day"), ["day", "merchant"])
-    asked, twd = F.col("asked").cast("double"), F.col("twd").cast("double")
-    same = F.abs(F.col("paid") - asked) <= F.greatest(asked * SAME_CURRENCY_RATIO, F.lit(SAME_CURRENCY_LEAST))
-    converted = (twd > 0) & (F.abs(F.col("paid") - twd) <= F.greatest(twd * CONVERTED_RATIO, F.lit(float(CONVERTED_LEAST))))
-    fits = F.when(F.col("paid_in") == F.col("asked_in"), same).when(F.col("paid_in") == "TWD", converted).otherwise(False)
+    # sizes within the tolerances lie in the same or the next bucket: (x + 20) differs by less than a tenth of its logarithm
+    bucket = lambda x: F.floor(F.log(x + 20.0) * 10).cast("int")
+    asked, twd = F.col("amount").cast("double"), F.col("twd").cast("double")
+    own = F.struct(F.col("currency").alias("paid_in"), asked.alias("size"), F.greatest(asked * SAME_CURRENCY_RATIO, F.lit(SAME_CURRENCY_LEAST)).alias("slack"))
+    converted = F.struct(F.lit("TWD").alias("paid_in"), twd.alias("size"), F.greatest(twd * CONVERTED_RATIO, F.lit(float(CONVERTED_LEAST))).alias("slack"))
+    i = invoices.select(F.col("id").alias("invoice_id"), F.col("seller").alias("merchant"), F.col("day").alias("invoice_day"), F.col("currency").alias("asked_in"), F.explode(F.array(own, converted)).alias("w"))
+    i = i.select("invoice_id", "merchant", "invoice_day", "w.*", (F.col("w.size") > 0).alias("sized"), F.explode(F.sequence(F.lit(-DAYS_BEFORE), F.lit(DAYS_AFTER))).alias("offset")).filter("sized")
+    i = i.withColumn("day", F.date_add("invoice_day", F.col("offset"))).withColumn("bucket", F.explode(F.array(*(bucket(F.col("size")) + k for k in (-1, 0, 1)))))
+    p = payments.select(F.col("id").alias("transaction_id"), "merchant", F.col("amount").cast("double").alias("paid"), F.col("currency").alias("paid_in"), "day").withColumn("bucket", bucket(F.col("paid")))
+    found = i.join(p, ["day", "merchant", "paid_in", "bucket"])
+    fits = F.abs(F.col("paid") - F.col("size")) <= F.col("slack")
     gap = F.abs("offset")
     score = F.lit(APPROXIMATE + STRONG) + F.element_at(F.array(*map(F.lit, GAP_SCORE)), gap + 1)
     return found.filter(fits).select("invoice_id", "transaction_id", gap.alias("gap"), score.alias("score"))
