@@ -2,10 +2,14 @@ r"""Main text of HTML pages by tag-path ratios.
 
 A page becomes text segments, each with its root-to-leaf tag path.  Per path: characters of text outside links,
 characters inside links, punctuation marks and segments.  The score of a path fuses text a segment and punctuation with the
-share outside links, and is smoothed with its neighbours in page order.  A path is content if it scores at
-least ``CUT`` of the page's median over text characters, or lies below an ``article`` or ``main`` element that
-holds such a path.  Paths through elements that never hold the article (navigation, header, footer, aside, form, script,
-style ...) or whose class or id names a menu, advert, notice, sidebar or comment list are out beforehand.
+share outside links, and is smoothed with its neighbours in page order unless most of its text is links.  A path is
+content if it scores at least ``CUT`` of the page's median over text characters, inside ``article`` and ``main`` and
+outside.  A weaker path with half its text or more outside links stays if it lies below the common ancestor of the
+content (below an article or main that holds content, if there are any) and a segment of it is next to content in page
+order, as headings and short list items are; without article or main, so does a ``h1``.  Paths through elements that
+never hold the article (navigation, header, footer, aside, form, script, style ...) or whose class or id names a menu,
+advert, notice, sidebar or comment list are out beforehand; names such as ``has-sidebar`` or ``entry-header`` tell of
+the page or the article, not of such a block.
 
 Pages are independent: one pass in Arrow batches, no shuffle; a page is read whole.
 
@@ -47,6 +51,12 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menus?|nav\w*|breadcrumbs?|side-?bar|sidebar\w*|footer\w*|header|masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|respond|replies|pagination|pager|toolbar|widget|skip-link|copyright|legal|tracking)(?:$|[\s_-])",
     re.I,
 )
+# parts of a class name that tell of another block: what follows has-, no-, with- ...; states; an article's own header
+_MODIFIER = re.compile(
+    r"(?:^|[_-])(?:has|have|no|not|non|with|without|is|hide|show|use|supports)[_-].*|(?:^|[_-])(?:entry|post|article|content|story|section|page|title|main)[_-]+header(?=$|[_-])"
+    r"|(?:^|[_-])(?:content|main)[_-]sidebar(?=$|[_-](?:wrap|layout))|(?:^|[_-])[a-z]+[_-](?:open|opened|closed|collapsed|expanded|enabled|disabled|layout|fixed|active)$",
+    re.I,
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
@@ -65,7 +75,7 @@ def _is_noise(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and _NOISE.search(value):
+        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and any(_NOISE.search(_MODIFIER.sub("", x)) for x in value.split()):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -153,10 +163,19 @@ def path_ratios(found: list[tuple[tuple[str, ...], int, str, int, bool, bool]])
     smooth = {}
     for k, p in enumerate(order):
         near = [raw[j] for j in (k - 1, k + 1) if 0 <= j < len(raw)]
-        smooth[p] = (1 - SMOOTH) * raw[k] + SMOOTH * (sum(near) / len(near)) if near else raw[k]
+        smooth[p] = (1 - SMOOTH) * raw[k] + SMOOTH * (sum(near) / len(near)) if near and 2 * total[p][1] <= total[p][0] else raw[k]
     return smooth
 
 
+def _common(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The longest path above all of ``paths``."""
+    low, high = min(paths), max(paths)
+    k = 0
+    while k < min(len(low), len(high)) - 1 and low[k] == high[k]:
+        k += 1
+    return low[:k]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -167,22 +186,28 @@ def main_text(page: str | None) -> str:
     score = path_ratios(found)
     typical = median([score[p] for p, _, text, _, _, _ in found for _ in range(1 + len(text) // 200)])
     content = {p for p in score if score[p] >= CUT * typical}
-    # an article element that holds a content path is content in full
+    # weak neighbours stay below the articles that hold content, or else below the common ancestor
     roots = set()
     for p in content:
         for k in range(len(p) - 1, -1, -1):
             if p[k] in ("article", "main"):
                 roots.add(p[: k + 1])
                 break
-    if roots:
-        content = {p for p in score if any(p[: len(r)] == r for r in roots)}
-    elif content:
-        # else the container of the path with most text, and headings before it
-        size: dict[tuple[str, ...], int] = {}
-        for path, _, text, linked, _, _ in found:
-            size[path] = size.get(path, 0) + (0 if linked else len(text.strip()))
-        top = max(content, key=lambda p: size[p])[:-1]
-        content = {p for p in content if p[: len(top)] == top} | {p for p in score if p and p[-1] == "h1"}
+    size: dict[tuple[str, ...], list[int]] = {}
+    for path, _, text, linked, _, _ in found:
+        t = size.setdefault(path, [0, 0])
+        t[0] += len(text.strip())
+        t[1] += min(linked, len(text.strip()))
+    tops = roots or ({_common(content)} if content else set())
+    order = [x[0] for x in found]
+    weak = set()
+    for k, p in enumerate(order):
+        if p in content or 2 * size[p][1] > size[p][0]:
+            continue
+        beside = any(q in content for q in order[max(k - 1, 0) : k + 2])
+        if beside and any(p[: len(r)] == r for r in tops) or not roots and p and p[-1] == "h1":
+            weak.add(p)
+    content |= weak
     blocks: list[list[str]] = []
     last = None
     # segments of one block are one line, even around inline elements

@@ -347,6 +347,28 @@ def test_main_text():
     assert html_text.main_text("<article><p>Cut &am") == "Cut &am"
 
 
+def test_main_text_keeps_every_content_path():
+    s = "This sentence is long enough, and has marks, to count as text of the page."
+    # text split over differently classed containers; the links between them go
+    page = f"<body><nav><a href=a>Home</a></nav><h1>T</h1><div class=intro><p>{s}</p></div><div class=body><p>{s} {s}</p><p>{s}</p></div><div class=links><a href=x>More</a><a href=y>Else</a></div></body>"
+    assert html_text.main_text(page) == f"T\n{s}\n{s} {s}\n{s}"
+    # list items hold most text
+    page = f"<body><div class=body><p>{s}</p><ul>{f'<li>{s} {s}</li>' * 6}</ul><p>{s}</p></div></body>"
+    assert html_text.main_text(page).split("\n") == [s, *[f"{s} {s}"] * 6, s]
+    # the threshold holds inside an article too: tags of links go, headings and short items beside text stay
+    page = f"<article><h1>T</h1><p>{s} {s}</p><div class=tags><a href=a>one</a> <a href=b>two</a></div><h2>Sub</h2><p>{s}</p><ul><li>one<li>two</ul></article>"
+    assert html_text.main_text(page) == f"T\n{s} {s}\nSub\n{s}\none\ntwo"
+    # a teaser's article does not take the place of the story beside it
+    page = f"<body><div class=story><p>{s} {s}</p></div><div class=more><article><p>{s}</p></article></div></body>"
+    assert html_text.main_text(page) == f"{s} {s}\n{s}"
+
+
+@pytest.mark.parametrize("name, kept", [("content has-sidebar", 1), ("no-sidebar", 1), ("entry-header", 1), ("content-sidebar-wrap", 1), ("page-with-nav", 1), ("sidebar", 0), ("left-sidebar", 0), ("site-header", 0), ("nav-primary", 0), ("comment-list", 0), ("x related", 0), ("menu-item", 0)])
+def test_class_names_of_noise(name, kept):
+    s = "This sentence is long enough, and has marks, to count as text of the page."
+    assert html_text.main_text(f"<body><div class='{name}'><p>{s}</p></div><div class=last><p>{s} {s}</p></div></body>").count(s) == 2 + kept
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
