@@ -304,6 +304,36 @@ def test_language_id(spark, tmp_path):
     assert abs(p - 1).max() < 0.05
 
 
+def test_language_id_learns_every_language(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(6)] for k in range(70)}
+    rows = [(1000 * k + i, " ".join(rng.choice(words) for _ in range(40)), name) for k, (name, words) in enumerate(vocabulary.items()) for i in range(16 if k < 64 else 8)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    df = spark.read.parquet(path)
+    model = langid.train(df)
+    assert [len(x) for x in model.groups] == [64, 6]
+    found = {r.doc_id: r for r in langid.identify(df, model, ["doc_id"]).collect()}
+    assert len(found) == len(rows) and all(found[i].lang_pred == k and found[i].score > 0.9 for i, _, k in rows)
+    # how languages are grouped does not matter
+    monkeypatch.setattr(langid, "LANGUAGES", 25)
+    again = langid.train(df)
+    assert len(again.groups) == 3
+    assert all(r.lang_pred == found[r.doc_id].lang_pred for r in langid.identify(df, again, ["doc_id"]).collect())
+
+
+def test_stage_rejects_texts_of_no_learned_language(spark, tmp_path):
+    kinds = {"en": "the and thing that with there", "fr": "été les dans où près cœur"}
+    rows = [(i, prose(RNG.randint(3, 30), kinds[k].split()), k) for i, k in enumerate(list(kinds) * 200)]
+    junk = "".join(random.Random(1).choice("bcdfgjkmpqvwxz ") for _ in range(300))
+    strange = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", junk, "a" * 300]
+    rows += [(1000 + i, t, None) for i, t in enumerate(strange)] + [(2000, "the", None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    kept = {r.doc_id for r in langid.keep_identified(spark.read.parquet(path)).collect()}
+    assert kept == {*range(400), 2000}
+
+
 def test_empty_tables(spark, documents):
     df = documents(["x"]).filter("doc_id < 0")
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
