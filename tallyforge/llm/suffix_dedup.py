@@ -125,7 +125,8 @@ def shared_prefix(order: np.ndarray, words: np.ndarray, width: int) -> np.ndarra
     """Whether each suffix shares ``width`` bytes with the one before it in the order.
 
     Kasai's bound, vectorised: common prefixes are found in full for every 32nd place of the text; each
-    other place begins from that value less its distance.
+    other place begins from that value less its distance if its predecessor is the anchor's moved as far.  Elsewhere
+    the bound is not safe, as suffixes that agree in all refined bytes stand in any order: these begin from zero.
     """
     n = len(order)
     prior = np.full(n, -1, np.int64)
@@ -150,8 +151,10 @@ def shared_prefix(order: np.ndarray, words: np.ndarray, width: int) -> np.ndarra
     extend(anchors, np.zeros(len(anchors), np.int64))
     rest = np.arange(n)
     rest = rest[rest % stride > 0]
-    bound = np.maximum(common[rest - rest % stride] - rest % stride, 0)
-    extend(rest, bound)
+    step = rest % stride
+    before = prior[rest - step]
+    follows = (before >= 0) & (prior[rest] == before + step)
+    extend(rest, np.where(follows, np.maximum(common[rest - step] - step, 0), 0))
     out = np.zeros(n, bool)
     out[1:] = common[order[1:]] >= width
     return out

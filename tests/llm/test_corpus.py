@@ -135,6 +135,28 @@ def test_suffix_order_and_common_prefixes():
         assert shared[k] == (max(i, j) + 24 <= len(raw) and raw[i : i + 24] == raw[j : j + 24])
 
 
+def templated(seed, width):
+    """Fixed-width rows that differ early, and partial copies of them."""
+    rng = random.Random(seed)
+    rows = "".join(f"{rng.randrange(30):03}" + "-" * (width // 2 + rng.choice([0, 0, 0, 1])) for _ in range(60))
+    return [rows[a : a + rng.randint(width // 2, 4 * width)] for a in (rng.randrange(len(rows)) for _ in range(40))]
+
+
+@pytest.mark.parametrize("width", [24, 400])
+def test_common_prefixes_of_templated_text(width):
+    raw = "".join(templated(0, width)).encode()
+    order, words = suffix_dedup.suffix_array(np.frombuffer(raw, np.uint8), width)
+    shared = suffix_dedup.shared_prefix(order, words, width)
+    pairs = zip(order[:-1].tolist(), order[1:].tolist(), strict=True)
+    assert shared[1:].tolist() == [max(i, j) + width <= len(raw) and raw[i : i + width] == raw[j : j + width] for i, j in pairs]
+
+
+def test_repeated_passages_of_templated_text(documents):
+    texts = templated(1, suffix_dedup.WIDTH)
+    got = suffix_dedup.dedup(documents(texts)).drop("doc_id", "removed").collect()
+    assert sorted(map(tuple, got)) == brute_passages(texts)
+
+
 def brute_contamination(texts, items):
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = defaultdict(set)
