@@ -10,9 +10,10 @@ A byte goes if a ``WIDTH``-byte string that covers it also starts anywhere else.
 3. Distinct segments are dealt to shards of about ``SHARD_BYTES`` by minimizer.  A shard builds a suffix
    array by Larsson-Sadakane refinement, then common prefixes by Kasai's bound, both in numpy.  Runs of
    suffixes that share ``WIDTH`` bytes and stand for two or more places are repeats.
-4. A minimizer with more than ``HOT`` distinct segments is split over several shards.  Those return one key
-   per run in order; merging slices the sorted keys by range and finds keys of other shards by binary search.
-5. Repeats go back to every place of their segment, are merged per text, and cut.
+4. A minimizer with more than ``HOT`` distinct segments is split over several shards.  Those return the sorted keys of
+   their runs as arrays, one for each of as many key ranges; merging finds keys of other shards by binary search.
+5. The windows of a segment overlap, so its repeats cover one range.  It goes back to every place of the segment;
+   ranges are merged per text, and cut.
 
 Nothing is sampled or capped; the hash of a segment is used with its minimizer's, 128 bits together.
 Defined cases: null and empty texts have no bytes; texts under ``WIDTH`` bytes lose nothing; repeated
@@ -175,46 +176,77 @@ def repeated_windows(bodies: list[bytes], places: np.ndarray) -> tuple[np.ndarra
     return segment, offset, run, total[run].astype(np.int64)
 
 
-_FOUND = "gram long, body long, a int, b int, key long, open boolean"
+_FOUND = "gram long, body long, a int, b int, slice int, closed array<long>, open array<long>, open_body array<long>, open_a array<int>"
+_RANGES = "gram long, body long, a int, b int"
+
+
+def _lists(flat: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat, kind))
+
+
+def _slice_of(key: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Range of the unsigned 64-bit key among ``parts`` equal ones."""
+    return (((key.view(np.uint64) >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def _shard(found: pa.Table) -> pa.Table:
-    """Repeated windows of a shard as ranges a..b; for split minimizers, a key per run (``open``: no repeat yet)."""
+    """What a shard knows: a row per segment with repeats (first and last window), and for split minimizers a row per slice of its keys.
+
+    The windows of a segment start within ``WIDTH`` bytes of each other, so the bytes that its repeats cover are one range.
+    A slice has the sorted keys of runs that repeat in the shard (``closed``) and those of runs with a single place (``open``).
+    """
     bodies = [x or b"" for x in found.column("bytes").to_pylist()]
-    gram, body = np.asarray(found.column("gram")), np.asarray(found.column("body"))
-    hot = np.asarray(found.column("hot"))
+    gram, body, parts = (np.asarray(found.column(k)) for k in ("gram", "body", "parts"))
     segment, offset, run, total = repeated_windows(bodies, np.asarray(found.column("places")))
-    twice = np.flatnonzero(total > 1)
-    by = np.lexsort((offset[twice], segment[twice]))
-    s, o = segment[twice][by], offset[twice][by]
-    fresh = np.ones(len(s), bool)
-    fresh[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(s)) - 1 if len(s) else first
-    cols = [[gram[s[first]], body[s[first]], o[first], o[last], np.zeros(len(first), np.int64), np.zeros(len(first), bool)]]
-    if hot.any():
+    low, high = np.full(len(bodies), WIDTH, np.int64), np.full(len(bodies), -1, np.int64)
+    twice = total > 1
+    np.minimum.at(low, segment[twice], offset[twice])
+    np.maximum.at(high, segment[twice], offset[twice])
+    own = np.flatnonzero(high >= 0)
+    none = lambda n, kind: pa.nulls(n, kind)
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    tables = [[pa.array(gram[own]), pa.array(body[own]), pa.array(low[own].astype(np.int32)), pa.array(high[own].astype(np.int32)), none(len(own), pa.int32()), none(len(own), longs), none(len(own), longs), none(len(own), longs), none(len(own), ints)]]
+    if (parts > 1).any():
         _, one = np.unique(run, return_index=True)
-        one = one[hot[segment[one]]]
+        one = one[parts[segment[one]] > 1]
         data = np.frombuffer(b"".join(bodies), np.uint8)
         sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
         at = (np.cumsum(sizes) - sizes)[segment[one]] + offset[one]
         key = Rolling(data).span(at, at + WIDTH).view(np.int64)
-        # a run with a single place is open; its key with ``a`` = b marks the window to remove if another shard has it
-        cols.append([gram[segment[one]], body[segment[one]], offset[one], np.full(len(one), -1), key, total[one] == 1])
-    gram, body, a, b, key, opened = (np.concatenate([c[i] for c in cols]) for i in range(6))
-    return pa.table([pa.array(gram), pa.array(body), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(key), pa.array(opened)], ["gram", "body", "a", "b", "key", "open"])
+        piece = _slice_of(key, parts[segment[one]])
+        by = np.lexsort((key, piece, gram[segment[one]]))
+        one, key, piece = one[by], key[by], piece[by]
+        owner, alone = gram[segment[one]], total[one] == 1
+        fresh = np.ones(len(one), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])
+        first = np.flatnonzero(fresh)
+        edge = np.append(first, len(one))
+        seen = np.concatenate(([0], np.cumsum(alone)))[edge]
+        pick = np.flatnonzero(alone)
+        n = len(first)
+        tables.append(
+            [pa.array(owner[first]), none(n, pa.int64()), none(n, pa.int32()), none(n, pa.int32()), pa.array(piece[first].astype(np.int32)), _lists(key[~alone], edge - seen, pa.int64()), _lists(key[pick], seen, pa.int64()), _lists(body[segment[one[pick]]], seen, pa.int64()), _lists(offset[one[pick]].astype(np.int32), seen, pa.int32())]
+        )
+    names = ["gram", "body", "a", "b", "slice", "closed", "open", "open_body", "open_a"]
+    return pa.concat_tables([pa.table(t, names) for t in tables])
 
 
 def _merge(found: pa.Table) -> pa.Table:
-    """Open windows of one slice of a split minimizer whose key another shard also has, by binary search."""
-    key = np.asarray(found.column("key"))
-    opened = np.asarray(found.column("open"))
-    hit = np.zeros(len(key), bool)
-    merged = np.sort(key)
-    mine = np.flatnonzero(opened)
-    hit[mine] = np.searchsorted(merged, key[mine], "right") - np.searchsorted(merged, key[mine], "left") > 1
-    rows = np.flatnonzero(hit)
-    return found.take(pa.array(rows)).select(["gram", "body", "a"])
+    """Segments of a split minimizer with open windows whose key another shard also has, by binary search in one slice."""
+    flat = lambda k: np.asarray(pa.chunked_array([x.flatten() for x in found.column(k).chunks], found.schema.field(k).type.value_type))
+    key, body, a = flat("open"), flat("open_body"), flat("open_a")
+    merged = np.sort(np.concatenate((key, flat("closed"))))
+    # a shard has each key once
+    hit = np.searchsorted(merged, key, "right") - np.searchsorted(merged, key, "left") > 1
+    body, a = body[hit], a[hit]
+    by = np.lexsort((a, body))
+    body, a = body[by], a[by]
+    fresh = np.ones(len(body), bool)
+    fresh[1:] = body[1:] != body[:-1]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(body)) - 1 if len(body) else first
+    gram = found.column("gram")[0].as_py()
+    return pa.table([pa.array(np.full(len(first), gram, np.int64)), pa.array(body[first]), pa.array(a[first]), pa.array(a[last])], ["gram", "body", "a", "b"])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +267,7 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(k)
                     bodies.append(raw[at : at + int(n[k]) - 1 + WIDTH])
         take = fields.take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([take.field("shard"), take.field("gram"), take.field("body"), take.field("places"), take.field("hot"), pa.array(bodies, pa.binary())], ["shard", "gram", "body", "places", "hot", "bytes"])
+        yield pa.RecordBatch.from_arrays([take.field("shard"), take.field("gram"), take.field("body"), take.field("places"), take.field("parts"), pa.array(bodies, pa.binary())], ["shard", "gram", "body", "places", "parts", "bytes"])
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -249,20 +281,20 @@ def repeats(documents: DataFrame) -> DataFrame:
     kinds = stored(kinds, "kinds")
     size = kinds.agg(F.sum(F.col("n") + WIDTH).alias("size")).first()["size"] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
-    hot = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > HOT)
-    salt = F.pmod(F.col("body"), F.ceil(F.col("kinds") / HOT))
+    # stored for the same reason; at most one row for HOT segments
+    hot = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > HOT).select("gram", F.ceil(F.col("kinds") / HOT).alias("split")), "hot")
+    parts = F.coalesce("split", F.lit(1))
     dealt = kinds.join(hot, "gram", "left").select(
         F.col(f"at.{ROW_ID}").alias(ROW_ID),
-        F.struct(F.pmod(F.xxhash64("gram", F.coalesce(salt, F.lit(0))), F.lit(shards)).alias("shard"), "gram", "body", "places", F.col("kinds").isNotNull().alias("hot"), F.col("at.off").alias("off"), "n").alias("one"),
+        F.struct(F.pmod(F.xxhash64("gram", F.pmod(F.col("body"), parts)), F.lit(shards)).alias("shard"), "gram", "body", "places", parts.alias("parts"), F.col("at.off").alias("off"), "n").alias("one"),
     )
     wanted = dealt.groupBy(ROW_ID).agg(F.collect_list("one").alias("wanted"))
-    bodies = rows.join(wanted.hint("shuffle_hash"), ROW_ID).select("text", "wanted").mapInArrow(_bodies, "shard long, gram long, body long, places long, hot boolean, bytes binary")
+    bodies = rows.join(wanted.hint("shuffle_hash"), ROW_ID).select("text", "wanted").mapInArrow(_bodies, "shard long, gram long, body long, places long, parts long, bytes binary")
     out = stored(bodies.groupBy("shard").applyInArrow(_shard, _FOUND), "runs")
-    # split minimizers: 256 slices each, by key range
-    keys = out.filter("b < 0").withColumn("slice", F.shiftright("key", 56))
-    merged = keys.groupBy("gram", "slice").applyInArrow(_merge, "gram long, body long, a int")
-    ranges = out.filter("b >= 0").select("gram", "body", "a", "b").union(merged.select("gram", "body", "a", F.col("a").alias("b")))
-    spans = found.join(ranges, ["gram", "body"]).select(ROW_ID, F.struct((F.col("off") + F.col("a")).alias("start"), (F.col("off") + F.col("b") + WIDTH).alias("end")).alias("span"))
+    # as many slices a split minimizer as it has parts, so a slice is about as long as a shard
+    merged = out.filter("slice is not null").select("gram", "slice", "closed", "open", "open_body", "open_a").groupBy("gram", "slice").applyInArrow(_merge, _RANGES)
+    ranges = out.filter("slice is null").select("gram", "body", "a", "b").union(merged).groupBy("gram", "body").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    spans = found.join(stored(ranges, "ranges"), ["gram", "body"]).select(ROW_ID, F.struct((F.col("off") + F.col("a")).alias("start"), (F.col("off") + F.col("b") + WIDTH).alias("end")).alias("span"))
     return spans.groupBy(ROW_ID).agg(F.collect_list("span").alias("spans"))
 
 
@@ -317,4 +349,5 @@ def dedup(documents: DataFrame) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
+    found = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"))

@@ -123,6 +123,23 @@ def test_repeated_passages_match_brute_force(documents, monkeypatch, hot, shard)
     assert sorted(map(tuple, got)) == brute_passages(texts)
 
 
+def test_many_near_copies_stay_one_row_a_segment(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 8_000)
+    base, texts = prose(500), []
+    for _ in range(80):
+        at = RNG.randrange(len(base))
+        texts.append(base[:at] + RNG.choice(["!", "??", ""]) + base[at + 1 :])
+    rows, made = suffix_dedup._shard, []
+    got = suffix_dedup.dedup(documents(texts)).drop("doc_id", "removed").collect()
+    assert sorted(map(tuple, got)) == brute_passages(texts)
+    # two shards that share all their windows: a row for each segment and slice, not for each window
+    bodies = [t.encode()[:736] for t in dict.fromkeys(texts)]
+    table = pa.table({"bytes": bodies, "gram": [7] * len(bodies), "body": list(range(len(bodies))), "parts": [4] * len(bodies), "places": [1] * len(bodies)})
+    made = rows(table)
+    assert made.num_rows <= len(bodies) + 4 and sum(x.as_py() is not None for x in made.column("slice")) <= 4
+
+
 def test_suffix_order_and_common_prefixes():
     data = np.frombuffer(b"".join(RNG.choice([b"abcabcab", b"abcabcaa", b"zzzzzzzz"]) for _ in range(60)), np.uint8)
     order, words = suffix_dedup.suffix_array(data, 24)
