@@ -1,8 +1,9 @@
 """Quality rules: fixed counts of the text, then a calibrated hashed n-gram logistic regression.
 
 Base counts (words, symbols, repeated lines, repeated 5-word windows) are vectorised over Arrow batches.  The
-model is logistic regression over the mean weight of a text's hashed words and byte 3-grams, trained by
-AdaGrad on a bounded sample (``TRAIN_ROWS`` labelled rows) and calibrated by Platt scaling on
+model is logistic regression over the mean weight of a text's hashed words and word pairs and that of its 3-grams of code
+points, trained by AdaGrad on a bounded sample (``TRAIN_ROWS`` labelled rows, of each the ``TRAIN_FEATURES`` most frequent
+coordinates) and calibrated by Platt scaling on
 the sample's fold ``CALIBRATION``, which training does not see.  Weights are broadcast as integers (8 * 2**BITS
 bytes), so a text's score does not depend on its batch.  A text is kept if its probability is ``KEEP`` or more.
 
@@ -24,10 +25,11 @@ from tallyforge.llm.sampling import labelled_sample
 
 BITS = 18
 TRAIN_ROWS = 6000
+TRAIN_FEATURES = 16_384
 EPOCHS = 12
 RATE, L2 = 0.5, 1e-4
 SCALE = 20.0
-# so many neutral words and 3-grams are added to each mean: short texts lean on the intercept
+# so many neutral words (with pairs) and 3-grams are added to each mean: short texts lean on the intercept
 PRIOR_WORDS, PRIOR_GRAMS = 20, 100
 KEEP = 0.5
 MODULUS, CALIBRATION = 5, 1
@@ -37,15 +39,21 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def coordinates(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates of words and of the 3-grams at each byte (the last two bytes have none)."""
-    x = data.astype(np.uint32)
-    gram = ((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(0x9E3779B1) if len(x) > 2 else np.zeros(0, np.uint32)
-    return (word >> np.uint64(64 - BITS)).astype(np.int64), gram >> np.uint32(32 - BITS)
-
-
-def gram_bounds(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return offs[:-1], np.maximum(offs[:-1], offs[1:] - 2)
+def coordinates(data: np.ndarray, offs: np.ndarray, rolling: Rolling, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates of words, of each word with the next (2**BITS at a text's last word: none), and of 3-grams of code points;
+    the index of each text's first 3-gram, and one past the last."""
+    shift = np.uint64(64 - BITS)
+    pair = np.full(len(word), 1 << BITS, np.int64)
+    if len(word) > 1:
+        both = mix(word[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) + word[1:] * np.uint64(0x9E3779B97F4A7C15)
+        pair[:-1] = (both >> shift).astype(np.int64)
+    last = bounds[1:][bounds[1:] > bounds[:-1]] - 1
+    pair[last] = 1 << BITS
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    edge = np.append(at, len(data))
+    gram = (rolling.span(edge[:-3], edge[3:]) >> shift).astype(np.int64) if len(at) > 2 else np.zeros(0, np.int64)
+    first = np.searchsorted(at, offs)
+    return (word >> shift).astype(np.int64), pair, gram, np.stack((first[:-1], np.maximum(first[:-1], first[1:] - 2)))
 
 
 def base_counts(data: np.ndarray, offs: np.ndarray, rolling: Rolling, start: np.ndarray, end: np.ndarray, word: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -101,14 +109,19 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value: list[np.ndarray] = []
         for a, b, data, offs in chunks(batch.column("text")):
             start, end = token_bounds(data, offs)
-            words, grams = coordinates(data, Rolling(data).span(start, end))
-            bounds = per_text(start, offs)
-            lo, hi = gram_bounds(offs)
+            rolling, bounds = Rolling(data), per_text(start, offs)
+            words, pairs, grams, (lo, hi) = coordinates(data, offs, rolling, rolling.span(start, end), bounds)
             for i in range(b - a):
-                w, wn = np.unique(words[bounds[i] : bounds[i + 1]], return_counts=True)
+                own = np.concatenate((words[bounds[i] : bounds[i + 1]], pairs[bounds[i] : max(bounds[i], bounds[i + 1] - 1)]))
+                w, wn = np.unique(own, return_counts=True)
                 g, gn = np.unique(grams[lo[i] : hi[i]], return_counts=True)
-                at.append(np.concatenate((w, g.astype(np.int64) + (1 << BITS))).astype(np.int32))
-                value.append(np.concatenate((wn / (wn.sum() + PRIOR_WORDS), gn / (gn.sum() + PRIOR_GRAMS))).astype(np.float32) * np.float32(SCALE))
+                own = np.concatenate((w, g.astype(np.int64) + (1 << BITS))).astype(np.int32)
+                mean = np.concatenate((wn / (wn.sum() + PRIOR_WORDS), gn / (gn.sum() + PRIOR_GRAMS))).astype(np.float32) * np.float32(SCALE)
+                if len(own) > TRAIN_FEATURES:
+                    most = np.sort(np.argsort(-mean, kind="stable")[:TRAIN_FEATURES])
+                    own, mean = own[most], mean[most]
+                at.append(own)
+                value.append(mean)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("label"), batch.column("fold"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["doc_id", "label", "fold", "at", "value"]
         )
@@ -145,14 +158,22 @@ def platt(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     if not pos or not neg:
         return 1.0, 0.0
     t = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
+    def loss(a: float, b: float) -> float:
+        x = a * z + b
+        return float((np.logaddexp(0, x) - t * x).sum())
+
+    a, b = 0.0, float(np.log((pos + 1) / (neg + 1)))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         d, h = p - t, p * (1 - p) + 1e-9
         g = np.array([(d * z).sum(), d.sum()])
         step = np.linalg.solve(np.array([[(h * z * z).sum() + 1e-6, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]]), g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
+        # a full step may leap over the minimum where the classes lie far apart
+        size, now = 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if abs(size * step).max() < 1e-8:
             break
     return (float(a), float(b)) if np.isfinite([a, b]).all() and a > 0 else (1.0, 0.0)
 
@@ -183,7 +204,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, intercept, slope, shift = model.value
-        of_words, of_grams = weights[: 1 << BITS], weights[1 << BITS :]
+        of_words, of_grams = np.append(weights[: 1 << BITS], 0), weights[1 << BITS :]
         for batch in batches:
             parts: dict[str, list] = {k: [] for k in (*_COUNTS, "z")}
             for _, _, data, offs in chunks(batch.column("text")):
@@ -192,11 +213,10 @@ def _scorer(model):
                 word = rolling.span(start, end)
                 for k, v in base_counts(data, offs, rolling, start, end, word, bounds).items():
                     parts[k].append(v)
-                words, grams = coordinates(data, word)
-                lo, hi = gram_bounds(offs)
+                words, pairs, grams, (lo, hi) = coordinates(data, offs, rolling, word, bounds)
                 sums = np.concatenate(([0], np.cumsum(of_grams[grams], dtype=np.int64)))
-                size = len(sums) - 1
-                mean = segment_sum(of_words[words].astype(np.int64), bounds) / (np.diff(bounds) + PRIOR_WORDS)
+                size, n = len(sums) - 1, np.diff(bounds)
+                mean = segment_sum(of_words[words].astype(np.int64) + of_words[pairs], bounds) / (2 * n - (n > 0) + PRIOR_WORDS)
                 mean = mean + (sums[np.minimum(hi, size)] - sums[np.minimum(lo, size)]) / (hi - lo + PRIOR_GRAMS)
                 parts["z"].append(SCALE * mean / _UNIT + intercept)
             col = {k: np.concatenate(v) if v else np.zeros(0) for k, v in parts.items()}
