@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import fold
@@ -12,19 +12,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     """(doc_id, text, label, fold) of at most ``rows`` labels, least hash of doc_id first.
 
     Rows whose crc32 fold is ``test`` never take part.  A label that is repeated or contradicts itself
-    counts once, by its greatest value.  The id set is at most ``rows`` long, so it may be broadcast.
+    counts once, by its greatest value; of rows that share an id the one with the smallest text counts, so there are at
+    most ``rows`` rows.  The id set is no longer than that, so it may be broadcast.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).withColumn("fold", fold("doc_id", modulus))
     known = known.filter(F.col("fold") != test).groupBy("doc_id", "fold").agg(F.max(label).cast("int").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
-
-
-def sampled_fraction(counts: dict, per_class: int, key: Column, of: str) -> Column:
-    """Whether a row is in a hash sample of about ``per_class`` rows of its class."""
-    share = F.lit(False)
-    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    for value, n in counts.items():
-        share = F.when(F.col(of) == value, hashed < per_class / max(n, 1)).otherwise(share)
-    return share
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "fold", "label").agg(F.min("text").alias("text"))
