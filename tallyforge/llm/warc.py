@@ -16,12 +16,10 @@ payloads; of repeated rows one is the response, the others revisit it; empty tab
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ROW_ID, shared_folder, stored, with_row_id
+from tallyforge.llm.common import ROW_ID, fresh_path, stored, with_row_id
 
 REVISIT = 100
 MAGIC = "WARC/1.1\r\n"
@@ -183,6 +181,6 @@ def _joined(pieces: DataFrame, found: DataFrame, broken: DataFrame) -> DataFrame
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tallyforge/warc-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read(spark, path)
