@@ -2,13 +2,14 @@ r"""Main text of HTML pages by tag-path ratios.
 
 A page becomes text segments, each with its root-to-leaf tag path.  Per path: characters of text outside links,
 characters inside links, punctuation marks and segments.  The score of a path fuses text a segment and punctuation with the
-share outside links, and is smoothed with its neighbours in page order unless most of its text is links.  A path is
+share outside links, and is smoothed with its neighbours in page order unless most of its text is links; a path through a
+block that its element or name tells from the article is below any threshold.  A path is
 content if it scores at least ``CUT`` of the page's median over text characters, inside ``article`` and ``main`` and
 outside.  A weaker path with half its text or more outside links stays if it lies below the common ancestor of the
 content (below an article or main that holds content, if there are any) and a segment of it is next to content in page
-order, as headings and short list items are; without article or main, so does a ``h1``.  Paths through elements that
-never hold the article (navigation, header, footer, aside, form, script, style ...) or whose class or id names a menu,
-advert, notice, sidebar or comment list are out beforehand; names such as ``has-sidebar`` or ``entry-header`` tell of
+order, as headings and short list items are; without article or main, so does a ``h1``.  The blocks told by element or name
+are navigation, header, footer, aside, form and the like, and those whose class or id names a menu,
+advert, notice, sidebar or comment list (a step of their paths ends in ``!``); names such as ``has-sidebar`` or ``entry-header`` tell of
 the page or the article, not of such a block.
 
 Pages are independent: one pass in Arrow batches, no shuffle; a page is read whole.
@@ -82,18 +83,17 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
-def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int, bool, bool]]:
-    """(path, block number, text, characters in links, noise, pre-chosen) of each text segment, in page order."""
-    out: list[tuple[tuple[str, ...], int, str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, whether it or an ancestor is noise, path step
+def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
+    """(path, block number, text, characters in links) of each text segment, in page order."""
+    out: list[tuple[tuple[str, ...], int, str, int]] = []
+    stack: list[tuple[str, str]] = []  # tag, path step
     block, at, end = 0, 0, len(page)
 
     def emit(text: str) -> None:
         if text:
-            path = tuple(step for t, _, step in stack if t not in _INLINE)
-            linked = len(text) if any(t == "a" for t, _, _ in stack) else 0
-            inside = any(t in ("article", "main") for t in path)
-            out.append((path, block, text, linked, bool(stack) and stack[-1][1], inside))
+            path = tuple(step for t, step in stack if t not in _INLINE or step[-1] == "!")
+            linked = len(text) if any(t == "a" for t, _ in stack) else 0
+            out.append((path, block, text, linked))
 
     def drop(tags: tuple[str, ...] | frozenset) -> None:
         """Close the nearest open element of ``tags``, unless a scope lies between."""
@@ -127,7 +127,6 @@ def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int, bool, bool
                 if tag in _INLINE and stack[k][0] not in _INLINE or tag == "p" and stack[k][0] in _SCOPE:
                     break
             continue
-        noise = bool(stack and stack[-1][1]) or _is_noise(tag, m[3])
         if tag in _ENDS_P:
             drop(("p",))
         if tag in _CLOSES:
@@ -135,21 +134,26 @@ def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int, bool, bool
         if tag in _RAW:
             stop = _RAW_END[tag].search(page, at)
             at = stop.start() if stop else end
-            stack.append((tag, True, tag))
+            stack.append((tag, f"{tag}!"))
             continue
         if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         # a class tells apart containers of the same tag
         named = _CLASS.search(m[3]) if m[3] and tag in ("div", "section", "td") else None
-        stack.append((tag, noise, f"{tag}.{named[1].lower()}" if named else tag))
+        step = f"{tag}.{named[1].lower()}" if named else tag
+        stack.append((tag, f"{step}!" if _is_noise(tag, m[3]) else step))
     return out
 
 
-def path_ratios(found: list[tuple[tuple[str, ...], int, str, int, bool, bool]]) -> dict[tuple[str, ...], float]:
-    """Fused and smoothed score of each tag path."""
+def path_ratios(found: list[tuple[tuple[str, ...], int, str, int]]) -> dict[tuple[str, ...], float]:
+    """Fused and smoothed score of each tag path; -1 for paths through a block that is no article by its element or name."""
     total: dict[tuple[str, ...], list[float]] = {}
     order: list[tuple[str, ...]] = []
-    for path, _, text, linked, _, _ in found:
+    smooth: dict[tuple[str, ...], float] = {}
+    for path, _, text, linked in found:
+        if any(step[-1] == "!" for step in path):
+            smooth[path] = -1.0
+            continue
         if path not in total:
             total[path] = [0.0, 0.0, 0.0, 0.0]
             order.append(path)
@@ -160,7 +164,6 @@ def path_ratios(found: list[tuple[tuple[str, ...], int, str, int, bool, bool]])
         t[2] += len(_PUNCTUATION.findall(text)) if not linked else 0
         t[3] += 1
     raw = [(t[0] - t[1]) / t[3] * (1 + t[2] / t[3]) * ((t[0] - t[1]) / t[0]) if t[0] else 0.0 for t in (total[p] for p in order)]
-    smooth = {}
     for k, p in enumerate(order):
         near = [raw[j] for j in (k - 1, k + 1) if 0 <= j < len(raw)]
         smooth[p] = (1 - SMOOTH) * raw[k] + SMOOTH * (sum(near) / len(near)) if near and 2 * total[p][1] <= total[p][0] else raw[k]
@@ -180,11 +183,13 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     # cut references at the very end stay as text: html.unescape leaves what it does not know
-    found = [x for x in segments(page) if not x[4] and x[2].strip()]
+    every = segments(page)
+    found = [x for x in every if x[2].strip()]
+    score = path_ratios(found)
+    found = [x for x in found if score[x[0]] >= 0]
     if not found:
         return ""
-    score = path_ratios(found)
-    typical = median([score[p] for p, _, text, _, _, _ in found for _ in range(1 + len(text) // 200)])
+    typical = median([score[p] for p, _, text, _ in found for _ in range(1 + len(text) // 200)])
     content = {p for p in score if score[p] >= CUT * typical}
     # weak neighbours stay below the articles that hold content, or else below the common ancestor
     roots = set()
@@ -194,7 +199,7 @@ def main_text(page: str | None) -> str:
                 roots.add(p[: k + 1])
                 break
     size: dict[tuple[str, ...], list[int]] = {}
-    for path, _, text, linked, _, _ in found:
+    for path, _, text, linked in found:
         t = size.setdefault(path, [0, 0])
         t[0] += len(text.strip())
         t[1] += min(linked, len(text.strip()))
@@ -211,8 +216,8 @@ def main_text(page: str | None) -> str:
     blocks: list[list[str]] = []
     last = None
     # segments of one block are one line, even around inline elements
-    for path, block, text, _, noise, _ in segments(page):
-        if noise or path not in content:
+    for path, block, text, _ in every:
+        if path not in content:
             continue
         if block != last:
             blocks.append([])
