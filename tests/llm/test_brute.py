@@ -59,6 +59,7 @@ def test_toxicity_equals_scalar_ftrl(spark, tmp_path):
         for _, label, at in rows:
             w = {k: weight(k) for k in [*at, "bias"]}
             g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - label
+            g *= toxicity.POSITIVE if label else 1
             for k in w:
                 z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * w[k]
                 n[k] += g * g
