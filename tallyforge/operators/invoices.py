@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
+from tallyforge.functions.text import fold_width
 from tallyforge.operators.linkage import APPROXIMATE, GAP_SCORE, STRONG
 
 # Days before and after, and the tolerances of foreign amounts.
@@ -14,6 +15,76 @@ SAME_CURRENCY_RATIO, SAME_CURRENCY_LEAST = 0.01, 0.01
 CONVERTED_RATIO, CONVERTED_LEAST = 0.05, 1
 
 
+# Where an invoice's JSON has its seller's tax number and its status, first of all that are there.
+BAN_PATHS = ("$.invoice.sellerID", "$.invoice.sellerBan", "$.sellerID", "$.sellerBan", "$.detail.sellerBan")
+STATUS_PATHS = ("$.detail.invStatus", "$.invStatus", "$.invoice.invStatus")
+LATE_LEAST = 100
+
+
+def _number(text: Column) -> Column:
+    """A number in plain digits, else null."""
+    bare = F.trim(text)
+    return F.when(bare.rlike("[0-9]") & ~bare.rlike("[^0-9.-]"), bare.try_cast("double"))
+
+
+def invoice_fields(payload: Column) -> dict[str, Column]:
+    """seller_ban, currency, original_amount, items_amount, item_texts (joined by U+001F) and status from an invoice's JSON; null where it is not valid."""
+    get = lambda path: F.get_json_object(payload, path)
+    ban, code = F.trim(F.coalesce(*map(get, BAN_PATHS))), F.upper(F.trim(get("$.detail.currency")))
+    lines = F.from_json(get("$.detail.details"), "array<struct<description:string,amount:string>>")
+    amounts = F.filter(F.transform(lines, lambda x: _number(x["amount"])), lambda x: x.isNotNull())
+    texts = F.transform(F.filter(lines, lambda x: x["description"].isNotNull()), lambda x: F.trim(x["description"]))
+    return {
+        "seller_ban": F.when(ban.rlike("^[0-9]{8}$"), ban),
+        "currency": F.when(code.rlike("^[A-Z]{3}$"), code).otherwise("TWD"),
+        "original_amount": _number(get("$.detail.amount")),
+        "items_amount": F.when(F.size(amounts) > 0, F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)),
+        "item_texts": F.when(F.size(texts) > 0, F.array_join(texts, "\x1f")),
+        "status": F.nullif(F.trim(F.coalesce(*map(get, STATUS_PATHS))), F.lit("")),
+    }
+
+
+def items_key(texts: Column) -> Column:
+    """Item texts told apart by words only: width, case and spaces do not matter, blank lines go."""
+    each = F.transform(F.split(texts, "\x1f"), lambda x: F.trim(F.regexp_replace(F.lower(fold_width(x)), r"\s+", " ")))
+    return F.nullif(F.array_join(F.filter(each, lambda x: x != ""), "\x1f"), F.lit(""))
+
+
+def precise_amount(amount: Column, currency: Column, detail: Column, items: Column) -> Column:
+    """The exact amount of a foreign invoice: the detail's if it has a fraction, the items' sum if that has one and the same whole part, else the detail's."""
+    value, sums = amount.cast("double"), C.cents(items)
+    whole = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    fine = sums.isNotNull() & (sums != whole(sums)) & (whole(sums) == whole(F.coalesce(detail, value)))
+    foreign = F.when(detail.isNotNull() & (detail != whole(detail)), C.cents(detail)).when(fine, sums).otherwise(F.coalesce(C.cents(detail), value))
+    return F.when(currency == "TWD", value).otherwise(foreign)
+
+
+def invoice_roles(invoices: DataFrame, links: DataFrame, unmatched: DataFrame, window: int = 3, late: int = 7) -> DataFrame:
+    """(id, role, reason, review, duplicate_of) of every invoice: void, linked, kept apart, ambiguous, or spending of its own.
+
+    invoices: id, day, amount, currency, voided; links: invoice_id, transaction_id (null: kept apart by the user), by_hand;
+    unmatched: amount (paid, positive), day of TWD spending without an invoice.  An unlinked TWD invoice is ambiguous if an equal payment lies
+    ``window`` days around it or, from ``LATE_LEAST``, up to ``late`` days before it.  Its days are exploded, so the test is a
+    semi join of (day, amount) pairs.
+    """
+    l = links.select(F.col("invoice_id").alias("id"), "transaction_id", "by_hand", F.lit(True).alias("_told"))
+    rows = invoices.join(l, "id", "left")
+    reach = F.when(F.col("amount") >= LATE_LEAST, max(late, window)).otherwise(window)
+    near = rows.filter("_told is null and currency = 'TWD'").select("id", "amount", F.explode(F.sequence(F.date_sub("day", reach), F.date_add("day", F.lit(window)))).alias("day"))
+    near = near.join(unmatched.select(F.col("amount").cast("decimal(18,2)").alias("amount"), "day").distinct(), ["amount", "day"], "left_semi").select("id").distinct().withColumn("_near", F.lit(True))
+    rows = rows.join(near, "id", "left")
+    linked, sure = F.col("transaction_id").isNotNull(), F.coalesce("by_hand", F.lit(False))
+    out = lambda role, reason, review: F.struct(F.lit(role).alias("role"), F.lit(reason).alias("reason"), review.alias("review"))
+    told = (
+        F.when(F.col("voided"), out("excluded", "invoice_voided", F.lit("auto")))
+        .when(linked, out("spending", "invoice_matched", F.when(sure, "confirmed").otherwise("auto")))
+        .when(F.col("_told"), out("spending", "invoice", F.lit("confirmed")))
+        .when(F.col("_near"), out("spending", "invoice_ambiguous", F.lit("needs_review")))
+        .otherwise(out("spending", "invoice", F.lit("auto")))
+    )
+    return rows.select("id", told.alias("r"), F.when(~F.col("voided"), F.col("transaction_id")).alias("duplicate_of")).select("id", "r.*", "duplicate_of")
+
+
 def foreign_edges(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     """(invoice_id, transaction_id, gap, score) of foreign invoices with card payments to the same merchant.
 

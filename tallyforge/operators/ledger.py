@@ -40,13 +40,14 @@ def page_after(rows: DataFrame, keys: list[str], after: tuple | None, limit: int
 
 
 def classify(rows: DataFrame, rules: list[dict], overrides: DataFrame | None = None) -> DataFrame:
-    """category_id, rule_id and rule_role: the user's override, else the first rule by priority, then id.
+    """category_id, rule_id and rule_role: the user's override, else the first rule by priority, then the latest change, then id.
 
     ``rules`` is user data of a few hundred rows; it becomes one ordered CASE, so rows are read once and nothing
     is joined pairwise.
     """
     first = F.lit(None).cast("struct<rule_id:string,category_id:string,role:string>")
-    for r in sorted(rules, key=lambda r: (r["priority"], [-ord(c) for c in r["id"]])):
+    last_first = sorted(rules, key=lambda r: r["id"], reverse=True)
+    for r in sorted(last_first, key=lambda r: (r["priority"], r.get("updated_at") or "")):
         hit = C.rule_matches(F.col(r["field"]), r["operator"], r["pattern"]) & C.direction_matches(F.col("amount"), r["direction"])
         value = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["category_id"]).alias("category_id"), F.lit(r["economic_role"]).alias("role"))
         first = F.when(hit, value).otherwise(first)
@@ -218,6 +219,6 @@ def is_withdrawal(item: dict[str, Column]) -> Column:
     ``item``: source, amount, currency, role, category_id, duplicate (boolean), text.
     """
     text = F.coalesce(item["text"], F.lit(""))
-    words = text.rlike(r"(?iu)無卡提款|atm\s*提款|跨行提款|提款(?!卡|機)") & ~text.rlike(r"(?iu)手續費|\bfee\b")
+    words = text.rlike(f"(?iu){C.WITHDRAWAL}") & ~text.rlike(f"(?iu){C.FEE}")
     test = (item["source"] == "bank") & (item["currency"] == "TWD") & (item["amount"] < 0) & (item["role"] == "spending") & ~F.coalesce(item["duplicate"], F.lit(False))
     return F.coalesce(test & F.coalesce(item["category_id"], F.lit("other")).isin("misc", "other") & words, F.lit(False))

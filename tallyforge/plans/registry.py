@@ -9,38 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import ingest, ledger, linkage, series
-from tallyforge.plans import linking, normalising, settling  # noqa: F401  (they register their queries)
+from tallyforge.plans import linking, normalising, settling, unified  # noqa: F401  (they register their queries)
 from tallyforge.plans.catalog import QUERIES, SQL, query
+from tallyforge.plans.derived import ACT as _ACT
+from tallyforge.plans.derived import DAY as _DAY
+from tallyforge.plans.derived import RULES, activity as _activity  # noqa: F401
 from tallyforge.sources.tables import TODAY, Tables
 
-RULES = [
-    {"id": "r1", "category_id": "salary", "economic_role": "income", "field": "description", "operator": "contains", "pattern": "urgent", "priority": 110, "direction": "inflow"},
-    {"id": "r2", "category_id": "transfer", "economic_role": "own_transfer", "field": "description", "operator": "equals", "pattern": "5-low", "priority": 90, "direction": "any"},
-    {"id": "r3", "category_id": "food", "economic_role": "spending", "field": "counterparty", "operator": "regex", "pattern": "#0+[1-3]$", "priority": 100, "direction": "outflow"},
-    {"id": "r4", "category_id": "fun", "economic_role": "spending", "field": "description", "operator": "starts_with", "pattern": "2-", "priority": 100, "direction": "outflow"},
-]
-
-def _activity(t: Tables) -> DataFrame:
-    return ledger.activity(t["transactions"], t["rates"], RULES)
-
-
-# The same derivation for the oracle, written out by hand.
-_DAY = "CASE WHEN length(authorized_at) > 10 THEN CAST(CAST(replace(replace(authorized_at, 'T', ' '), 'Z', '') AS TIMESTAMP) + INTERVAL 8 HOUR AS DATE) ELSE CAST(substr(coalesce(authorized_at, posted_date), 1, 10) AS DATE) END"
-_ACT = f"""
-WITH ruled AS (
-  SELECT *, {_DAY} AS day,
-    CASE WHEN lower(description) LIKE '%urgent%' AND amount > 0 THEN 'r1' WHEN regexp_matches(counterparty, '#0+[1-3]$') AND amount < 0 THEN 'r3'
-      WHEN lower(description) LIKE '2-%' AND amount < 0 THEN 'r4' WHEN lower(description) = '5-low' THEN 'r2' END AS rule_id
-  FROM {{transactions}} WHERE canonical_account_id IS NULL AND (status <> 'pending' OR matched_transaction_id IS NULL)),
-act AS (
-  SELECT ruled.*, strftime(day, '%Y-%m') AS month,
-    CASE rule_id WHEN 'r1' THEN 'salary' WHEN 'r2' THEN 'transfer' WHEN 'r3' THEN 'food' WHEN 'r4' THEN 'fun' ELSE 'other' END AS category_id,
-    coalesce(role_override, CASE rule_id WHEN 'r1' THEN 'income' WHEN 'r2' THEN 'own_transfer' WHEN 'r3' THEN 'spending' WHEN 'r4' THEN 'spending' END,
-      CASE WHEN amount > 0 AND account_type <> 'credit' THEN 'income' ELSE 'spending' END) AS role,
-    CASE WHEN role_override IS NOT NULL THEN 'confirmed' WHEN rule_id IS NULL AND lower(description) LIKE '%not specified%' THEN 'needs_review' ELSE 'auto' END AS review,
-    CAST(floor((CASE WHEN ruled.currency = 'TWD' OR amount = 0 THEN CAST(amount AS DOUBLE) WHEN rate_to_twd > 0 THEN CAST(amount AS DOUBLE) * rate_to_twd END) * 100 + 0.5) / 100.0 AS DECIMAL(18,2)) AS twd
-  FROM ruled LEFT JOIN {{rates}} r ON r.currency = ruled.currency)
-"""
 _PLAIN = "twd IS NOT NULL AND role NOT IN ('excluded', 'advance', 'reimbursement')"
 
 
@@ -48,28 +23,6 @@ def _sum(test: str, value: str) -> str:
     return f"CAST(coalesce(sum(CASE WHEN {test} THEN {value} END), 0) AS DOUBLE)"
 
 
-@query("ag1_month_summary", f"""{_ACT}, m AS (SELECT month, {_sum(_PLAIN + " AND role = 'income'", "twd")} AS income, {_sum(_PLAIN + " AND role = 'spending'", "-twd")} AS spending,
-  {_sum(_PLAIN + " AND role = 'investment'", "-twd")} AS investment, {_sum(_PLAIN + " AND role = 'own_transfer' AND twd < 0", "-twd")} AS own_transfer, {_sum(_PLAIN + " AND role = 'card_payment' AND twd < 0", "-twd")} AS card_payment,
-  count(*) FILTER ({_PLAIN} AND review = 'needs_review') AS review_count, {_sum(_PLAIN + " AND review = 'needs_review'", "abs(twd)")} AS review_amount,
-  count(*) FILTER (role = 'excluded') AS excluded_count, {_sum("role = 'excluded'", "abs(twd)")} AS excluded_amount,
-  count(*) FILTER (twd IS NOT NULL AND role = 'advance') AS advance_count, {_sum("role = 'advance'", "-twd")} AS advance_amount,
-  count(*) FILTER (twd IS NOT NULL AND role = 'reimbursement') AS reimbursement_count, {_sum("role = 'reimbursement'", "twd")} AS reimbursement_amount,
-  count(*) FILTER ({_PLAIN}) AS activity_count, coalesce(string_agg(DISTINCT CASE WHEN twd IS NULL AND role <> 'excluded' THEN currency END, ',' ORDER BY CASE WHEN twd IS NULL AND role <> 'excluded' THEN currency END), '') AS missing_currencies
-  FROM act GROUP BY month) SELECT *, floor((income - spending) * 100 + 0.5) / 100 AS saved FROM m""")
-def _(t):
-    return ledger.month_summary(_activity(t))
-
-
-@query("ag2_spending_by_category", f"{_ACT} SELECT month, category_id, CAST(sum(-twd) AS DOUBLE) AS spending FROM act WHERE role = 'spending' AND twd <> 0 GROUP BY 1, 2")
-def _(t):
-    return ledger.spending_by_category(_activity(t))
-
-
-@query("ag4_spending_entries", f"{_ACT} SELECT id, day, CAST(-twd AS DOUBLE) AS amount, category_id, review FROM act WHERE role = 'spending' AND twd <> 0")
-def _(t):
-    return _activity(t).filter("role = 'spending' and twd <> 0").select("id", "day", (-F.col("twd")).cast("double").alias("amount"), "category_id", "review")
-
-
 @query("ag5_advances", f"""{_ACT} SELECT lower(advance_counterparty) AS counterparty, currency, CAST(sum(-amount) AS DOUBLE) AS balance, count(*) AS entries, max(day) AS last_day, arg_max(advance_counterparty, (day, id)) AS display_name
   FROM act WHERE role IN ('advance', 'reimbursement') AND advance_counterparty IS NOT NULL GROUP BY 1, 2""")
 def _(t):
@@ -169,15 +122,6 @@ def _(t):
     return t["transactions"].select("id", C.transaction_day(a, p).alias("transaction_day"), C.billing_day(F.col("status"), a, p).alias("billing_day"), C.effective_date(a, p).alias("effective_date"), C.subtract_months(p.cast("date"), 1).alias("overflowed"), C.month_before(p.cast("date")).alias("clamped"))
 
 
-@query("pj1_invoice_json", """SELECT id, CASE WHEN regexp_matches(trim(json_extract_string(raw_payload, '$.detail.sellerBan')), '^[0-9]{{8}}$') THEN trim(json_extract_string(raw_payload, '$.detail.sellerBan')) END AS seller_ban,
-  CASE WHEN regexp_matches(upper(trim(json_extract_string(raw_payload, '$.detail.currency'))), '^[A-Z]{{3}}$') THEN upper(trim(json_extract_string(raw_payload, '$.detail.currency'))) ELSE 'TWD' END AS currency,
-  CAST(json_extract_string(raw_payload, '$.detail.amount') AS DOUBLE) AS original_amount FROM {invoices}""")
-def _(t):
-    get = lambda k: F.trim(F.get_json_object("raw_payload", f"$.detail.{k}"))
-    ban, currency = get("sellerBan"), F.upper(get("currency"))
-    return t["invoices"].select("id", F.when(ban.rlike("^[0-9]{8}$"), ban).alias("seller_ban"), F.when(currency.rlike("^[A-Z]{3}$"), currency).otherwise("TWD").alias("currency"), get("amount").try_cast("double").alias("original_amount"))
-
-
 @query("pj14_amount_twd", f"{_ACT} SELECT id, CAST(twd AS DOUBLE) AS twd FROM act")
 def _(t):
     return _activity(t).select("id", F.col("twd").cast("double").alias("twd"))
@@ -199,11 +143,6 @@ def _(t):
     return t["transactions"].filter(F.lower(F.concat_ws(" ", "description", "counterparty")).contains("urgent supplier#000000003")).select("id")
 
 
-@query("fl6_voided_invoices", "SELECT id, CASE WHEN status IS NULL OR trim(status) = '' THEN FALSE ELSE status = '作廢' OR status <> '開立' END AS voided FROM {invoices}")
-def _(t):
-    return t["invoices"].select("id", C.is_voided(F.col("status")).alias("voided"))
-
-
 @query("cl4_classification", f"{_ACT} SELECT id, category_id, rule_id FROM act")
 def _(t):
     return _activity(t).select("id", "category_id", "rule_id")
@@ -345,11 +284,6 @@ def _(t):
     return rows.orderBy(F.desc("n"), F.desc("last_day"), "description", "amount").limit(8)
 
 
-@query("ag25_invoice_counters", "SELECT count(*) AS invoices, count(*) FILTER (status = '作廢') AS voided FROM {invoices}")
-def _(t):
-    return t["invoices"].agg(F.count(F.lit(1)).alias("invoices"), F.count_if(C.is_voided(F.col("status"))).alias("voided"))
-
-
 @query("ag30_category_shares", f"{_ACT}, c AS (SELECT category_id, sum(-twd) AS s FROM act WHERE role = 'spending' AND twd < 0 GROUP BY 1) SELECT category_id, CAST(s AS DOUBLE) AS spending, floor(CAST(s AS DOUBLE) / CAST(sum(s) OVER () AS DOUBLE) * 1000 + 0.5) / 10 AS percent FROM c")
 def _(t):
     by = _activity(t).filter("role = 'spending' and twd < 0").groupBy("category_id").agg(F.sum(-F.col("twd")).alias("s"))
@@ -428,11 +362,6 @@ def _(t):
     return months.join(got, "month", "left").select("month", F.coalesce("spending", F.lit(0.0)).alias("spending"), F.col("spending").isNull().alias("no_data"))
 
 
-@query("st2_largest_amounts", f"{_ACT} SELECT id, CAST(abs(twd) AS DOUBLE) AS size FROM act ORDER BY size DESC NULLS LAST, id LIMIT 100")
-def _(t):
-    return _activity(t).select("id", F.abs("twd").cast("double").alias("size")).orderBy(F.desc_nulls_last("size"), "id").limit(100)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}
 

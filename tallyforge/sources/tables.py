@@ -32,14 +32,25 @@ SELECT 'txn:' || o_orderkey AS id, o_orderkey AS n, a.id AS account_id, a.connec
   CASE WHEN o_orderkey % 43 = 0 OR o_orderkey % 47 = 0 THEN 'Friend' || (o_orderkey % 6) END AS advance_counterparty
 FROM {orders} JOIN {accounts} a ON a.id = 'acct:' || o_custkey JOIN {supplier} ON s_suppkey = o_orderkey % 10""",
     "invoices": """
-SELECT 'inv:' || o_orderkey AS id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INT) AS day, s_name AS seller_name,
-  CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE o_totalprice * 1.5 END AS DECIMAL(18,2)) AS amount, 'TWD' AS currency,
-  CASE o_orderkey % 10 WHEN 2 THEN '作廢' WHEN 4 THEN '開立' WHEN 6 THEN '' END AS status,
-  '{{"detail":{{"currency":"' || CASE WHEN o_orderkey % 14 = 0 THEN ' usd ' WHEN o_orderkey % 16 = 0 THEN 'bad!' ELSE 'twd' END || '","sellerBan":"' || lpad(CAST(o_orderkey % 100000 AS STRING), CASE WHEN o_orderkey % 18 = 0 THEN 5 ELSE 8 END, '1') || '","amount":"' || CAST(o_orderkey % 1000 AS STRING) || '"}}}}' AS raw_payload
+SELECT 'inv:' || o_orderkey AS id, o_orderkey AS n, 'AB' || lpad(CAST(o_orderkey AS STRING), 8, '0') AS invoice_number, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INT) AS day, s_name AS seller_name,
+  CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 6 AS INT) AS STRING) || CASE o_orderkey % 12 WHEN 0 THEN 'T17:45:00Z' WHEN 4 THEN 'T09:05:00+08:00' WHEN 6 THEN ' 10:00' ELSE '' END AS invoice_date,
+  CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 2 END AS DECIMAL(18,2)) AS amount, 'TWD' AS currency,
+  CASE o_orderkey % 20 WHEN 2 THEN '作廢' WHEN 4 THEN '開立' WHEN 6 THEN '' WHEN 8 THEN '已撤銷' WHEN 10 THEN 'Issued' WHEN 12 THEN 'ＶＯＩＤ' WHEN 14 THEN ' 正常 ' WHEN 16 THEN 'valid' WHEN 18 THEN '已退回' END AS status,
+  '{{' || CASE o_orderkey % 22 WHEN 2 THEN '"sellerID":" 12345678 ",' WHEN 4 THEN '"invoice":{{"sellerBan":"87654321","invStatus":"已確認"}},' WHEN 6 THEN '"invStatus":" ",' ELSE '' END
+  || '"detail":{{"currency":"' || CASE WHEN o_orderkey % 14 = 0 THEN ' usd ' WHEN o_orderkey % 16 = 0 THEN 'bad!' ELSE 'twd' END || '","sellerBan":"' || lpad(CAST(o_orderkey % 100000 AS STRING), CASE WHEN o_orderkey % 18 = 0 THEN 5 ELSE 8 END, '1')
+  || '","amount":"' || CAST(o_orderkey % 1000 AS STRING) || CASE WHEN o_orderkey % 28 = 0 THEN '.25' ELSE '' END || '"' || CASE WHEN o_orderkey % 26 = 0 THEN ',"invStatus":"開立"' ELSE '' END
+  || ',"details":[{{"description":" Tea  Cup ","amount":"' || CAST(o_orderkey % 1000 AS STRING) || '.5"}},{{"description":"","amount":"n/a"}},{{"description":"Rice","amount":0}}]}}}}' AS raw_payload
 FROM {orders} JOIN {supplier} ON s_suppkey = o_orderkey % 10 WHERE o_orderkey % 2 = 0""",
     "invoice_items": """
 SELECT 'inv:' || l_orderkey AS invoice_id, l_linenumber AS line_number, p_name AS description, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "invoice_links": "SELECT 'inv:' || o_orderkey AS invoice_id, CASE WHEN o_orderkey % 40 <> 0 THEN 'txn:' || o_orderkey END AS transaction_id, o_orderkey % 24 = 0 AS by_hand FROM {orders} WHERE o_orderkey % 8 = 0",
+    "trades": """
+SELECT 'trade:' || l_orderkey || '-' || l_linenumber AS id, l_orderkey AS n, CASE WHEN l_linenumber <> 2 THEN 'Fund ' || l_partkey % 50 END AS name, 'F' || l_partkey % 50 AS symbol,
+  CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 5 THEN '0' || lpad(CAST(year(l_shipdate) - 1911 AS STRING), 3, '0') || substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 5) ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS trade_date,
+  CAST(CAST(l_shipdate AS DATE) + CAST(2 AS INT) AS STRING) AS posted_date, CASE l_linenumber % 4 WHEN 0 THEN '買進' WHEN 1 THEN '現金股利' WHEN 2 THEN 'SELL' END AS transaction_name,
+  CAST(CASE WHEN l_linenumber = 4 THEN 1 ELSE l_extendedprice / l_quantity END AS DOUBLE) AS price, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, 'TWD' AS currency
+FROM {lineitem}""",
     "snapshots": """
 SELECT 'snap:' || o_orderkey AS id, o_orderkey AS n, 'acct:' || o_custkey AS account_id, CAST(o_totalprice AS DECIMAL(18,2)) AS balance, CAST(o_orderdate AS DATE) AS as_of_day, o_orderkey % 4 = 0 AS derived
 FROM {orders}""",
@@ -60,9 +71,9 @@ SELECT o_orderkey AS id, 'Supplier ' || (o_orderkey % 3) AS seller, CAST(100 * (
   CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_orderkey % 28 + o_orderkey % 5 AS INT) AS day FROM {orders} WHERE o_orderkey % 2 = 0""",
     "cash_expenses": """
 SELECT 'cash:' || o_orderkey AS id, CAST(o_orderdate AS DATE) AS expense_date, CAST(1 + floor(o_totalprice) AS BIGINT) AS amount, o_orderpriority AS description, 'food' AS category_id
-FROM {orders} WHERE o_orderkey % 17 = 1""",
+FROM {orders}""",
     "withdrawals": """
-SELECT id, n, CAST(posted_date AS DATE) AS day, CAST(-amount AS DECIMAL(18,2)) AS amount FROM {transactions} WHERE amount < 0 AND currency = 'TWD' AND account_type <> 'credit' AND n % 6 = 1""",
+SELECT id, n, CAST(posted_date AS DATE) AS day, CAST(-amount AS DECIMAL(18,2)) AS amount FROM {transactions} WHERE amount < 0 AND currency = 'TWD' AND account_type <> 'credit'""",
     "bills": """
 SELECT account_id, connector_id, substr(posted_date, 1, 7) AS billing_period, currency, CAST(sum(-amount) AS DECIMAL(18,2)) AS statement_amount, CAST(max(CAST(posted_date AS DATE)) AS DATE) AS closing_date
 FROM {transactions} WHERE account_type = 'credit' AND amount < 0 GROUP BY 1, 2, 3, 4""",
