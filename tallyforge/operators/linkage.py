@@ -6,33 +6,103 @@ assignment needs no graph in one task: see :func:`assign`.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.sources.durable import stored
 
-# Scores in tenths, and the bounds of a discount.
-EXACT, APPROXIMATE, STRONG, CARRIER = 5, 3, 2, 3
+# Scores in tenths, the bounds of a discount, and how far a foreign merchant's own conversion may lie off.
+EXACT, APPROXIMATE, STRONG, PARTIAL, CARRIER = 5, 3, 2, 1, 3
 GAP_SCORE = (3, 2, 1, 0, 0, 0)
 DISCOUNT_RATIO, DISCOUNT_MOST = 0.8, 500
+CONVERSION_RATIO, CONVERSION_LEAST = 0.05, 30
+CARRIER_WINDOW = 5
+#: At most so many edges are settled in one task once only these are left; more go through one round a score.
+SMALL = 200_000
 
 
-def candidate_edges(invoices: DataFrame, transactions: DataFrame, window: int = 3) -> DataFrame:
+def equal_names(invoices: DataFrame) -> DataFrame:
+    """(seller, merchant, points, brand) of names that are equal, where no similarity has been measured."""
+    return invoices.select("seller").distinct().select("seller", F.col("seller").alias("merchant"), F.lit(STRONG).alias("points"), F.lit(False).alias("brand"))
+
+
+def name_points(pairs: DataFrame) -> DataFrame:
+    """The same from measured pairs (:func:`tallyforge.operators.merchants.similar_pairs`)."""
+    points = F.when(F.col("level") == "strong", STRONG).otherwise(PARTIAL)
+    return pairs.groupBy("seller", "merchant").agg(F.max(points).alias("points"), F.max("brand").alias("brand"))
+
+
+def candidate_edges(invoices: DataFrame, transactions: DataFrame, window: int = 3, names: DataFrame | None = None) -> DataFrame:
     """(invoice_id, transaction_id, gap, exact, score) of plausible pairs.
 
-    invoices: id, seller, amount, day; transactions: id, merchant, amount (paid, positive), day.  Exact amounts
-    join on (day, amount).  Discounts need the same merchant, so they join on (day, merchant).
+    invoices: id, seller, amount, day, and maybe carrier (the synced card that issued it); transactions: id, merchant, amount (paid,
+    positive), day, and maybe credit (boolean), account_last4, outflow (boolean; a card's positive authorisation is none).
+    Exact amounts join on (day, amount).  Discounts need a strong name and conversions a brand, so both join on (day, merchant).
+    Invoices with a carrier join on (day, card) within ``CARRIER_WINDOW`` days and need no name.  Only outflows match across days or
+    inexactly.
     """
-    i = invoices.select(F.col("id").alias("invoice_id"), "seller", F.col("amount").alias("asked"), F.col("day").alias("invoice_day"))
-    i = i.withColumn("offset", F.explode(F.array(*map(F.lit, range(-window, window + 1))))).withColumn("day", F.date_add("invoice_day", F.col("offset")))
-    t = transactions.select(F.col("id").alias("transaction_id"), "merchant", F.col("amount").alias("paid"), "day")
-    exact = i.join(t.withColumn("asked", F.col("paid")), ["day", "asked"]).withColumn("exact", F.lit(True))
-    lower = i.withColumn("merchant", F.col("seller")).join(t, ["day", "merchant"])
-    lower = lower.filter((F.col("paid") < F.col("asked")) & (F.col("paid") >= F.col("asked") * DISCOUNT_RATIO) & (F.col("asked") - F.col("paid") <= DISCOUNT_MOST)).withColumn("exact", F.lit(False))
-    both = exact.select("invoice_id", "transaction_id", "seller", "merchant", "offset", "exact").unionByName(lower.select("invoice_id", "transaction_id", "seller", "merchant", "offset", "exact"))
+    known = names if names is not None else equal_names(invoices)
+    given = lambda df, c, other: F.col(c) if c in df.columns else F.lit(other)
+    i = invoices.select(F.col("id").alias("invoice_id"), "seller", F.col("amount").alias("asked"), F.col("day").alias("invoice_day"), given(invoices, "carrier", None).cast("string").alias("carrier"))
+    t = transactions.select(F.col("id").alias("transaction_id"), "merchant", F.col("amount").alias("paid"), "day", given(transactions, "credit", False).alias("credit"), given(transactions, "account_last4", None).cast("string").alias("last4"), given(transactions, "outflow", True).alias("outflow"))
+    spread = lambda rows, days: rows.withColumn("offset", F.explode(F.array(*map(F.lit, range(-days, days + 1))))).withColumn("day", F.date_add("invoice_day", F.col("offset")))
+    free, kept = spread(i.filter("carrier is null"), window), ["invoice_id", "transaction_id", "seller", "merchant", "offset", "asked", "paid", "credit", "outflow", "carrier"]
+    exact = free.join(t.withColumn("asked", F.col("paid")), ["day", "asked"]).select(*kept)
+    named = free.join(known.filter((F.col("points") == STRONG)).select("seller", "merchant"), "seller").join(t, ["day", "merchant"]).filter("paid <> asked").select(*kept)
+    both = exact.unionByName(named)
+    if "carrier" in invoices.columns:
+        both = both.unionByName(spread(i.filter("carrier is not null"), CARRIER_WINDOW).join(t.filter("credit").withColumn("carrier", F.col("last4")), ["day", "carrier"]).select(*kept))
+    both = both.join(known, ["seller", "merchant"], "left").withColumn("points", F.coalesce("points", F.lit(0)))
+    same, paid, asked = F.col("paid") == F.col("asked"), F.col("paid"), F.col("asked")
+    carried = F.col("carrier").isNotNull()
+    discount = (paid < asked) & (paid >= asked * DISCOUNT_RATIO) & (asked - paid <= DISCOUNT_MOST) & (carried | (F.col("points") == STRONG))
+    conversion = F.col("credit") & F.coalesce("brand", F.lit(False)) & (F.abs(paid - asked) <= F.greatest(F.lit(CONVERSION_LEAST), asked * CONVERSION_RATIO))
+    rows = both.filter((same | discount | conversion) & ((same & (F.col("offset") == 0)) | F.col("outflow")))
     gap = F.abs("offset")
-    score = F.when(F.col("exact"), EXACT).otherwise(APPROXIMATE) + F.element_at(F.array(*map(F.lit, GAP_SCORE)), gap + 1) + F.when(F.col("seller") == F.col("merchant"), STRONG).otherwise(0)
-    return both.select("invoice_id", "transaction_id", gap.alias("gap"), "exact", score.alias("score"))
+    score = F.when(same, EXACT).otherwise(APPROXIMATE) + F.element_at(F.array(*map(F.lit, GAP_SCORE)), gap + 1) + F.col("points") + F.when(carried, CARRIER).otherwise(0)
+    return rows.select("invoice_id", "transaction_id", gap.alias("gap"), same.alias("exact"), score.alias("score"))
+
+
+def _finish(edges: pd.DataFrame) -> pd.DataFrame:
+    """The same rounds over at most ``SMALL`` edges in one task."""
+    done: list[tuple] = []
+    used_i: set = set()
+    used_t: set = set()
+    for _, tier in sorted(edges.groupby("score"), key=lambda x: -x[0]):
+        tier = tier[~tier.invoice_id.isin(used_i) & ~tier.transaction_id.isin(used_t)]
+        alone = ~tier.invoice_id.duplicated(keep=False) & ~tier.transaction_id.duplicated(keep=False)
+        found = list(zip(tier.invoice_id[alone], tier.transaction_id[alone], strict=True))
+        rest = tier[~alone]
+        parent: dict = {}
+
+        def top(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in zip(rest.invoice_id, rest.transaction_id, strict=True):
+            parent[top((0, a))] = top((1, b))
+        labels = [top((0, a)) for a in rest.invoice_id]
+        # a label is a pair, so groups are told by position
+        numbers = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+        for _, part in rest.groupby([numbers[x] for x in labels]):
+            i, t = sorted(set(part.invoice_id)), sorted(set(part.transaction_id))
+            if part.exact.all() and (part.gap == 0).all() and len(part) == len(i) * len(t):
+                found += zip(i, t, strict=False)
+            else:
+                done += [(x, None, "ambiguous") for x in i]
+                used_i.update(i)
+                used_t.update(t)
+        done += [(a, b, "matched") for a, b in found]
+        used_i.update(a for a, _ in found)
+        used_t.update(b for _, b in found)
+    out = pd.DataFrame(done, columns=["invoice_id", "transaction_id", "outcome"])
+    # no match leaves a column of None without a type of its own
+    out["transaction_id"] = out["transaction_id"].astype(edges.transaction_id.dtype if edges.transaction_id.dtype == object else "Int64")
+    return out
 
 
 def assign(edges: DataFrame) -> DataFrame:
@@ -41,41 +111,41 @@ def assign(edges: DataFrame) -> DataFrame:
     Rounds by falling score, at most one for each of the few score classes.  In a round an edge whose ends have no other
     edge is a match.  A connected component that is complete on both sides, exact and of the same day is
     interchangeable and paired by rank; any other blocks its ends.  A component is complete if all partners of
-    each node have the same set of partners, which two grouped minima and maxima of set
-    digests tell: components are never labelled or gathered.  Each round is written to the shared folder.
+    each node have the same set of partners, which windows over set digests tell: components are never labelled.
+    Edges that share no end with any other are matched before all rounds.  What is left after a round is written to the shared folder;
+    once it has at most ``SMALL`` edges, one task settles it by the same rules.
     """
-    spark = edges.sparkSession
-    edges = stored(edges, "edges")
-    scores = [r[0] for r in edges.select("score").distinct().orderBy(F.desc("score")).collect()]  # a dozen classes
-    done = None
-    for score in scores:
-        tier = edges.filter(F.col("score") == score)
-        if done is not None:
-            tier = tier.join(done.select("invoice_id"), "invoice_id", "left_anti").join(done.filter("transaction_id is not null").select("transaction_id"), "transaction_id", "left_anti")
-        digest = lambda c: F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(c).cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(c, F.lit(1)).cast("decimal(38,0)")).alias("g"))
-        mine = tier.groupBy("invoice_id").agg(digest("transaction_id").alias("of_i"))
-        theirs = tier.groupBy("transaction_id").agg(digest("invoice_id").alias("of_t"))
-        full = tier.join(mine, "invoice_id").join(theirs, "transaction_id")
-        at_i = full.groupBy("invoice_id").agg((F.min("of_t") == F.max("of_t")).alias("even_i"), F.min("transaction_id").alias("first_t"))
-        at_t = full.groupBy("transaction_id").agg((F.min("of_i") == F.max("of_i")).alias("even_t"), F.min("invoice_id").alias("first_i"), F.min("exact").alias("all_exact"), F.max("gap").alias("far"))
-        full = full.join(at_i, "invoice_id").join(at_t, "transaction_id")
-        # an invoice is in a complete component if all its transactions are even, and are alike
-        whole = full.groupBy("invoice_id").agg((F.min("even_t") & F.min("even_i") & F.min("all_exact") & (F.max("far") == 0)).alias("same"), F.max((F.col("of_i.n") == 1) & (F.col("of_t.n") == 1)).alias("single"), F.min("first_i").alias("part"))
-        full = full.join(whole, "invoice_id")
-        single = full.filter("single").select("invoice_id", "transaction_id")
-        pairs = full.filter("same and not single")
-        rank_i = pairs.select("part", "invoice_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("invoice_id")))
-        rank_t = pairs.select("part", "transaction_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("transaction_id")))
-        ranked = rank_i.join(rank_t, ["part", "k"]).select("invoice_id", "transaction_id")
-        matched = single.union(ranked).withColumn("outcome", F.lit("matched"))
-        blocked_i = full.filter("not same and not single").select("invoice_id").distinct().select("invoice_id", F.lit(None).cast("long").alias("transaction_id"), F.lit("ambiguous").alias("outcome"))
-        blocked_t = full.filter("not same and not single").select("transaction_id").distinct().select(F.lit(None).cast("long").alias("invoice_id"), "transaction_id", F.lit("blocked").alias("outcome"))
-        step = matched.unionByName(blocked_i).unionByName(blocked_t)
-        done = step if done is None else done.unionByName(step)
-        done = stored(done, "assigned")
-    if done is None:
-        return spark.createDataFrame([], "invoice_id long, transaction_id long, outcome string")
-    return done.filter("invoice_id is not null")
+    kinds = {f.name: f.dataType for f in edges.schema}
+    over = lambda c: Window.partitionBy(c)
+    count = lambda c: F.count(F.lit(1)).over(over(c))
+    marked = edges.select("invoice_id", "transaction_id", "gap", "exact", "score").withColumn("_i", count("invoice_id")).withColumn("alone", (F.col("_i") == 1) & (count("transaction_id") == 1)).drop("_i")
+    marked = stored(marked, "edges")
+    rest = marked.filter("not alone").drop("alone")
+    out = marked.filter("alone").select("invoice_id", "transaction_id", F.lit("matched").alias("outcome"))
+    schema = T.StructType([T.StructField("invoice_id", kinds["invoice_id"]), T.StructField("transaction_id", kinds["transaction_id"]), T.StructField("outcome", T.StringType())])
+    while True:
+        counted = rest.groupBy("score").agg(F.count(F.lit(1)).alias("n")).collect()  # a dozen classes
+        if sum(r["n"] for r in counted) <= SMALL:
+            return out.unionByName(rest.withColumn("_one", F.lit(True)).groupBy("_one").applyInPandas(_finish, schema)) if counted else out
+        score = max(r["score"] for r in counted)
+        digest = lambda c, by: F.struct(F.count(F.lit(1)).over(over(by)).alias("n"), F.sum(F.xxhash64(c).cast("decimal(38,0)")).over(over(by)).alias("h"), F.sum(F.xxhash64(c, F.lit(1)).cast("decimal(38,0)")).over(over(by)).alias("g"))
+        every = lambda x, by: F.min(x).over(over(by))
+        tier = rest.filter(F.col("score") == score)
+        tier = tier.withColumn("of_i", digest("transaction_id", "invoice_id"))
+        tier = tier.withColumns({"of_t": digest("invoice_id", "transaction_id"), "even_t": F.min("of_i").over(over("transaction_id")) == F.max("of_i").over(over("transaction_id")), "first_i": F.min("invoice_id").over(over("transaction_id"))})
+        plain = F.col("exact") & (F.col("gap") == 0)
+        # an edge is in a complete component if the partners of its ends, and theirs, are alike; then all its edges see the same
+        tier = tier.withColumn("even_i", F.min("of_t").over(over("invoice_id")) == F.max("of_t").over(over("invoice_id")))
+        tier = tier.withColumns({"whole": every(F.col("even_t") & F.col("even_i") & plain, "invoice_id"), "part": F.min("first_i").over(over("invoice_id"))})
+        tier = tier.withColumn("whole", every(F.col("whole"), "transaction_id")).withColumn("single", (F.col("of_i.n") == 1) & (F.col("of_t.n") == 1))
+        rank = lambda c: F.when(F.col("whole") & ~F.col("single"), F.dense_rank().over(Window.partitionBy("part", "whole").orderBy(c)))
+        tier = tier.withColumns({"_ri": rank("invoice_id"), "_rt": rank("transaction_id")})
+        told = F.when(F.col("single"), "matched").when(~F.col("whole"), "blocked").when(F.col("_ri") == F.col("_rt"), "matched")
+        step = stored(tier.select("invoice_id", "transaction_id", told.alias("outcome")).filter("outcome is not null"), "assigned")
+        blocked = step.filter("outcome = 'blocked'").select("invoice_id").distinct().select("invoice_id", F.lit(None).cast(kinds["transaction_id"]).alias("transaction_id"), F.lit("ambiguous").alias("outcome"))
+        out = out.unionByName(step.filter("outcome = 'matched'")).unionByName(blocked)
+        # what a round leaves of an interchangeable component is free for lower scores
+        rest = stored(rest.filter(F.col("score") < score).join(step.select("invoice_id"), "invoice_id", "left_anti").join(step.select("transaction_id"), "transaction_id", "left_anti"), "rest")
 
 
 def rank_pairs(rows: DataFrame, keys: list[str], side: str, order: str) -> DataFrame:

@@ -94,11 +94,11 @@ def item_previews(items: DataFrame, most: int = 3) -> DataFrame:
 
 
 def similar_pairs(sellers: DataFrame, texts: DataFrame) -> DataFrame:
-    """(seller, ban, merchant, level): distinct sellers (seller, ban) and payment texts (merchant) that are ``strong`` or ``partial``.
+    """(seller, ban, merchant, level, brand): distinct sellers (seller, ban) and payment texts (merchant) that are ``strong`` or ``partial``.
 
     Texts meet over keys that any similar pair shares, so no text is compared with all others; only those pairs are measured.
     """
     left = _each(sellers.select("seller", F.col("ban").cast("string").alias("ban")).distinct(), lambda s, b: (T.blocks(s, b),), "keys array<string>")
     right = _each(texts.select("merchant").filter("merchant is not null").distinct(), lambda m: (T.blocks(m, m),), "keys array<string>")
     pairs = left.withColumn("key", F.explode("keys")).join(right.withColumn("key", F.explode("keys")).select("merchant", "key"), "key").select("seller", "ban", "merchant").distinct()
-    return _each(pairs, lambda s, b, m: (T.similarity(s, b, m),), "level string").filter("level <> 'none'")
+    return _each(pairs, lambda s, b, m: (T.similarity(s, b, m), T.brand_match(s, m)), "level string, brand boolean").filter("level <> 'none'")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
-from tallyforge.operators import ingest, ledger, linkage, series
-from tallyforge.plans import linking, normalising, settling, unified  # noqa: F401  (they register their queries)
+from tallyforge.operators import ingest, ledger, linkage, merchants, series
+from tallyforge.plans import linking, normalising, settling, spending, unified  # noqa: F401  (they register their queries)
 from tallyforge.plans.catalog import QUERIES, SQL, query
 from tallyforge.plans.derived import ACT as _ACT
 from tallyforge.plans.derived import DAY as _DAY
@@ -178,11 +178,48 @@ def _(t):
     return linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow"))
 
 
-@query("jn12_invoice_matches")
+def _assignment(edges: str, scores: range) -> str:
+    """The rounds of the assignment in SQL, one block a score; ``d``: settled, with the same columns each round."""
+    parts = [f"e AS MATERIALIZED ({edges})", f"d{scores[0] + 1} AS (SELECT invoice_id, transaction_id, 'none' AS outcome FROM e WHERE FALSE)"]
+    for s in scores:
+        done = f"d{s + 1}"
+        parts += [
+            f"t{s} AS MATERIALIZED (SELECT * FROM e WHERE score = {s} AND invoice_id NOT IN (SELECT invoice_id FROM {done}) AND transaction_id NOT IN (SELECT transaction_id FROM {done}))",
+            f"a{s} AS MATERIALIZED (SELECT invoice_id, list_sort(list(transaction_id)) AS ts FROM t{s} GROUP BY 1), b{s} AS MATERIALIZED (SELECT transaction_id, list_sort(list(invoice_id)) AS is_ FROM t{s} GROUP BY 1)",
+            f"g{s} AS MATERIALIZED (SELECT t{s}.*, ts, is_ FROM t{s} JOIN a{s} USING (invoice_id) JOIN b{s} USING (transaction_id))",
+            f"u{s} AS MATERIALIZED (SELECT transaction_id, count(DISTINCT ts) = 1 AND bool_and(exact AND gap = 0) AS ok FROM g{s} GROUP BY 1)",
+            f"w{s} AS MATERIALIZED (SELECT invoice_id, count(DISTINCT is_) = 1 AND bool_and(ok) AS ok FROM g{s} JOIN u{s} USING (transaction_id) GROUP BY 1)",
+            f"o{s} AS MATERIALIZED (SELECT invoice_id, transaction_id, CASE WHEN len(ts) = 1 AND len(is_) = 1 THEN 'matched' WHEN NOT ok THEN 'blocked' WHEN list_position(is_, invoice_id) = list_position(ts, transaction_id) THEN 'matched' END AS outcome FROM g{s} JOIN w{s} USING (invoice_id))",
+            f"d{s} AS MATERIALIZED (SELECT * FROM {done} UNION ALL SELECT * FROM o{s} WHERE outcome IS NOT NULL)",
+        ]
+    return "WITH " + ", ".join(parts) + f" SELECT DISTINCT invoice_id, CASE WHEN outcome = 'matched' THEN transaction_id END AS transaction_id, CASE outcome WHEN 'blocked' THEN 'ambiguous' ELSE outcome END AS outcome FROM d{scores[-1]}"
+
+
+_EDGES = """SELECT i.id AS invoice_id, t.id AS transaction_id, abs(t.day - i.day) AS gap, t.amount = i.amount AS exact, CASE WHEN t.amount = i.amount THEN 5 ELSE 3 END + CASE abs(t.day - i.day) WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN i.seller = t.merchant THEN 2 ELSE 0 END AS score
+  FROM {dense_invoices} i JOIN {dense_transactions} t ON t.day BETWEEN i.day - 3 AND i.day + 3 AND NOT t.inflow
+    AND (t.amount = i.amount OR t.amount < i.amount AND t.amount >= i.amount * 0.8E0 AND i.amount - t.amount <= 500 AND i.seller = t.merchant)"""
+
+
+@query("jn12_invoice_matches", _assignment(_EDGES, range(10, 4, -1)))
 def _(t):
     return linkage.assign(linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow")))
 
 
+_SELLERS = "SELECT id, CASE id % 6 WHEN 0 THEN '全聯實業股份有限公司旅順分公司' WHEN 2 THEN 'Cloudflare Inc.' ELSE '老王牛肉麵' END AS seller, amount, day, CASE WHEN id % 10 = 6 THEN lpad(CAST(id % 7 AS STRING), 4, '0') END AS carrier FROM {dense_invoices}"
+_BUYS = "SELECT id, CASE id % 3 WHEN 0 THEN '全支付﹘全聯' WHEN 1 THEN 'CLOUDFLAREA3906' ELSE '連支＊老王牛肉麵' END AS merchant, amount + CASE WHEN id % 4 = 1 THEN 15 ELSE 0 END AS amount, day, id % 2 = 1 AS credit, lpad(CAST(id % 7 AS STRING), 4, '0') AS account_last4, id % 9 <> 0 AS outflow FROM {dense_transactions}"
+_LEVELS = "SELECT * FROM (VALUES ('全聯實業股份有限公司旅順分公司', '全支付﹘全聯', 1, FALSE), ('Cloudflare Inc.', 'CLOUDFLAREA3906', 2, TRUE), ('老王牛肉麵', '連支＊老王牛肉麵', 2, FALSE)) AS v(seller, merchant, points, brand)"
+
+
+@query("jn10_similar_names", f"""WITH i AS ({_SELLERS}), t AS ({_BUYS}), v AS ({_LEVELS}), c AS (SELECT i.id AS invoice_id, t.id AS transaction_id, abs(t.day - i.day) AS gap, t.amount = i.amount AS exact, coalesce(points, 0) AS points, coalesce(brand, FALSE) AS brand, carrier IS NOT NULL AS carried, credit, outflow, t.amount AS paid, i.amount AS asked
+  FROM i JOIN t ON abs(t.day - i.day) <= CASE WHEN carrier IS NULL THEN 3 ELSE 5 END AND (carrier IS NULL OR credit AND account_last4 = carrier) AND t.amount BETWEEN i.amount * 0.5E0 AND i.amount * 2 LEFT JOIN v ON v.seller = i.seller AND v.merchant = t.merchant)
+  SELECT invoice_id, transaction_id, CAST(gap AS INT) AS gap, exact, CAST(CASE WHEN exact THEN 5 ELSE 3 END + CASE gap WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + points + CASE WHEN carried THEN 3 ELSE 0 END AS INT) AS score FROM c
+  WHERE (exact OR paid < asked AND paid >= asked * 0.8E0 AND asked - paid <= 500 AND (carried OR points = 2) OR credit AND brand AND abs(paid - asked) <= greatest(30, asked * 0.05E0)) AND (exact AND gap = 0 OR outflow)""")
+def _(t):
+    i, b = t.spark.sql(_SELLERS, dense_invoices=t["dense_invoices"]), t.spark.sql(_BUYS, dense_transactions=t["dense_transactions"])
+    pairs = merchants.similar_pairs(i.select("seller", F.lit(None).cast("string").alias("ban")), b.select("merchant"))
+    return linkage.candidate_edges(i, b, names=linkage.name_points(pairs))
+
+
 @query("jn16_repeat_groups")
 def _(t):
     rows = t["events"].filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))

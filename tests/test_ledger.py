@@ -64,7 +64,9 @@ def _brute(edges):
     return {(a, b, "matched") for a, b in pair.items()} | {(a, None, "ambiguous") for a in blocked_i}
 
 
-def test_assignment_equals_brute_force_in_any_order(spark):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_assignment_equals_brute_force_in_any_order(spark, monkeypatch, small):
+    monkeypatch.setattr(linkage, "SMALL", small)
     rnd = random.Random(5)
     edges = []
     for graph in range(60):
