@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.columns import merchant_key
+from tallyforge.functions.columns import merchant_key, parsed_date
 
 # Words and codes of the sources.
 REFUND_WORDS = "退款|退貨|折讓|沖銷|回饋|繳款|還款|refund|credit|payment"
@@ -130,3 +130,20 @@ def match_status(outcome: Column, account_type: Column, carrier: Column, day: Co
         .otherwise("unmatched")
     )
     return F.struct(status.alias("status"), F.coalesce(waits & (F.datediff(today, day) > CARD_WAIT_DAYS), F.lit(False)).alias("overdue"))
+
+
+def parsed_time(text: Column) -> Column:
+    """``YYYY-MM-DD hh:mm[:ss]`` in any of the date's forms, in Taipei unless it has an offset; an impossible hour leaves the day."""
+    bare = F.trim(text)
+    day, clock = F.regexp_extract(bare, r"^([^ T]+)[ T]", 1), F.regexp_extract(bare, r"[ T](\d{1,2}:\d{2}(?::\d{2})?)", 1)
+    zone = F.regexp_extract(bare, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+    date = parsed_date(F.when(day == "", bare).otherwise(day))
+    fine = clock.rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?$")
+    full = F.when(F.length(F.regexp_extract(clock, "^[^:]+", 0)) == 1, F.concat(F.lit("0"), clock)).otherwise(clock)
+    full = F.when(F.length(full) == 5, F.concat(full, F.lit(":00"))).otherwise(full)
+    return F.when(fine, F.concat(date.cast("string"), F.lit("T"), full, F.when(zone == "", "+08:00").otherwise(zone))).otherwise(date.cast("string"))
+
+
+def source_hash(*parts: Column) -> Column:
+    """SHA-256 of the parts joined by a bar, so that codes are compared without being kept."""
+    return F.sha2(F.concat_ws("|", *parts), 256)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import banks as B
 from tallyforge.functions import columns as C
 
 
@@ -61,11 +62,6 @@ def classify(rows: DataFrame, rules: list[dict], overrides: DataFrame | None = N
     ).drop("_first", "_own")
 
 
-def is_card_payment(text: Column, credit: Column) -> Column:
-    compact = F.regexp_replace(F.lower(text), r"\s+", "")
-    return F.when(credit, compact.rlike("繳款|感謝|payment")).otherwise(compact.rlike("信用卡款|卡費|cardpayment"))
-
-
 def economic_role(s: dict[str, Column]) -> Column:
     """Struct (role, source, review) by the fixed order of tests.
 
@@ -99,12 +95,77 @@ def economic_role(s: dict[str, Column]) -> Column:
     )
 
 
+def with_preferences(transactions: DataFrame, preferences: DataFrame) -> DataFrame:
+    """``transactions`` with the user's word on counting them, ``preference``: exclude, include or null.  preferences: transaction_id, excluded."""
+    told = preferences.select(F.col("transaction_id").alias("id"), F.when(F.col("excluded"), "exclude").otherwise("include").alias("preference"))
+    return transactions.join(told, "id", "left")
+
+
+def automatic_classification(s: dict[str, Column]) -> Column:
+    """Struct (category_id, source, excluded): fee offset, transfer pair, own account unless the user classified, else the rule's.
+
+    ``s``: offset, transfer (boolean), own_kind, category_id, source, excluded.
+    """
+    out = lambda category, source, excluded: F.struct(category.alias("category_id"), source.alias("source"), excluded.alias("excluded"))
+    users = F.coalesce(s["source"].isin("override", "merchant_rule", "user_rule"), F.lit(False))
+    none = F.lit("other")
+    return (
+        F.when(s["offset"], out(F.lit("misc"), F.lit("auto_offset"), F.lit(True)))
+        .when(s["transfer"], out(none, F.lit("auto_transfer"), F.lit(True)))
+        .when(~users & (s["own_kind"] == "unsynced_card"), out(none, F.lit("unsynced_card"), F.lit(False)))
+        .when(~users & s["own_kind"].isNotNull(), out(none, F.lit("own_account"), F.lit(True)))
+        .otherwise(out(s["category_id"], s["source"], s["excluded"]))
+    )
+
+
+# The category tree (id, parent).
+CATEGORIES = tuple((x, None) for x in "food transport housing shopping tech entertainment health donation misc income".split()) + tuple((f"income.{x}", "income") for x in ("salary", "investment", "other")) + (("other", None),)
+
+
+def top_category(category: Column) -> Column:
+    """The top category: ``other`` without one, ``misc`` for ids that the tree does not have."""
+    known = F.create_map(*(F.lit(x) for name, parent in CATEGORIES for x in (name, parent or name)))
+    return F.when(F.coalesce(category, F.lit("")) == "", "other").otherwise(F.coalesce(F.element_at(known, category), F.lit("misc")))
+
+
+def keyword_category(text: Column, words: list[tuple[str, str, str]], direction: Column) -> Column:
+    """The first keyword's category; ``words``: (pattern, category_id, ``inflow`` or ``outflow``) in their order, of the user or a shared table."""
+    found, low = F.lit(None).cast("string"), F.lower(text)
+    for pattern, category, way in reversed(words):
+        found = F.when(low.rlike(pattern) & (direction == way), category).otherwise(found)
+    return found
+
+
+def suggestion(s: dict[str, Column], refined: list[str] | None = None) -> Column:
+    """Struct (category_id, source): the merchant's history, its keyword, the items', in this order; keywords in ``refined`` give way to items.
+
+    ``s``: history, keyword, items, direction.
+    """
+    out = lambda value, source: F.when(value.isNotNull(), F.struct(value.alias("category_id"), F.lit(source).alias("source")))
+    sure = F.when(~F.coalesce(s["keyword"].isin(refined or [""]), F.lit(False)), s["keyword"])
+    items = F.when(s["direction"] == "outflow", s["items"])
+    return F.coalesce(out(s["history"], "merchant_history"), out(sure, "merchant_keywords"), out(items, "item_keywords"), out(s["keyword"], "merchant_keywords"))
+
+
+def applied_suggestion(s: dict[str, Column]) -> Column:
+    """The category after suggestions: only of counted spending and income that no transfer rule took, open or a top category that the suggestion lies under.
+
+    ``s``: category_id, source, role, duplicate (boolean), suggested.
+    """
+    own, new = s["category_id"], s["suggested"]
+    parents = F.create_map(*(F.lit(x) for name, parent in CATEGORIES if parent for x in (name, parent)))
+    open_ = F.coalesce(own, F.lit("other")) == "other"
+    closer = (F.coalesce(s["source"], F.lit("")) != "override") & (F.element_at(parents, new) == own)
+    may = ~F.coalesce(s["duplicate"], F.lit(False)) & F.coalesce(s["role"], F.lit("spending")).isin("spending", "income") & ~F.coalesce(s["source"].isin("auto_transfer", "auto_offset", "own_account", "unsynced_card"), F.lit(False))
+    return F.when(may & new.isNotNull() & (open_ | closer), new).otherwise(own)
+
+
 def activity(transactions: DataFrame, rates: DataFrame, rules: list[dict]) -> DataFrame:
     """One row per visible transaction: day, month, role, review, category and amount in TWD (null without a rate)."""
     rows = classify(with_day(visible(transactions)), rules)
     none = F.lit(None).cast("string")
     signals = {
-        "preference": none, "own_account_kind": none, "merchant_role": none, "auto_transfer": F.lit(False), "card_payment": is_card_payment(F.col("description"), F.col("account_type") == "credit"),
+        "preference": none, "own_account_kind": none, "merchant_role": none, "auto_transfer": F.lit(False), "card_payment": B.is_card_payment(F.concat_ws(" ", "description", "counterparty"), F.col("account_type") == "credit"),
         "synced_card": F.lit(True), "top_up": F.lit(False), "rule_role": F.col("rule_role"), "income_category": F.lit(False), "excluded": F.lit(False),
         "amount": F.col("amount"), "credit": F.col("account_type") == "credit", "transfer_hint": F.lower("description").contains("unspecified") | F.lower("description").contains("not specified"),
     }

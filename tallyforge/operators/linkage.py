@@ -93,20 +93,26 @@ def _finish(edges: pd.DataFrame) -> pd.DataFrame:
             if part.exact.all() and (part.gap == 0).all() and len(part) == len(i) * len(t):
                 found += zip(i, t, strict=False)
             else:
-                done += [(x, None, "ambiguous") for x in i]
+                done += [(x, None, "ambiguous") for x in i] + [(None, x, "blocked") for x in t]
                 used_i.update(i)
                 used_t.update(t)
         done += [(a, b, "matched") for a, b in found]
         used_i.update(a for a, _ in found)
         used_t.update(b for _, b in found)
     out = pd.DataFrame(done, columns=["invoice_id", "transaction_id", "outcome"])
-    # no match leaves a column of None without a type of its own
-    out["transaction_id"] = out["transaction_id"].astype(edges.transaction_id.dtype if edges.transaction_id.dtype == object else "Int64")
+    # a column of numbers with None in it would become floats
+    for c in ("invoice_id", "transaction_id"):
+        out[c] = out[c].astype(object if edges[c].dtype == object else "Int64")
     return out
 
 
 def assign(edges: DataFrame) -> DataFrame:
-    """(invoice_id, transaction_id, outcome) of the one-to-one assignment; ``ambiguous`` has no transaction.
+    """(invoice_id, transaction_id, outcome) of the one-to-one assignment; ``ambiguous`` has no transaction."""
+    return settled(edges).filter("invoice_id is not null")
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """:func:`assign` with a row of outcome ``blocked`` for each transaction that an ambiguity keeps from matching.
 
     Rounds by falling score, at most one for each of the few score classes.  In a round an edge whose ends have no other
     edge is a match.  A connected component that is complete on both sides, exact and of the same day is
@@ -143,11 +149,132 @@ def assign(edges: DataFrame) -> DataFrame:
         told = F.when(F.col("single"), "matched").when(~F.col("whole"), "blocked").when(F.col("_ri") == F.col("_rt"), "matched")
         step = stored(tier.select("invoice_id", "transaction_id", told.alias("outcome")).filter("outcome is not null"), "assigned")
         blocked = step.filter("outcome = 'blocked'").select("invoice_id").distinct().select("invoice_id", F.lit(None).cast(kinds["transaction_id"]).alias("transaction_id"), F.lit("ambiguous").alias("outcome"))
-        out = out.unionByName(step.filter("outcome = 'matched'")).unionByName(blocked)
+        kept_off = step.filter("outcome = 'blocked'").select("transaction_id").distinct().select(F.lit(None).cast(kinds["invoice_id"]).alias("invoice_id"), "transaction_id", F.lit("blocked").alias("outcome"))
+        out = out.unionByName(step.filter("outcome = 'matched'")).unionByName(blocked).unionByName(kept_off)
         # what a round leaves of an interchangeable component is free for lower scores
         rest = stored(rest.filter(F.col("score") < score).join(step.select("invoice_id"), "invoice_id", "left_anti").join(step.select("transaction_id"), "transaction_id", "left_anti"), "rest")
 
 
+def assign_repeats(edges: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(invoice_id, transaction_id, outcome, repeat_of) where of invoices issued again for one purchase the next takes part only once the one before it is matched.
+
+    repeats: invoice_id, anchor (the first of its group), rank (from 1); other invoices take part at once.  At most as many rounds as the largest
+    group is long.  Members that never match repeat the first matched one, or the group's first.
+    """
+    ranked = stored(edges.join(repeats, "invoice_id", "left").withColumn("rank", F.coalesce("rank", F.lit(1))), "ranked")
+    found, turn = stored(settled(ranked.filter("rank = 1").drop("anchor", "rank")), "round"), 1
+    fresh = found
+    while True:
+        turn += 1
+        ready = repeats.join(fresh.filter("outcome = 'matched'").select("invoice_id"), "invoice_id", "left_semi").filter(F.col("rank") == turn - 1).select("anchor")
+        tier = ranked.filter(F.col("rank") == turn).join(ready, "anchor", "left_semi").join(found.filter("transaction_id is not null").select("transaction_id"), "transaction_id", "left_anti")
+        tier = stored(tier.drop("anchor", "rank"), "turn")
+        if not tier.limit(1).count():
+            break
+        fresh = stored(settled(tier), "round")
+        found = stored(found.unionByName(fresh), "found")
+    told = found.filter("invoice_id is not null")
+    matched = told.filter("outcome = 'matched'").select("invoice_id")
+    first = repeats.join(matched, "invoice_id").groupBy("anchor").agg(F.min_by("invoice_id", "rank").alias("_first"))
+    of = repeats.join(first, "anchor", "left").select("invoice_id", F.coalesce("_first", "anchor").alias("_of"))
+    rest = of.join(matched, "invoice_id", "left_anti").filter(F.col("invoice_id") != F.col("_of")).select("invoice_id", F.col("_of").alias("repeat_of"))
+    others = told.join(rest.select("invoice_id"), "invoice_id", "left_anti").withColumn("repeat_of", F.lit(None).cast(told.schema["invoice_id"].dataType))
+    return others.unionByName(rest.select("invoice_id", F.lit(None).cast(told.schema["transaction_id"].dataType).alias("transaction_id"), F.lit("repeat").alias("outcome"), "repeat_of"))
+
+
+def manual_candidates(invoices: DataFrame, payments: DataFrame, taken: DataFrame, window: int = 7, most: int = 20) -> DataFrame:
+    """(invoice_id, transaction_id, place): payments a user may link by hand, nearest amount first, then nearest day, then name; ``most`` an invoice.
+
+    invoices: id, amount, day; payments: id, amount (signed), day, name; taken: transaction_id.  Days are exploded, so the join is on the day.
+    """
+    i = invoices.select(F.col("id").alias("invoice_id"), F.col("amount").alias("asked"), F.explode(F.array(*map(F.lit, range(-window, window + 1)))).alias("offset"), "day").withColumn("day", F.date_add("day", F.col("offset")))
+    p = payments.join(taken.select(F.col("transaction_id").alias("id")), "id", "left_anti").select(F.col("id").alias("transaction_id"), F.abs("amount").alias("paid"), "day", "name")
+    order = [F.abs(F.col("asked") - F.col("paid")), F.abs("offset"), F.coalesce("name", F.col("transaction_id").cast("string")), "transaction_id"]
+    rows = i.join(p, "day").withColumn("place", F.row_number().over(Window.partitionBy("invoice_id").orderBy(*order)))
+    return rows.filter(F.col("place") <= most).select("invoice_id", "transaction_id", "place")
+
+
+def _pair_group(legs: pd.DataFrame) -> pd.DataFrame:
+    """A greatest set of pairs of one group, found leg after leg in the order of ids, earlier pairs giving way where that helps."""
+    legs = legs.sort_values("id")
+    plus, minus = legs[legs.amount > 0], legs[legs.amount < 0]
+    accounts, others = list(plus.account_id), list(minus.account_id)
+    taken: dict[int, int] = {}
+    for start in range(len(accounts)):
+        # breadth first, so a long chain of giving way needs no deep recursion
+        came: dict[int, int] = {}
+        queue, end = [start], None
+        for leg in queue:
+            for k, account in enumerate(others):
+                if k in came or account == accounts[leg]:
+                    continue
+                came[k] = leg
+                if k not in taken:
+                    end = k
+                    break
+                queue.append(taken[k])
+            if end is not None:
+                break
+        while end is not None:
+            leg = came[end]
+            before = next((k for k, v in taken.items() if v == leg), None)
+            taken[end] = leg
+            end = before if leg != start else None
+    ids, other_ids = list(plus.id), list(minus.id)
+    return pd.DataFrame([(ids[v], other_ids[k]) for k, v in taken.items()], columns=["into_id", "out_id"])
+
+
+#: Groups with more legs than this are paired by ranks instead of in one task.
+GROUP_MOST = 2000
+
+
+def transfer_matching(rows: DataFrame) -> DataFrame:
+    """(day, currency, size, into_id, out_id): as many pairs of opposite legs on different accounts as each day, currency and size allow.
+
+    rows: id, account_id, day, currency, amount.  Single pairs need no task of their own.  Groups of up to ``GROUP_MOST`` legs are paired in the order of ids.
+    In greater ones inflows in the order of accounts meet outflows in the opposite order, so only one account can meet
+    itself; those legs change partners with as many pairs, or take as many spare legs, that do not touch this account.
+    """
+    keys = ["day", "currency", "size"]
+    legs = rows.withColumn("size", F.abs("amount")).filter("amount <> 0")
+    counts = legs.groupBy(*keys).agg(F.count_if(F.col("amount") > 0).alias("p"), F.count_if(F.col("amount") < 0).alias("m")).filter("p > 0 and m > 0")
+    kinds = ", ".join(f"{c} {dict(legs.dtypes)[c]}" for c in keys)
+    ids = dict(legs.dtypes)["id"]
+    known = legs.join(counts, keys)
+    one = known.filter("p = 1 and m = 1").groupBy(*keys).agg(F.max(F.when(F.col("amount") > 0, F.struct("id", "account_id"))).alias("a"), F.max(F.when(F.col("amount") < 0, F.struct("id", "account_id"))).alias("b"))
+    one = one.filter("a.account_id <> b.account_id").select(*keys, F.col("a.id").alias("into_id"), F.col("b.id").alias("out_id"))
+
+    def paired(part: pd.DataFrame) -> pd.DataFrame:
+        out = _pair_group(part)
+        for k, c in enumerate(keys):
+            out.insert(k, c, part[c].iloc[0])
+        return out
+
+    some = known.filter((F.col("p") + F.col("m") > 2) & (F.col("p") + F.col("m") <= GROUP_MOST)).select(*keys, "id", "account_id", F.col("amount").cast("double").alias("amount"))
+    some = some.groupBy(*keys).applyInPandas(paired, f"{kinds}, into_id {ids}, out_id {ids}")
+    return one.unionByName(some).unionByName(_rank_matching(known.filter(F.col("p") + F.col("m") > GROUP_MOST), keys))
+
+
+def _rank_matching(legs: DataFrame, keys: list[str]) -> DataFrame:
+    place = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    plus = legs.filter("amount > 0").select(*keys, F.col("id").alias("into_id"), F.col("account_id").alias("a"), place("account_id", "id").alias("k"))
+    minus = legs.filter("amount < 0").select(*keys, F.col("id").alias("out_id"), F.col("account_id").alias("b"), place(F.desc("account_id"), "id").alias("k"))
+    both = stored(plus.join(minus, [*keys, "k"], "full").drop("k"), "ranked")
+    clash = both.filter("a = b")
+    who = clash.groupBy(*keys).agg(F.first("a").alias("who"))
+    fine = both.filter("a is null or b is null or a <> b").join(who, keys, "left")
+    # what may change partners: pairs without the account, and spare legs of others
+    able = (F.coalesce("a", F.lit("")) != F.col("who")) & (F.coalesce("b", F.lit("")) != F.col("who"))
+    order = lambda rows: rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("into_id", "out_id"))))
+    swaps = order(fine.filter(F.col("who").isNotNull() & able)).select(*keys, "n", F.col("into_id").alias("x"), F.col("out_id").alias("y"))
+    changed = order(clash).join(swaps, [*keys, "n"])
+    used = changed.select(*keys, "x", "y")
+    new = changed.select(*keys, F.inline(F.array(F.struct(F.col("into_id"), F.col("y").alias("out_id")), F.struct(F.col("x").alias("into_id"), F.col("out_id")))))
+    kept = fine.filter("a is not null and b is not null").select(*keys, "into_id", "out_id")
+    kept = kept.join(used.filter("x is not null and y is not null").select(F.col("x").alias("into_id")), "into_id", "left_anti").select(*keys, "into_id", "out_id")
+    return kept.unionByName(new.filter("into_id is not null and out_id is not null"))
+
+
 def rank_pairs(rows: DataFrame, keys: list[str], side: str, order: str) -> DataFrame:
     """nth positive with nth negative of each key: (keys, n, left_id, right_id)."""
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, side).orderBy(order)))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import banks as B
 from tallyforge.functions import text as T
 
 
@@ -80,6 +81,11 @@ def bank_merchants(transactions: DataFrame) -> DataFrame:
     return _with_texts(transactions, ["description", "counterparty"], _bank_identity, _IDENTITY)
 
 
+def bank_codes(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``bank_code``: the one bank that a text names."""
+    return _with_texts(rows, [column], lambda x: (B.code_in_text(x),), "bank_code string")
+
+
 def item_names(items: DataFrame) -> DataFrame:
     """(invoice_id, line_number, name) of the goods among the lines: no discounts, no negative amounts, cleaned names."""
     rows = items.filter((F.col("amount").isNull() | (F.col("amount") > 0)) & ~F.coalesce(F.col("description").rlike(T.NOT_GOODS), F.lit(False)))

@@ -188,3 +188,45 @@ def issuer_totals(bills: DataFrame) -> DataFrame:
 def latest_manual_values(history: DataFrame) -> DataFrame:
     """(asset_id, day, value): the latest value of each manual asset; of one day the greatest id.  history: id, asset_id, day, value."""
     return history.groupBy("asset_id").agg(F.max("day").alias("day"), F.max_by("value", F.struct("day", "id")).alias("value"))
+
+
+def asset_rows(accounts: DataFrame, positions: DataFrame, manual: DataFrame, rates: DataFrame) -> DataFrame:
+    """(kind, institution, currency, amount, twd): deposits, cards, investments and manual assets in one table; zero without a rate.
+
+    accounts: institution, account_type, currency, balance; positions: currency, amount; manual: currency, amount.
+    """
+    deposit = F.when(F.col("account_type") == "credit", "card").otherwise("deposit")
+    rows = accounts.select(deposit.alias("kind"), "institution", "currency", F.col("balance").alias("amount"))
+    for kind, df in (("investment", positions), ("manual", manual)):
+        rows = rows.unionByName(df.select(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("institution"), "currency", "amount"))
+    rate = F.when(F.col("currency") == "TWD", 1.0).otherwise(F.coalesce("rate_to_twd", F.lit(0.0)))
+    return rows.join(rates, "currency", "left").select("kind", "institution", "currency", "amount", "rate_to_twd", (F.coalesce("amount", F.lit(0)).cast("double") * rate).cast("decimal(24,6)").alias("twd"))
+
+
+def asset_summary(rows: DataFrame) -> DataFrame:
+    """One row: bank, investment and manual totals, card debt, gross assets, net worth, currencies without a rate."""
+    total = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("twd"))), F.lit(0)).cast("double")
+    lacks = (F.col("currency") != "TWD") & F.col("rate_to_twd").isNull() & (F.coalesce("amount", F.lit(0)) != 0)
+    return rows.agg(
+        total("deposit").alias("bank_total"), total("investment").alias("investment_total"), total("manual").alias("manual_total"), (-total("card")).alias("card_debt"), total("deposit", "investment", "manual").alias("gross_assets"),
+        total("deposit", "investment", "manual", "card").alias("net_worth"), F.array_join(F.array_sort(F.collect_set(F.when(lacks, F.col("currency")))), ",").alias("missing_currencies"),
+    )
+
+
+def institution_totals(rows: DataFrame) -> DataFrame:
+    """(institution, asset_total, debt_total, foreign_currencies, unknown_card) of each institution."""
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("twd"))), F.lit(0)).cast("double")
+    foreign = F.array_join(F.array_sort(F.collect_set(F.when(F.col("currency") != "TWD", F.col("currency")))), ",")
+    return rows.filter("institution is not null").groupBy("institution").agg(total("deposit").alias("asset_total"), (-total("card")).alias("debt_total"), foreign.alias("foreign_currencies"), F.bool_or((F.col("kind") == "card") & F.col("amount").isNull()).alias("unknown_card"))
+
+
+def currency_totals(rows: DataFrame) -> DataFrame:
+    """(currency, total) of assets in currencies with a rate, positive sums only."""
+    known = rows.filter((F.col("kind") != "card") & ((F.col("currency") == "TWD") | F.col("rate_to_twd").isNotNull()))
+    return known.groupBy("currency").agg(F.sum("twd").cast("double").alias("total")).filter("total > 0")
+
+
+def date_bounds(snapshots: DataFrame) -> DataFrame:
+    """First and last day of all snapshots, and of derived ones."""
+    bounds = lambda test, name: [F.min(F.when(test, F.col("as_of_day"))).alias(f"first_{name}"), F.max(F.when(test, F.col("as_of_day"))).alias(f"last_{name}")]
+    return snapshots.agg(*bounds(F.lit(True), "day"), *bounds(F.col("derived"), "derived_day"))
