@@ -211,3 +211,19 @@ def active_days(items: DataFrame) -> DataFrame:
 def uncategorised(items: DataFrame) -> DataFrame:
     """Spending of no known use, without duplicates."""
     return items.filter((F.coalesce("category_id", F.lit("other")) == "other") & F.col("duplicate_of").isNull() & (_role() == "spending") & C.is_counted(F.col("source")))
+
+
+def search_days(transactions: DataFrame, invoices: DataFrame, lines: DataFrame, trades: DataFrame, notes: DataFrame, text: str, most: int = 33) -> DataFrame:
+    """The latest ``most`` days with anything a text finds: in transactions, invoices, their lines, trades, and notes on them.
+
+    transactions: id, day, description, counterparty, account_last4; invoices: id, day, seller_name, invoice_number; lines: invoice_id,
+    description; trades: id, day, name, symbol, transaction_name; notes: id, note.  Lines and notes are semi joins, so nothing is multiplied.
+    """
+    has = lambda *c: F.lower(F.concat_ws(" ", *c)).contains(text.lower())
+    noted = notes.filter(has("note")).select("id").distinct()
+    lined = lines.filter(has("description")).select(F.col("invoice_id").alias("id")).distinct()
+    found = transactions.filter(has("description", "counterparty", "account_last4", F.lit(f"{BANK} {CARD}"))).select("day")
+    found = found.unionByName(invoices.filter(has("seller_name", "invoice_number", F.lit(INVOICE))).select("day")).unionByName(trades.filter(has("name", "symbol", "transaction_name", F.lit(INVESTMENT))).select("day"))
+    for rows, ids in ((transactions, noted), (invoices, noted), (invoices, lined)):
+        found = found.unionByName(rows.join(ids, "id", "left_semi").select("day"))
+    return found.filter("day is not null").distinct().orderBy(F.desc("day")).limit(most)

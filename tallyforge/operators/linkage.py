@@ -321,6 +321,35 @@ def anchored_groups(rows: DataFrame, keys: list[str], hours: int = 24) -> DataFr
     return marked.withColumn("anchor", F.max(F.when(F.col("id").isNull(), F.col("at"))).over(w)).filter("id is not null").select(*keys, "id", "anchor")
 
 
+def merge_mapping(candidates: DataFrame, settings: DataFrame) -> DataFrame:
+    """(old_id, new_id) of the candidates that are one to one and whose settings do not contradict each other.
+
+    settings: id, kind, value; of kind ``invoice`` both sides may not have one at all, of the others both may if they are equal.
+    """
+    pairs = one_to_one(candidates.filter("old_id <> new_id"))
+    side = lambda name: settings.select(F.col("id").alias(f"{name}_id"), "kind", F.col("value").alias(f"{name}_value"))
+    both = pairs.join(side("old"), "old_id").join(side("new"), ["new_id", "kind"])
+    bad = both.filter((F.col("kind") == "invoice") | ~F.col("old_value").eqNullSafe(F.col("new_value"))).select("old_id").distinct()
+    return pairs.join(bad, "old_id", "left_anti")
+
+
+def moved_settings(settings: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Settings (id, kind, value) after the merge: the new row's own stay, else the old row's move to it; of notes (kind ``note``) both are kept, one below the other."""
+    at = settings.join(mapping, settings["id"] == mapping["old_id"], "left").select(F.coalesce("new_id", "id").alias("id"), "kind", "value", F.col("old_id").isNotNull().alias("moved"))
+    by = at.groupBy("id", "kind").agg(F.min(F.when(~F.col("moved"), F.col("value"))).alias("own"), F.min(F.when(F.col("moved"), F.col("value"))).alias("came"))
+    both = F.when((F.col("kind") == "note") & (F.col("own") != F.col("came")), F.substring(F.concat_ws("\n", "own", "came"), 1, 1000))
+    return by.select("id", "kind", F.coalesce(both, "own", "came").alias("value"))
+
+
+def moved_rows(rows: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` without the merged old ones, with ids in ``columns`` that point to them replaced."""
+    out = rows.join(mapping.select(F.col("old_id").alias("id")), "id", "left_anti")
+    for c in columns:
+        m = mapping.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new"))
+        out = out.join(m, F.col(c) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+    return out
+
+
 def unique_both_ways(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """The pairs whose two ends occur in no other pair."""
     alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1

@@ -157,6 +157,18 @@ def opening_balances(day_ends: DataFrame) -> DataFrame:
     return day_ends.groupBy("account_id").agg(F.min("day").alias("first_day"), F.min_by(F.col("balance") - F.col("net"), "day").alias("opening"))
 
 
+def filled_balances(day_ends: DataFrame, until: str) -> DataFrame:
+    """(account_id, day, balance) of every day from the one before the first to ``until``: a day's end balance holds until the next one.
+
+    Each day's end is exploded over the days it holds, so nothing is joined to a calendar; the first day back is the opening balance.
+    """
+    w = Window.partitionBy("account_id").orderBy("day")
+    stop = F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.greatest(F.col("day"), F.lit(until).cast("date")))
+    held = day_ends.withColumn("_stop", stop).select("account_id", F.explode(F.sequence("day", "_stop")).alias("day"), "balance")
+    first = opening_balances(day_ends).select("account_id", F.date_sub("first_day", 1).alias("day"), F.col("opening").alias("balance"))
+    return held.unionByName(first)
+
+
 def history_in_twd(history: DataFrame, assets: DataFrame, rates: DataFrame) -> DataFrame:
     """(id, day, value): manual values converted by their asset's currency, zero without a rate; other sources are in TWD.
 
