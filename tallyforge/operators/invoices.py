@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.functions.text import fold_width
-from tallyforge.operators.linkage import APPROXIMATE, GAP_SCORE, STRONG
+from tallyforge.operators.linkage import APPROXIMATE, GAP_SCORE, anchored_groups, equal_names
 
 # Days before and after, and the tolerances of foreign amounts.
 DAYS_BEFORE, DAYS_AFTER = 1, 5
@@ -44,6 +44,19 @@ def invoice_fields(payload: Column) -> dict[str, Column]:
     }
 
 
+def repeat_groups(invoices: DataFrame, hours: int = 24) -> DataFrame:
+    """(invoice_id, anchor, rank) of foreign invoices issued again: same seller, items, currency and cents within ``hours`` of the group's first; groups of two or more.
+
+    invoices: id, seller_key (tax number, else name), items_key, currency, amount, ts.
+    """
+    keys = ["currency", "seller_key", "items_key", "cents"]
+    rows = invoices.filter("currency <> 'TWD' and amount > 0 and seller_key is not null and items_key is not null and ts is not null").withColumn("cents", F.floor(F.col("amount").cast("double") * 100 + 0.5))
+    marked = anchored_groups(rows.select(*keys, "id", "ts"), keys, hours).join(rows.select("id", F.unix_seconds("ts").alias("_at")), "id")
+    w = Window.partitionBy(*keys, "anchor")
+    ranked = marked.withColumns({"rank": F.row_number().over(w.orderBy("_at", "id")), "n": F.count(F.lit(1)).over(w), "first": F.first("id").over(w.orderBy("_at", "id"))})
+    return ranked.filter("n > 1").select(F.col("id").alias("invoice_id"), F.col("first").alias("anchor"), "rank")
+
+
 def items_key(texts: Column) -> Column:
     """Item texts told apart by words only: width, case and spaces do not matter, blank lines go."""
     each = F.transform(F.split(texts, "\x1f"), lambda x: F.trim(F.regexp_replace(F.lower(fold_width(x)), r"\s+", " ")))
@@ -85,11 +98,11 @@ def invoice_roles(invoices: DataFrame, links: DataFrame, unmatched: DataFrame, w
     return rows.select("id", told.alias("r"), F.when(~F.col("voided"), F.col("transaction_id")).alias("duplicate_of")).select("id", "r.*", "duplicate_of")
 
 
-def foreign_edges(invoices: DataFrame, payments: DataFrame) -> DataFrame:
+def foreign_edges(invoices: DataFrame, payments: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(invoice_id, transaction_id, gap, score) of foreign invoices with card payments to the same merchant.
 
     invoices: id, seller, amount, currency, twd (null without a rate), day; payments: id, merchant, amount (paid,
-    positive), currency, day, all of credit accounts.  The join has day, merchant, currency and a bucket of
+    positive), currency, day, all of credit accounts; names: seller, merchant, points of names that are alike (equal ones if absent).  The join has day, merchant, currency and a bucket of
     the size in its key.  Invoices are in another currency than TWD and positive.
     """
     # sizes within the tolerances lie in the same or the next bucket: (x + 20) differs by less than a tenth of its logarithm
@@ -97,14 +110,15 @@ def foreign_edges(invoices: DataFrame, payments: DataFrame) -> DataFrame:
     asked, twd = F.col("amount").cast("double"), F.col("twd").cast("double")
     own = F.struct(F.col("currency").alias("paid_in"), asked.alias("size"), F.greatest(asked * SAME_CURRENCY_RATIO, F.lit(SAME_CURRENCY_LEAST)).alias("slack"))
     converted = F.struct(F.lit("TWD").alias("paid_in"), twd.alias("size"), F.greatest(twd * CONVERTED_RATIO, F.lit(float(CONVERTED_LEAST))).alias("slack"))
-    i = invoices.select(F.col("id").alias("invoice_id"), F.col("seller").alias("merchant"), F.col("day").alias("invoice_day"), F.col("currency").alias("asked_in"), F.explode(F.array(own, converted)).alias("w"))
-    i = i.select("invoice_id", "merchant", "invoice_day", "w.*", (F.col("w.size") > 0).alias("sized"), F.explode(F.sequence(F.lit(-DAYS_BEFORE), F.lit(DAYS_AFTER))).alias("offset")).filter("sized")
+    known = (names if names is not None else equal_names(invoices)).select("seller", "merchant", "points")
+    i = invoices.select(F.col("id").alias("invoice_id"), "seller", F.col("day").alias("invoice_day"), F.col("currency").alias("asked_in"), F.explode(F.array(own, converted)).alias("w")).join(known, "seller")
+    i = i.select("invoice_id", "merchant", "points", "invoice_day", "w.*", (F.col("w.size") > 0).alias("sized"), F.explode(F.sequence(F.lit(-DAYS_BEFORE), F.lit(DAYS_AFTER))).alias("offset")).filter("sized")
     i = i.withColumn("day", F.date_add("invoice_day", F.col("offset"))).withColumn("bucket", F.explode(F.array(*(bucket(F.col("size")) + k for k in (-1, 0, 1)))))
     p = payments.select(F.col("id").alias("transaction_id"), "merchant", F.col("amount").cast("double").alias("paid"), F.col("currency").alias("paid_in"), "day").withColumn("bucket", bucket(F.col("paid")))
     found = i.join(p, ["day", "merchant", "paid_in", "bucket"])
     fits = F.abs(F.col("paid") - F.col("size")) <= F.col("slack")
     gap = F.abs("offset")
-    score = F.lit(APPROXIMATE + STRONG) + F.element_at(F.array(*map(F.lit, GAP_SCORE)), gap + 1)
+    score = F.lit(APPROXIMATE) + F.col("points") + F.element_at(F.array(*map(F.lit, GAP_SCORE)), gap + 1)
     return found.filter(fits).select("invoice_id", "transaction_id", gap.alias("gap"), score.alias("score"))
 
 

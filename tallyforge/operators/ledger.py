@@ -49,8 +49,9 @@ def classify(rows: DataFrame, rules: list[dict], overrides: DataFrame | None = N
     first = F.lit(None).cast("struct<rule_id:string,category_id:string,role:string>")
     last_first = sorted(rules, key=lambda r: r["id"], reverse=True)
     for r in sorted(last_first, key=lambda r: (r["priority"], r.get("updated_at") or "")):
-        hit = C.rule_matches(F.col(r["field"]), r["operator"], r["pattern"]) & C.direction_matches(F.col("amount"), r["direction"])
-        value = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["category_id"]).alias("category_id"), F.lit(r["economic_role"]).alias("role"))
+        text = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in ("description", "counterparty", "source_id") if c in rows.columns)) if r["field"] == "any_text" else F.col(r["field"])
+        hit = C.rule_matches(text, r["operator"], r["pattern"]) & C.direction_matches(F.col("amount"), r["direction"])
+        value = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["category_id"]).cast("string").alias("category_id"), F.lit(r["economic_role"]).cast("string").alias("role"))
         first = F.when(hit, value).otherwise(first)
     rows = rows.withColumn("_first", first)
     if overrides is not None:
@@ -160,6 +161,64 @@ def applied_suggestion(s: dict[str, Column]) -> Column:
     return F.when(may & new.isNotNull() & (open_ | closer), new).otherwise(own)
 
 
+def lifecycle_dedupe(rows: DataFrame, connector: str, marker: str) -> DataFrame:
+    """``rows`` (id, connector_id, source_id, n) where of a connector's ids that differ in a lifecycle mark only one stays: without mark, else the later mark, then the first row.
+
+    ``marker``: a pattern whose group 1 is the mark; posted marks start with ``已``.
+    """
+    mark = F.regexp_extract("source_id", marker, 1)
+    rank = F.when(mark == "", 0).when(mark.startswith("已"), 1).otherwise(2)
+    own = rows.filter(F.col("connector_id") == connector).withColumns({"_key": F.regexp_replace("source_id", marker, ":"), "_rank_of": rank})
+    kept = latest_per(own, ["_key"], F.asc("_rank_of"), F.asc("n")).drop("_key", "_rank_of")
+    return rows.filter(F.col("connector_id") != connector).unionByName(kept)
+
+
+def override_history(overrides: DataFrame, transactions: DataFrame, invoices: DataFrame, links: DataFrame) -> DataFrame:
+    """(target_type, target_id, category_id, description, counterparty, seller_name) of the user's categories, with the seller of a linked invoice.
+
+    overrides: target_type, target_id, category_id; links: invoice_id, transaction_id of user links.  Open categories tell nothing.
+    """
+    told = overrides.filter("category_id <> 'other'")
+    sellers = invoices.select(F.col("id").alias("invoice_id"), "seller_name")
+    of = links.filter("transaction_id is not null").join(sellers, "invoice_id").select(F.col("transaction_id").alias("target_id"), "seller_name")
+    bank = told.filter("target_type = 'bank_transaction'").join(transactions.select(F.col("id").alias("target_id"), "description", "counterparty"), "target_id").join(of, "target_id", "left")
+    own = told.filter("target_type = 'invoice'").join(sellers.withColumnRenamed("invoice_id", "target_id"), "target_id")
+    none = F.lit(None).cast("string")
+    columns = ["target_type", "target_id", "category_id", "description", "counterparty", "seller_name"]
+    return bank.select(*columns).unionByName(own.withColumns({"description": none, "counterparty": none}).select(*columns))
+
+
+def open_links(preferences: DataFrame, invoices: DataFrame, transactions: DataFrame) -> DataFrame:
+    """(invoice_id, decision, seller_name, transaction_id, visible): the user's decisions with their invoice and transaction, and whether that one still shows."""
+    shown = visible(transactions).select(F.col("id").alias("_shown"))
+    rows = preferences.join(invoices.select(F.col("id").alias("invoice_id"), "seller_name"), "invoice_id", "left").join(shown, F.col("transaction_id") == F.col("_shown"), "left")
+    return rows.select("invoice_id", "decision", "seller_name", "transaction_id", F.col("_shown").isNotNull().alias("visible"))
+
+
+def checked_months(since: str, until: str, most: int = 12) -> tuple[str, str]:
+    """Half-open days of the months ``since`` to ``until`` (YYYY-MM, both in); raises if they are out of order or more than ``most``."""
+    (a, b), (c, d) = (tuple(map(int, m.split("-"))) for m in (since, until))
+    n = (c - a) * 12 + d - b + 1
+    if not (1 <= b <= 12 and 1 <= d <= 12) or not 1 <= n <= most:
+        raise ValueError(f"{since} to {until}: between 1 and {most} months in order")
+    return f"{since}-01", f"{c + d // 12}-{d % 12 + 1:02}-01"
+
+
+def month_trend(summary: DataFrame, months: list[str], loaded: tuple[str, str]) -> DataFrame:
+    """(month, spending, no_data, outside): spending of each month; months outside those loaded are told apart from months without data."""
+    spine = summary.sparkSession.createDataFrame([(m, not loaded[0] <= m <= loaded[1]) for m in months], "month string, outside boolean")
+    rows = spine.join(summary.select("month", "spending", "activity_count"), "month", "left")
+    return rows.select("month", F.coalesce("spending", F.lit(0.0)).alias("spending"), (F.coalesce("activity_count", F.lit(0)) == 0).alias("no_data"), "outside")
+
+
+def report_rollup(results: DataFrame) -> DataFrame:
+    """(batch_id, status, connectors, failed, new_records): the worst status of a batch's connectors and the sum of their new records.  results: batch_id, connector_id, status, new_records."""
+    rank = F.when(F.col("status") == "failed", 3).when(F.col("status") == "needs_user_action", 2).when(F.col("status") == "partial", 1).otherwise(0)
+    by = results.groupBy("batch_id").agg(F.max(rank).alias("_r"), F.count(F.lit(1)).alias("connectors"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("new_records"), F.lit(0)).alias("new_records"))
+    status = F.element_at(F.array(*map(F.lit, ("success", "partial", "needs_user_action", "failed"))), F.col("_r") + 1)
+    return by.select("batch_id", status.alias("status"), "connectors", "failed", "new_records")
+
+
 def activity(transactions: DataFrame, rates: DataFrame, rules: list[dict]) -> DataFrame:
     """One row per visible transaction: day, month, role, review, category and amount in TWD (null without a rate)."""
     rows = classify(with_day(visible(transactions)), rules)

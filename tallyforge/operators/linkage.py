@@ -321,6 +321,24 @@ def anchored_groups(rows: DataFrame, keys: list[str], hours: int = 24) -> DataFr
     return marked.withColumn("anchor", F.max(F.when(F.col("id").isNull(), F.col("at"))).over(w)).filter("id is not null").select(*keys, "id", "anchor")
 
 
+def two_pass_pairs(left: DataFrame, right: DataFrame, near: int = 3, coded: int = 31) -> DataFrame:
+    """(left_id, right_id): rows of one purchase, first by authorisation code, then of the rest also by card; each pass keeps pairs that are unique both ways.
+
+    Both: id, code (hashed, or null), normal (boolean: the code was normalised before hashing), card, day, currency, amount.  Equal codes lie up to
+    ``coded`` days apart, equal cards up to ``near``; two normalised codes that differ prove two purchases.
+    """
+    b = right.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "code", "normal", "card", "day")), "currency", "amount")
+    both = left.join(b, ["currency", "amount"])
+    days = F.abs(F.datediff("day", "r_day"))
+    by_code = F.coalesce(F.col("code") == F.col("r_code"), F.lit(False)) & F.coalesce(days <= coded, F.lit(True))
+    apart = F.coalesce(F.col("code").isNotNull() & F.col("r_code").isNotNull() & F.col("normal") & F.col("r_normal"), F.lit(False))
+    by_card = ~apart & ~F.coalesce(F.col("code") == F.col("r_code"), F.lit(False)) & (F.col("card") == F.col("r_card")) & (days <= near)
+    found = stored(both.select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id"), by_code.alias("coded"), F.coalesce(by_card, F.lit(False)).alias("carded")).filter("coded or carded"), "candidates")
+    first = stored(unique_both_ways(found.filter("coded").select("left_id", "right_id"), "left_id", "right_id"), "coded")
+    rest = found.join(first.select("left_id"), "left_id", "left_anti").join(first.select("right_id"), "right_id", "left_anti")
+    return first.unionByName(unique_both_ways(rest.select("left_id", "right_id"), "left_id", "right_id"))
+
+
 def merge_mapping(candidates: DataFrame, settings: DataFrame) -> DataFrame:
     """(old_id, new_id) of the candidates that are one to one and whose settings do not contradict each other.
 

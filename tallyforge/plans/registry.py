@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import ingest, ledger, linkage, merchants, series
-from tallyforge.plans import banking, cardbills, linking, normalising, settling, spending, unified  # noqa: F401  (they register their queries)
+from tallyforge.plans import banking, cardbills, lifecycles, linking, normalising, settling, spending, unified  # noqa: F401  (they register their queries)
 from tallyforge.plans.catalog import QUERIES, SQL, query
 from tallyforge.plans.derived import ACT as _ACT
 from tallyforge.plans.derived import DAY as _DAY
