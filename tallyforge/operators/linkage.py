@@ -305,22 +305,78 @@ def one_to_one(candidates: DataFrame) -> DataFrame:
     return pairs.withColumns({"o": w("old_id"), "n": w("new_id")}).filter("o = 1 and n = 1").select("old_id", "new_id")
 
 
+#: Keys with more distinct times than this find their anchors by pointer jumping instead of one fold.
+FOLD_MOST = 10_000
+
+
 def anchored_groups(rows: DataFrame, keys: list[str], hours: int = 24) -> DataFrame:
     """``anchor`` of each row: the first time of its group; a group ends ``hours`` after its first row, not after a gap.
 
-    ``rows``: keys, id, ts.  Times of a key are folded in order in one aggregate of fixed-size times.
+    ``rows``: keys, id, ts.  Up to ``FOLD_MOST`` distinct times of a key are folded in order in one aggregate.  A key with more is never
+    gathered: each time learns its successor, the first time after its group would end, from one ordered pass, and the anchors are
+    what pointer jumping reaches from the key's first time.
     """
     span = hours * 3600
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.unix_seconds("ts"))).alias("ts"))
-    anchors = F.aggregate("ts", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) > 0) & (x - F.element_at(acc, -1) <= span), acc).otherwise(F.concat(acc, F.array(x))))
-    starts = times.select(*keys, F.explode(anchors).alias("anchor"))
-    spans = starts.withColumn("until", F.coalesce(F.lead("anchor").over(Window.partitionBy(*keys).orderBy("anchor")), F.lit(2**62)))
     keyed = rows.withColumn("_at", F.unix_seconds("ts"))
-    marked = keyed.select(*keys, F.col("_at").alias("at"), "id").unionByName(spans.select(*keys, F.col("anchor").alias("at"), F.lit(None).cast("long").alias("id")))
+    times = keyed.select(*keys, "_at").distinct()
+    counts = times.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = stored(counts.filter(F.col("_n") > FOLD_MOST).select(*keys), "large")
+    any_large = bool(large.limit(1).count())
+    small = null_safe(times, large, keys, "left_anti") if any_large else times
+    folded = small.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_t"))
+    anchors = F.aggregate("_t", F.array().cast("array<bigint>"), lambda acc, x: F.when((F.size(acc) > 0) & (x - F.element_at(acc, -1) <= span), acc).otherwise(F.concat(acc, F.array(x))))
+    starts = folded.select(*keys, F.explode(anchors).alias("at"))
+    if any_large:
+        starts = starts.unionByName(_jumped(null_safe(times, large, keys, "left_semi"), keys, span))
+    marked = keyed.select(*keys, F.col("_at").alias("at"), "id").unionByName(starts.select(*keys, "at", F.lit(None).cast(rows.schema["id"].dataType).alias("id")))
     w = Window.partitionBy(*keys).orderBy("at", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return marked.withColumn("anchor", F.max(F.when(F.col("id").isNull(), F.col("at"))).over(w)).filter("id is not null").select(*keys, "id", "anchor")
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi and anti joins in which null keys are equal."""
+    r = right.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)))
+    test = F.lit(True)
+    for i, k in enumerate(keys):
+        test = test & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return left.join(r, test, how)
+
+
+def _jumped(times: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """(keys, at) of the anchors: a pass in falling order gives each time its successor, then reach doubles each round."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    # one key column that is never null: the joins below are on it and a time
+    own = stored(times.select(*keys, F.xxhash64(*(F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys)).alias("_h"), "_at"), "times")
+    probes = own.select(*keys, "_h", F.col("_at").alias("of"), (F.col("_at") + span).alias("_at"), F.lit(1).alias("probe"))
+    both = probes.unionByName(own.select(*keys, "_h", F.lit(None).cast("long").alias("of"), "_at", F.lit(0).alias("probe")))
+    # falling: later times come first; at equal times the probe does, so that its own end is not after it
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("probe")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hop = both.withColumn("next", F.last(F.when(F.col("probe") == 0, F.col("_at")), True).over(w)).filter("probe = 1").select(*keys, "_h", F.col("of").alias("at"), "next")
+    hop = stored(hop.filter("next is not null"), "hops")
+    same = lambda a, b: [a[k].eqNullSafe(b[n]) for k, n in zip(keys, names, strict=True)]
+
+    def renamed(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed(dict(zip(keys, names, strict=True)) | {"_h": "_g"})
+
+    def joined(df: DataFrame, on: str, far: DataFrame) -> DataFrame:
+        other = renamed(far).withColumnsRenamed({"at": "_from", "next": "_to"})
+        test = (df["_h"] == other["_g"]) & (df[on] == other["_from"])
+        for t in same(df, other):
+            test = test & t
+        return df.join(other, test)
+
+    reached = stored(own.groupBy(*keys, "_h").agg(F.min("_at").alias("at")), "reached")
+    size = reached.count()
+    while True:
+        step = joined(reached, "at", hop).select(*keys, "_h", F.col("_to").alias("at"))
+        reached = stored(reached.union(step).distinct(), "reached", replaces=reached)
+        hop = stored(joined(hop, "next", hop).select(*keys, "_h", "at", F.col("_to").alias("next")), "hops", replaces=hop)
+        grown = reached.count()
+        if grown == size:
+            return reached.select(*keys, "at")
+        size = grown
+
+
 def two_pass_pairs(left: DataFrame, right: DataFrame, near: int = 3, coded: int = 31) -> DataFrame:
     """(left_id, right_id): rows of one purchase, first by authorisation code, then of the rest also by card; each pass keeps pairs that are unique both ways.
 

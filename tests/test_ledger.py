@@ -83,7 +83,9 @@ def test_assignment_equals_brute_force_in_any_order(spark, monkeypatch, small):
     assert linkage.assign(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_anchored_groups_compare_with_the_first_row(spark):
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_anchored_groups_compare_with_the_first_row(spark, monkeypatch, most):
+    monkeypatch.setattr(linkage, "FOLD_MOST", most)
     rnd = random.Random(3)
     rows = [(k % 5, k, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rnd.randint(0, 400))) for k in range(300)]
     got = {r.id: r.anchor for r in linkage.anchored_groups(spark.createDataFrame(rows, "key long, id long, ts timestamp"), ["key"]).collect()}
