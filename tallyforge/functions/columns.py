@@ -50,7 +50,7 @@ def activity_day(date: Column, has_time: Column) -> Column:
 
 def republican_date(text: Column) -> Column:
     """``0YYY-MM-DD`` counts from 1911."""
-    year = F.regexp_extract(text, r"^0(\d{3})-\d{2}-\d{2}", 1).try_cast("int")
+    year = F.when(text.startswith("0"), F.regexp_extract(text, r"^0(\d{3})-\d{2}-\d{2}", 1).try_cast("int"))
     return F.when(year.isNotNull(), F.concat((year + 1911).cast("string"), F.substring(text, 5, 1000))).otherwise(text)
 
 

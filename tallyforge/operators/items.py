@@ -227,3 +227,35 @@ def search_days(transactions: DataFrame, invoices: DataFrame, lines: DataFrame,
     for rows, ids in ((transactions, noted), (invoices, noted), (invoices, lined)):
         found = found.unionByName(rows.join(ids, "id", "left_semi").select("day"))
     return found.filter("day is not null").distinct().orderBy(F.desc("day")).limit(most)
+
+
+def viewed(items: DataFrame, tab: str = "ledger", role: str | None = None, review: bool = False, card: str | None = None, slice_: tuple[str, str] | None = None) -> DataFrame:
+    """The rows a view lists: the ledger without duplicates or one source as it is, a role, those to review, a card by its last digits, a slice (category, role) of the totals."""
+    rows = items.filter("duplicate_of is null") if tab == "ledger" else items.filter(F.col("source") == tab)
+    if role:
+        rows = rows.filter(_role() == role)
+    if review:
+        rows = rows.filter("review = 'needs_review'")
+    if card:
+        rows = rows.filter((F.col("source") == "card") & F.col("subtitle").contains(card))
+    if slice_:
+        rows = rows.filter((F.coalesce("category_id", F.lit("other")) == slice_[0]) & (_role() == slice_[1]) & F.col("duplicate_of").isNull())
+    return rows
+
+
+def search_page(items: DataFrame, text: str, after: tuple | None = None, most: int = 30) -> DataFrame:
+    """The next ``most`` rows that a search finds, latest day first; ``after``: day and id of the last row seen."""
+    found = filtered(items, search=text)
+    if after:
+        found = found.filter((F.col("day") < F.lit(after[0]).cast("date")) | (F.col("day") == F.lit(after[0]).cast("date")) & (F.col("id") > after[1]))
+    return found.orderBy(F.desc_nulls_last("day"), "id").limit(most)
+
+
+def source_records(items: DataFrame, invoices: DataFrame, today: str, wait: int = 10) -> DataFrame:
+    """Activities with the carrier of their invoice, and ``overdue``: an invoice of a card's carrier that waits for its payment for more than ``wait`` days.
+
+    invoices: id, carrier_type, carrier_suffix.
+    """
+    c = invoices.select(F.col("id").alias("invoice_id"), "carrier_type", "carrier_suffix")
+    late = (F.col("source") == "invoice") & F.col("carrier_suffix").isNotNull() & F.col("duplicate_of").isNull() & (F.datediff(F.lit(today).cast("date"), "day") > wait)
+    return items.join(c, "invoice_id", "left").withColumn("overdue", F.coalesce(late, F.lit(False)))

@@ -255,6 +255,13 @@ def transfer_matching(rows: DataFrame) -> DataFrame:
     return one.unionByName(some).unionByName(_rank_matching(known.filter(F.col("p") + F.col("m") > GROUP_MOST), keys))
 
 
+def transfer_counterparts(page: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows outside ``page`` that may be the other leg of one in it: same day, currency and size, other sign and account.  Both: id, account_id, day, currency, amount."""
+    wanted = page.select("day", "currency", (-F.col("amount")).alias("amount"), F.col("account_id").alias("_of")).distinct()
+    found = rows.join(wanted, ["day", "currency", "amount"]).filter(F.col("account_id") != F.col("_of")).drop("_of").distinct()
+    return found.join(page.select("id"), "id", "left_anti")
+
+
 def _rank_matching(legs: DataFrame, keys: list[str]) -> DataFrame:
     place = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     plus = legs.filter("amount > 0").select(*keys, F.col("id").alias("into_id"), F.col("account_id").alias("a"), place("account_id", "id").alias("k"))

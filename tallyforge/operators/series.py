@@ -29,6 +29,17 @@ def net_worth_by_month(snapshots: DataFrame, accounts: DataFrame, rates: DataFra
     return by_month.select("month", total.cast("double").alias("net_worth"))
 
 
+def deposits_by_day(snapshots: DataFrame, accounts: DataFrame, rates: DataFrame) -> DataFrame:
+    """(day, total): sum of the last known balances of deposits on each day with a snapshot, in TWD; changes are summed, as in :func:`net_worth_by_month`."""
+    known = accounts.filter("account_type <> 'credit'").join(rates, "currency", "left").select(F.col("id").alias("account_id"), F.when(F.col("currency") == "TWD", 1.0).otherwise(F.coalesce("rate_to_twd", F.lit(0.0))).cast("decimal(10,4)").alias("rate"))
+    last = snapshots.groupBy("account_id", F.col("as_of_day").alias("day")).agg(F.max_by("balance", "n").alias("balance"))
+    before = F.lag("balance").over(Window.partitionBy("account_id").orderBy("day"))
+    change = last.withColumn("change", F.col("balance") - F.coalesce(before, F.lit(0))).join(known, "account_id")
+    by_day = change.groupBy("day").agg(F.sum((F.col("change") * F.col("rate")).cast("decimal(24,4)")).alias("change"))
+    # one row a day: the running sum over all days is small
+    return by_day.select("day", F.sum("change").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double").alias("total"))
+
+
 def allocate_cash(withdrawals: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, amount, allocated, remaining): a month's need takes its withdrawals first to last, the rest the previous month's last to first.
 
