@@ -58,18 +58,18 @@ def _(t):
     return rows.select("l_orderkey", "l_linenumber", N.trade_asset_type(_C("symbol"), _C("type_code")).alias("asset_type"), N.trade_amount(_C("quantity"), _C("price")).alias("amount"))
 
 
-@query("nm15_holdings", """SELECT id, 'A' AS symbol, CAST(n % 50 * 2.5 AS DOUBLE) AS market_value FROM {transactions} WHERE n % 5 = 0
-  UNION ALL SELECT id, 'B', CAST(n % 9 * 10.25 AS DOUBLE) FROM {transactions} WHERE n % 5 = 0""")
+@query("nm15_holdings", """SELECT id, 'A' AS symbol, CAST(n % 50 * 2.5 AS DOUBLE) AS market_value FROM {transactions}
+  UNION ALL SELECT id, 'B', CAST(n % 9 * 10.25 AS DOUBLE) FROM {transactions}""")
 def _(t):
     payload = """'[{"symbol":"A","quantity":"' || n % 50 || '","price":"2.5"},{"symbol":"B","quantity":"' || n % 9 || '","price":"10.25"}]'"""
-    rows = t["transactions"].filter("n % 5 = 0").selectExpr("id", f"{payload} AS payload")
+    rows = t["transactions"].selectExpr("id", f"{payload} AS payload")
     return ingest.holdings(rows, "id", "payload").select("id", "symbol", "market_value")
 
 
-@query("nm16_trend_series", """WITH o AS (SELECT id, unnest([1, 2]) AS k, n FROM {transactions} WHERE n % 6 = 0), v AS (SELECT id, k - 1 AS position, n % 100 * k AS total, n % 10 * k AS fund FROM o)
+@query("nm16_trend_series", """WITH o AS (SELECT id, unnest([1, 2]) AS k, n FROM {transactions}), v AS (SELECT id, k - 1 AS position, n % 100 * k AS total, n % 10 * k AS fund FROM o)
   SELECT id, position, series, CAST(CASE series WHEN 'total' THEN total WHEN 'fund' THEN fund ELSE total - fund END AS DOUBLE) AS value FROM v, (VALUES ('total'), ('fund'), ('stock')) AS s(series)""")
 def _(t):
-    rows = t["transactions"].filter("n % 6 = 0").selectExpr("id", "array(n % 100, n % 100 * 2) AS total", "array(n % 10, n % 10 * 2) AS fund")
+    rows = t["transactions"].selectExpr("id", "array(n % 100, n % 100 * 2) AS total", "array(n % 10, n % 10 * 2) AS fund")
     return ingest.trend_series(rows, "id", "total", "fund")
 
 

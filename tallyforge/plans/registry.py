@@ -251,12 +251,12 @@ def _(t):
     return linkage.unique_pairs(rows.filter("inflow"), rows.filter("not inflow"), ["day", "amount", "merchant"])
 
 
-_CAND = "SELECT n % 500 AS old_id, 1000 + n % 701 AS new_id FROM {transactions} WHERE n < 650"
+_CAND = "SELECT CASE WHEN n % 9 = 0 THEN n - 1 ELSE n END AS old_id, 1000000 + CASE WHEN n % 11 = 0 THEN n - 2 ELSE n END AS new_id FROM {transactions}"
 
 
 @query("jn33_merge_candidates", f"WITH c AS (SELECT DISTINCT * FROM ({_CAND})) SELECT old_id, new_id FROM (SELECT *, count(*) OVER (PARTITION BY old_id) AS o, count(*) OVER (PARTITION BY new_id) AS k FROM c) WHERE o = 1 AND k = 1")
 def _(t):
-    return linkage.one_to_one(t["transactions"].filter("n < 650").select((F.col("n") % 500).alias("old_id"), (1000 + F.col("n") % 701).alias("new_id")))
+    return linkage.one_to_one(t.spark.sql(_CAND, transactions=t["transactions"]))
 
 
 @query("jn39_lifecycle_dedupe", "SELECT k AS lifecycle, id FROM (SELECT n // 3 AS k, id, row_number() OVER (PARTITION BY n // 3 ORDER BY CASE status WHEN 'posted' THEN 0 ELSE 1 END, n) AS r FROM {transactions}) WHERE r = 1")
