@@ -34,7 +34,7 @@ from tallyforge.llm.common import ROW_ID, Rolling, chunks, stored, with_row_id
 
 WIDTH = 400
 GRAM = 64
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 HOT = 2048
 
 _SEGMENTS = f"{ROW_ID} long, off int, n int, gram long, body long"
@@ -125,7 +125,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def shared_prefix(order: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
     """Whether each suffix shares ``width`` bytes with the one before it in the order.
 
-    Kasai's bound, vectorised: common prefixes are found in full for every 32nd place of the text; each
+    Kasai's bound, vectorised over a block of places at a time: common prefixes are found in full for every 32nd place of the text; each
     other place begins from that value less its distance if its predecessor is the anchor's moved as far.  Elsewhere
     the bound is not safe, as suffixes that agree in all refined bytes stand in any order: these begin from zero.
     """
@@ -147,15 +147,16 @@ def shared_prefix(order: np.ndarray, words: np.ndarray, width: int) -> np.ndarra
             go = same & ~done
             i, j, have = i[go], j[go], at[go] + 8
 
-    stride = 32
-    anchors = np.arange(0, n, stride)
-    extend(anchors, np.zeros(len(anchors), np.int64))
-    rest = np.arange(n)
-    rest = rest[rest % stride > 0]
-    step = rest % stride
-    before = prior[rest - step]
-    follows = (before >= 0) & (prior[rest] == before + step)
-    extend(rest, np.where(follows, np.maximum(common[rest - step] - step, 0), 0))
+    stride, block = 32, 1 << 17
+    for lo in range(0, n, block):
+        places = np.arange(lo, min(n, lo + block))
+        anchors = places[::stride]
+        extend(anchors, np.zeros(len(anchors), np.int64))
+        rest = places[places % stride > 0]
+        step = rest % stride
+        before = prior[rest - step]
+        follows = (before >= 0) & (prior[rest] == before + step)
+        extend(rest, np.where(follows, np.maximum(common[rest - step] - step, 0), 0))
     out = np.zeros(n, bool)
     out[1:] = common[order[1:]] >= width
     return out
