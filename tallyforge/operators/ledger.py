@@ -333,6 +333,34 @@ def item_category(items: DataFrame, share: float = 0.4) -> DataFrame:
     return out.select("invoice_id", "best.category_id")
 
 
+def listed_merchants(items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(merchant_key, name, activity_count, spending, category_id, payment_methods) of every merchant with activity or an alias.
+
+    items: merchant_key, merchant_name, payment_method, category_id, role, twd; aliases: merchant_key, display_name, category_id.  The alias names and
+    classifies its merchant; else the most frequent category counts, then the smallest id.
+    """
+    rows = items.filter("merchant_key is not null")
+    by = rows.groupBy("merchant_key", "category_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("role") == "spending", -F.col("twd"))).alias("s"), F.min("merchant_name").alias("name"), F.collect_set("payment_method").alias("methods"))
+    usual = F.min_by("category_id", F.struct((-F.col("n")).alias("n"), "category_id"))
+    seen = by.groupBy("merchant_key").agg(F.sum("n").alias("activity_count"), F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("spending"), usual.alias("_usual"), F.min("name").alias("_name"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("methods")))), ",").alias("payment_methods"))
+    out = seen.join(aliases.select("merchant_key", "display_name", F.col("category_id").alias("_own")), "merchant_key", "full")
+    return out.select(
+        "merchant_key", F.coalesce("display_name", "_name").alias("name"), F.coalesce("activity_count", F.lit(0)).alias("activity_count"), F.coalesce("spending", F.lit(0.0)).alias("spending"), F.coalesce("_own", "_usual").alias("category_id"), F.coalesce("payment_methods", F.lit("")).alias("payment_methods")
+    )
+
+
+def with_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Classified ``rows`` (merchant_key, category_id, category_source) under the users' merchant rules: overrides stay, then the alias' category counts; its role stands in ``merchant_role``.
+
+    aliases: merchant_key, category_id, economic_role; a few hundred rows of the user.
+    """
+    own = aliases.select(F.col("merchant_key").alias("_key"), F.col("category_id").alias("_category"), F.col("economic_role").alias("merchant_role"))
+    out = rows.join(own, F.col("merchant_key") == F.col("_key"), "left")
+    takes = F.col("_category").isNotNull() & (F.col("category_source") != "override")
+    new = {"category_id": F.when(takes, F.col("_category")).otherwise(F.col("category_id")), "category_source": F.when(takes, "merchant_rule").otherwise(F.col("category_source"))}
+    return out.withColumns(new).drop("_key", "_category")
+
+
 def is_withdrawal(item: dict[str, Column]) -> Column:
     """A cash withdrawal whose use is unknown: a TWD outflow of a bank account, spending, uncategorised, no duplicate and no fee.
 

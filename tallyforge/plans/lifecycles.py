@@ -149,3 +149,19 @@ def _(t):
 @query("ag11_open_activity", "SELECT count(*) AS n FROM {transactions} WHERE canonical_account_id IS NULL AND (status <> 'pending' OR matched_transaction_id IS NULL)")
 def _(t):
     return activity(t).agg(F.count(F.lit(1)).alias("n"))
+
+
+_BUYS = "SELECT id, 'name:m' || n % 300 AS merchant_key, 'M ' || n % 300 AS merchant_name, CASE n % 4 WHEN 0 THEN 'line_pay' WHEN 1 THEN 'jko_pay' END AS payment_method, 'c' || n % 5 AS category_id, CASE WHEN n % 3 = 0 THEN 'override' ELSE 'rule' END AS category_source, CASE WHEN n % 6 <> 0 THEN 'spending' ELSE 'income' END AS role, amount AS twd FROM {transactions}"
+_ALIASES = "SELECT * FROM (VALUES ('name:m1', 'First', 'c9', 'own_transfer'), ('name:m2', NULL, NULL, 'spending'), ('name:gone', 'Gone', 'c1', NULL)) AS v(merchant_key, display_name, category_id, economic_role)"
+
+
+@query("ag11_listed_merchants", f"""WITH b AS ({_BUYS}), c AS (SELECT merchant_key, category_id, count(*) AS n FROM b GROUP BY 1, 2), u AS (SELECT merchant_key, category_id FROM (SELECT *, row_number() OVER (PARTITION BY merchant_key ORDER BY n DESC, category_id) AS r FROM c) WHERE r = 1),
+  s AS (SELECT merchant_key, min(merchant_name) AS name, count(*) AS n, CAST(coalesce(sum(CASE WHEN role = 'spending' THEN -twd END), 0) AS DOUBLE) AS spending, coalesce(string_agg(DISTINCT payment_method, ',' ORDER BY payment_method), '') AS methods FROM b GROUP BY 1)
+  SELECT coalesce(s.merchant_key, a.merchant_key) AS merchant_key, coalesce(display_name, name) AS name, coalesce(n, 0) AS activity_count, coalesce(spending, 0) AS spending, coalesce(a.category_id, u.category_id) AS category_id, coalesce(methods, '') AS payment_methods FROM s LEFT JOIN u ON u.merchant_key = s.merchant_key FULL JOIN ({_ALIASES}) a ON a.merchant_key = s.merchant_key""")
+def _(t):
+    return ledger.listed_merchants(_sql(t, _BUYS, "transactions"), t.spark.sql(_ALIASES))
+
+
+@query("cl4_with_aliases", f"""SELECT id, CASE WHEN a.category_id IS NOT NULL AND category_source <> 'override' THEN a.category_id ELSE b.category_id END AS category_id, CASE WHEN a.category_id IS NOT NULL AND category_source <> 'override' THEN 'merchant_rule' ELSE category_source END AS category_source, economic_role AS merchant_role FROM ({_BUYS}) b LEFT JOIN ({_ALIASES}) a ON a.merchant_key = b.merchant_key""")
+def _(t):
+    return ledger.with_aliases(_sql(t, _BUYS, "transactions"), t.spark.sql(_ALIASES)).select("id", "category_id", "category_source", "merchant_role")
