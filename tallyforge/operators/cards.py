@@ -164,3 +164,32 @@ def deposit_events(deposits: DataFrame, accounts: DataFrame, transactions: DataF
 def is_payment_credit(text: Column, amount: Column) -> Column:
     """Money in on a card that is a payment, not a refund."""
     return F.coalesce((amount > 0) & text.rlike("(?i)繳款|扣繳|自扣|還款|payment") & ~text.rlike("(?i)退款|退貨|退費|折讓|回饋|refund|cashback"), F.lit(False))
+
+
+def assigned_payments(bills: DataFrame, payments: DataFrame) -> DataFrame:
+    """(bill_id, payment_id, paid, is_paid): each payment takes one bill of its card and currency, first one whose period or due month is the payment's, else the newest; no bill twice.
+
+    bills: bill_id, card, currency, billing_period, due_date, statement_amount, paid; payments: payment_id, card, currency, day,
+    amount.  Payments are taken in the order of day and id.  A card's bills are few, so a card is one task.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    b = bills.select("card", "currency", F.lit(0).alias("kind"), F.col("bill_id").alias("id"), "billing_period", text("due_date"), F.col("statement_amount").cast("double").alias("statement"), F.col("paid").cast("double").alias("amount"))
+    none = F.lit(None)
+    p = payments.select("card", "currency", F.lit(1).alias("kind"), F.col("payment_id").alias("id"), F.col("day").cast("string").alias("billing_period"), none.cast("string").alias("due_date"), none.cast("double").alias("statement"), F.col("amount").cast("double").alias("amount"))
+    kind = dict(b.dtypes)["id"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        open_ = list(part[part.kind == 0].sort_values("billing_period", ascending=False).itertuples())
+        out = []
+        for x in part[part.kind == 1].sort_values(["billing_period", "id"]).itertuples():
+            month = x.billing_period[:7]
+            found = next((k for k in open_ if k.billing_period == month or (k.due_date or "")[:7] == month), open_[0] if open_ else None)
+            if found is None:
+                break
+            open_.remove(found)
+            paid = (found.amount if found.amount == found.amount and found.amount is not None else 0.0) + x.amount
+            known = found.statement is not None and found.statement == found.statement
+            out.append((found.id, x.id, paid, bool(paid >= found.statement) if known else None))
+        return pd.DataFrame(out, columns=["bill_id", "payment_id", "paid", "is_paid"])
+
+    return b.unionByName(p).groupBy("card", "currency").applyInPandas(run, f"bill_id {kind}, payment_id {kind}, paid double, is_paid boolean")

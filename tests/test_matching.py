@@ -85,3 +85,30 @@ def test_rules_with_prefix_ids_bad_patterns_and_statuses(spark):
     told = {"已撤銷": True, "已退回": True, "valid": True, "Cancelled": True, "正常": False, "ISSUED": False, "Confirmed": False, None: False, " ": False, "ＶＯＩＤ": True, "開立": False}
     frame = spark.createDataFrame([(k,) for k in told], "status string")
     assert {r.status: r.v for r in frame.select("status", C.is_voided(F.col("status")).alias("v")).collect()} == told
+
+
+def test_payments_take_bills_by_month_then_the_newest(spark):
+    bills = [("b1", "c", "TWD", "2024-01", "2024-02-10", 100.0, None), ("b2", "c", "TWD", "2024-02", "2024-03-10", 50.0, 20.0), ("b3", "c", "TWD", "2024-03", None, None, None), ("b4", "d", "USD", "2024-01", None, 5.0, None)]
+    paid = [("p1", "c", "TWD", "2024-03-05", 30.0), ("p2", "c", "TWD", "2024-02-01", 40.0), ("p3", "c", "TWD", "2024-09-01", 7.0), ("p4", "c", "TWD", "2024-09-02", 7.0), ("p5", "d", "TWD", "2024-01-01", 5.0)]
+    b = spark.createDataFrame(bills, "bill_id string, card string, currency string, billing_period string, due_date string, statement_amount double, paid double")
+    p = spark.createDataFrame(paid, "payment_id string, card string, currency string, day string, amount double")
+    # newest first among equals: the payment of February takes February's bill, March's its own, the third what is left
+    assert {tuple(r) for r in cards.assigned_payments(b, p).collect()} == {("b2", "p2", 60.0, True), ("b3", "p1", 30.0, None), ("b1", "p3", 7.0, False)}
+
+
+def test_export_has_items_by_month_and_summaries(spark, tmp_path):
+    from tallyforge.sources import export
+
+    rows = spark.createDataFrame([("2024-01", "paid 1234567890123", 1.0), ("2024-02", "x", 2.0)], "month string, title string, amount double")
+    export.export_items(rows, str(tmp_path / "out"), summaries=spark.createDataFrame([("2024-01", 1.0)], "month string, spending double"))
+    got = {r.month: r.title for r in spark.read.json(str(tmp_path / "out/items")).collect()}
+    assert got == {"2024-01": "paid ****0123", "2024-02": "x"} and spark.read.json(str(tmp_path / "out/summaries")).count() == 1
+
+
+def test_month_ranges():
+    from tallyforge.operators import ledger
+
+    assert ledger.checked_months("2024-03", "2025-02") == ("2024-03-01", "2025-03-01") and ledger.checked_months("2024-12", "2024-12") == ("2024-12-01", "2025-01-01")
+    for bad in (("2024-03", "2025-03"), ("2024-03", "2024-02"), ("2024-13", "2024-13")):
+        with pytest.raises(ValueError):
+            ledger.checked_months(*bad)
