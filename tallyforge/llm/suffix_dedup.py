@@ -35,6 +35,7 @@ from tallyforge.llm.common import ROW_ID, Rolling, chunks, stored, with_row_id
 WIDTH = 400
 GRAM = 64
 SHARD_BYTES = 2 << 20
+PIECE = 1 << 19
 HOT = 2048
 
 _SEGMENTS = f"{ROW_ID} long, off int, n int, gram long, body long"
@@ -76,11 +77,26 @@ def segments_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[a], a - offs[:-1][text[a]], count, grams[at[first]].view(np.int64), body.view(np.int64)
 
 
+def _pieces(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """:func:`segments_of` in steps of ``PIECE`` windows, so that a long text takes no more memory than a short one.
+
+    A step may part a segment in two; both keep its minimizer, so no equal windows are lost.
+    """
+    if len(data) <= PIECE + WIDTH:
+        yield segments_of(data, offs)
+        return
+    for lo in range(0, len(data), PIECE):
+        hi = min(len(data), lo + PIECE + WIDTH - 1)
+        own = np.clip(offs, lo, hi) - lo
+        text, off, n, gram, body = segments_of(data[lo:hi], own)
+        yield text, off + own[text] + lo - offs[text], n, gram, body
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.asarray(batch.column(ROW_ID))
-        for a, b, data, offs in chunks(batch.column("text")):
-            text, off, n, gram, body = segments_of(data, offs)
+        found = ((a, b, part) for a, b, data, offs in chunks(batch.column("text"), PIECE) for part in _pieces(data, offs))
+        for a, b, (text, off, n, gram, body) in found:
             yield pa.RecordBatch.from_arrays([pa.array(rows[a:b][text]), pa.array(off.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram), pa.array(body)], [ROW_ID, "off", "n", "gram", "body"])
 
 

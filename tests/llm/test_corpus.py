@@ -110,9 +110,18 @@ def brute_passages(texts, width=400):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(2048, 3 << 20), (2, 15_000)])
-def test_repeated_passages_match_brute_force(documents, monkeypatch, hot, shard):
+def test_segments_of_pieces_cover_the_same_windows(monkeypatch):
+    raw = [prose(n).encode() for n in (400, 3, 900, 0, 60)]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    windows = lambda parts: sorted((int(t), int(o) + k, int(g)) for part in parts for t, o, n, g, _ in zip(*part, strict=True) for k in range(n))
+    assert windows(suffix_dedup._pieces(data, offs)) == windows([suffix_dedup.segments_of(data, offs)])
+
+
+@pytest.mark.parametrize(("hot", "shard", "piece"), [(2048, 3 << 20, 1 << 19), (2, 15_000, 1 << 19), (2048, 15_000, 900)])
+def test_repeated_passages_match_brute_force(documents, monkeypatch, hot, shard, piece):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
     piece = lambda n: "".join(RNG.choice("abcdefgh é") for _ in range(n))
     shared = [piece(RNG.randint(100, 900)) for _ in range(10)]
