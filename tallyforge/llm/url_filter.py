@@ -107,11 +107,11 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 p AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, row_number() OVER () AS at FROM h),
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, row_number() OVER () AS nr FROM h),
 r(rule_host, rule_path, said) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f AS (
   SELECT p.*, r.rule_host || r.rule_path AS rule, r.said,
-         row_number() OVER (PARTITION BY at ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC) AS place
+         row_number() OVER (PARTITION BY nr ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC) AS place
   FROM p LEFT JOIN r ON (p.host = r.rule_host OR suffix(p.host, '.' || r.rule_host)) AND prefix(p.path, r.rule_path))
 SELECT page_id, host, path, rule, coalesce(said, 'allow') AS verdict FROM f WHERE place = 1
 """
