@@ -17,6 +17,7 @@ _MODULES = {
     "op7_suffix_array_dedup": ("suffix_dedup", "op7"),
     "op9_simhash_near_dedup": ("simhash", "op9"),
     "op11_importance_resampling": ("resampling", "op11"),
+    "op12_conversation_repair": ("conversations", "op12"),
     "op13_url_filter": ("url_filter", "op13"),
 }
 
@@ -24,6 +25,7 @@ _SQL = {
     "op3_mix_sources": ("mixing", "OP3_SQL"),
     "op8_decontaminate": ("decontaminate", "OP8_SQL"),
     "op11_importance_resampling": ("resampling", "OP11_SQL"),
+    "op12_conversation_repair": ("conversations", "OP12_SQL"),
     "op13_url_filter": ("url_filter", "OP13_SQL"),
 }
 
