@@ -2,15 +2,16 @@ r"""Main text of HTML pages by tag-path ratios.
 
 A page becomes text segments, each with its root-to-leaf tag path.  Per path: characters of text outside links,
 characters inside links, punctuation marks and segments.  The score of a path fuses text a segment and punctuation with the
-share outside links, and is smoothed with its neighbours in page order unless most of its text is links; a path through a
-block that its element or name tells from the article is below any threshold.  A path is
-content if it scores at least ``CUT`` of the page's median over text characters, inside ``article`` and ``main`` and
-outside.  A weaker path with half its text or more outside links stays if it lies below the common ancestor of the
-content (below an article or main that holds content, if there are any) and a segment of it is next to content in page
-order, as headings and short list items are; without article or main, so does a ``h1``.  The blocks told by element or name
-are navigation, header, footer, aside, form and the like, and those whose class or id names a menu,
-advert, notice, sidebar or comment list (a step of their paths ends in ``!``); names such as ``has-sidebar`` or ``entry-header`` tell of
-the page or the article, not of such a block.
+share outside links, and is smoothed with its neighbours in page order unless most of its text is links.  What elements and
+names say is a factor of the score: 0 for blocks that are no part of the article (navigation, header, footer, aside, form; a class or id
+that is the name of a menu, advert, notice, sidebar or comment list), ``DOUBT`` where such a word is only part of a name that also has a word for
+the article (``story-banner``) and where a name says tags or links, else 1; names such as ``has-sidebar`` or ``entry-header`` tell of the page or the article.  A path takes its least
+factor.  It is content if it scores at least ``CUT`` of the page's median over text characters.
+
+If the nearest ``article`` and ``main`` elements above content paths hold at least half of the content's text, the article is what stands in
+them: every path below them with factor 1, headings, lists of links and short items included, and doubtful ones that are content.  Else it is the content, and
+weaker paths below its common ancestor with half their text or more outside links and a segment next to content in page order, as headings and short
+list items have, and any ``h1``.
 
 Pages are independent: one pass in Arrow batches, no shuffle; a page is read whole.
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 CUT = 0.2
 SMOOTH = 0.25
+DOUBT = 0.5
 
 # Element and name lists.
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
@@ -58,8 +60,13 @@ _MODIFIER = re.compile(
     r"|(?:^|[_-])(?:content|main)[_-]sidebar(?=$|[_-](?:wrap|layout))|(?:^|[_-])[a-z]+[_-](?:open|opened|closed|collapsed|expanded|enabled|disabled|layout|fixed|active)$",
     re.I,
 )
+# lists of links that belong to the page rather than to the text, if they hold nothing else
+_LINKS = re.compile(r"^(?:(?:post|entry|article|story)[_-])?(?:tags?|links?|categor(?:y|ies)|topics|keywords)(?:[_-](?:list|links?|cloud))?$", re.I)
+# a word for the article beside one of _NOISE leaves the block in doubt, but for what always stands apart from the text
+_ARTICLE_WORD = re.compile(r"(?:^|[_-])(?:article|story|post|entry|review|feature|chapter|essay|lead|intro|summary|abstract|hero)(?:$|[_-])", re.I)
+_APART = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|comments?|comment-\w+|disqus|respond|replies|nav\w*|footer\w*|pagination|pager|share|sharing|social|related|recommend\w*|newsletter|subscribe|cookies?|consent|sidebar\w*)(?:$|[_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
 _CLASS = re.compile(r"""\bclass\s*=\s*["']?\s*([^\s"'>]+)""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？：；]")
@@ -67,20 +74,36 @@ _SPACE = re.compile(r"\s+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in _RAW}
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _factor(tag: str, attributes: str) -> float:
+    """What an element and its names say: 0 no part of the article, ``DOUBT``, or 1."""
     if tag in _NEVER:
-        return True
+        return 0.0
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 1.0
+    least = 1.0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in _ROLES or name in ("class", "id") and any(_NOISE.search(_MODIFIER.sub("", x)) for x in value.split()):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
+            return 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 0.0
+        if name in ("class", "id"):
+            for word in (_MODIFIER.sub("", x) for x in value.split()):
+                if _NOISE.search(word):
+                    if not _ARTICLE_WORD.search(word) or _APART.search(word):
+                        return 0.0
+                    least = DOUBT
+                elif _LINKS.search(word):
+                    least = DOUBT
+    return least
+
+
+#: The mark at the end of a path's step for each factor.
+_MARK = {0.0: "!", DOUBT: "?", 1.0: ""}
+
+
+def _least(path: tuple[str, ...]) -> float:
+    return 0.0 if any(step[-1] == "!" for step in path) else DOUBT if any(step[-1] == "?" for step in path) else 1.0
 
 
 def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
@@ -91,7 +114,7 @@ def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
 
     def emit(text: str) -> None:
         if text:
-            path = tuple(step for t, step in stack if t not in _INLINE or step[-1] == "!")
+            path = tuple(step for t, step in stack if t not in _INLINE or step[-1] in "!?")
             linked = len(text) if any(t == "a" for t, _ in stack) else 0
             out.append((path, block, text, linked))
 
@@ -141,18 +164,17 @@ def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         # a class tells apart containers of the same tag
         named = _CLASS.search(m[3]) if m[3] and tag in ("div", "section", "td") else None
         step = f"{tag}.{named[1].lower()}" if named else tag
-        stack.append((tag, f"{step}!" if _is_noise(tag, m[3]) else step))
+        stack.append((tag, step + _MARK[_factor(tag, m[3])]))
     return out
 
 
 def path_ratios(found: list[tuple[tuple[str, ...], int, str, int]]) -> dict[tuple[str, ...], float]:
-    """Fused and smoothed score of each tag path; -1 for paths through a block that is no article by its element or name."""
+    """Fused and smoothed score of each tag path; paths with factor 0 have none and take no part in the others'."""
     total: dict[tuple[str, ...], list[float]] = {}
     order: list[tuple[str, ...]] = []
     smooth: dict[tuple[str, ...], float] = {}
     for path, _, text, linked in found:
-        if any(step[-1] == "!" for step in path):
-            smooth[path] = -1.0
+        if not _least(path):
             continue
         if path not in total:
             total[path] = [0.0, 0.0, 0.0, 0.0]
@@ -167,6 +189,7 @@ def path_ratios(found: list[tuple[tuple[str, ...], int, str, int]]) -> dict[tupl
     for k, p in enumerate(order):
         near = [raw[j] for j in (k - 1, k + 1) if 0 <= j < len(raw)]
         smooth[p] = (1 - SMOOTH) * raw[k] + SMOOTH * (sum(near) / len(near)) if near and 2 * total[p][1] <= total[p][0] else raw[k]
+        smooth[p] *= _least(p)
     return smooth
 
 
@@ -179,40 +202,43 @@ def _common(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
     return low[:k]
 
 
+def _article(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the nearest article or main above, or none."""
+    for k in range(len(path) - 1, -1, -1):
+        if path[k] in ("article", "main"):
+            return path[: k + 1]
+    return ()
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     # cut references at the very end stay as text: html.unescape leaves what it does not know
     every = segments(page)
-    found = [x for x in every if x[2].strip()]
-    score = path_ratios(found)
-    found = [x for x in found if score[x[0]] >= 0]
+    score = path_ratios([x for x in every if x[2].strip()])
+    found = [x for x in every if x[2].strip() and x[0] in score]
     if not found:
         return ""
     typical = median([score[p] for p, _, text, _ in found for _ in range(1 + len(text) // 200)])
     content = {p for p in score if score[p] >= CUT * typical}
-    # weak neighbours stay below the articles that hold content, or else below the common ancestor
-    roots = set()
-    for p in content:
-        for k in range(len(p) - 1, -1, -1):
-            if p[k] in ("article", "main"):
-                roots.add(p[: k + 1])
-                break
     size: dict[tuple[str, ...], list[int]] = {}
     for path, _, text, linked in found:
         t = size.setdefault(path, [0, 0])
         t[0] += len(text.strip())
         t[1] += min(linked, len(text.strip()))
-    tops = roots or ({_common(content)} if content else set())
-    order = [x[0] for x in found]
-    weak = set()
-    for k, p in enumerate(order):
-        if p in content or 2 * size[p][1] > size[p][0]:
-            continue
-        beside = any(q in content for q in order[max(k - 1, 0) : k + 2])
-        if beside and any(p[: len(r)] == r for r in tops) or not roots and p and p[-1] == "h1":
-            weak.add(p)
-    content |= weak
+    roots = {r for p in content for r in [_article(p)] if r}
+    inside = sum(size[p][0] for p in content if any(p[: len(r)] == r for r in roots))
+    if 2 * inside >= sum(size[p][0] for p in content) > 0:
+        content = {p for p in score if any(p[: len(r)] == r for r in roots) and (p in content or _least(p) == 1.0)}
+    else:
+        top = _common(content) if content else ()
+        order, weak = [x[0] for x in found], set()
+        for k, p in enumerate(order):
+            if p not in content and 2 * size[p][1] <= size[p][0]:
+                beside = any(q in content for q in order[max(k - 1, 0) : k + 2])
+                if beside and p[: len(top)] == top or p and p[-1] == "h1":
+                    weak.add(p)
+        content |= weak
     blocks: list[list[str]] = []
     last = None
     # segments of one block are one line, even around inline elements

@@ -1,6 +1,7 @@
 """Quality rules: fixed counts of the text, then a calibrated hashed n-gram logistic regression.
 
-Base counts (words, symbols, repeated lines, repeated 5-word windows) are vectorised over Arrow batches.  The
+Base counts (words, symbols, repeated lines, repeated 5-word windows) are vectorised over Arrow batches; lines and windows whose
+hashes are equal are compared by their bytes.  The
 model is logistic regression over the mean weight of a text's hashed words and word pairs and that of its 3-grams of code
 points, trained by AdaGrad on a bounded sample (``TRAIN_ROWS`` labelled rows, of each the ``TRAIN_FEATURES`` most frequent
 coordinates) and calibrated by Platt scaling on
@@ -56,6 +57,17 @@ def coordinates(data: np.ndarray, offs: np.ndarray, rolling: Rolling, word: np.n
     return (word >> shift).astype(np.int64), pair, gram, np.stack((first[:-1], np.maximum(first[:-1], first[1:] - 2)))
 
 
+def _twins(key: np.ndarray) -> np.ndarray:
+    """Places, in order, whose key stands elsewhere too."""
+    order = np.argsort(key, kind="stable")
+    twin = np.zeros(len(key), bool)
+    if len(key) > 1:
+        equal = key[order[1:]] == key[order[:-1]]
+        twin[1:] |= equal
+        twin[:-1] |= equal
+    return np.sort(order[twin])
+
+
 def base_counts(data: np.ndarray, offs: np.ndarray, rolling: Rolling, start: np.ndarray, end: np.ndarray, word: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     n_texts = len(offs) - 1
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -75,8 +87,14 @@ def base_counts(data: np.ndarray, offs: np.ndarray, rolling: Rolling, start: np.
     first, last = first[worded], last[worded]
     owner = np.searchsorted(offs, first, "right") - 1
     key = mix(rolling.span(first, last) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, one = np.unique(key, return_index=True)
-    out["n_dup_lines"] = np.bincount(owner, minlength=n_texts) - np.bincount(owner[one], minlength=n_texts)
+    out["n_dup_lines"] = np.zeros(n_texts, np.int64)
+    seen: set[tuple[int, bytes]] = set()
+    # equal hashes only nominate: lines are compared byte by byte
+    for i in _twins(key):
+        line = (int(owner[i]), data[first[i] : last[i]].tobytes())
+        if line in seen:
+            out["n_dup_lines"][line[0]] += 1
+        seen.add(line)
     # words under a 5-word window that its text has twice
     n = len(word) - WINDOW + 1
     out["n_repeat_words"] = np.zeros(n_texts, np.int64)
@@ -87,15 +105,16 @@ def base_counts(data: np.ndarray, offs: np.ndarray, rolling: Rolling, start: np.
         whole = text[:n] == text[WINDOW - 1 :]
         at = np.flatnonzero(whole)
         h = mix(h[at] + text[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(h)
-        h = h[order]
-        twin = np.zeros(len(h), bool)
-        if len(h) > 1:
-            equal = h[1:] == h[:-1]
-            twin[1:] |= equal
-            twin[:-1] |= equal
+        at = at[_twins(h)]
+        # windows with equal hashes are compared by their words, numbered by their bytes
+        wanted = np.unique(at[:, None] + np.arange(WINDOW)) if len(at) else at
+        number: dict[bytes, int] = {}
+        numbers = np.zeros(len(word), np.int64)
+        numbers[wanted] = [number.setdefault(data[a:b].tobytes(), len(number)) for a, b in zip(start[wanted], end[wanted], strict=True)]
+        rows = np.column_stack((text[at], *(numbers[at + k] for k in range(WINDOW))))
+        _, which, often = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
         cover = np.zeros(len(word) + 1, np.int64)
-        at = at[order[twin]]
+        at = at[often[which.ravel()] > 1]
         cover[at] += 1
         cover[at + WINDOW] -= 1
         out["n_repeat_words"] = np.bincount(text[np.cumsum(cover)[:-1] > 0], minlength=n_texts)

@@ -11,7 +11,8 @@ form runs; pointer jumping over runs (doubling each round, over narrow rows) kee
 record whose payload holds the magic is put together from its pieces.  Memory is bounded by a record.
 
 Defined cases: a null html is an empty payload; a null page_id reads back as null and comes last among equal
-payloads; of repeated rows one is the response, the others revisit it; empty tables give no rows.
+payloads; of repeated rows one is the response, the others revisit it; empty tables give no rows; blanks, controls and line or
+paragraph separators in a URL are percent-encoded in its header, so no URL can end its line or stand for another header.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import ROW_ID, fresh_path, stored, with_row_id
+from tallyforge.llm.common import ROW_ID, fresh_path, steady_splits, stored, with_row_id
 
 REVISIT = 100
 MAGIC = "WARC/1.1\r\n"
 _BREAK = "\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
+_UNSAFE = r"[\x00-\x20\x7F-\x9F\u00A0\u2028\u2029]"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -32,6 +34,17 @@ def _line(name: str, *value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), *value, F.lit("\r\n"))
 
 
+def _encoded(url: Column) -> Column:
+    """``url`` with every blank, control and separator percent-encoded."""
+    each = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(_UNSAFE), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.when(url.rlike(_UNSAFE), F.array_join(each, "")).otherwise(url)
+
+
+def _field(block: str | Column, name: str, value: str = r"[^\r\n]*?") -> Column:
+    """The first header line ``name`` of ``block``; only CR LF ends a line."""
+    return F.regexp_extract(block, rf"(?i)(?:^|\r\n){name}:[ \t]*({value})[ \t]*(?=\r\n|\z)", 1)
+
+
 def _id(page: str, row: str) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col(row).cast("string"), F.lit(">"))
 
@@ -60,7 +73,7 @@ def records(pages: DataFrame) -> DataFrame:
         _line("WARC-Type", F.when(is_again, "revisit").otherwise("response")),
         _line("WARC-Record-ID", _id("page_id", ROW_ID)),
         _line("WARC-Date", F.lit(_DATE)),
-        _line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
+        _line("WARC-Target-URI", _encoded(F.coalesce("url", F.lit("")))),
         _line("WARC-Payload-Digest", F.lit("sha256:"), F.col("digest")),
         refers,
         _line("Content-Type", F.lit("application/http; msgtype=response")),
@@ -76,6 +89,7 @@ def write(pages: DataFrame, path: str) -> None:
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, part, at, value): what stands between magic lines, in the order of (part, at) in a file."""
+    steady_splits(spark)
     meta = F.col("_metadata")
     return spark.read.option("lineSep", MAGIC).text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("part"), F.monotonically_increasing_id().alias("at"), "value")
 
@@ -83,16 +97,15 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 def _parsed(value: str = "value") -> dict[str, Column]:
     """Header fields and payload of a candidate, as far as its piece goes."""
     head = F.substring_index(value, _BREAK, 1)
-    field = lambda name: F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
     return {
         "head": head,
         "block_bytes": F.octet_length(value) - F.octet_length("head") - len(_BREAK),
         "length": F.expr("try_cast(nullif(length_text, '') as bigint)"),
-        "length_text": field("Content-Length"),
-        "kind": field("WARC-Type"),
-        "id": field("WARC-Record-ID"),
-        "refers": field("WARC-Refers-To"),
-        "said": F.regexp_extract("head", r"(?im)^WARC-Payload-Digest:[ \t]*sha256:([0-9a-f]+)", 1),
+        "length_text": _field("head", "Content-Length", "[0-9]+"),
+        "kind": _field("head", "WARC-Type"),
+        "id": _field("head", "WARC-Record-ID"),
+        "refers": _field("head", "WARC-Refers-To"),
+        "said": F.regexp_extract(_field("head", "WARC-Payload-Digest"), r"\Asha256:([0-9a-f]+)\z", 1),
     }
 
 
@@ -101,15 +114,15 @@ def _with_payload(df: DataFrame, value: str) -> DataFrame:
     block = F.substring(F.col(value), F.length("head") + len(_BREAK) + 1, F.lit(2**31 - 1))
     http = F.substring_index("block", _BREAK, 1)
     payload = F.substring(F.col("block"), F.length("http") + len(_BREAK) + 1, F.length("block") - F.length("http") - 2 * len(_BREAK))
-    df = df.withColumn("block", block).withColumn("http", http)
-    full = F.regexp_extract("http", r"(?im)^Content-Length:[ \t]*([0-9]+)", 1).cast("long")
+    df = df.withColumn("block", block).withColumn("http", http).withColumn("said_bytes", _field("http", "Content-Length", "[0-9]+"))
+    full = F.expr("try_cast(nullif(said_bytes, '') as bigint)")
     is_again = F.col("kind") == "revisit"
     return df.withColumns(
         {
             "payload_bytes": F.when(is_again, full).otherwise(F.col("length") - F.octet_length("http") - len(_BREAK)),
             "payload_digest": F.when(is_again, F.col("said")).otherwise(F.sha2(payload.cast("binary"), 256)),
         }
-    ).drop("block", "http")
+    ).drop("block", "http", "said_bytes")
 
 
 def _reachable(candidates: DataFrame) -> DataFrame:

@@ -161,22 +161,26 @@ def brute_main_text(page):
     for k, p in enumerate(order):
         near = [raw[order[j]][0] for j in (k - 1, k + 1) if 0 <= j < len(order)]
         score[p] = 0.75 * raw[p][0] + 0.25 * sum(near) / len(near) if near and raw[p][1] else raw[p][0]
+        score[p] *= 0.5 if "div.tags" in p else 1
     typical = median(score[p] for p, _, t, *_ in good for _ in range(1 + len(t) // 200))
     chosen = {p for p in order if score[p] >= 0.2 * typical}
-    tops = {p[: k + 1] for p in chosen for k in [max((j for j, s in enumerate(p) if s in ("article", "main")), default=-1)] if k >= 0}
-    roots_found = bool(tops)
-    if not tops and chosen:
+    # articles that hold half of the content are taken whole; else the content and what is weak beside it
+    tops = {p[: max(j for j, s in enumerate(p) if s in ("article", "main")) + 1] for p in chosen if {"article", "main"} & set(p)}
+    chars = lambda paths: sum(len(t.strip()) for p, _, t, *_ in good if p in paths)
+    within = {p for p in order if any(p[: len(r)] == r for r in tops)}
+    if chosen and 2 * chars(within & chosen) >= chars(chosen):
+        chosen, weak = {p for p in within if p in chosen or "div.tags" not in p}, set()
+    else:
         k = 0
-        low, high = min(chosen), max(chosen)
+        low, high = min(chosen, default=()), max(chosen, default=())
         while k < min(len(low), len(high)) - 1 and low[k] == high[k]:
             k += 1
-        tops = {low[:k]}
-    weak = set()
-    for k, (p, *_) in enumerate(good):
-        if p not in chosen and raw[p][1]:
-            beside = any(q in chosen for q, *_ in good[max(k - 1, 0) : k + 2])
-            if beside and any(p[: len(r)] == r for r in tops) or not roots_found and p[-1] == "h1":
-                weak.add(p)
+        weak = set()
+        for n, (p, *_) in enumerate(good):
+            if p not in chosen and raw[p][1]:
+                beside = any(q in chosen for q, *_ in good[max(n - 1, 0) : n + 2])
+                if beside and p[:k] == low[:k] or p[-1] == "h1":
+                    weak.add(p)
     lines = defaultdict(str)
     for p, block, t, *_ in parser.out:
         if p in chosen | weak and not any(s in ("nav", "footer", "div.ad") for s in p):
