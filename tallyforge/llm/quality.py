@@ -3,8 +3,7 @@
 Base counts (words, symbols, repeated lines, repeated 5-word windows) are vectorised over Arrow batches; lines and windows whose
 hashes are equal are compared by their bytes.  The
 model is logistic regression over the mean weight of a text's hashed words and word pairs and that of its 3-grams of code
-points, trained by AdaGrad on a bounded sample (``TRAIN_ROWS`` labelled rows, of each the ``TRAIN_FEATURES`` most frequent
-coordinates) and calibrated by Platt scaling on
+points, trained by AdaGrad on a bounded sample of whole texts (``TRAIN_ROWS`` labelled rows and ``TRAIN_BYTES`` of text) and calibrated by Platt scaling on
 the sample's fold ``CALIBRATION``, which training does not see.  Weights are broadcast as integers (8 * 2**BITS
 bytes), so a text's score does not depend on its batch.  A text is kept if its probability is ``KEEP`` or more.
 
@@ -26,7 +25,7 @@ from tallyforge.llm.sampling import labelled_sample
 
 BITS = 18
 TRAIN_ROWS = 6000
-TRAIN_FEATURES = 16_384
+TRAIN_BYTES = 32 << 20
 EPOCHS = 12
 RATE, L2 = 0.5, 1e-4
 SCALE = 20.0
@@ -136,9 +135,6 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 g, gn = np.unique(grams[lo[i] : hi[i]], return_counts=True)
                 own = np.concatenate((w, g.astype(np.int64) + (1 << BITS))).astype(np.int32)
                 mean = np.concatenate((wn / (wn.sum() + PRIOR_WORDS), gn / (gn.sum() + PRIOR_GRAMS))).astype(np.float32) * np.float32(SCALE)
-                if len(own) > TRAIN_FEATURES:
-                    most = np.sort(np.argsort(-mean, kind="stable")[:TRAIN_FEATURES])
-                    own, mean = own[most], mean[most]
                 at.append(own)
                 value.append(mean)
         yield pa.RecordBatch.from_arrays(
@@ -200,7 +196,7 @@ def platt(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float]:
     """Integer weights, intercept, and Platt slope and shift."""
     # no fold is held out here, but calibration needs one of its own
-    sample = labelled_sample(documents, labels, "quality", TRAIN_ROWS, MODULUS, -1).select("doc_id", "text", "label", F.col("fold").cast("int").alias("fold"))
+    sample = labelled_sample(documents, labels, "quality", TRAIN_ROWS, MODULUS, -1, TRAIN_BYTES).select("doc_id", "text", "label", F.col("fold").cast("int").alias("fold"))
     got = sample.mapInArrow(_hashed, "doc_id long, label int, fold int, at array<int>, value array<float>").toArrow()
     if not got.num_rows:
         return np.zeros(2 << BITS, np.int32), 30.0, 1.0, 0.0

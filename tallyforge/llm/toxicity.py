@@ -2,8 +2,7 @@
 
 Features: presence of words, word pairs and pairs with one word between (bytes, A-Z folded; a word is
 ASCII letters and digits and anything beyond ASCII), hashed into ``2**BITS`` coordinates.  Training takes
-a bounded sample (``TRAIN_ROWS`` labelled rows outside the held-out fold, of each the ``TRAIN_FEATURES`` least coordinates, as
-many as a text of some five thousand words has); executors hash the texts and
+a bounded sample of whole texts (``TRAIN_ROWS`` labelled rows outside the held-out fold and ``TRAIN_BYTES`` of text); executors hash the texts and
 the sequential FTRL pass, with per-coordinate rates and L1, runs over the hashed rows.  L1 leaves a few thousand
 weights; they are broadcast as integers, at most 4 * 2**BITS bytes, so sums do not depend on batches.
 
@@ -27,7 +26,7 @@ from tallyforge.llm.sampling import labelled_sample
 
 BITS = 20
 TRAIN_ROWS = 12_000
-TRAIN_FEATURES = 16_384
+TRAIN_BYTES = 64 << 20
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 # toxic rows are about one in nine; the weight of theirs was chosen on a fold of the training rows
@@ -62,7 +61,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, at = features(data, offs)
             key = np.unique((text << BITS) | at)
             cut = np.searchsorted(key >> BITS, np.arange(b - a + 1))
-            lists += [(key[cut[i] : min(cut[i + 1], cut[i] + TRAIN_FEATURES)] & ((1 << BITS) - 1)).astype(np.int32) for i in range(b - a)]
+            lists += [(key[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)).astype(np.int32) for i in range(b - a)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "at"])
 
 
@@ -89,7 +88,7 @@ def ftrl(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float]:
 
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, int]:
     """Integer weights by coordinate and intercept, in units of 1 / 65536."""
-    sample = labelled_sample(documents, labels, "toxic", TRAIN_ROWS, MODULUS, TEST)
+    sample = labelled_sample(documents, labels, "toxic", TRAIN_ROWS, MODULUS, TEST, TRAIN_BYTES)
     got = sample.select("doc_id", "text", "label").mapInArrow(_hashed, "doc_id long, label int, at array<int>").toArrow()
     order = np.argsort(mix(np.asarray(got.column("doc_id").combine_chunks()).astype(np.int64).view(np.uint64)), kind="stable")
     at, label = got.column("at").combine_chunks(), got.column("label").to_pylist()

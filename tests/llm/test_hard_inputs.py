@@ -89,3 +89,20 @@ def test_very_long_page_and_clashing_names(spark, tmp_path):
     got = Counter(tuple(r) for r in html_text.op2(spark, str(tmp_path)).collect())
     want = "\n".join(["T"] + [f"{S} {i}" for i in range(20_000)])
     assert got == Counter([(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (3, "u", "", 0), (4, "u", "", 0), (5, "u", S, len(S)), (6, "u", "&" * 100_000, 100_000)])
+
+
+def test_training_sample_is_bounded_by_whole_texts(spark, documents):
+    from tallyforge.llm.sampling import labelled_sample
+
+    texts = ["x" * RNG_SIZES[i % 4] for i in range(40)]
+    df = documents([t + str(i) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    whole = {r.doc_id: r.text for r in labelled_sample(df, labels, "toxic", 100, 5, 0, 1 << 30).collect()}
+    assert all(whole[i].startswith(texts[i]) for i in whole) and 20 < len(whole) < 40
+    one = labelled_sample(df, labels, "toxic", 100, 5, 0, 1).collect()
+    some = {r.doc_id: r.text for r in labelled_sample(df, labels, "toxic", 100, 5, 0, 3000).collect()}
+    assert len(one) == 1 and 1 < len(some) < len(whole) and all(whole[i] == t for i, t in some.items())
+    assert 3000 <= sum(map(len, some.values())) < 3000 + 1100
+
+
+RNG_SIZES = (10, 1000, 0, 100)
