@@ -74,6 +74,16 @@ SELECT 'cash:' || o_orderkey AS id, CAST(o_orderdate AS DATE) AS expense_date, C
 FROM {orders}""",
     "withdrawals": """
 SELECT id, n, CAST(posted_date AS DATE) AS day, CAST(-amount AS DECIMAL(18,2)) AS amount FROM {transactions} WHERE amount < 0 AND currency = 'TWD' AND account_type <> 'credit'""",
+    "deposits": """
+SELECT a.id, CASE CAST(substr(a.id, 6) AS INT) % 9 WHEN 0 THEN 'esun' WHEN 1 THEN 'cathaybk' WHEN 2 THEN 'ctbc' WHEN 3 THEN 'obank' WHEN 4 THEN 'other' ELSE 'firstbank' END AS connector_id, a.account_last4,
+  CASE WHEN CAST(substr(a.id, 6) AS INT) % 13 = 1 THEN CAST('1998-09-15' AS DATE) END AS opened_date, s.anchor_balance, CASE WHEN CAST(substr(a.id, 6) AS INT) % 17 <> 2 THEN a.currency END AS anchor_currency,
+  CAST(s.anchor_day AS STRING) || CASE CAST(substr(a.id, 6) AS INT) % 3 WHEN 0 THEN 'T18:30:00Z' WHEN 1 THEN 'T02:00:00Z' ELSE 'T20:00:00+08:00' END AS anchor_at
+FROM {accounts} a LEFT JOIN (SELECT account_id, min(as_of_day) AS anchor_day, CAST(min(balance) AS DECIMAL(18,2)) AS anchor_balance FROM {snapshots} WHERE NOT derived AND as_of_day >= CAST('1999-06-01' AS DATE) GROUP BY account_id) s ON s.account_id = a.id""",
+    "deposit_rows": """
+SELECT t.id, t.account_id, t.n, t.posted_date, t.authorized_at, t.amount, CASE WHEN t.n % 211 = 0 THEN 'EUR' WHEN CAST(substr(t.account_id, 6) AS INT) % 17 <> 2 THEN t.currency ELSE 'TWD' END AS currency,
+  CASE WHEN CAST(substr(t.account_id, 6) AS INT) % 4 = 1 AND t.n % 3 = 0 THEN '{{"note":"-","balance":"n/a"}}' WHEN t.n % 5 = 0 THEN '{{"defaultSeq":' || t.n || ',"balanceAfter":" ' || r.running || '"}}' ELSE '{{"balance":"' || r.running || '","acctBal":1,"sequenceNumber":"' || t.n || '"}}' END AS raw_payload
+FROM {transactions} t JOIN (SELECT id, CAST(sum(amount) OVER (PARTITION BY account_id ORDER BY CAST(CASE WHEN length(authorized_at) > 10 THEN CAST(posted_date AS DATE) + CAST(1 AS INT) ELSE CAST(posted_date AS DATE) END AS DATE), CASE WHEN length(authorized_at) > 10 THEN 1 ELSE 0 END, n)
+  + CASE WHEN n % 19 = 0 THEN 5 ELSE 0 END + CAST(substr(account_id, 6) AS INT) AS DECIMAL(18,2)) AS running FROM {transactions}) r ON r.id = t.id""",
     "bills": """
 SELECT account_id, connector_id, substr(posted_date, 1, 7) AS billing_period, currency, CAST(sum(-amount) AS DECIMAL(18,2)) AS statement_amount, CAST(max(CAST(posted_date AS DATE)) AS DATE) AS closing_date
 FROM {transactions} WHERE account_type = 'credit' AND amount < 0 GROUP BY 1, 2, 3, 4""",
