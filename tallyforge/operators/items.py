@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.functions import normalise as N
+from tallyforge.functions.search import Search
+from tallyforge.operators.ledger import visible
 
 # Titles and institutions of rows that have none of their own, reasons of incompleteness in their order.
 BANK, CARD, INVOICE, INVESTMENT, TRADE, CASH = "銀行", "信用卡", "電子發票", "投資", "投資交易", "現金"
@@ -14,7 +18,7 @@ BANK_TITLE, CASH_TITLE = "銀行交易", "現金支出"
 REASONS = ("missing_exchange_rates", "classification_unavailable", "role_overrides_unavailable", "own_accounts_unavailable")
 SCHEMA = (
     "id string, source string, date string, has_time boolean, title string, subtitle string, institution_name string, amount decimal(18,2), currency string, category_id string, role string, reason string, "
-    "review string, duplicate_kind string, duplicate_of string, event_kind string, counterparty string, status string, invoice_id string, remaining decimal(18,2)"
+    "review string, duplicate_kind string, duplicate_of string, event_kind string, counterparty string, status string, invoice_id string, remaining decimal(18,2), last4 string"
 )
 _COLUMNS = [x.split(" ", 1) for x in SCHEMA.split(", ")]
 
@@ -40,7 +44,7 @@ def bank_items(transactions: DataFrame, matched: DataFrame) -> DataFrame:
             "has_time": C.has_offset(F.col("authorized_at")) | timed, "title": F.coalesce("description", "counterparty", F.lit(BANK_TITLE)),
             "subtitle": F.concat_ws(" · ", F.when(card, CARD).otherwise(BANK), F.col("account_last4"), F.col("_number")), "institution_name": F.when(card, CARD).otherwise(BANK), "amount": F.col("amount"), "currency": F.col("currency"),
             "category_id": F.coalesce("category_id", F.lit("other")), "role": F.col("role"), "reason": F.col("role_source"), "review": F.col("review"), "counterparty": F.col("advance_counterparty"), "status": F.col("status"),
-            "invoice_id": F.col("invoice_id"),
+            "invoice_id": F.col("invoice_id"), "last4": F.col("account_last4"),
         },
     )
 
@@ -209,37 +213,67 @@ def active_days(items: DataFrame) -> DataFrame:
 
 
 def uncategorised(items: DataFrame) -> DataFrame:
-    """Spending of no known use, without duplicates."""
-    return items.filter((F.coalesce("category_id", F.lit("other")) == "other") & F.col("duplicate_of").isNull() & (_role() == "spending") & C.is_counted(F.col("source")))
-
-
-def search_days(transactions: DataFrame, invoices: DataFrame, lines: DataFrame, trades: DataFrame, notes: DataFrame, text: str, most: int = 33) -> DataFrame:
-    """The latest ``most`` days with anything a text finds: in transactions, invoices, their lines, trades, and notes on them.
-
-    transactions: id, day, description, counterparty, account_last4; invoices: id, day, seller_name, invoice_number; lines: invoice_id,
-    description; trades: id, day, name, symbol, transaction_name; notes: id, note.  Lines and notes are semi joins, so nothing is multiplied.
+    """Transactions that can be given a category: spending or of no role, of no known use, no duplicates."""
+    own = F.col("source").isin("bank", "card") & F.col("duplicate_of").isNull() & (F.coalesce("role", F.lit("spending")) == "spending")
+    return items.filter(own & (F.coalesce("category_id", F.lit("other")) == "other"))
+
+
+def search_days(
+    transactions: DataFrame, invoices: DataFrame, lines: DataFrame, trades: DataFrame, notes: DataFrame, categories: DataFrame, search: Search, *, accounts: tuple[str, ...] = (), bans: tuple[str, ...] = (),
+    needles: tuple[str, ...] = (), since: str | None = None, until: str | None = None, before: str | None = None, inclusive: bool = False, most: int = 33,
+) -> DataFrame:
+    """The latest ``most`` days with anything that a search finds: in visible transactions, invoices, their lines, trades, and notes on them.
+
+    transactions: id, day, amount, description, counterparty, account_id, institution_name, account_name, account_last4 and what
+    :func:`tallyforge.operators.ledger.visible` needs; invoices: id, day, amount, seller_name, seller_ban, invoice_number; lines: invoice_id,
+    description; trades: id, day, amount, name, symbol, transaction_name, transaction_code; notes: kind (``bank_transaction``, ``invoice``), id,
+    note; categories: label.  A category that the text names lets all transactions take part, since what is found is narrowed later by the day's
+    whole rows.  ``accounts``: ids of accounts that the text names; ``bans`` and ``needles``: sellers and pieces of names that aliases stand for.
+    Days lie from ``since`` to ``until`` and before ``before`` (on it too if ``inclusive``).  Lines and notes are semi joins, so nothing is multiplied.
     """
-    has = lambda *c: F.lower(F.concat_ws(" ", *c)).contains(text.lower())
-    noted = notes.filter(has("note")).select("id").distinct()
-    lined = lines.filter(has("description")).select(F.col("invoice_id").alias("id")).distinct()
-    found = transactions.filter(has("description", "counterparty", "account_last4", F.lit(f"{BANK} {CARD}"))).select("day")
-    found = found.unionByName(invoices.filter(has("seller_name", "invoice_number", F.lit(INVOICE))).select("day")).unionByName(trades.filter(has("name", "symbol", "transaction_name", F.lit(INVESTMENT))).select("day"))
-    for rows, ids in ((transactions, noted), (invoices, noted), (invoices, lined)):
-        found = found.unionByName(rows.join(ids, "id", "left_semi").select("day"))
-    return found.filter("day is not null").distinct().orderBy(F.desc("day")).limit(most)
+    text = search.text
+    joined = lambda *c: F.lower(F.concat_ws(" ", *(F.coalesce(x, F.lit("")) for x in c)))
+    named = lambda *c: F.lower(F.replace(F.concat(*(F.coalesce(x, F.lit("")) for x in c)), F.lit(" "), F.lit("")))
+    needle = lambda *c: reduce(Column.__or__, (named(*c).contains(x) for x in needles), F.lit(False))
+    noted = notes.filter(F.lower("note").contains(text)).select("kind", F.col("id").alias("_id")).distinct()
+    lined = lines.filter(F.lower("description").contains(text)).select(F.col("invoice_id").alias("_line")).distinct()
+    # one row: whether any category bears the text
+    labelled = categories.agg(F.coalesce(F.max(F.lower("label").contains(text)), F.lit(False)).alias("_labelled"))
+    on = lambda kind: noted.filter(F.col("kind") == kind).drop("kind")
+    bank = visible(transactions).join(on("bank_transaction"), F.col("id") == F.col("_id"), "left").crossJoin(F.broadcast(labelled))
+    hit = joined("description", "counterparty", "institution_name", "account_name", "account_last4", F.lit(f"{BANK} {CARD}")).contains(text)
+    hit = hit | F.col("account_id").isin(*accounts) | F.col("_labelled") | needle("description", "counterparty") | F.col("_id").isNotNull()
+    bank = bank.filter(search.fits(hit, F.col("amount"))).select("day")
+    bills = invoices.join(on("invoice"), F.col("id") == F.col("_id"), "left").join(lined, F.col("id") == F.col("_line"), "left")
+    hit = joined("seller_name", "invoice_number", F.lit(INVOICE)).contains(text) | F.coalesce(F.col("seller_ban").isin(*bans), F.lit(False)) | needle("seller_name") | F.col("_line").isNotNull() | F.col("_id").isNotNull()
+    bills = bills.filter(search.fits(hit, F.col("amount"))).select("day")
+    hit = joined("name", "symbol", "transaction_name", "transaction_code", F.lit(INVESTMENT)).contains(text)
+    days = bank.unionByName(bills).unionByName(trades.filter(search.fits(hit, F.col("amount"))).select("day")).filter("day is not null")
+    limits = [F.col("day") >= F.lit(since).cast("date") if since else None, F.col("day") <= F.lit(until).cast("date") if until else None]
+    if before:
+        limits.append(F.col("day") <= F.lit(before).cast("date") if inclusive else F.col("day") < F.lit(before).cast("date"))
+    for limit in limits:
+        if limit is not None:
+            days = days.filter(limit)
+    return days.distinct().orderBy(F.desc("day")).limit(most)
+
+
+def _shown_role() -> Column:
+    """The role, or what the sign says where there is none; nothing for zero and unknown amounts."""
+    return F.coalesce("role", F.when(F.col("signed") > 0, "income").when(F.col("signed") < 0, "spending"))
 
 
 def viewed(items: DataFrame, tab: str = "ledger", role: str | None = None, review: bool = False, card: str | None = None, slice_: tuple[str, str] | None = None) -> DataFrame:
-    """The rows a view lists: the ledger without duplicates or one source as it is, a role, those to review, a card by its last digits, a slice (category, role) of the totals."""
+    """The rows a view lists: the ledger without duplicates or one source as it is, a role, those to review, a card by its transactions' last digits, a slice (category, role) of the totals."""
     rows = items.filter("duplicate_of is null") if tab == "ledger" else items.filter(F.col("source") == tab)
     if role:
-        rows = rows.filter(_role() == role)
+        rows = rows.filter(_shown_role() == role)
     if review:
         rows = rows.filter("review = 'needs_review'")
     if card:
-        rows = rows.filter((F.col("source") == "card") & F.col("subtitle").contains(card))
+        rows = rows.filter((F.col("source") == "card") & (F.col("last4") == card))
     if slice_:
-        rows = rows.filter((F.coalesce("category_id", F.lit("other")) == slice_[0]) & (_role() == slice_[1]) & F.col("duplicate_of").isNull())
+        rows = rows.filter((F.coalesce("category_id", F.lit("other")) == slice_[0]) & (_shown_role() == slice_[1]) & F.col("duplicate_of").isNull())
     return rows
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
+from tallyforge.functions.search import Search
 from tallyforge.operators import cards, items, ledger, linkage, merchants, series
 from tallyforge.plans.catalog import query
 from tallyforge.plans.derived import DAY
@@ -107,13 +108,53 @@ def _(t):
     return series.filled_balances(_sql(t, _ENDS, "transactions"), "2001-08-31").withColumn("balance", _C("balance").cast("double"))
 
 
-@query("fl5_search_days", f"""WITH x AS (SELECT id, {DAY} AS day, description, counterparty, account_last4 FROM {{transactions}}), n AS (SELECT 'inv:' || o_orderkey AS id FROM {{orders}} WHERE o_orderkey % 100 = 2),
-  f AS (SELECT day FROM x WHERE contains(lower(description || ' ' || counterparty || ' ' || account_last4), '0077') UNION ALL SELECT day FROM {{invoices}} WHERE contains(lower(seller_name || ' ' || invoice_number), '0077') OR id IN (SELECT id FROM n) OR id IN (SELECT invoice_id FROM {{invoice_items}} WHERE contains(lower(description), '0077'))
-  UNION ALL SELECT CAST(posted_date AS DATE) FROM {{trades}} WHERE contains(lower(coalesce(name, '') || ' ' || symbol || ' ' || coalesce(transaction_name, '')), '0077')) SELECT DISTINCT day FROM f WHERE day IS NOT NULL ORDER BY day DESC LIMIT 33""")
+_NOTES = "SELECT 'invoice' AS kind, 'inv:' || o_orderkey AS id, 'see ' || o_orderstatus || lpad(CAST(o_orderkey % 97 AS STRING), 4, '0') AS note FROM {orders} WHERE o_orderkey % 100 = 2 UNION ALL SELECT 'bank_transaction', 'txn:' || o_orderkey, 'told P' || lpad(CAST(o_orderkey % 89 AS STRING), 4, '0') FROM {orders} WHERE o_orderkey % 50 = 7"
+_LABELS = "SELECT DISTINCT o_orderpriority AS label FROM {orders}"
+
+
+def _days_sql(text: str, amount: str = "TRUE", either: bool = False, needle: str = "", account: str = "", ban: str = "", bounds: str = "TRUE") -> str:
+    both = lambda hit: f"(({hit}) OR ({amount}))" if either else f"(({hit}) AND ({amount}))"
+    pin = lambda names: f"contains(lower(replace({names}, ' ', '')), '{needle}')" if needle else "FALSE"
+    bank = f"contains(lower(coalesce(x.description, '') || ' ' || coalesce(x.counterparty, '') || ' ' || coalesce(a.institution_name, '') || ' ' || coalesce(a.id, '') || ' ' || coalesce(x.account_last4, '') || ' 銀行 信用卡'), '{text}') OR x.account_id = '{account}' OR EXISTS (SELECT 1 FROM c WHERE contains(lower(label), '{text}')) OR {pin("coalesce(x.description, '') || coalesce(x.counterparty, '')")} OR x.id IN (SELECT id FROM n WHERE kind = 'bank_transaction' AND contains(lower(note), '{text}'))"
+    bill = f"contains(lower(coalesce(seller_name, '') || ' ' || coalesce(invoice_number, '') || ' 電子發票'), '{text}') OR seller_ban = '{ban}' OR {pin("coalesce(seller_name, '')")} OR id IN (SELECT invoice_id FROM {{invoice_items}} WHERE contains(lower(description), '{text}')) OR id IN (SELECT id FROM n WHERE kind = 'invoice' AND contains(lower(note), '{text}'))"
+    trade = f"contains(lower(coalesce(name, '') || ' ' || coalesce(symbol, '') || ' ' || coalesce(transaction_name, '') || ' ' || coalesce(CAST(price AS VARCHAR), '') || ' 投資'), '{text}')"
+    if not text:
+        bank = bill = trade = "TRUE"
+    return f"""WITH n AS ({_NOTES}), c AS ({_LABELS}), iv AS (SELECT *, lpad(CAST(n % 1000 AS STRING), 8, '0') AS seller_ban FROM {{invoices}}),
+  f AS (SELECT {DAY} AS day FROM {{transactions}} x JOIN {{accounts}} a ON a.id = x.account_id WHERE x.canonical_account_id IS NULL AND (status <> 'pending' OR matched_transaction_id IS NULL) AND {both(bank)}
+  UNION ALL SELECT day FROM iv WHERE {both(bill)} UNION ALL SELECT CAST(posted_date AS DATE) FROM {{trades}} WHERE {both(trade)}) SELECT DISTINCT day FROM f WHERE day IS NOT NULL AND {bounds} ORDER BY day DESC LIMIT 33"""
+
+
+def _days(t, line: str, **more):
+    banks = t["accounts"].select(_C("id").alias("account_id"), "institution_name", _C("id").alias("account_name"))
+    trades = t["trades"].select("id", _C("posted_date").cast("date").alias("day"), "amount", "name", "symbol", "transaction_name", _C("price").cast("string").alias("transaction_code"))
+    invoices = t["invoices"].withColumn("seller_ban", F.lpad((_C("n") % 1000).cast("string"), 8, "0"))
+    return items.search_days(ledger.with_day(t["transactions"]).join(banks, "account_id"), invoices, t["invoice_items"], trades, _sql(t, _NOTES, "orders"), _sql(t, _LABELS, "orders"), Search.of(line), **more)
+
+
+@query("fl5_search_days", _days_sql("0077", "abs(amount) = 77", True))
+def _(t):
+    return _days(t, "0077")
+
+
+@query("fl5_search_words_and_amounts", _days_sql("supplier#000000003", "abs(amount) >= 1000 AND abs(amount) < 90000 AND abs(amount) <= 80000 AND abs(amount) >= 500", bounds="day >= DATE '1999-01-01' AND day <= DATE '2000-03-01' AND day < DATE '2000-02-01'"))
+def _(t):
+    return _days(t, "Supplier#000000003 >= 1,000 ＜90000 500~80000", since="1999-01-01", until="2000-03-01", before="2000-02-01")
+
+
+@query("fl5_search_amount_only", _days_sql("", "abs(amount) > 150000 AND abs(amount) < 151000", bounds="day <= DATE '2001-01-01'"))
+def _(t):
+    return _days(t, ">NT$150000 < 151000", before="2001-01-01", inclusive=True)
+
+
+@query("fl5_search_by_label", _days_sql("medium", bounds="day < DATE '1998-01-01'"))
+def _(t):
+    return _days(t, "MEDIUM", before="1998-01-01")
+
+
+@query("fl5_search_by_alias", _days_sql("zzz", needle="r#000000007", account="acct:19", ban="00000042"))
 def _(t):
-    notes = t["orders"].filter("o_orderkey % 100 = 2").select(F.concat(F.lit("inv:"), "o_orderkey").alias("id"), F.lit("see 0077").alias("note"))
-    trades = t["trades"].select("id", _C("posted_date").cast("date").alias("day"), "name", "symbol", "transaction_name")
-    return items.search_days(ledger.with_day(t["transactions"]), t["invoices"], t["invoice_items"], trades, notes, "0077")
+    return _days(t, "zzz", needles=("r#000000007",), accounts=("acct:19",), bans=("00000042",))
 
 
 _NAMES = """SELECT id, n, CASE n % 6 WHEN 0 THEN '已田商行股份有限公司承德路門市' WHEN 1 THEN '連支＊老王牛肉麵' WHEN 2 THEN 'UBER   *EATS help.uber.com' WHEN 3 THEN '信用卡消費' WHEN 4 THEN 'Cafe Nero Taipei' ELSE '全家便利商店 P000000001234' END AS counterparty,

@@ -38,11 +38,11 @@ ir AS (SELECT iv.*, CASE WHEN voided THEN 'excluded' ELSE 'spending' END AS role
   CASE WHEN voided THEN 'auto' WHEN transaction_id IS NOT NULL THEN CASE WHEN by_hand THEN 'confirmed' ELSE 'auto' END WHEN told THEN 'confirmed' WHEN nr.id IS NOT NULL THEN 'needs_review' ELSE 'auto' END AS review, CASE WHEN NOT voided THEN transaction_id END AS duplicate_of FROM iv LEFT JOIN nr ON nr.id = iv.id),
 un AS (
   SELECT act.id, CASE WHEN account_type = 'credit' THEN 'card' ELSE 'bank' END AS source, coalesce(CASE WHEN i.invoice_date LIKE '%Z' OR i.invoice_date LIKE '%+08:00' THEN i.invoice_date END, authorized_at, posted_date, '') AS date, coalesce(description, counterparty, '銀行交易') AS title,
-    act.amount, act.currency, category_id, role, review, NULL AS duplicate_of, act.status, i.id AS invoice_id FROM act LEFT JOIN {{invoice_links}} l ON l.transaction_id = act.id LEFT JOIN {{invoices}} i ON i.id = l.invoice_id
-  UNION ALL SELECT id, 'invoice', invoice_date, coalesce(seller_name, '電子發票'), amount, currency, NULL, role, review, duplicate_of, 'issued', id FROM ir
+    act.amount, act.currency, category_id, role, review, NULL AS duplicate_of, act.status, i.id AS invoice_id, account_last4 AS last4 FROM act LEFT JOIN {{invoice_links}} l ON l.transaction_id = act.id LEFT JOIN {{invoices}} i ON i.id = l.invoice_id
+  UNION ALL SELECT id, 'invoice', invoice_date, coalesce(seller_name, '電子發票'), amount, currency, NULL, role, review, duplicate_of, 'issued', id, NULL FROM ir
   UNION ALL SELECT id, 'investment', CASE WHEN regexp_matches(coalesce(trade_date, posted_date), '^0[0-9]{{{{3}}}}-') THEN CAST(CAST(substr(coalesce(trade_date, posted_date), 2, 3) AS INT) + 1911 AS VARCHAR) || substr(coalesce(trade_date, posted_date), 5) ELSE coalesce(trade_date, posted_date, '') END, coalesce(name, symbol, '投資交易'),
-    CASE WHEN price <> 1 THEN amount END, currency, NULL, 'investment', 'auto', NULL, 'done', NULL FROM {{trades}}
-  UNION ALL SELECT id, 'cash', CAST(expense_date AS VARCHAR), coalesce(description, '現金支出'), CAST(-amount AS DECIMAL(18,2)), 'TWD', category_id, 'spending', 'confirmed', NULL, 'posted', NULL FROM {{cash_expenses}}),
+    CASE WHEN price <> 1 THEN amount END, currency, NULL, 'investment', 'auto', NULL, 'done', NULL, NULL FROM {{trades}}
+  UNION ALL SELECT id, 'cash', CAST(expense_date AS VARCHAR), coalesce(description, '現金支出'), CAST(-amount AS DECIMAL(18,2)), 'TWD', category_id, 'spending', 'confirmed', NULL, 'posted', NULL, NULL FROM {{cash_expenses}}),
 it AS (SELECT un.*, {_D5} AS day, CASE WHEN source = 'invoice' THEN -abs(amount) ELSE amount END AS signed, CAST(CASE WHEN un.currency = 'TWD' OR amount = 0 THEN CAST(CASE WHEN source = 'invoice' THEN -abs(amount) ELSE amount END AS DOUBLE) WHEN rate_to_twd > 0 THEN CAST(CASE WHEN source = 'invoice' THEN -abs(amount) ELSE amount END AS DOUBLE) * rate_to_twd END AS DECIMAL(24,6)) AS counted,
   CAST(floor((CASE WHEN un.currency = 'TWD' OR amount = 0 THEN CAST(amount AS DOUBLE) WHEN rate_to_twd > 0 THEN CAST(amount AS DOUBLE) * rate_to_twd END) * 100 + 0.5) / 100.0 AS DECIMAL(18,2)) AS twd FROM un LEFT JOIN {{rates}} r ON r.currency = un.currency),
 items AS (SELECT *, strftime(day, '%Y-%m') AS month FROM it)
@@ -136,7 +136,7 @@ def _(t):
     return items.filtered(_items(t), month="1999-03", flow="expense", source="invoice", search="SUPPLIER#000000004").select("id", "source")
 
 
-@query("fl10_uncategorised", f"{_ITEMS} SELECT id FROM items WHERE coalesce(category_id, 'other') = 'other' AND duplicate_of IS NULL AND role = 'spending' AND source <> 'investment'")
+@query("fl10_uncategorised", f"{_ITEMS} SELECT id FROM items WHERE coalesce(category_id, 'other') = 'other' AND duplicate_of IS NULL AND role = 'spending' AND source IN ('bank', 'card')")
 def _(t):
     return items.uncategorised(_items(t)).select("id")
 

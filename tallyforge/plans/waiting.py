@@ -48,10 +48,10 @@ def _(t):
     return inbox.batch_snapshots(before, after)
 
 
-@query("fl10_views", f"{_ITEMS} SELECT 'ledger' AS view, count(*) AS n FROM items WHERE duplicate_of IS NULL UNION ALL SELECT 'invoice', count(*) FROM items WHERE source = 'invoice' UNION ALL SELECT 'income', count(*) FROM items WHERE duplicate_of IS NULL AND role = 'income' UNION ALL SELECT 'review', count(*) FROM items WHERE duplicate_of IS NULL AND review = 'needs_review' UNION ALL SELECT 'slice', count(*) FROM items WHERE duplicate_of IS NULL AND category_id = 'food' AND role = 'spending'")
+@query("fl10_views", f"{_ITEMS} SELECT 'ledger' AS view, count(*) AS n FROM items WHERE duplicate_of IS NULL UNION ALL SELECT 'invoice', count(*) FROM items WHERE source = 'invoice' UNION ALL SELECT 'income', count(*) FROM items WHERE duplicate_of IS NULL AND role = 'income' UNION ALL SELECT 'review', count(*) FROM items WHERE duplicate_of IS NULL AND review = 'needs_review' UNION ALL SELECT 'slice', count(*) FROM items WHERE duplicate_of IS NULL AND category_id = 'food' AND role = 'spending' UNION ALL SELECT 'card', count(*) FROM items WHERE source = 'card' AND last4 = '0048' UNION ALL SELECT 'invoices kept', count(*) FROM items WHERE source = 'invoice' AND role = 'excluded'")
 def _(t):
     rows = _items(t)
-    made = {"ledger": items.viewed(rows), "invoice": items.viewed(rows, "invoice"), "income": items.viewed(rows, role="income"), "review": items.viewed(rows, review=True), "slice": items.viewed(rows, slice_=("food", "spending"))}
+    made = {"ledger": items.viewed(rows), "invoice": items.viewed(rows, "invoice"), "income": items.viewed(rows, role="income"), "review": items.viewed(rows, review=True), "slice": items.viewed(rows, slice_=("food", "spending")), "card": items.viewed(rows, "card", card="0048"), "invoices kept": items.viewed(rows, "invoice", role="excluded")}
     out = None
     for name, df in made.items():
         one = df.agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("n"))
