@@ -182,16 +182,36 @@ def assign_repeats(edges: DataFrame, repeats: DataFrame) -> DataFrame:
     return others.unionByName(rest.select("invoice_id", F.lit(None).cast(told.schema["transaction_id"].dataType).alias("transaction_id"), F.lit("repeat").alias("outcome"), "repeat_of"))
 
 
-def manual_candidates(invoices: DataFrame, payments: DataFrame, taken: DataFrame, window: int = 7, most: int = 20) -> DataFrame:
-    """(invoice_id, transaction_id, place): payments a user may link by hand, nearest amount first, then nearest day, then name; ``most`` an invoice.
+def manual_candidates(invoices: DataFrame, payments: DataFrame, taken: DataFrame, window: int = 7, most: int | None = None, owner: list[str] | tuple[str, ...] = (), name: Column | None = None) -> DataFrame:
+    """(invoice_id, transaction_id, place): payments a user may link by hand, nearest amount first, then nearest day, then name, then id.
 
-    invoices: id, amount, day; payments: id, amount (signed), day, name; taken: transaction_id.  Days are exploded, so the join is on the day.
+    invoices: id, amount, day; payments: id, amount (signed), day, name; taken: transaction_id; both with the columns ``owner``, which must
+    agree.  All payments of an invoice's days are listed, or the first ``most``.  For these only ``most`` payments of each day on either side of the
+    asked amount are looked at, found by their rank among the owner's payments of the day, so no day is joined as a whole.  ``name``: what
+    names are ordered by, if not their code points.
     """
-    i = invoices.select(F.col("id").alias("invoice_id"), F.col("amount").alias("asked"), F.explode(F.array(*map(F.lit, range(-window, window + 1)))).alias("offset"), "day").withColumn("day", F.date_add("day", F.col("offset")))
-    p = payments.join(taken.select(F.col("transaction_id").alias("id")), "id", "left_anti").select(F.col("id").alias("transaction_id"), F.abs("amount").alias("paid"), "day", "name")
-    order = [F.abs(F.col("asked") - F.col("paid")), F.abs("offset"), F.coalesce("name", F.col("transaction_id").cast("string")), "transaction_id"]
-    rows = i.join(p, "day").withColumn("place", F.row_number().over(Window.partitionBy("invoice_id").orderBy(*order)))
-    return rows.filter(F.col("place") <= most).select("invoice_id", "transaction_id", "place")
+    by = name if name is not None else F.coalesce("name", F.col("id").cast("string"))
+    i = invoices.select(*owner, F.col("id").alias("invoice_id"), F.col("amount").alias("asked"), F.explode(F.array(*map(F.lit, range(-window, window + 1)))).alias("offset"), "day").withColumn("day", F.date_add("day", F.col("offset")))
+    p = payments.join(taken.select(F.col("transaction_id").alias("id")), "id", "left_anti").select(*owner, F.col("id").alias("transaction_id"), F.abs("amount").alias("paid"), "day", by.alias("by"))
+    keys = [*owner, "day"]
+    if most is None:
+        rows = i.join(p, keys)
+    else:
+        w = Window.partitionBy(*keys)
+        ranked = p.withColumns({"up": F.row_number().over(w.orderBy("paid", "by", "transaction_id")), "down": F.row_number().over(w.orderBy(F.desc("paid"), "by", "transaction_id"))})
+        # how many payments of the day are less than what is asked, and how many are not
+        asked = i.select(*keys, F.col("asked").alias("paid"), "invoice_id", "offset")
+        lined = asked.unionByName(p.select(*keys, "paid"), allowMissingColumns=True).withColumn("is_paid", F.col("invoice_id").isNull().cast("int"))
+        order = w.orderBy("paid", "is_paid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        lined = lined.withColumns({"less": F.sum("is_paid").over(order), "all": F.sum("is_paid").over(w)}).filter("invoice_id is not null")
+        step = lambda base: F.sequence(base + 1, base + most)
+        lined = lined.withColumnRenamed("paid", "asked")
+        near = lined.select(*keys, "invoice_id", "asked", "offset", F.explode(step(F.col("less"))).alias("up")).join(ranked.drop("down"), [*keys, "up"]).drop("up")
+        below = lined.select(*keys, "invoice_id", "asked", "offset", F.explode(step(F.col("all") - F.col("less"))).alias("down")).join(ranked.drop("up"), [*keys, "down"]).drop("down")
+        rows = near.unionByName(below)
+    first = [F.abs(F.col("asked") - F.col("paid")), F.abs("offset"), "by", "transaction_id"]
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("invoice_id").orderBy(*first)))
+    return (rows if most is None else rows.filter(F.col("place") <= most)).select("invoice_id", "transaction_id", "place")
 
 
 def _pair_group(legs: pd.DataFrame) -> pd.DataFrame:
@@ -384,22 +404,86 @@ def _jumped(times: DataFrame, keys: list[str], span: int) -> DataFrame:
         size = grown
 
 
+def _around(own: DataFrame, other: DataFrame, keys: list[str], days: int, measures: dict[str, Column]) -> DataFrame:
+    """(keys, day, measures): ``measures`` of ``other``, summed a day, over all days at most ``days`` from each day of ``own``.
+
+    A row a key and day enters the windows, so their frames hold ``2 * days + 1`` rows at most however many rows a key has.
+    """
+    daily = other.groupBy(*keys, "day").agg(*(m.alias(c) for c, m in measures.items()))
+    lined = own.select(*keys, "day").distinct().withColumn("_asked", F.lit(True)).unionByName(daily, allowMissingColumns=True).withColumn("_at", F.unix_date("day"))
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-days, days)
+    total = lambda c: F.min(c).over(w) if c.endswith("_id") else F.coalesce(F.sum(c).over(w), F.lit(0))
+    return lined.select(*keys, "day", "_asked", *(total(c).alias(c) for c in measures)).filter("_asked").drop("_asked")
+
+
+_CODED = ["currency", "amount", "code"]
+_CARDED = ["currency", "amount", "card"]
+
+
+def _coded(own: DataFrame, other: DataFrame, days: int) -> DataFrame:
+    """(currency, amount, code, day, coded, coded_id) of each code and day of ``own``: rows of ``other`` with the code at most ``days`` away; a row without a day is near all."""
+    own, other = (x.filter("code is not null") for x in (own, other))
+    n = {"coded": F.count(F.lit(1)), "coded_id": F.min("id")}
+    dated = _around(own.filter("day is not null"), other.filter("day is not null"), _CODED, days, n)
+    loose = other.filter("day is null").groupBy(*_CODED).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_i"))
+    dated = dated.join(loose, _CODED, "left").select(*_CODED, "day", (F.col("coded") + F.coalesce("_n", F.lit(0))).alias("coded"), F.coalesce("coded_id", "_i").alias("coded_id"))
+    undated = own.filter("day is null").select(*_CODED, "day").distinct().join(other.groupBy(*_CODED).agg(*(m.alias(c) for c, m in n.items())), _CODED)
+    return dated.unionByName(undated)
+
+
+def _carded(own: DataFrame, other: DataFrame, days: int) -> DataFrame:
+    """(currency, amount, card, code, normal, day, carded): rows of ``other`` with the card at most ``days`` away whose codes do not tell two purchases and are not equal."""
+    own, other = (x.filter("card is not null and day is not null").withColumn("normal", F.coalesce("normal", F.lit(False))) for x in (own, other))
+    rough = F.col("code").isNotNull() & ~F.col("normal")
+    near = _around(own, other, _CARDED, days, {"every": F.count(F.lit(1)), "bare": F.count_if(F.col("code").isNull()), "rough": F.count_if(rough)})
+    same = _around(own.filter("code is not null"), other.filter("code is not null"), [*_CARDED, "code"], days, {"equal": F.count(F.lit(1)), "equal_rough": F.count_if(rough)})
+    out = own.select(*_CARDED, "code", "normal", "day").distinct().join(near, [*_CARDED, "day"]).join(same, [*_CARDED, "code", "day"], "left").fillna(0, ["equal", "equal_rough"])
+    plain = F.col("code").isNotNull() & F.col("normal")
+    carded = F.when(F.col("code").isNull(), F.col("every")).when(plain, F.col("bare") + F.col("rough") - F.col("equal_rough")).otherwise(F.col("every") - F.col("equal"))
+    return out.select(*_CARDED, "code", "normal", "day", carded.alias("carded"))
+
+
+def _alone(own: DataFrame, other: DataFrame, near: int, coded: int) -> DataFrame:
+    """Rows of ``own`` that have exactly one candidate in ``other``: their columns, ``by_code`` and, where it was found by code, ``coded_id``."""
+    o = own.withColumn("normal", F.coalesce("normal", F.lit(False)))
+    a, b = _coded(own, other, coded), _carded(own, other, near)
+    joined = o.alias("o").join(a.alias("a"), [o[c].eqNullSafe(a[c]) for c in [*_CODED, "day"]], "left").select("o.*", "a.coded", "a.coded_id")
+    on = [joined[c].eqNullSafe(b[c]) for c in [*_CARDED, "code", "normal", "day"]]
+    joined = joined.alias("o").join(b.alias("b"), on, "left").select("o.*", F.coalesce("b.carded", F.lit(0)).alias("carded"))
+    joined = joined.withColumn("coded", F.coalesce("coded", F.lit(0)))
+    return joined.filter(F.col("coded") + F.col("carded") == 1).withColumn("by_code", F.col("coded") == 1).drop("coded", "carded")
+
+
 def two_pass_pairs(left: DataFrame, right: DataFrame, near: int = 3, coded: int = 31) -> DataFrame:
     """(left_id, right_id): rows of one purchase, first by authorisation code, then of the rest also by card; each pass keeps pairs that are unique both ways.
 
     Both: id, code (hashed, or null), normal (boolean: the code was normalised before hashing), card, day, currency, amount.  Equal codes lie up to
     ``coded`` days apart, equal cards up to ``near``; two normalised codes that differ prove two purchases.
+
+    Candidates are counted first, from counts a day, and only rows with a single candidate are joined: rows of equal amount, code or card are never
+    paired with each other to find out that they are many.
     """
-    b = right.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "code", "normal", "card", "day")), "currency", "amount")
-    both = left.join(b, ["currency", "amount"])
-    days = F.abs(F.datediff("day", "r_day"))
-    by_code = F.coalesce(F.col("code") == F.col("r_code"), F.lit(False)) & F.coalesce(days <= coded, F.lit(True))
-    apart = F.coalesce(F.col("code").isNotNull() & F.col("r_code").isNotNull() & F.col("normal") & F.col("r_normal"), F.lit(False))
-    by_card = ~apart & ~F.coalesce(F.col("code") == F.col("r_code"), F.lit(False)) & (F.col("card") == F.col("r_card")) & (days <= near)
-    found = stored(both.select(F.col("id").alias("left_id"), F.col("r_id").alias("right_id"), by_code.alias("coded"), F.coalesce(by_card, F.lit(False)).alias("carded")).filter("coded or carded"), "candidates")
-    first = stored(unique_both_ways(found.filter("coded").select("left_id", "right_id"), "left_id", "right_id"), "coded")
-    rest = found.join(first.select("left_id"), "left_id", "left_anti").join(first.select("right_id"), "right_id", "left_anti")
-    return first.unionByName(unique_both_ways(rest.select("left_id", "right_id"), "left_id", "right_id"))
+    columns = ["id", "code", "normal", "card", "day", "currency", "amount"]
+    left, right = left.select(columns), right.select(columns)
+    one = lambda own, other: own.join(_coded(own, other, coded).filter("coded = 1"), [*_CODED, "day"]).unionByName(
+        own.filter("day is null").join(_coded(own, other, coded).filter("coded = 1 and day is null").drop("day"), _CODED), allowMissingColumns=True
+    ).select("id", "coded_id")
+    a, b = one(left, right), one(right, left)
+    first = stored(a.join(b.select(F.col("id").alias("coded_id"), F.col("coded_id").alias("id")), ["id", "coded_id"]).select(F.col("id").alias("left_id"), F.col("coded_id").alias("right_id")), "coded")
+    left = stored(left.join(first.select(F.col("left_id").alias("id")), "id", "left_anti").select(columns), "left")
+    right = stored(right.join(first.select(F.col("right_id").alias("id")), "id", "left_anti").select(columns), "right")
+    a, b = _alone(left, right, near, coded), _alone(right, left, near, coded)
+    # found by code: the one candidate is known on both sides
+    by_code = a.filter("by_code").select(F.col("id").alias("left_id"), F.col("coded_id").alias("right_id"))
+    by_code = by_code.join(b.filter("by_code").select(F.col("coded_id").alias("left_id"), F.col("id").alias("right_id")), ["left_id", "right_id"])
+    # found by card: few kinds of codes are left beside a row that has one candidate, so these may meet
+    kind = F.when(F.col("code").isNull(), "bare").when(F.col("normal"), "plain").otherwise("rough")
+    allowed = F.when(kind == "plain", F.array(F.lit("bare"), F.lit("rough"))).otherwise(F.array(F.lit("bare"), F.lit("rough"), F.lit("plain")))
+    a = a.filter("not by_code").select("currency", "amount", "card", "code", F.col("id").alias("left_id"), "day", F.explode(allowed).alias("kind"))
+    a = a.withColumn("day", F.explode(F.array(*(F.date_add("day", k) for k in range(-near, near + 1)))))
+    b = b.filter("not by_code").select("currency", "amount", "card", F.col("code").alias("r_code"), F.col("id").alias("right_id"), "day", kind.alias("kind"))
+    by_card = a.join(b, [*_CARDED, "day", "kind"]).filter(~F.coalesce(F.col("code") == F.col("r_code"), F.lit(False))).select("left_id", "right_id")
+    return first.unionByName(by_code).unionByName(by_card)
 
 
 def merge_mapping(candidates: DataFrame, settings: DataFrame) -> DataFrame:
