@@ -111,12 +111,16 @@ def source_rank(source: Column) -> Column:
     return F.when(source.isNull(), 0).otherwise(F.coalesce(F.element_at(known, source), F.lit(-1)))
 
 
-def merged_category(own: Column, own_source: Column, invoice: Column, invoice_source: Column) -> Column:
-    """The better ranked category of a matched pair; the invoice wins ties but for overrides."""
+def takes_invoice(own_source: Column, invoice_source: Column) -> Column:
+    """Whether a payment takes its invoice's category: the better ranked one; the invoice wins ties but for overrides."""
     mine, theirs = source_rank(own_source), source_rank(invoice_source)
     better = (theirs > mine) | ((theirs == mine) & (F.coalesce(own_source, F.lit("")) != "override"))
-    fixed = F.coalesce(own_source.isin(*UNMERGED_SOURCES), F.lit(False))
-    return F.when(invoice.isNotNull() & ~fixed & better, invoice).otherwise(own)
+    return ~F.coalesce(own_source.isin(*UNMERGED_SOURCES), F.lit(False)) & better
+
+
+def merged_category(own: Column, own_source: Column, invoice: Column, invoice_source: Column) -> Column:
+    """The category of a matched pair."""
+    return F.when(invoice.isNotNull() & takes_invoice(own_source, invoice_source), invoice).otherwise(own)
 
 
 def match_status(outcome: Column, account_type: Column, carrier: Column, day: Column, today: Column) -> Column:

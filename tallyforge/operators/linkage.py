@@ -34,8 +34,8 @@ def name_points(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("seller", "merchant").agg(F.max(points).alias("points"), F.max("brand").alias("brand"))
 
 
-def candidate_edges(invoices: DataFrame, transactions: DataFrame, window: int = 3, names: DataFrame | None = None) -> DataFrame:
-    """(invoice_id, transaction_id, gap, exact, score) of plausible pairs.
+def candidate_edges(invoices: DataFrame, transactions: DataFrame, window: int = 3, names: DataFrame | None = None, owner: tuple[str, ...] = ()) -> DataFrame:
+    """(invoice_id, transaction_id, gap, exact, score) of plausible pairs; both sides must agree in the columns ``owner``.
 
     invoices: id, seller, amount, day, and maybe carrier (the synced card that issued it); transactions: id, merchant, amount (paid,
     positive), day, and maybe credit (boolean), account_last4, outflow (boolean; a card's positive authorisation is none).
@@ -45,15 +45,15 @@ def candidate_edges(invoices: DataFrame, transactions: DataFrame, window: int =
     """
     known = names if names is not None else equal_names(invoices)
     given = lambda df, c, other: F.col(c) if c in df.columns else F.lit(other)
-    i = invoices.select(F.col("id").alias("invoice_id"), "seller", F.col("amount").alias("asked"), F.col("day").alias("invoice_day"), given(invoices, "carrier", None).cast("string").alias("carrier"))
-    t = transactions.select(F.col("id").alias("transaction_id"), "merchant", F.col("amount").alias("paid"), "day", given(transactions, "credit", False).alias("credit"), given(transactions, "account_last4", None).cast("string").alias("last4"), given(transactions, "outflow", True).alias("outflow"))
+    i = invoices.select(*owner, F.col("id").alias("invoice_id"), "seller", F.col("amount").alias("asked"), F.col("day").alias("invoice_day"), given(invoices, "carrier", None).cast("string").alias("carrier"))
+    t = transactions.select(*owner, F.col("id").alias("transaction_id"), "merchant", F.col("amount").alias("paid"), "day", given(transactions, "credit", False).alias("credit"), given(transactions, "account_last4", None).cast("string").alias("last4"), given(transactions, "outflow", True).alias("outflow"))
     spread = lambda rows, days: rows.withColumn("offset", F.explode(F.array(*map(F.lit, range(-days, days + 1))))).withColumn("day", F.date_add("invoice_day", F.col("offset")))
     free, kept = spread(i.filter("carrier is null"), window), ["invoice_id", "transaction_id", "seller", "merchant", "offset", "asked", "paid", "credit", "outflow", "carrier"]
-    exact = free.join(t.withColumn("asked", F.col("paid")), ["day", "asked"]).select(*kept)
-    named = free.join(known.filter((F.col("points") == STRONG)).select("seller", "merchant"), "seller").join(t, ["day", "merchant"]).filter("paid <> asked").select(*kept)
+    exact = free.join(t.withColumn("asked", F.col("paid")), [*owner, "day", "asked"]).select(*kept)
+    named = free.join(known.filter((F.col("points") == STRONG)).select("seller", "merchant"), "seller").join(t, [*owner, "day", "merchant"]).filter("paid <> asked").select(*kept)
     both = exact.unionByName(named)
     if "carrier" in invoices.columns:
-        both = both.unionByName(spread(i.filter("carrier is not null"), CARRIER_WINDOW).join(t.filter("credit").withColumn("carrier", F.col("last4")), ["day", "carrier"]).select(*kept))
+        both = both.unionByName(spread(i.filter("carrier is not null"), CARRIER_WINDOW).join(t.filter("credit").withColumn("carrier", F.col("last4")), [*owner, "day", "carrier"]).select(*kept))
     both = both.join(known, ["seller", "merchant"], "left").withColumn("points", F.coalesce("points", F.lit(0)))
     same, paid, asked = F.col("paid") == F.col("asked"), F.col("paid"), F.col("asked")
     carried = F.col("carrier").isNotNull()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import ingest, ledger, linkage, merchants, series
-from tallyforge.plans import banking, cardbills, histories, lifecycles, linking, normalising, settling, spending, unified, waiting  # noqa: F401  (they register their queries)
+from tallyforge.plans import annotating, banking, cardbills, histories, lifecycles, linking, normalising, settling, spending, unified, waiting  # noqa: F401  (they register their queries)
+from tallyforge.plans.annotating import assignment
 from tallyforge.plans.catalog import QUERIES, SQL, query
 from tallyforge.plans.derived import ACT as _ACT
 from tallyforge.plans.derived import DAY as _DAY
@@ -178,29 +179,12 @@ def _(t):
     return linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow"))
 
 
-def _assignment(edges: str, scores: range) -> str:
-    """The rounds of the assignment in SQL, one block a score; ``d``: settled, with the same columns each round."""
-    parts = [f"e AS MATERIALIZED ({edges})", f"d{scores[0] + 1} AS (SELECT invoice_id, transaction_id, 'none' AS outcome FROM e WHERE FALSE)"]
-    for s in scores:
-        done = f"d{s + 1}"
-        parts += [
-            f"t{s} AS MATERIALIZED (SELECT * FROM e WHERE score = {s} AND invoice_id NOT IN (SELECT invoice_id FROM {done}) AND transaction_id NOT IN (SELECT transaction_id FROM {done}))",
-            f"a{s} AS MATERIALIZED (SELECT invoice_id, list_sort(list(transaction_id)) AS ts FROM t{s} GROUP BY 1), b{s} AS MATERIALIZED (SELECT transaction_id, list_sort(list(invoice_id)) AS is_ FROM t{s} GROUP BY 1)",
-            f"g{s} AS MATERIALIZED (SELECT t{s}.*, ts, is_ FROM t{s} JOIN a{s} USING (invoice_id) JOIN b{s} USING (transaction_id))",
-            f"u{s} AS MATERIALIZED (SELECT transaction_id, count(DISTINCT ts) = 1 AND bool_and(exact AND gap = 0) AS ok FROM g{s} GROUP BY 1)",
-            f"w{s} AS MATERIALIZED (SELECT invoice_id, count(DISTINCT is_) = 1 AND bool_and(ok) AS ok FROM g{s} JOIN u{s} USING (transaction_id) GROUP BY 1)",
-            f"o{s} AS MATERIALIZED (SELECT invoice_id, transaction_id, CASE WHEN len(ts) = 1 AND len(is_) = 1 THEN 'matched' WHEN NOT ok THEN 'blocked' WHEN list_position(is_, invoice_id) = list_position(ts, transaction_id) THEN 'matched' END AS outcome FROM g{s} JOIN w{s} USING (invoice_id))",
-            f"d{s} AS MATERIALIZED (SELECT * FROM {done} UNION ALL SELECT * FROM o{s} WHERE outcome IS NOT NULL)",
-        ]
-    return "WITH " + ", ".join(parts) + f" SELECT DISTINCT invoice_id, CASE WHEN outcome = 'matched' THEN transaction_id END AS transaction_id, CASE outcome WHEN 'blocked' THEN 'ambiguous' ELSE outcome END AS outcome FROM d{scores[-1]}"
-
-
 _EDGES = """SELECT i.id AS invoice_id, t.id AS transaction_id, abs(t.day - i.day) AS gap, t.amount = i.amount AS exact, CASE WHEN t.amount = i.amount THEN 5 ELSE 3 END + CASE abs(t.day - i.day) WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN i.seller = t.merchant THEN 2 ELSE 0 END AS score
   FROM {dense_invoices} i JOIN {dense_transactions} t ON t.day BETWEEN i.day - 3 AND i.day + 3 AND NOT t.inflow
     AND (t.amount = i.amount OR t.amount < i.amount AND t.amount >= i.amount * 0.8E0 AND i.amount - t.amount <= 500 AND i.seller = t.merchant)"""
 
 
-@query("jn12_invoice_matches", _assignment(_EDGES, range(10, 4, -1)))
+@query("jn12_invoice_matches", assignment(_EDGES, range(10, 4, -1)))
 def _(t):
     return linkage.assign(linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow")))
 
@@ -399,6 +383,9 @@ def _(t):
     return months.join(got, "month", "left").select("month", F.coalesce("spending", F.lit(0.0)).alias("spending"), F.col("spending").isNull().alias("no_data"))
 
 
+annotating.register()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, f in QUERIES.items()}
 

@@ -7,28 +7,31 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import invoices, items
+from tallyforge.plans import annotating
+from tallyforge.plans.annotating import VOID as _VOID
 from tallyforge.plans.catalog import query
 from tallyforge.plans.derived import ACT, activity
+from tallyforge.sources.durable import stored
 from tallyforge.sources.tables import Tables
 
 _C = F.col
 
 
-def _roles(t: Tables, acts: DataFrame) -> DataFrame:
-    links = t["invoice_links"]
+def _roles(t: Tables, acts: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    links = t["invoice_links"] if links is None else links
     spent = acts.filter("currency = 'TWD' and amount < 0 and role in ('spending', 'advance')")
     spent = spent.join(links.filter("transaction_id is not null").select(_C("transaction_id").alias("id")), "id", "left_anti")
     rows = t["invoices"].select("id", "day", "amount", "currency", C.is_voided(_C("status")).alias("voided"))
     return invoices.invoice_roles(rows, links, spent.select((-_C("amount")).alias("amount"), "day"))
 
 
-def _items(t: Tables) -> DataFrame:
-    acts = activity(t)
-    matched = t["invoice_links"].join(t["invoices"].select(_C("id").alias("invoice_id"), "invoice_date", "invoice_number", "seller_name"), "invoice_id").filter("transaction_id is not null")
-    return items.unified([items.bank_items(acts, matched), items.invoice_items(t["invoices"], _roles(t, acts)), items.trade_items(t["trades"]), items.cash_items(t["cash_expenses"])], t["rates"])
+def _items(t: Tables, acts: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """The unified table, with the fixture's links or with those given."""
+    acts = activity(t) if acts is None else acts
+    matched = (t["invoice_links"] if links is None else links).join(t["invoices"].select(_C("id").alias("invoice_id"), "invoice_date", "invoice_number", "seller_name"), "invoice_id").filter("transaction_id is not null")
+    return items.unified([items.bank_items(acts, matched), items.invoice_items(t["invoices"], _roles(t, acts, links)), items.trade_items(t["trades"]), items.cash_items(t["cash_expenses"])], t["rates"])
 
 
-_VOID = "CASE WHEN status IS NULL OR trim(status) = '' THEN FALSE ELSE regexp_matches(lower(translate(status, 'ＶＯＩＤ', 'VOID')), '作廢|註銷|撤銷|退回|void|cancel') OR NOT regexp_matches(lower(status), '開立|確認|正常|issued|confirmed') END"
 _D5 = "CASE WHEN date LIKE '%Z' THEN CAST(CAST(replace(replace(date, 'T', ' '), 'Z', '') AS TIMESTAMP) + INTERVAL 8 HOUR AS DATE) ELSE try_cast(substr(date, 1, 10) AS DATE) END"
 _ITEMS = f"""{ACT},
 um AS (SELECT DISTINCT CAST(-amount AS DECIMAL(18,2)) AS amount, day FROM act WHERE currency = 'TWD' AND amount < 0 AND role IN ('spending', 'advance') AND id NOT IN (SELECT transaction_id FROM {{invoice_links}} WHERE transaction_id IS NOT NULL)),
@@ -47,6 +50,8 @@ it AS (SELECT un.*, {_D5} AS day, CASE WHEN source = 'invoice' THEN -abs(amount)
   CAST(floor((CASE WHEN un.currency = 'TWD' OR amount = 0 THEN CAST(amount AS DOUBLE) WHEN rate_to_twd > 0 THEN CAST(amount AS DOUBLE) * rate_to_twd END) * 100 + 0.5) / 100.0 AS DECIMAL(18,2)) AS twd FROM un LEFT JOIN {{rates}} r ON r.currency = un.currency),
 items AS (SELECT *, strftime(day, '%Y-%m') AS month FROM it)
 """
+#: The same over the links that the library derives.
+LINKED = f"{ACT}, {annotating.LINKS}, dl AS (SELECT invoice_id, transaction_id, by_hand FROM lk WHERE outcome <> 'ambiguous'){_ITEMS[len(ACT):].replace('{invoice_links}', 'dl')}"
 _OUT = "role = 'excluded'"
 _OWN = f"NOT ({_OUT}) AND counted IS NOT NULL AND duplicate_of IS NULL"
 _PLAIN = f"{_OWN} AND role NOT IN ('advance', 'reimbursement')"
@@ -56,7 +61,8 @@ def _sum(test: str, value: str) -> str:
     return f"floor(CAST(coalesce(sum(CASE WHEN {test} THEN {value} END), 0) AS DOUBLE) * 100 + 0.5) / 100.0"
 
 
-_SUMMARY = f"""{_ITEMS}, m AS (SELECT month, {_sum(_PLAIN + " AND role = 'income'", "counted")} AS income, {_sum(_PLAIN + " AND role = 'spending'", "-counted")} AS spending, {_sum(_PLAIN + " AND role = 'investment'", "-counted")} AS investment,
+def _summary(rows: str) -> str:
+    return f"""{rows}, m AS (SELECT month, {_sum(_PLAIN + " AND role = 'income'", "counted")} AS income, {_sum(_PLAIN + " AND role = 'spending'", "-counted")} AS spending, {_sum(_PLAIN + " AND role = 'investment'", "-counted")} AS investment,
   {_sum(_PLAIN + " AND role = 'own_transfer' AND counted < 0", "-counted")} AS own_transfer, {_sum(_PLAIN + " AND role = 'card_payment' AND counted < 0", "-counted")} AS card_payment, {_sum(_PLAIN + " AND role IN ('income', 'spending')", "counted")} AS saved,
   count(*) FILTER ({_PLAIN} AND review = 'needs_review') AS review_count, {_sum(_PLAIN + " AND review = 'needs_review'", "abs(counted)")} AS review_amount, {_sum(f"NOT ({_OUT}) AND counted IS NOT NULL AND duplicate_of IS NOT NULL", "abs(counted)")} AS duplicate_excluded,
   count(*) FILTER ({_OUT}) AS excluded_count, {_sum(_OUT, "abs(counted)")} AS excluded_amount, count(*) FILTER ({_OWN} AND role = 'advance') AS advance_count, {_sum(_OWN + " AND role = 'advance'", "-counted")} AS advance_amount,
@@ -67,9 +73,18 @@ _SUMMARY = f"""{_ITEMS}, m AS (SELECT month, {_sum(_PLAIN + " AND role = 'income
   FROM items WHERE source <> 'investment' GROUP BY month)"""
 
 
-@query("ag1_month_summary", f"{_SUMMARY} SELECT *, CASE WHEN missing_currencies <> '' THEN 'missing_exchange_rates' ELSE '' END AS incomplete_reasons, missing_currencies = '' AS complete FROM m")
+_SUMMARY = _summary(_ITEMS)
+
+
+def linked_items(t: Tables) -> DataFrame:
+    """The unified table over derived links; transactions with their roles are stored once, as the links, roles and items all read them."""
+    acts = stored(activity(t), "activity")
+    return _items(t, acts, annotating.settled_links(annotating.links(t, acts)))
+
+
+@query("ag1_month_summary", f"{_summary(LINKED)} SELECT *, CASE WHEN missing_currencies <> '' THEN 'missing_exchange_rates' ELSE '' END AS incomplete_reasons, missing_currencies = '' AS complete FROM m")
 def _(t):
-    return items.month_summary(_items(t))
+    return items.month_summary(linked_items(t))
 
 
 @query("ag3_completeness", f"{_SUMMARY} SELECT month, CASE WHEN missing_currencies <> '' THEN 'missing_exchange_rates,' ELSE '' END || 'classification_unavailable,own_accounts_unavailable' AS incomplete_reasons, FALSE AS complete FROM m")
