@@ -6,6 +6,9 @@ assignment needs no graph in one task: see :func:`assign`.
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,7 +114,7 @@ def assign(edges: DataFrame) -> DataFrame:
     return settled(edges).filter("invoice_id is not null")
 
 
-def settled(edges: DataFrame) -> DataFrame:
+def settled(edges: DataFrame, small: int | None = None) -> DataFrame:
     """:func:`assign` with a row of outcome ``blocked`` for each transaction that an ambiguity keeps from matching.
 
     Rounds by falling score, at most one for each of the few score classes.  In a round an edge whose ends have no other
@@ -119,8 +122,9 @@ def settled(edges: DataFrame) -> DataFrame:
     interchangeable and paired by rank; any other blocks its ends.  A component is complete if all partners of
     each node have the same set of partners, which windows over set digests tell: components are never labelled.
     Edges that share no end with any other are matched before all rounds.  What is left after a round is written to the shared folder;
-    once it has at most ``SMALL`` edges, one task settles it by the same rules.
+    once it has at most ``small`` edges (``SMALL`` if not given, 0: never), one task settles it by the same rules.
     """
+    small = SMALL if small is None else small
     kinds = {f.name: f.dataType for f in edges.schema}
     over = lambda c: Window.partitionBy(c)
     count = lambda c: F.count(F.lit(1)).over(over(c))
@@ -131,7 +135,7 @@ def settled(edges: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("invoice_id", kinds["invoice_id"]), T.StructField("transaction_id", kinds["transaction_id"]), T.StructField("outcome", T.StringType())])
     while True:
         counted = rest.groupBy("score").agg(F.count(F.lit(1)).alias("n")).collect()  # a dozen classes
-        if sum(r["n"] for r in counted) <= SMALL:
+        if sum(r["n"] for r in counted) <= small:
             return out.unionByName(rest.withColumn("_one", F.lit(True)).groupBy("_one").applyInPandas(_finish, schema)) if counted else out
         score = max(r["score"] for r in counted)
         digest = lambda c, by: F.struct(F.count(F.lit(1)).over(over(by)).alias("n"), F.sum(F.xxhash64(c).cast("decimal(38,0)")).over(over(by)).alias("h"), F.sum(F.xxhash64(c, F.lit(1)).cast("decimal(38,0)")).over(over(by)).alias("g"))
@@ -215,47 +219,57 @@ def manual_candidates(invoices: DataFrame, payments: DataFrame, taken: DataFrame
 
 
 def _pair_group(legs: pd.DataFrame) -> pd.DataFrame:
-    """A greatest set of pairs of one group, found leg after leg in the order of ids, earlier pairs giving way where that helps."""
+    """A greatest set of pairs of one group: inflows in the order of ids take the first free outflow of another account, and where all that are
+    free are on their own account, the first earlier pair that neither side of which is on it gives way.
+
+    Free outflows are kept by account, the accounts in a heap by their first one.  Once all free outflows are on one account they stay so, and
+    then the pairs that can give way are those there are, first to last: each step costs a logarithm of the group's size.
+    """
     legs = legs.sort_values("id")
     plus, minus = legs[legs.amount > 0], legs[legs.amount < 0]
     accounts, others = list(plus.account_id), list(minus.account_id)
-    taken: dict[int, int] = {}
-    for start in range(len(accounts)):
-        # breadth first, so a long chain of giving way needs no deep recursion
-        came: dict[int, int] = {}
-        queue, end = [start], None
-        for leg in queue:
-            for k, account in enumerate(others):
-                if k in came or account == accounts[leg]:
-                    continue
-                came[k] = leg
-                if k not in taken:
-                    end = k
-                    break
-                queue.append(taken[k])
-            if end is not None:
-                break
-        while end is not None:
-            leg = came[end]
-            before = next((k for k, v in taken.items() if v == leg), None)
-            taken[end] = leg
-            end = before if leg != start else None
+    free: dict = {}
+    for k, account in enumerate(others):
+        free.setdefault(account, deque()).append(k)
+    first = [(line[0], account) for account, line in free.items()]
+    heapq.heapify(first)
+
+    def taken_from(account) -> int:
+        k = free[account].popleft()
+        if free[account]:
+            heapq.heappush(first, (free[account][0], account))
+        return k
+
+    holder: dict[int, int] = {}
+    giving = None
+    for leg, account in enumerate(accounts):
+        own = heapq.heappop(first) if first and first[0][1] == account else None
+        if first:
+            holder[taken_from(heapq.heappop(first)[1])] = leg
+            if own:
+                heapq.heappush(first, own)
+        elif own:
+            if giving is None:
+                giving = [k for k, other in holder.items() if others[k] != account and accounts[other] != account]
+                heapq.heapify(giving)
+            if giving:
+                k = heapq.heappop(giving)
+                holder[taken_from(account)] = holder[k]
+                holder[k] = leg
+            else:
+                heapq.heappush(first, own)
     ids, other_ids = list(plus.id), list(minus.id)
-    return pd.DataFrame([(ids[v], other_ids[k]) for k, v in taken.items()], columns=["into_id", "out_id"])
-
+    return pd.DataFrame([(ids[v], other_ids[k]) for k, v in holder.items()], columns=["into_id", "out_id"])
 
-#: Groups with more legs than this are paired by ranks instead of in one task.
-GROUP_MOST = 2000
 
+def transfer_matching(rows: DataFrame, owner: tuple[str, ...] = ()) -> DataFrame:
+    """(owner, day, currency, size, into_id, out_id): as many pairs of opposite legs on different accounts as each owner, day, currency and size allow.
 
-def transfer_matching(rows: DataFrame) -> DataFrame:
-    """(day, currency, size, into_id, out_id): as many pairs of opposite legs on different accounts as each day, currency and size allow.
-
-    rows: id, account_id, day, currency, amount.  Single pairs need no task of their own.  Groups of up to ``GROUP_MOST`` legs are paired in the order of ids.
-    In greater ones inflows in the order of accounts meet outflows in the opposite order, so only one account can meet
-    itself; those legs change partners with as many pairs, or take as many spare legs, that do not touch this account.
+    rows: owner's columns, id, account_id, day, currency, amount.  One rule for all sizes: what a leg is paired with depends on the legs before it, so the
+    legs of one owner, day, currency and amount go through one task in the order of ids, a few words of memory each.  Single pairs need no task of
+    their own.
     """
-    keys = ["day", "currency", "size"]
+    keys = [*owner, "day", "currency", "size"]
     legs = rows.withColumn("size", F.abs("amount")).filter("amount <> 0")
     counts = legs.groupBy(*keys).agg(F.count_if(F.col("amount") > 0).alias("p"), F.count_if(F.col("amount") < 0).alias("m")).filter("p > 0 and m > 0")
     kinds = ", ".join(f"{c} {dict(legs.dtypes)[c]}" for c in keys)
@@ -270,9 +284,8 @@ def transfer_matching(rows: DataFrame) -> DataFrame:
             out.insert(k, c, part[c].iloc[0])
         return out
 
-    some = known.filter((F.col("p") + F.col("m") > 2) & (F.col("p") + F.col("m") <= GROUP_MOST)).select(*keys, "id", "account_id", F.col("amount").cast("double").alias("amount"))
-    some = some.groupBy(*keys).applyInPandas(paired, f"{kinds}, into_id {ids}, out_id {ids}")
-    return one.unionByName(some).unionByName(_rank_matching(known.filter(F.col("p") + F.col("m") > GROUP_MOST), keys))
+    some = known.filter(F.col("p") + F.col("m") > 2).select(*keys, "id", "account_id", F.col("amount").cast("double").alias("amount"))
+    return one.unionByName(some.groupBy(*keys).applyInPandas(paired, f"{kinds}, into_id {ids}, out_id {ids}"))
 
 
 def transfer_counterparts(page: DataFrame, rows: DataFrame) -> DataFrame:
@@ -282,26 +295,6 @@ def transfer_counterparts(page: DataFrame, rows: DataFrame) -> DataFrame:
     return found.join(page.select("id"), "id", "left_anti")
 
 
-def _rank_matching(legs: DataFrame, keys: list[str]) -> DataFrame:
-    place = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    plus = legs.filter("amount > 0").select(*keys, F.col("id").alias("into_id"), F.col("account_id").alias("a"), place("account_id", "id").alias("k"))
-    minus = legs.filter("amount < 0").select(*keys, F.col("id").alias("out_id"), F.col("account_id").alias("b"), place(F.desc("account_id"), "id").alias("k"))
-    both = stored(plus.join(minus, [*keys, "k"], "full").drop("k"), "ranked")
-    clash = both.filter("a = b")
-    who = clash.groupBy(*keys).agg(F.first("a").alias("who"))
-    fine = both.filter("a is null or b is null or a <> b").join(who, keys, "left")
-    # what may change partners: pairs without the account, and spare legs of others
-    able = (F.coalesce("a", F.lit("")) != F.col("who")) & (F.coalesce("b", F.lit("")) != F.col("who"))
-    order = lambda rows: rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("into_id", "out_id"))))
-    swaps = order(fine.filter(F.col("who").isNotNull() & able)).select(*keys, "n", F.col("into_id").alias("x"), F.col("out_id").alias("y"))
-    changed = order(clash).join(swaps, [*keys, "n"])
-    used = changed.select(*keys, "x", "y")
-    new = changed.select(*keys, F.inline(F.array(F.struct(F.col("into_id"), F.col("y").alias("out_id")), F.struct(F.col("x").alias("into_id"), F.col("out_id")))))
-    kept = fine.filter("a is not null and b is not null").select(*keys, "into_id", "out_id")
-    kept = kept.join(used.filter("x is not null and y is not null").select(F.col("x").alias("into_id")), "into_id", "left_anti").select(*keys, "into_id", "out_id")
-    return kept.unionByName(new.filter("into_id is not null and out_id is not null"))
-
-
 def rank_pairs(rows: DataFrame, keys: list[str], side: str, order: str) -> DataFrame:
     """nth positive with nth negative of each key: (keys, n, left_id, right_id)."""
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, side).orderBy(order)))

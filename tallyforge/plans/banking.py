@@ -28,6 +28,14 @@ def _(t):
     return found.groupBy("day", "size").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query("jn18_all_candidates", f"""WITH p AS (SELECT id, amount, day, merchant AS name, id % 97 AS user_id FROM {{dense_transactions}} WHERE NOT inflow AND id % 3 <> 0) SELECT i.id AS invoice_id, p.id AS transaction_id,
+  CAST(row_number() OVER (PARTITION BY i.id ORDER BY abs(i.amount - p.amount), abs(p.day - i.day), p.name, p.id) AS INT) AS place FROM {{dense_invoices}} i JOIN p ON p.user_id = i.id % 97 AND p.day BETWEEN i.day - 7 AND i.day + 7""")
+def _(t):
+    paid = t["dense_transactions"].filter("not inflow").select("id", (-_C("amount")).alias("amount"), "day", _C("merchant").alias("name"), (_C("id") % 97).alias("user_id"))
+    taken = t["dense_transactions"].filter("id % 3 = 0").select(_C("id").alias("transaction_id"))
+    return linkage.manual_candidates(t["dense_invoices"].withColumn("user_id", _C("id") % 97), paid, taken, owner=("user_id",))
+
+
 @query("jn18_manual_candidates", """WITH p AS (SELECT id, amount, day, merchant AS name FROM {dense_transactions} WHERE NOT inflow AND id % 3 <> 0), c AS (SELECT i.id AS invoice_id, p.id AS transaction_id, row_number() OVER (PARTITION BY i.id ORDER BY abs(i.amount - p.amount), abs(p.day - i.day), p.name, p.id) AS place
   FROM {dense_invoices} i JOIN p ON p.day BETWEEN i.day - 7 AND i.day + 7) SELECT invoice_id, transaction_id, CAST(place AS INT) AS place FROM c WHERE place <= 3""")
 def _(t):

@@ -189,6 +189,12 @@ def _(t):
     return linkage.assign(linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow")))
 
 
+@query("jn12_matches_by_rounds", assignment(_EDGES, range(10, 4, -1)))
+def _(t):
+    found = linkage.settled(linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow")), small=0)
+    return found.filter("invoice_id is not null")
+
+
 _SELLERS = "SELECT id, CASE id % 6 WHEN 0 THEN '全聯實業股份有限公司旅順分公司' WHEN 2 THEN 'Cloudflare Inc.' ELSE '老王牛肉麵' END AS seller, amount, day, CASE WHEN id % 10 = 6 THEN lpad(CAST(id % 7 AS STRING), 4, '0') END AS carrier FROM {dense_invoices}"
 _BUYS = "SELECT id, CASE id % 3 WHEN 0 THEN '全支付﹘全聯' WHEN 1 THEN 'CLOUDFLAREA3906' ELSE '連支＊老王牛肉麵' END AS merchant, amount + CASE WHEN id % 4 = 1 THEN 15 ELSE 0 END AS amount, day, id % 2 = 1 AS credit, lpad(CAST(id % 7 AS STRING), 4, '0') AS account_last4, id % 9 <> 0 AS outflow FROM {dense_transactions}"
 _LEVELS = "SELECT * FROM (VALUES ('全聯實業股份有限公司旅順分公司', '全支付﹘全聯', 1, FALSE), ('Cloudflare Inc.', 'CLOUDFLAREA3906', 2, TRUE), ('老王牛肉麵', '連支＊老王牛肉麵', 2, FALSE)) AS v(seller, merchant, points, brand)"

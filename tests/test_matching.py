@@ -5,15 +5,55 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
+import pandas as pd
 
 from tallyforge.functions import banks, text
 from tallyforge.operators import cards, linkage, merchants
 
 
-@pytest.mark.parametrize("most", [2000, 2])
-def test_transfers_are_as_many_as_possible(spark, monkeypatch, most):
-    monkeypatch.setattr(linkage, "GROUP_MOST", most)
+def augmented(legs):
+    """Pairs found leg after leg by breadth-first augmenting paths over all outflows in the order of ids."""
+    plus, minus = sorted(r for r in legs if r[4] > 0), sorted(r for r in legs if r[4] < 0)
+    taken = {}
+    for start in range(len(plus)):
+        came, queue, end = {}, [start], None
+        for leg in queue:
+            for k, other in enumerate(minus):
+                if k in came or other[1] == plus[leg][1]:
+                    continue
+                came[k] = leg
+                if k not in taken:
+                    end = k
+                    break
+                queue.append(taken[k])
+            if end is not None:
+                break
+        while end is not None:
+            leg = came[end]
+            before = next((k for k, v in taken.items() if v == leg), None)
+            taken[end] = leg
+            end = before if leg != start else None
+    return {(plus[v][0], minus[k][0]) for k, v in taken.items()}
+
+
+def test_pairs_are_those_of_augmenting_paths():
+    rnd = random.Random(11)
+    for _ in range(600):
+        n, accounts = rnd.randint(2, 24), rnd.randint(1, 5)
+        legs = [(k, f"a{min(rnd.randrange(accounts), rnd.randrange(accounts))}", "d", "TWD", rnd.choice([10.0, -10.0])) for k in range(n)]
+        got = linkage._pair_group(pd.DataFrame(legs, columns=["id", "account_id", "day", "currency", "amount"]))
+        assert set(zip(got.into_id, got.out_id, strict=True)) == augmented(legs), legs
+
+
+def test_pairs_of_a_great_group():
+    n = 200_000
+    legs = pd.DataFrame({"id": range(n), "account_id": ["hot" if k % 3 else f"a{k % 7}" for k in range(n)], "amount": [10.0 if k * 7 % 5 < 2 else -10.0 for k in range(n)]})
+    got = linkage._pair_group(legs)
+    account = dict(zip(legs.id, legs.account_id, strict=True))
+    assert len(got) == min((legs.amount > 0).sum(), (legs.amount < 0).sum(), n - (legs.account_id == "hot").sum()) and all(account[a] != account[b] for a, b in zip(got.into_id, got.out_id, strict=True))
+
+
+def test_transfers_are_as_many_as_possible(spark):
     rnd, rows = random.Random(3), []
     for g in range(80):
         for _ in range(rnd.randint(2, 9)):
