@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tallyforge.operators import inbox, items, linkage, series
 from tallyforge.plans.catalog import query
 from tallyforge.plans.unified import _ITEMS, _items
+from tallyforge.sources.durable import fresh_path
+from tallyforge.streaming import lifecycle
+from tallyforge.streaming import waiting as stream
 
 _C = F.col
 
@@ -86,3 +89,46 @@ def _(t):
   SELECT day, CAST(sum(change) OVER (ORDER BY day) AS DOUBLE) AS total FROM d""")
 def _(t):
     return series.deposits_by_day(t["snapshots"], t["accounts"], t["rates"])
+
+
+_PAID = "SELECT 'payment' AS kind, id, account_id AS owner, currency, CAST(abs(amount) AS DECIMAL(18,2)) AS amount, CAST(posted_date AS DATE) AS day FROM {transactions} UNION ALL SELECT 'invoice', i.id, t.account_id, t.currency, i.amount, i.day FROM {invoices} i JOIN {transactions} t ON t.n = i.n"
+
+
+@query("sm4_waiting_invoices", f"""WITH r AS ({_PAID}), u AS (SELECT max(day) - 15 AS until FROM r), c AS (SELECT i.id AS invoice_id, p.id AS transaction_id, p.day - i.day AS gap, i.day, row_number() OVER (PARTITION BY i.id ORDER BY abs(p.day - i.day), p.day, p.id) AS place
+  FROM r i LEFT JOIN r p ON p.kind = 'payment' AND p.owner = i.owner AND p.currency = i.currency AND p.amount = i.amount AND p.day BETWEEN i.day - 7 AND i.day + 7 WHERE i.kind = 'invoice')
+  SELECT invoice_id, transaction_id, CASE WHEN transaction_id IS NULL THEN 'overdue' ELSE 'matched' END AS outcome, CAST(gap AS INT) AS gap FROM c, u WHERE place = 1 AND CASE WHEN transaction_id IS NULL THEN c.day + 10 <= until ELSE c.day + 7 <= until END""")
+def _(t):
+    feed, out, check = (fresh_path(t.spark, x) for x in ("feed", "waits", "state"))
+    rows = t.spark.sql(_PAID, transactions=t["transactions"], invoices=t["invoices"])
+    rows.write.parquet(feed)
+    stream.drained(stream.waits(t.spark.readStream.schema(rows.schema).parquet(feed)), out, check)
+    return t.spark.read.schema(stream.OUT).parquet(out)
+
+
+@query("sm4_waiting_in_batch", f"""WITH r AS ({_PAID}), c AS (SELECT i.id AS invoice_id, p.id AS transaction_id, p.day - i.day AS gap, i.day, row_number() OVER (PARTITION BY i.id ORDER BY abs(p.day - i.day), p.day, p.id) AS place
+  FROM r i LEFT JOIN r p ON p.kind = 'payment' AND p.owner = i.owner AND p.currency = i.currency AND p.amount = i.amount AND p.day BETWEEN i.day - 7 AND i.day + 7 WHERE i.kind = 'invoice')
+  SELECT invoice_id, transaction_id, CASE WHEN transaction_id IS NULL THEN 'overdue' ELSE 'matched' END AS outcome, CAST(gap AS INT) AS gap FROM c WHERE place = 1 AND CASE WHEN transaction_id IS NULL THEN day + 10 ELSE day + 7 END <= DATE '2000-06-30'""")
+def _(t):
+    return stream.waits_of_all(t.spark.sql(_PAID, transactions=t["transactions"], invoices=t["invoices"]), "2000-06-30")
+
+
+_ARRIVES = "SELECT id, CASE WHEN n % 3 = 0 THEN 'posted' ELSE 'pending' END AS status, amount, description, CAST(NULL AS STRING) AS transfer_peer_id, authorized_at, n AS ordinal FROM {transactions}"
+
+
+@query("sm2_lifecycle_ledger", "SELECT id, CASE WHEN n % 3 = 0 OR n % 4 = 0 THEN 'posted' ELSE 'pending' END AS status, CASE WHEN n % 4 = 0 THEN 'settled' ELSE description END AS description FROM {transactions}")
+def _(t):
+    folder = fresh_path(t.spark, "lifecycle")
+    first = t.spark.sql(_ARRIVES, transactions=t["transactions"])
+    lifecycle.promote(first, 0, folder)
+    second = first.filter("ordinal % 4 = 0").withColumns({"status": F.lit("posted"), "description": F.lit("settled")})
+    lifecycle.promote(second, 1, folder)
+    return lifecycle.latest(t.spark, folder).select("id", "status", "description")
+
+
+@query("sm2_lifecycle_changes", "SELECT id, 'posted' AS kind FROM {transactions} WHERE n % 4 = 0 AND n % 3 <> 0")
+def _(t):
+    folder = fresh_path(t.spark, "lifecycle")
+    first = t.spark.sql(_ARRIVES, transactions=t["transactions"])
+    lifecycle.promote(first, 0, folder)
+    lifecycle.promote(first.filter("ordinal % 4 = 0").withColumn("status", F.lit("posted")), 1, folder)
+    return t.spark.read.schema("id string, kind string").parquet(f"{folder}/changes/1")

@@ -1,7 +1,9 @@
 """Pending-to-posted lifecycle as a stream: each micro-batch is merged into a ledger table and leaves a change feed.
 
-A batch writes a new version of the ledger in a folder named by the batch id, so a batch that is replayed after a
-failure writes the same version again.  ``latest`` reads the last version.  Event-time windows are an extension.
+The ledger lies in ``BUCKETS`` buckets of ids.  A batch reads and writes the buckets that its rows fall in, under its own number, and a manifest that says
+which number holds each bucket; all others stay as they are.  A batch that is replayed after a failure starts from the manifest
+before it and writes the same again.  Bucket versions that neither the last manifest nor the one before it names are removed.
+``latest`` reads the last version.  Event-time windows are an extension.
 """
 
 from __future__ import annotations
@@ -10,12 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ingest import last_of_each, merge_transactions
+from tallyforge.sources.durable import remove
 
 FIELDS = "id string, status string, amount decimal(18,2), description string, transfer_peer_id string, authorized_at string"
+BUCKETS = 64
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FIELDS).parquet(path)
+def _bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+
+
+def _names(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers below ``folder``, for manifests and feeds that are complete."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    done = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and done(p))
+
+
+def _manifest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
+    """Bucket to version, as the last manifest (before a number) says; a row a bucket."""
+    have = [k for k in _names(spark, f"{folder}/manifest") if before is None or k < before]
+    return {r.bucket: r.version for r in spark.read.parquet(f"{folder}/manifest/{have[-1]}").collect()} if have else {}
+
+
+def _read(spark: SparkSession, folder: str, manifest: dict[int, int]) -> DataFrame:
+    paths = [f"{folder}/ledger/{version}/bucket={bucket}" for bucket, version in sorted(manifest.items())]
+    return spark.read.schema(FIELDS).parquet(*paths) if paths else spark.createDataFrame([], FIELDS)
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger as the last batch left it."""
+    return _read(spark, folder, _manifest(spark, folder))
 
 
 def changes(old: DataFrame, merged: DataFrame) -> DataFrame:
@@ -26,17 +57,29 @@ def changes(old: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.select("id", kind.alias("kind")).filter("kind is not null")
 
 
-def run(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Drain ``stream`` (FIELDS and ordinal) into versions under ``folder``/ledger and feeds under ``folder``/changes."""
-    spark = stream.sparkSession
+def promote(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """Merge one micro-batch (FIELDS and ordinal) into the ledger and write its changes."""
+    spark = batch.sparkSession
+    before = _manifest(spark, folder, batch_id)
+    earlier = [k for k in _names(spark, f"{folder}/manifest") if k < batch_id]
+    if len(earlier) > 1:
+        # the last batch is committed, so what it replaced is read no more
+        gone = _manifest(spark, folder, earlier[-1])
+        for bucket, version in gone.items():
+            if before.get(bucket) != version:
+                remove(spark, f"{folder}/ledger/{version}/bucket={bucket}")
+    staged = last_of_each(batch, "id", "ordinal").drop("ordinal")
+    touched = [r.bucket for r in _bucket(staged.select("id")).select("bucket").distinct().collect()]  # BUCKETS rows at most
+    old = _read(spark, folder, {b: v for b, v in before.items() if b in touched})
+    _bucket(merge_transactions(old, staged)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/ledger/{batch_id}")
+    after = before | {b: batch_id for b in touched}
+    changes(old, _read(spark, folder, {b: batch_id for b in touched})).write.mode("overwrite").parquet(f"{folder}/changes/{batch_id}")
+    spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/{batch_id}")
 
-    def promote(batch: DataFrame, batch_id: int) -> None:
-        staged = last_of_each(batch, "id", "ordinal").drop("ordinal")
-        old = _read(spark, f"{folder}/ledger/{batch_id - 1}") if batch_id else spark.createDataFrame([], FIELDS)
-        merge_transactions(old, staged).write.mode("overwrite").parquet(f"{folder}/ledger/{batch_id}")
-        changes(old, _read(spark, f"{folder}/ledger/{batch_id}")).write.mode("overwrite").parquet(f"{folder}/changes/{batch_id}")
 
-    stream.writeStream.foreachBatch(promote).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Drain ``stream`` (FIELDS and ordinal) into buckets under ``folder``/ledger and feeds under ``folder``/changes."""
+    stream.writeStream.foreachBatch(lambda batch, batch_id: promote(batch, batch_id, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def windowed(events: DataFrame, lateness: str = "14 days", width: str = "1 day") -> DataFrame:
