@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
+from tallyforge.functions.text import name_key
 from tallyforge.operators.linkage import unique_both_ways
 
 # Fee words, the least likeness of names, the weights of an exact amount, a name and a near amount, and of the same record.
@@ -67,22 +69,23 @@ def listed_cards(accounts: DataFrame) -> DataFrame:
     return own.unionByName(more.join(own.select("issuer", "last4").distinct(), ["issuer", "last4"], "left_anti").select("issuer", "account_id", "last4")).select("account_id", "last4").distinct()
 
 
-def _plain(name: str) -> str:
-    x = re.sub(r"^A\s*-\s*", "", re.sub(r"^[^/]+/", "", unicodedata.normalize("NFKC", name or "").upper()))
-    return "".join(c for c in x if unicodedata.category(c)[0] in "LN")
+#: What stands before a merchant's name in card texts: a channel up to a slash, or a mark.
+_BEFORE_NAME = re.compile(r"^(?:[^/]+/)?(?:A\s*-\s*)?")
+
+
+def _pairs_of(name: str) -> tuple[str, frozenset[str]]:
+    """A card text's letters and digits in upper case, and the pairs of characters that follow each other."""
+    x = name_key(_BEFORE_NAME.sub("", unicodedata.normalize("NFKC", name or "").upper()), None).upper()
+    return x, frozenset(map("".join, itertools.pairwise(x)))
 
 
 def likeness(left: str, right: str) -> float:
     """1 for equal names, 0.95 where one holds the other, else Dice's share of common character pairs."""
-    a, b = _plain(left), _plain(right)
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if min(len(a), len(b)) >= WITHIN_LEAST and (a in b or b in a):
-        return WITHIN_LIKENESS
-    x, y = ({s[i : i + 2] for i in range(len(s) - 1)} for s in (a, b))
-    return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+    (a, of_a), (b, of_b) = _pairs_of(left), _pairs_of(right)
+    short, long = sorted((a, b), key=len)
+    held = WITHIN_LIKENESS if len(short) >= WITHIN_LEAST and short in long else 0.0
+    dice = 2 * len(of_a & of_b) / (len(of_a) + len(of_b)) if of_a and of_b else 0.0
+    return 0.0 if not short else 1.0 if a == b else held or dice
 
 
 def best_assignment(weights: np.ndarray) -> list[tuple[int, int]]:

@@ -64,7 +64,7 @@ def _invoice_identity(seller: str | None, ban: str | None) -> tuple:
 def _bank_identity(description: str | None, counterparty: str | None) -> tuple:
     texts = [t for t in ((T.unicodedata.normalize("NFKC", x).strip() if x else "") for x in (counterparty, description)) if t]
     texts = [t for t in texts if not T.is_generic(t)]
-    wallets = [t for t in texts if any(p.match(T._plain(t)) for p, _ in T._WALLETS)]
+    wallets = [t for t in texts if T.wallet(t)[1]]
     return next((found for t in [*wallets[:1], *texts] if (found := _named(t))), (None, None, None))
 
 
@@ -83,7 +83,7 @@ def bank_merchants(transactions: DataFrame) -> DataFrame:
 
 def bank_codes(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``bank_code``: the one bank that a text names."""
-    return _with_texts(rows, [column], lambda x: (B.code_in_text(x),), "bank_code string")
+    return rows.withColumn("bank_code", B.code_in_text(T.nfkc(F.col(column))))
 
 
 def item_names(items: DataFrame) -> DataFrame:

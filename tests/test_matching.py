@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tallyforge.functions import banks, text
 from tallyforge.operators import cards, linkage, merchants
@@ -107,7 +108,15 @@ def test_names_are_compared_over_shared_keys_only(spark):
     got = {(r.seller, r.merchant): (r.level, r.brand) for r in merchants.similar_pairs(s, m).collect()}
     want = {(a, b): (level, text.brand_match(a, b)) for a in sellers for b in texts if (level := text.similarity(a, "84149961" if a == "統一超商" else None, b)) != "none"}
     assert got == want and got["Valve Corp", "STEAMGAMES.COM 425"] == ("strong", True) and got["甲乙丙丁", "丙丁戊己庚"][0] == "partial" and got["統一超商", "84149961 統一"][0] == "strong"
-    assert text.common_run("甲乙丙丁戊", "丁乙丙戊") == 2 and banks.code_in_text("國泰世華銀行轉帳") == "013" and banks.code_in_text("玉山 台新") is None
+    assert text.common_run("甲乙丙丁戊", "丁乙丙戊") == 2
+
+def test_bank_named_in_a_text(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"國泰世華銀行轉帳": "013", "玉山 台新": None, "臺灣銀行": "004", "": None, None: None, "台新銀行 台新": "812", "中國信託商業銀行": "822", "遠東商銀ATM": "805", "no bank": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "memo string")
+    assert {r.memo: r.bank_code for r in merchants.bank_codes(rows, "memo").collect()} == cases
+    assert rows.select(banks.code_in_text(F.col("memo")).alias("x")).filter("x is not null").count() == 5
 
 
 def test_rules_with_prefix_ids_bad_patterns_and_statuses(spark):
