@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import ingest, ledger, linkage, merchants, series
-from tallyforge.plans import annotating, banking, cardbills, histories, lifecycles, linking, normalising, settling, spending, statements, unified, waiting  # noqa: F401  (they register their queries)
+from tallyforge.plans import annotating, banking, cardbills, histories, lifecycles, linking, merging, normalising, settling, spending, statements, unified, waiting  # noqa: F401  (they register their queries)
 from tallyforge.plans.annotating import assignment
 from tallyforge.plans.catalog import QUERIES, SQL, query
 from tallyforge.plans.derived import ACT as _ACT
