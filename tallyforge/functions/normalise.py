@@ -151,3 +151,54 @@ def parsed_time(text: Column) -> Column:
 def source_hash(*parts: Column) -> Column:
     """SHA-256 of the parts joined by a bar, so that codes are compared without being kept."""
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def first_array(payload: Column, keys: list[str], depth: int = 5) -> Column:
+    """The first array in a JSON text, as JSON, looked for in the order of the text: an object's ``keys`` first, then what lies in it, ``depth`` levels down.
+
+    Null if there is none or the text is no JSON.  An empty array under one of ``keys`` ends the search of its object, other empty ones are passed over.
+    Texts keep the order of fields, variants tell arrays and objects from strings that look like them.
+    """
+
+    def in_object(text: Column, left: int) -> Column:
+        fields, kinds = F.from_json(text, "map<string,string>"), F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+        array = lambda k: F.try_variant_get(kinds[k], "$", "array<variant>").isNotNull()
+        named = F.coalesce(*(F.when(array(F.lit(k)), fields[F.lit(k)]) for k in keys)) if keys else F.lit(None).cast("string")
+        if not left:
+            return F.nullif(named, F.lit("[]"))
+        below = lambda k: F.when(array(k), F.nullif(fields[k], F.lit("[]"))).when(F.try_variant_get(kinds[k], "$", "map<string,variant>").isNotNull(), in_object(fields[k], left - 1))
+        inside = F.array_compact(F.transform(F.map_keys(fields), below))
+        return F.when(named.isNotNull(), F.nullif(named, F.lit("[]"))).otherwise(F.get(inside, F.lit(0)))
+
+    whole = F.try_parse_json(payload)
+    return F.when(F.try_variant_get(whole, "$", "array<variant>").isNotNull(), F.nullif(payload, F.lit("[]"))).when(F.try_variant_get(whole, "$", "map<string,variant>").isNotNull(), in_object(payload, depth))
+
+
+def settlement_account(broker: Column, number: Column, account: Column) -> Column:
+    """Source id of a settlement account: broker and number, else the account's own id."""
+    text = lambda c: F.nullif(c, F.lit(""))
+    both = F.when(text(broker).isNotNull() & text(number).isNotNull(), F.concat_ws(":", F.lit("settlement"), broker, number))
+    return F.coalesce(both, F.concat(F.lit("settlement:"), text(account)), F.lit("settlement:unknown"))
+
+
+def movement_id(given: Column, account: Column, day: Column, amount: Column, currency: Column, description: Column, counterparty: Column) -> Column:
+    """A movement's own id, else one of what tells it apart; the amount without decimals."""
+    text = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    whole = F.when(amount < 0, F.ceil(amount)).otherwise(F.floor(amount)).cast("long").cast("string")
+    made = F.concat_ws(":", account, text(day, "undated"), whole, text(currency, "TWD"), text(description, ""), text(counterparty, ""))
+    return F.coalesce(F.nullif(given, F.lit("")), made)
+
+
+def next_run(interval: Column, preferred: Column, now: Column, weekday: Column) -> Column:
+    """When a job runs next: ``interval`` minutes from now below a day or without a good ``preferred`` time (HH:MM in Taipei), else at that time today or
+    tomorrow, and for weeks on ``weekday`` (0: Sunday), this week or the next."""
+    minute = F.make_dt_interval(mins=interval)
+    hours, minutes = (F.regexp_extract(preferred, r"\A(\d{2}):(\d{2})\z", k).try_cast("int") for k in (1, 2))
+    fine = F.coalesce((hours <= 23) & (minutes <= 59), F.lit(False))
+    taipei = F.make_dt_interval(hours=F.lit(8))
+    today = F.date_trunc("day", now + taipei)
+    at = today + F.make_dt_interval(hours=hours, mins=minutes) - taipei
+    ahead = F.pmod(F.least(F.lit(6), F.greatest(F.lit(0), F.coalesce(weekday, F.lit(1)))) - (F.dayofweek(today) - 1), F.lit(7))
+    weekly = at + F.make_dt_interval(days=ahead)
+    later = lambda x, days: F.when(x <= now, x + F.make_dt_interval(days=F.lit(days))).otherwise(x)
+    return F.when((interval < 1440) | ~fine, now + minute).when(interval == 10080, later(weekly, 7)).otherwise(later(at, 1))

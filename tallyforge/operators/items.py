@@ -163,6 +163,12 @@ def spending_by_category(items: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.groupBy("month", "level", "category_id").agg(C.cents(F.sum(-F.col("counted"))).alias("spending"))
 
 
+def category_maps(items: DataFrame, level: str, parents: DataFrame) -> DataFrame:
+    """(month, spending): a MAP of category to net spending a month, its keys in order.  Sums are grouped before entries meet, so a map has a row a category."""
+    rows = spending_by_category(items, parents).filter(F.col("level") == level)
+    return rows.groupBy("month").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_id", "spending")))).alias("spending"))
+
+
 def top_category(own: Column, known_top: Column) -> Column:
     """A known category's top one; unknown ids are ``misc``, none is ``other``."""
     return F.when(own.isNull(), "other").otherwise(F.coalesce(known_top, F.when(own == "other", "other"), F.lit("misc")))

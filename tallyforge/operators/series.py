@@ -180,6 +180,13 @@ def filled_balances(day_ends: DataFrame, until: str) -> DataFrame:
     return held.unionByName(first)
 
 
+def held_until(rows: DataFrame, key: str, until: str) -> DataFrame:
+    """(key, day, balance) of every day from a key's first to ``until``: a balance holds until the next one.  Each is exploded over its own days."""
+    following = F.lead("day").over(Window.partitionBy(key).orderBy("day"))
+    stop = F.coalesce(F.date_sub(following, 1), F.greatest(F.col("day"), F.lit(until).cast("date")))
+    return rows.withColumn("_stop", stop).select(key, F.explode(F.sequence("day", "_stop")).alias("day"), "balance")
+
+
 def history_in_twd(history: DataFrame, assets: DataFrame, rates: DataFrame) -> DataFrame:
     """(id, day, value): manual values converted by their asset's currency, zero without a rate; other sources are in TWD.
 
