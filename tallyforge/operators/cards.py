@@ -145,7 +145,9 @@ def authorisation_matches(authorisations: DataFrame, posted: DataFrame, rates: d
         found = best_assignment(np.array([[weight(x, y) for y in b] for x in a])) if a and b else []
         return pd.DataFrame([(a[i].id, b[j].id) for i, j in found], columns=["authorisation_id", "posted_id"])
 
-    rows = both.withColumn("amount", F.col("amount").cast("double"))
+    # only cards and days with both sides go to Python
+    sides = both.groupBy("card", "day").agg(F.count_distinct("side").alias("n")).filter("n = 2").select("card", "day")
+    rows = both.join(sides, ["card", "day"]).withColumn("amount", F.col("amount").cast("double"))
     return rows.groupBy("card", "day").applyInPandas(run, f"authorisation_id {kind}, posted_id {kind}")
 
 

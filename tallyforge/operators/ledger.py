@@ -211,6 +211,27 @@ def month_trend(summary: DataFrame, months: list[str], loaded: tuple[str, str])
     return rows.select("month", F.coalesce("spending", F.lit(0.0)).alias("spending"), (F.coalesce("activity_count", F.lit(0)) == 0).alias("no_data"), "outside")
 
 
+#: The currencies whose rates are listed, in this order.
+LISTED_CURRENCIES = ("USD", "JPY", "EUR", "CNY")
+
+
+def inverted_rates(quotes: DataFrame) -> DataFrame:
+    """(currency, rate_to_twd, updated_on): the inverse of a currency's latest good quote.
+
+    quotes: currency, per_twd (units a TWD), day, n (order within a day).  Zero, negative, missing and infinite quotes are no rates; a currency
+    keeps its last good one.
+    """
+    good = quotes.filter((F.col("per_twd") > 0) & (F.col("per_twd") < float("inf")))
+    last = good.groupBy("currency").agg(F.max_by(F.struct("per_twd", "day"), F.struct("day", "n")).alias("q"))
+    return last.select("currency", (F.lit(1.0) / F.col("q.per_twd")).alias("rate_to_twd"), F.col("q.day").alias("updated_on"))
+
+
+def listed_rates(rates: DataFrame) -> DataFrame:
+    """Rates of the listed currencies in their order (``place``)."""
+    place = F.array_position(F.array(*map(F.lit, LISTED_CURRENCIES)), F.col("currency")).cast("int")
+    return rates.withColumn("place", place).filter("place > 0").orderBy("place")
+
+
 def report_rollup(results: DataFrame) -> DataFrame:
     """(batch_id, status, connectors, failed, new_records): the worst status of a batch's connectors and the sum of their new records.  results: batch_id, connector_id, status, new_records."""
     rank = F.when(F.col("status") == "failed", 3).when(F.col("status") == "needs_user_action", 2).when(F.col("status") == "partial", 1).otherwise(0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import keywords as K
 from tallyforge.operators import invoices, ledger, linkage
 from tallyforge.plans.catalog import query
-from tallyforge.plans.derived import DAY, activity
+from tallyforge.plans.derived import ACT, DAY, activity
 
 _C = F.col
 
@@ -117,10 +117,12 @@ def _(t):
     return ledger.report_rollup(_sql(t, _RESULTS, "orders"))
 
 
-@query("ag31_trend_flags", """SELECT m AS month, CASE WHEN m BETWEEN '2001-01' AND '2001-03' THEN 10.0 ELSE 0.0 END AS spending, m NOT BETWEEN '2001-01' AND '2001-03' AS no_data, m NOT BETWEEN '2000-12' AND '2001-04' AS outside FROM (VALUES ('2000-11'), ('2000-12'), ('2001-01'), ('2001-02'), ('2001-03'), ('2001-04'), ('2001-05')) AS v(m)""")
+@query("ag31_trend_flags", f"""{ACT}, v AS (SELECT strftime(CAST(range AS DATE), '%Y-%m') AS month FROM range(DATE '1994-11-01', DATE '1995-07-01', INTERVAL 1 MONTH)),
+  m AS (SELECT month, floor(CAST(coalesce(sum(CASE WHEN role = 'spending' AND twd IS NOT NULL THEN -twd END), 0) AS DOUBLE) * 100 + 0.5) / 100.0 AS spending, count(*) FILTER (twd IS NOT NULL AND role NOT IN ('excluded', 'advance', 'reimbursement')) AS n FROM act GROUP BY 1)
+  SELECT v.month, coalesce(spending, 0) AS spending, coalesce(n, 0) = 0 AS no_data, v.month NOT BETWEEN '1994-12' AND '1995-04' AS outside FROM v LEFT JOIN m USING (month)""")
 def _(t):
-    summary = t.spark.createDataFrame([(f"2001-0{k}", 10.0, 3) for k in (1, 2, 3)], "month string, spending double, activity_count long")
-    return ledger.month_trend(summary, ["2000-11", "2000-12", *(f"2001-0{k}" for k in range(1, 6))], ("2000-12", "2001-04"))
+    # the first transactions are of January 1995
+    return ledger.month_trend(ledger.month_summary(activity(t)), ["1994-11", "1994-12", *(f"1995-0{k}" for k in range(1, 7))], ("1994-12", "1995-04"))
 
 
 for _name, _table, _keys, _after in (("invoices", "invoices", ("invoice_date", "id"), ("1999-06-30", "inv:5")), ("trades", "trades", ("posted_date", "id"), ("1998-06-30", "trade:5")), ("positions", "positions", ("as_of_date", "connector_id", "symbol"), None), ("bills", "bills", ("billing_period", "account_id"), ("1999-06", "acct:5"))):
@@ -141,9 +143,11 @@ def _(t):
     return t["transactions"].select("id", ledger.economic_role(signals).alias("r")).select("id", "r.*")
 
 
-@query("se4_missing_rows", "SELECT id FROM {accounts} WHERE id NOT IN (SELECT account_id FROM {snapshots})")
+@query("se4_missing_rows", "SELECT id FROM {accounts} WHERE id NOT IN (SELECT account_id FROM {snapshots} WHERE NOT derived AND as_of_day >= DATE '2001-01-01')")
 def _(t):
-    return t["accounts"].select("id").join(t["snapshots"].select(_C("account_id").alias("id")), "id", "left_anti")
+    # accounts without a real balance in the last months
+    recent = t["snapshots"].filter("not derived and as_of_day >= date '2001-01-01'")
+    return t["accounts"].select("id").join(recent.select(_C("account_id").alias("id")), "id", "left_anti")
 
 
 @query("ag11_open_activity", "SELECT count(*) AS n FROM {transactions} WHERE canonical_account_id IS NULL AND (status <> 'pending' OR matched_transaction_id IS NULL)")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
-from tallyforge.operators import ingest, ledger, linkage, merchants, series
+from tallyforge.operators import cards, ingest, ledger, linkage, merchants, series
 from tallyforge.plans import annotating, banking, cardbills, histories, lifecycles, linking, merging, normalising, settling, spending, statements, unified, waiting  # noqa: F401  (they register their queries)
 from tallyforge.plans.annotating import assignment
 from tallyforge.plans.catalog import QUERIES, SQL, query
 from tallyforge.plans.derived import ACT as _ACT
 from tallyforge.plans.derived import DAY as _DAY
 from tallyforge.plans.derived import RULES, activity as _activity  # noqa: F401
+from tallyforge.sources.durable import stored
 from tallyforge.sources.tables import TODAY, Tables
 
 _PLAIN = "twd IS NOT NULL AND role NOT IN ('excluded', 'advance', 'reimbursement')"
@@ -85,9 +86,19 @@ def _(t):
     return t["bills"].filter("billing_period >= '1999-01' and billing_period < '1999-04'").select("account_id", "billing_period", "currency", F.col("statement_amount").cast("double").alias("statement_amount"))
 
 
-@query("sc9_exchange_rates", "SELECT currency, rate_to_twd FROM {rates} WHERE currency IN ('USD', 'JPY', 'EUR', 'CNY')")
+# a quote an order, some of them no rates
+_QUOTES = "SELECT CASE o_orderkey % 7 WHEN 0 THEN 'USD' WHEN 1 THEN 'JPY' WHEN 2 THEN 'EUR' WHEN 3 THEN 'CNY' WHEN 4 THEN 'KRW' WHEN 5 THEN 'GBP' ELSE 'THB' END AS currency, CASE WHEN o_orderkey % 5 = 0 THEN 0E0 WHEN o_orderkey % 11 = 0 THEN -1E0 WHEN o_orderkey % 13 <> 0 THEN 1E0 / (20E0 + o_orderkey % 17) END AS per_twd, CAST(o_orderdate AS DATE) AS day, o_orderkey AS n FROM {orders}"
+_RATES = f"SELECT currency, 1E0 / arg_max(per_twd, (day, n)) AS rate_to_twd, max(day) AS updated_on FROM ({_QUOTES}) WHERE per_twd > 0 GROUP BY 1"
+
+
+def _kept_rates(t):
+    """The table of rates, overwritten with what the quotes say."""
+    return stored(ledger.inverted_rates(t.spark.sql(_QUOTES, orders=t["orders"])), "rates")
+
+
+@query("sc9_exchange_rates", f"SELECT currency, rate_to_twd, CASE currency WHEN 'USD' THEN 1 WHEN 'JPY' THEN 2 WHEN 'EUR' THEN 3 ELSE 4 END AS place FROM ({_RATES}) WHERE currency IN ('USD', 'JPY', 'EUR', 'CNY')")
 def _(t):
-    return t["rates"].filter(F.col("currency").isin("USD", "JPY", "EUR", "CNY"))
+    return ledger.listed_rates(_kept_rates(t)).select("currency", "rate_to_twd", "place")
 
 
 @query("sc11_earliest_day", f"SELECT min({_DAY}) AS day FROM {{transactions}}")
@@ -101,9 +112,9 @@ def _(t):
     return bank.unionByName(t["invoices"].filter("amount > 700000").select("day")).agg(F.min("day").alias("day"))
 
 
-@query("sc14_inverted_rates", "SELECT currency, 1.0 / rate_to_twd AS per_twd FROM {rates} WHERE rate_to_twd > 0")
+@query("sc14_inverted_rates", f"SELECT currency, rate_to_twd, updated_on FROM ({_RATES})")
 def _(t):
-    return t["rates"].filter("rate_to_twd > 0").select("currency", (F.lit(1.0) / F.col("rate_to_twd")).alias("per_twd"))
+    return _kept_rates(t)
 
 
 @query("st4_transaction_page", """SELECT id, posted_date FROM {transactions} WHERE (posted_date, id) < ('1999-06-30', 'txn:5') ORDER BY posted_date DESC, id DESC LIMIT 50""")
@@ -210,10 +221,35 @@ def _(t):
     return linkage.candidate_edges(i, b, names=linkage.name_points(pairs))
 
 
-@query("jn16_repeat_groups")
+@query("jn16_repeat_groups", """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id AS id, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS sec FROM {events}),
+  g AS (SELECT user_id, event_type, min(sec) AS at_sec FROM e GROUP BY 1, 2 UNION ALL SELECT user_id, event_type, (SELECT min(e.sec) FROM e WHERE e.user_id = g.user_id AND e.event_type = g.event_type AND e.sec > g.at_sec + 86400) FROM g WHERE at_sec IS NOT NULL)
+  SELECT e.user_id, e.event_type, e.id, max(g.at_sec) AS anchor FROM e JOIN g ON g.user_id = e.user_id AND g.event_type = e.event_type AND g.at_sec <= e.sec GROUP BY 1, 2, 3""")
+def _(t):
+    rows = t["events"].select("user_id", "event_type", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return linkage.anchored_groups(rows, ["user_id", "event_type"])
+
+
+@query("jn17_repeat_rounds")
+def _(t):
+    # invoices of one seller, amount and month are taken as issued again, one after another
+    ranked = t["dense_invoices"].select(F.col("id").alias("invoice_id"), "seller", "amount", F.trunc("day", "month").alias("month"))
+    w = Window.partitionBy("seller", "amount", "month").orderBy("invoice_id")
+    repeats = ranked.select("invoice_id", F.min("invoice_id").over(Window.partitionBy("seller", "amount", "month")).alias("anchor"), F.row_number().over(w).alias("rank"))
+    edges = linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow"))
+    return linkage.assign_repeats(edges, stored(repeats, "repeats"))
+
+
+@query("jn28_authorisation_matches")
+def _(t):
+    rows = t["transactions"].select("id", F.col("id").alias("source_id"), F.col("account_id").alias("card"), F.substring("posted_date", 1, 7).alias("day"), "amount", "currency", "description", "n")
+    return cards.authorisation_matches(rows.filter("n % 2 = 0"), rows.filter("n % 2 = 1"), {"USD": 31.5})
+
+
+@query("nm13_assigned_payments")
 def _(t):
-    rows = t["events"].filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return linkage.anchored_groups(rows, ["user_id"])
+    bills = t["bills"].select(F.concat_ws("|", "account_id", "billing_period").alias("bill_id"), F.col("account_id").alias("card"), "currency", "billing_period", F.date_add("closing_date", 20).alias("due_date"), "statement_amount", F.lit(0).cast("decimal(18,2)").alias("paid"))
+    paid = t["transactions"].filter("account_type = 'credit' and amount > 0").select(F.col("id").alias("payment_id"), F.col("account_id").alias("card"), "currency", F.col("posted_date").cast("date").alias("day"), "amount")
+    return cards.assigned_payments(bills, paid)
 
 
 _LEGS = "SELECT id, account_id, day, 'TWD' AS currency, CAST(CASE WHEN inflow THEN amount ELSE -amount END AS BIGINT) AS amount FROM {dense_transactions}"
