@@ -40,6 +40,15 @@ def page_after(rows: DataFrame, keys: list[str], after: tuple | None, limit: int
     return rows.orderBy(*(F.col(k).desc() for k in keys)).limit(limit)
 
 
+def named_page(rows: DataFrame, name: str, key: str, after: tuple | None, limit: int) -> DataFrame:
+    """Keyset page by a name in the order of the locale, then by ``key``; ``after``: name and key of the last row of the page before."""
+    by = C.localized(F.col(name))
+    if after:
+        last = C.localized(F.lit(after[0]))
+        rows = rows.filter((by > last) | (by == last) & (F.col(key) > F.lit(after[1])))
+    return rows.orderBy(by, key).limit(limit)
+
+
 def classify(rows: DataFrame, rules: list[dict], overrides: DataFrame | None = None) -> DataFrame:
     """category_id, rule_id and rule_role: the user's override, else the first rule by priority, then the latest change, then id.
 

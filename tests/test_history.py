@@ -120,3 +120,20 @@ def test_edges_stay_with_their_owner(spark):
     got = linkage.candidate_edges(spark.createDataFrame(invoices, "id int, owner string, seller string, amount double, day date"), spark.createDataFrame(payments, "id int, owner string, merchant string, amount double, day date"), owner=("owner",))
     want = {(i[0], p[0]) for i in invoices for p in payments if i[1] == p[1] and abs((i[4] - p[4]).days) <= 3 and (i[3] == p[3] or 0.8 * i[3] <= p[3] < i[3])}
     assert {(r.invoice_id, r.transaction_id) for r in got.collect()} == want
+
+
+def test_pages_by_locale_equal_the_whole_sort(spark):
+    from tallyforge.functions import columns
+    from tallyforge.operators import ledger
+
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(k, rng.choice(["李記", "王家", "全聯", "中信", "apple", "Apple", "zoo", "7-11", "一", "龍門"])) for k in range(90)], "id long, name string")
+    whole = [(r.name, r.id) for r in rows.orderBy(columns.localized(F.col("name")), "id").collect()]
+    assert [x for x in dict.fromkeys(n for n, _ in whole)][:3] == ["7-11", "一", "中信"]
+    pages, last = [], None
+    while True:
+        page = [(r.name, r.id) for r in ledger.named_page(rows, "name", "id", last, 17).collect()]
+        if not page:
+            break
+        pages, last = pages + page, page[-1]
+    assert pages == whole
