@@ -40,24 +40,25 @@ def deposits_by_day(snapshots: DataFrame, accounts: DataFrame, rates: DataFrame)
     return by_day.select("day", F.sum("change").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double").alias("total"))
 
 
-def allocate_cash(withdrawals: DataFrame, needs: DataFrame) -> DataFrame:
-    """(id, amount, allocated, remaining): a month's need takes its withdrawals first to last, the rest the previous month's last to first.
+def allocate_cash(withdrawals: DataFrame, needs: DataFrame, owner: tuple[str, ...] = ()) -> DataFrame:
+    """(owner, id, month, amount, allocated, remaining): a month's need takes its withdrawals first to last, the rest the previous month's last to first.
 
-    withdrawals: id, month, day, amount; needs: month, need.
+    withdrawals: owner's columns, id, month, day, amount; needs: owner's columns, month, need.
     """
-    up = Window.partitionBy("month").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("month").orderBy(F.desc("day"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*owner, "month"]
+    up = Window.partitionBy(*keys).orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*keys).orderBy(F.desc("day"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("decimal(18,2)")
     part = lambda amount, need, before: F.least(amount, F.greatest(zero, need - F.coalesce(before, zero)))
-    pool = withdrawals.groupBy("month").agg(F.sum("amount").alias("pool"))
-    over = needs.join(pool, "month", "left").withColumn("over", F.greatest(zero, F.col("need") - F.coalesce("pool", zero)))
-    over = over.select(F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), -1), "yyyy-MM").alias("month"), "over").filter("over > 0")
-    rows = withdrawals.join(needs, "month", "left").join(over, "month", "left")
+    pool = withdrawals.groupBy(*keys).agg(F.sum("amount").alias("pool"))
+    over = needs.join(pool, keys, "left").withColumn("over", F.greatest(zero, F.col("need") - F.coalesce("pool", zero)))
+    over = over.select(*owner, F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), -1), "yyyy-MM").alias("month"), "over").filter("over > 0")
+    rows = withdrawals.join(needs, keys, "left").join(over, keys, "left")
     rows = rows.withColumn("own", part(F.col("amount"), F.coalesce("need", zero), F.sum("amount").over(up)))
     rows = rows.withColumn("left", F.col("amount") - F.col("own"))
     rows = rows.withColumn("late", part(F.col("left"), F.coalesce("over", zero), F.sum("left").over(down)))
     allocated = F.col("own") + F.col("late")
-    return rows.select("id", "month", F.col("amount").cast("double").alias("amount"), allocated.cast("double").alias("allocated"), (F.col("amount") - allocated).cast("double").alias("remaining"))
+    return rows.select(*owner, "id", "month", F.col("amount").cast("double").alias("amount"), allocated.cast("double").alias("allocated"), (F.col("amount") - allocated).cast("double").alias("remaining"))
 
 
 def backfill(transactions: DataFrame, anchors: DataFrame) -> DataFrame:

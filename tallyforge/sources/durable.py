@@ -35,6 +35,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def complete_numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Names below ``folder`` that are numbers and hold a complete output, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = [s.getPath() for s in files.listStatus(at)]
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and files.exists(path(p, "_SUCCESS")))
+
+
 def stored(df: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.  ``replaces``: a stored table that nothing needs from now on."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ingest import last_of_each, merge_transactions
-from tallyforge.sources.durable import remove
+from tallyforge.sources.durable import complete_numbers, remove
 
 FIELDS = "id string, status string, amount decimal(18,2), description string, transfer_peer_id string, authorized_at string"
 BUCKETS = 64
@@ -22,20 +22,9 @@ def _bucket(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
 
 
-def _names(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers below ``folder``, for manifests and feeds that are complete."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and done(p))
-
-
 def _manifest(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
     """Bucket to version, as the last manifest (before a number) says; a row a bucket."""
-    have = [k for k in _names(spark, f"{folder}/manifest") if before is None or k < before]
+    have = [k for k in complete_numbers(spark, f"{folder}/manifest") if before is None or k < before]
     return {r.bucket: r.version for r in spark.read.parquet(f"{folder}/manifest/{have[-1]}").collect()} if have else {}
 
 
@@ -61,7 +50,7 @@ def promote(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Merge one micro-batch (FIELDS and ordinal) into the ledger and write its changes."""
     spark = batch.sparkSession
     before = _manifest(spark, folder, batch_id)
-    earlier = [k for k in _names(spark, f"{folder}/manifest") if k < batch_id]
+    earlier = [k for k in complete_numbers(spark, f"{folder}/manifest") if k < batch_id]
     if len(earlier) > 1:
         # the last batch is committed, so what it replaced is read no more
         gone = _manifest(spark, folder, earlier[-1])
