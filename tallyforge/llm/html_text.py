@@ -5,11 +5,11 @@ characters inside links, punctuation marks and segments.  The score of a path fu
 share outside links, and is smoothed with its neighbours in page order unless most of its text is links.  What elements and
 names say is a factor of the score: 0 for blocks that are no part of the article (navigation, header, footer, aside, form; a class or id
 that is the name of a menu, advert, notice, sidebar or comment list), ``DOUBT`` where such a word is only part of a name that also has a word for
-the article (``story-banner``) and where a name says tags or links, else 1; names such as ``has-sidebar`` or ``entry-header`` tell of the page or the article.  A path takes its least
+the article (``story-banner``), else 1; names such as ``has-sidebar`` or ``entry-header`` tell of the page or the article.  A path takes its least
 factor.  It is content if it scores at least ``CUT`` of the page's median over text characters.
 
 If the nearest ``article`` and ``main`` elements above content paths hold at least half of the content's text, the article is what stands in
-them: every path below them with factor 1, headings, lists of links and short items included, and doubtful ones that are content.  Else it is the content, and
+them: every path below them with factor 1, headings, lists of links and short items included (but for blocks whose name says tags or links and that are mostly links), and doubtful ones that are content.  Else it is the content, and
 weaker paths below its common ancestor with half their text or more outside links and a segment next to content in page order, as headings and short
 list items have, and any ``h1``.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 CUT = 0.2
 SMOOTH = 0.25
-DOUBT = 0.5
+DOUBT, LISTED = 0.5, 0.9
 
 # Element and name lists.
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
@@ -75,7 +75,7 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in _RAW}
 
 
 def _factor(tag: str, attributes: str) -> float:
-    """What an element and its names say: 0 no part of the article, ``DOUBT``, or 1."""
+    """What an element and its names say: 0 no part of the article, ``DOUBT``, ``LISTED`` (tags or links, if it holds nothing else), or 1."""
     if tag in _NEVER:
         return 0.0
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -94,16 +94,17 @@ def _factor(tag: str, attributes: str) -> float:
                         return 0.0
                     least = DOUBT
                 elif _LINKS.search(word):
-                    least = DOUBT
+                    least = min(least, LISTED)
     return least
 
 
 #: The mark at the end of a path's step for each factor.
-_MARK = {0.0: "!", DOUBT: "?", 1.0: ""}
+_MARK = {0.0: "!", DOUBT: "?", LISTED: "~", 1.0: ""}
 
 
 def _least(path: tuple[str, ...]) -> float:
-    return 0.0 if any(step[-1] == "!" for step in path) else DOUBT if any(step[-1] == "?" for step in path) else 1.0
+    marks = {step[-1] for step in path}
+    return next((factor for factor, mark in _MARK.items() if mark in marks), 1.0)
 
 
 def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
@@ -114,7 +115,7 @@ def segments(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
 
     def emit(text: str) -> None:
         if text:
-            path = tuple(step for t, step in stack if t not in _INLINE or step[-1] in "!?")
+            path = tuple(step for t, step in stack if t not in _INLINE or step[-1] in "!?~")
             linked = len(text) if any(t == "a" for t, _ in stack) else 0
             out.append((path, block, text, linked))
 
@@ -189,7 +190,7 @@ def path_ratios(found: list[tuple[tuple[str, ...], int, str, int]]) -> dict[tupl
     for k, p in enumerate(order):
         near = [raw[j] for j in (k - 1, k + 1) if 0 <= j < len(raw)]
         smooth[p] = (1 - SMOOTH) * raw[k] + SMOOTH * (sum(near) / len(near)) if near and 2 * total[p][1] <= total[p][0] else raw[k]
-        smooth[p] *= _least(p)
+        smooth[p] *= DOUBT if _least(p) == DOUBT else 1.0
     return smooth
 
 
@@ -229,7 +230,9 @@ def main_text(page: str | None) -> str:
     roots = {r for p in content for r in [_article(p)] if r}
     inside = sum(size[p][0] for p in content if any(p[: len(r)] == r for r in roots))
     if 2 * inside >= sum(size[p][0] for p in content) > 0:
-        content = {p for p in score if any(p[: len(r)] == r for r in roots) and (p in content or _least(p) == 1.0)}
+        links = {p for p in score if 2 * size[p][1] > size[p][0]}
+        plain = {p for p in score if _least(p) == 1.0 or _least(p) == LISTED and p not in links}
+        content = {p for p in content | plain if any(p[: len(r)] == r for r in roots)}
     else:
         top = _common(content) if content else ()
         order, weak = [x[0] for x in found], set()

@@ -161,7 +161,6 @@ def brute_main_text(page):
     for k, p in enumerate(order):
         near = [raw[order[j]][0] for j in (k - 1, k + 1) if 0 <= j < len(order)]
         score[p] = 0.75 * raw[p][0] + 0.25 * sum(near) / len(near) if near and raw[p][1] else raw[p][0]
-        score[p] *= 0.5 if "div.tags" in p else 1
     typical = median(score[p] for p, _, t, *_ in good for _ in range(1 + len(t) // 200))
     chosen = {p for p in order if score[p] >= 0.2 * typical}
     # articles that hold half of the content are taken whole; else the content and what is weak beside it
@@ -169,7 +168,7 @@ def brute_main_text(page):
     chars = lambda paths: sum(len(t.strip()) for p, _, t, *_ in good if p in paths)
     within = {p for p in order if any(p[: len(r)] == r for r in tops)}
     if chosen and 2 * chars(within & chosen) >= chars(chosen):
-        chosen, weak = {p for p in within if p in chosen or "div.tags" not in p}, set()
+        chosen, weak = {p for p in within if p in chosen or "div.tags" not in p or raw[p][1]}, set()
     else:
         k = 0
         low, high = min(chosen, default=()), max(chosen, default=())

@@ -72,6 +72,7 @@ S = "This sentence is long enough, and has marks, to count as text of the page."
         (f"<main><p>{S}</p><table><tr><td>1</td><td>2</td></tr></table><p>end</p></main>", f"{S}\n1\n2\nend"),
         # names that hold a word of other blocks, in the article
         (f"<article><p>{S}</p><div class='story-banner'><p>{S} {S}</p></div><div class='article-menu-review'><p>{S}</p></div><div class='ad'><p>{S}</p></div><div class=post-comments><p>{S}</p></div></article>", f"{S}\n{S} {S}\n{S}"),
+        (f"<article><p>{S} {S}</p><div class=keywords>tea, rice</div><div class='post-tags'><a href=a>one</a> <a href=b>two</a></div><ul class=links><li><b>no</b> link</li></ul></article>", f"{S} {S}\ntea, rice\nno link"),
         # comments without a name beside the article
         (f"<body><article><h1>T</h1><p>{S}</p><p>{S}</p></article><div><p>I liked it, thanks.</p><p>Me too, {S}</p></div></body>", f"T\n{S}\n{S}"),
         # a teaser as an article, the text beside it
