@@ -241,12 +241,21 @@ def listed_rates(rates: DataFrame) -> DataFrame:
     return rates.withColumn("place", place).filter("place > 0").orderBy("place")
 
 
-def report_rollup(results: DataFrame) -> DataFrame:
-    """(batch_id, status, connectors, failed, new_records): the worst status of a batch's connectors and the sum of their new records.  results: batch_id, connector_id, status, new_records."""
+def report_rollup(results: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """(batch_id, status, connectors, failed, new_records): the worst status of a batch's connectors and the sum of their new records.
+
+    results: batch_id, connector_id, status, new_records.  ``changes`` (:func:`tallyforge.operators.inbox.batch_snapshots`) adds what assets and debt
+    became more by, which a batch without any success does not tell, and ``baseline``.
+    """
     rank = F.when(F.col("status") == "failed", 3).when(F.col("status") == "needs_user_action", 2).when(F.col("status") == "partial", 1).otherwise(0)
-    by = results.groupBy("batch_id").agg(F.max(rank).alias("_r"), F.count(F.lit(1)).alias("connectors"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("new_records"), F.lit(0)).alias("new_records"))
+    by = results.groupBy("batch_id").agg(F.max(rank).alias("_r"), F.min(rank).alias("_best"), F.count(F.lit(1)).alias("connectors"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum("new_records"), F.lit(0)).alias("new_records"))
     status = F.element_at(F.array(*map(F.lit, ("success", "partial", "needs_user_action", "failed"))), F.col("_r") + 1)
-    return by.select("batch_id", status.alias("status"), "connectors", "failed", "new_records")
+    told = ["batch_id", status.alias("status"), "connectors", "failed", "new_records"]
+    if changes is None:
+        return by.select(*told)
+    known = F.col("_best") < 2
+    money = [F.when(known, F.col(c)).alias(c) for c in ("assets_change", "debt_change")]
+    return by.join(changes, "batch_id", "left").select(*told, *money, F.coalesce(F.col("baseline") & known, F.lit(False)).alias("baseline"))
 
 
 def activity(transactions: DataFrame, rates: DataFrame, rules: list[dict]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import keywords as K
-from tallyforge.operators import invoices, ledger, linkage
+from tallyforge.operators import inbox, invoices, ledger, linkage
 from tallyforge.plans.catalog import query
 from tallyforge.plans.derived import ACT, DAY, activity
 
@@ -117,6 +117,20 @@ def _(t):
     return ledger.report_rollup(_sql(t, _RESULTS, "orders"))
 
 
+_AFTER = "SELECT batch_id, CAST(sum(new_records) * 100 AS DECIMAL(18,2)) AS assets, CAST(count(*) AS DECIMAL(18,2)) AS debt FROM r GROUP BY 1"
+
+
+@query("ag27_rollup_with_change", f"""WITH r AS ({_RESULTS}), a AS ({_AFTER}), g AS (SELECT batch_id, max(CASE status WHEN 'failed' THEN 3 WHEN 'needs_user_action' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS worst, min(CASE status WHEN 'failed' THEN 3 WHEN 'needs_user_action' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) AS best, count(*) AS connectors,
+    count(*) FILTER (status = 'failed') AS failed, CAST(sum(new_records) AS BIGINT) AS new_records FROM r GROUP BY 1)
+  SELECT g.batch_id, CASE worst WHEN 3 THEN 'failed' WHEN 2 THEN 'needs_user_action' WHEN 1 THEN 'partial' ELSE 'success' END AS status, connectors, failed, new_records, CASE WHEN best < 2 AND assets > 7000 THEN CAST(assets - 10 AS DOUBLE) END AS assets_change, CASE WHEN best < 2 AND assets > 7000 THEN CAST(debt - 3 AS DOUBLE) END AS debt_change, best < 2 AND assets <= 7000 AS baseline
+  FROM g JOIN a ON a.batch_id = g.batch_id""")
+def _(t):
+    rows = _sql(t, _RESULTS, "orders")
+    after = t.spark.sql(_AFTER.replace("FROM r", "FROM {r}"), r=rows)
+    before = after.filter("assets > 7000").select("batch_id", F.lit(10).cast("decimal(18,2)").alias("assets"), F.lit(3).cast("decimal(18,2)").alias("debt"))
+    return ledger.report_rollup(rows, inbox.batch_snapshots(before, after))
+
+
 @query("ag31_trend_flags", f"""{ACT}, v AS (SELECT strftime(CAST(range AS DATE), '%Y-%m') AS month FROM range(DATE '1994-11-01', DATE '1995-07-01', INTERVAL 1 MONTH)),
   m AS (SELECT month, floor(CAST(coalesce(sum(CASE WHEN role = 'spending' AND twd IS NOT NULL THEN -twd END), 0) AS DOUBLE) * 100 + 0.5) / 100.0 AS spending, count(*) FILTER (twd IS NOT NULL AND role NOT IN ('excluded', 'advance', 'reimbursement')) AS n FROM act GROUP BY 1)
   SELECT v.month, coalesce(spending, 0) AS spending, coalesce(n, 0) = 0 AS no_data, v.month NOT BETWEEN '1994-12' AND '1995-04' AS outside FROM v LEFT JOIN m USING (month)""")
