@@ -1,11 +1,12 @@
 """Language identification by prediction by partial matching with frozen statistics.
 
-Training: byte n-grams of a bounded hash sample (about ``DOCS_PER_LANG`` documents a language outside the
-held-out fold) are counted by executors with map-side sums.  From these, per language, a context tree of
+Training: byte n-grams of all labelled documents outside the held-out fold are counted by executors with
+map-side sums, in one pass; nothing is sampled.  From these, per language, a context tree of
 orders 0 to 3 is built: a seen symbol costs n / (N + q) of the context's mass, and the escape mass
 q / (N + q) goes to the next shorter context with the seen symbols excluded, so every context's
 predictions sum to one and code lengths are exact.  Order-3 contexts are kept if seen ``LEAST`` times
-(at most ``CONTEXTS`` of them, most frequent first); elsewhere the order-2 context is the longest.
+(at most ``CONTEXTS`` of them, most frequent first, told by Spark); elsewhere the order-2 context is the longest.
+What reaches the driver, counts of three bytes and of four in those contexts, is no more than the costs below.
 
 Frozen statistics make a symbol's cost a function of at most three bytes before it, so scoring is table
 look-ups over whole Arrow batches: (A**2 + CONTEXTS) * A * languages 2-byte costs, with A the bytes seen and one class for
@@ -16,6 +17,7 @@ the rows go through a pass a group, stored between, and keep their least code le
 The pipeline's stage also rejects on code length a byte.  Each language's limit is the ``OUTER`` quantile over its
 training documents of fold ``PROBE``, told by a model that has not seen that fold, plus ``SPREAD`` times the distance
 from the median; ``SLACK`` nats a text are free, and a language with fewer than ``FEW`` such documents has no limit.
+All documents of the fold count, their rates to 1 / ``RATES`` nat, so that a language's quantiles come from a short table.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything
 if no labelled text exists; ties go to the first language by code point; repeated rows agree.
@@ -30,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import chunks, fold, stored
+from tallyforge.llm.common import CHUNK_BYTES, chunks, fold, stored
 
-DOCS_PER_LANG = 800
 LEAST = 24
 CONTEXTS = 20_000
 LANGUAGES = 64
 CELLS = 64_000_000
 MODULUS, TEST, PROBE = 4, 2, 1
 OUTER, SPREAD, SLACK, FEW = 0.95, 8.0, 16.0, 15
+RATES = 1 << 14
 UNKNOWN = "und"
 _UNIT = 1024
 # A-Z count as a-z and digits as one: neither tells languages apart
@@ -59,24 +61,33 @@ def _before(x: np.ndarray, offs: np.ndarray, back: int, fill: int) -> np.ndarray
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): each byte with the three before it, packed into 32 bits."""
+    """(lang, probe, gram, n): each byte with the three before it, packed into 32 bits."""
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
+        kinds = list(zip(batch.column("lang").to_pylist(), batch.column("probe").to_pylist(), strict=True))
         for a, b, data, offs in chunks(batch.column("text")):
-            x = _FOLDED[data].astype(np.int64)
-            gram = (_before(x, offs, 3, _SPACE) << 24) | (_before(x, offs, 2, _SPACE) << 16) | (_before(x, offs, 1, _SPACE) << 8) | x
-            names = sorted(set(langs[a:b]))
-            code = {name: k for k, name in enumerate(names)}
-            of = np.repeat(np.array([code[v] for v in langs[a:b]], np.int64), np.diff(offs))
-            key, n = np.unique((of << 32) | gram, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in (key >> 32).tolist()], pa.string()), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["lang", "gram", "n"])
+            names = sorted(set(kinds[a:b]))
+            at = {name: k for k, name in enumerate(names)}
+            code = np.array([at[v] for v in kinds[a:b]], np.int64)
+            langs, probes = pa.array([k for k, _ in names], pa.string()), pa.array([k for _, k in names], pa.bool_())
+            # only a chunk of a single text is longer than a piece
+            for start in range(0, len(data), CHUNK_BYTES):
+                low = max(start - 3, 0)
+                x = _FOLDED[data[low : start + CHUNK_BYTES]].astype(np.int64)
+                own = offs if len(data) <= CHUNK_BYTES else np.array([0, len(x)])
+                gram = (_before(x, own, 3, _SPACE) << 24) | (_before(x, own, 2, _SPACE) << 16) | (_before(x, own, 1, _SPACE) << 8) | x
+                gram |= np.repeat(code << 32, np.diff(own))
+                key, n = np.unique(gram[start - low :], return_counts=True)
+                kind = pa.array(key >> 32)
+                yield pa.RecordBatch.from_arrays([langs.take(kind), probes.take(kind), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["lang", "probe", "gram", "n"])
 
 
 class Model:
     """Cost tables of every language over one set of contexts."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+    def __init__(self, langs: list[str], lower: tuple[np.ndarray, ...], upper: tuple[np.ndarray, ...]):
+        """lower, upper: language, packed bytes and count of all runs of three bytes, and of runs of four whose first three are a kept context."""
         self.langs = langs
+        lang, gram, n = lower
         symbol = gram & 0xFF
         weight = np.bincount(symbol, n, 256)
         often = np.flatnonzero(weight > 0)
@@ -85,11 +96,11 @@ class Model:
         self.classes[_FOLDED != np.arange(256)] = self.classes[_FOLDED[_FOLDED != np.arange(256)]]
         size = self.size = len(often) + 1
         c = self.classes.astype(np.int64)
-        s3, s2, s1, s0 = (c[(gram >> k) & 0xFF] for k in (24, 16, 8, 0))
-        three = (s3 * size + s2) * size + s1
-        total = np.bincount(three, n, size**3)
-        kept = np.argsort(-total, kind="stable")[:CONTEXTS]
-        kept = np.sort(kept[total[kept] >= LEAST])
+        s2, s1, s0 = (c[(gram >> k) & 0xFF] for k in (16, 8, 0))
+        lang3, gram3, n3 = upper
+        t3, t2, t1, t0 = (c[(gram3 >> k) & 0xFF] for k in (24, 16, 8, 0))
+        three = (t3 * size + t2) * size + t1
+        kept = np.unique(three)
         self.third = np.full(size**3, -1, np.int32)
         self.third[kept] = size * size + np.arange(len(kept))
         rows = size * size + len(kept)
@@ -104,9 +115,9 @@ class Model:
             zero = self._mix(np.bincount(d, m, size)[None], base[None])
             one = self._mix(np.bincount(b * size + d, m, size**2).reshape(size, size), zero)
             two = self._mix(np.bincount((a * size + b) * size + d, m, size**3).reshape(size * size, size), np.tile(one, (size, 1)))
-            slot = self.third[three[own]]
-            deep = slot >= 0
-            counts = np.bincount((slot[deep].astype(np.int64) - size * size) * size + d[deep], m[deep], len(kept) * size).reshape(-1, size)
+            deep = lang3 == k
+            slot = self.third[three[deep]].astype(np.int64) - size * size
+            counts = np.bincount(slot * size + t0[deep], n3[deep], len(kept) * size).reshape(-1, size)
             full = np.concatenate((two, self._mix(counts, two[kept % (size * size)])))
             cost[:, :, k] = np.round(-np.log(np.maximum(full, 1e-9)) * _UNIT)
         self.cost = cost.reshape(rows * size, len(langs))
@@ -174,29 +185,23 @@ class Grouped:
 
 
 def _model(langs: list[str], grams: DataFrame) -> Model:
-    got = grams.toArrow()  # distinct grams of a bounded sample
-    code = {name: k for k, name in enumerate(langs)}
-    lang = np.array([code[x] for x in got.column("lang").to_pylist()], np.int64)
-    return Model(langs, lang, got.column("gram").to_numpy(), got.column("n").to_numpy().astype(float))
+    code = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("short").alias("lang")
+    own = grams.select(code, "gram", F.shiftright("gram", 8).alias("context"), "n")
+    contexts = own.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= LEAST).orderBy(F.desc("total"), "context").limit(CONTEXTS)
+    lower = own.groupBy("lang", F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("n").alias("n"))
+    upper = own.join(F.broadcast(contexts.select("context")), "context").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = (x.select("lang", "gram", "n").toArrow() for x in (lower, upper))  # no more rows than the model has costs
+    return Model(langs, *(tuple(x.column(k).to_numpy().astype(kind) for k, kind in (("lang", np.int64), ("gram", np.int64), ("n", float))) for x in found))
 
 
-def _sample(known: DataFrame) -> DataFrame:
-    """lang and text of about ``DOCS_PER_LANG`` documents of each language."""
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return known.join(F.broadcast(counts), "lang").filter(hashed < DOCS_PER_LANG / F.col("of")).select("lang", "text")
+def counted(documents: DataFrame) -> DataFrame:
+    """(lang, probe, gram, n), stored: the grams of ``text`` by ``lang`` outside the held-out fold; probe: those of fold ``PROBE``."""
+    rows = _known(documents).select("lang", "text", (F.col("fold") == PROBE).alias("probe"))
+    return stored(rows.mapInArrow(_counts, "lang string, probe boolean, gram long, n long").groupBy("lang", "probe", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def _known(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id", fold("doc_id", MODULUS).alias("fold")).filter(F.col("lang").isNotNull() & (F.col("fold") != TEST))
-
-
-def train(documents: DataFrame, without: int | None = None) -> Model | Grouped | None:
-    """A model from ``text`` and ``lang`` outside the held-out fold and ``without``; None without any labelled text."""
-    known = _known(documents)
-    if without is not None:
-        known = known.filter(F.col("fold") != without)
-    grams = stored(_sample(known).mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+def learned(grams: DataFrame) -> Model | Grouped | None:
+    """A model from counted grams; None without any."""
     seen = {r["lang"]: set(r["bytes"]) for r in grams.groupBy("lang").agg(F.collect_set(F.col("gram").bitwiseAND(255)).alias("bytes")).collect()}
     if not seen:
         return None
@@ -204,6 +209,15 @@ def train(documents: DataFrame, without: int | None = None) -> Model | Grouped |
     return _model(groups[0], grams) if len(groups) == 1 else Grouped(groups, grams)
 
 
+def train(documents: DataFrame) -> Model | Grouped | None:
+    """A model from ``text`` and ``lang`` of all documents outside the held-out fold; None without any labelled text."""
+    return learned(counted(documents))
+
+
+def _known(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), fold("doc_id", MODULUS).alias("fold")).filter(F.col("lang").isNotNull() & (F.col("fold") != TEST))
+
+
 _STATE = ["__low", "__lang", "__sum"]
 
 
@@ -263,17 +277,19 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return identify(rows, train(documents), ["doc_id", "held_out"])
 
 
-def limits(documents: DataFrame) -> DataFrame:
+def limits(documents: DataFrame, grams: DataFrame) -> DataFrame:
     """(__pred, __most): the most nats a byte of each language with ``FEW`` documents of fold ``PROBE`` or more."""
-    probe = train(documents, without=PROBE)
-    rows = _scored(_sample(_known(documents).filter(F.col("fold") == PROBE)), probe, ["lang"]).filter(F.col("__pred") == F.col("lang"))
-    rates = rows.groupBy("__pred").agg(F.count(F.lit(1)).alias("n"), F.percentile("__rate", F.lit(0.5)).alias("middle"), F.percentile("__rate", F.lit(OUTER)).alias("outer"))
-    return rates.filter(F.col("n") >= FEW).select("__pred", (F.col("outer") + SPREAD * (F.col("outer") - F.col("middle"))).alias("__most"))
+    rows = _scored(_known(documents).filter(F.col("fold") == PROBE), learned(grams.filter(~F.col("probe"))), ["lang"]).filter(F.col("__pred") == F.col("lang"))
+    rates = rows.groupBy("__pred", F.round(F.col("__rate") * RATES).alias("rate")).agg(F.count(F.lit(1)).alias("n"))
+    rates = rates.groupBy("__pred").agg(F.sum("n").alias("of"), F.percentile("rate", F.array(F.lit(0.5), F.lit(OUTER)), F.col("n")).alias("at"))
+    middle, outer = (F.get("at", F.lit(k)) / RATES for k in (0, 1))
+    return rates.filter(F.col("of") >= FEW).select("__pred", (outer + SPREAD * (outer - middle)).alias("__most"))
 
 
 def keep_identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
     """``documents`` whose language is told with a score of ``least`` or more, and whose code length is within its limit."""
-    found = _scored(documents, train(documents), documents.columns).filter((F.col("__pred") != UNKNOWN) & (F.col("__score") >= least))
-    known = found.join(F.broadcast(stored(limits(documents), "limits")), "__pred", "left")
+    grams = counted(documents)
+    found = _scored(documents, learned(grams), documents.columns).filter((F.col("__pred") != UNKNOWN) & (F.col("__score") >= least))
+    known = found.join(F.broadcast(stored(limits(documents, grams), "limits")), "__pred", "left")
     fits = F.col("__most").isNull() | (F.col("__rate") * F.col("__bytes") <= F.col("__most") * F.col("__bytes") + SLACK)
     return known.filter(fits).select(documents.columns)

@@ -5,9 +5,9 @@ method adds tokens that no rule names: two first-order character models, of rand
 identifiers, are compared by log-likelihood ratio, and a token of ``SHORTEST`` characters or more whose
 ratio is at least ``RATIO`` and ``RATIO_PER_CHAR`` a character is a ``markov`` span, unless a base span overlaps it.
 
-Training: labelled samples.  Random: values of base spans in a bounded sample of documents
-(about ``SAMPLE_DOCS``, told by the text's hash, each text once) and ``SYNTHETIC`` encoded digests.  Ordinary: the words of those
-documents that are too short to be judged, alone and joined to identifiers.  Counts are one aggregate over character pairs, at most 66 * 65 rows, so they fit a literal.
+Training: all documents.  Random: values of base spans and ``SYNTHETIC`` encoded digests, which count once for every
+``DIGESTS_FOR`` documents.  Ordinary: the words that are too short to be judged, alone and joined to identifiers.  Equal words
+are summed first, then character pairs of distinct words, at most 66 * 65 rows, so they fit a literal.
 
 A text is scanned whole, in one pass without a shuffle.  Match positions come from the lengths of what
 regular-expression splitting leaves between matches, summed in blocks so that a text with very many matches
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "markov")
 SHORTEST = 20
 RATIO = 15.0
 RATIO_PER_CHAR = 0.5
-SAMPLE_DOCS = 2000
+DIGESTS_FOR = 2000
 SYNTHETIC = 4000
 _TOKEN = r"[A-Za-z0-9+/_=-]"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -70,33 +70,41 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")
 
 
+#: How often a kind of token counts: its first character, and the pairs after it.
+_WEIGHTS = {"secret": (1, 1), "digest": (1, 1), "word": (1, 2), "first": (2, 2), "joint": (0, 1)}
+
+
 def labelled_tokens(documents: DataFrame) -> DataFrame:
-    """(token, random) of the bounded sample of documents, and the encoded digests."""
+    """(kind, token, n) of all documents, and the encoded digests.
+
+    A document's words stand alone and, as people write identifiers, joined by a sign.  So each word counts twice, without a
+    start of its own in the identifier unless it is the ``first``; a ``joint`` is the sign with the characters beside it.
+    """
     spark = documents.sparkSession
-    # by content: ids that are null or shared by many rows, and texts with many copies, make it no longer
-    rows = documents.select(_text()).withColumn("h", F.xxhash64("t"))
-    share = SAMPLE_DOCS / max(1, documents.count())
-    sample = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h").agg(F.min("t").alias("t")).select("t")
-    based = _with_base(sample)
-    known = based.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select(F.col("s.value").alias("token"), F.lit(True).alias("random"))
+    based = _with_base(documents.select(_text()))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = F.filter(F.regexp_extract_all(rest, F.lit(_TOKEN + "{2,}"), F.lit(0)), lambda x: F.length(x) < SHORTEST)
-    # identifiers as people write them: the same words joined by a sign
-    joined = F.element_at(F.array(*(F.array_join(words, sign) for sign in "_-/")), F.pmod(F.length("t"), F.lit(3)) + 1)
-    plain = based.select(F.explode(F.concat(words, F.array(joined))).alias("token")).withColumn("random", F.lit(False))
+    based = based.withColumn("w", words).withColumn("sign", F.substring(F.lit("_-/"), F.pmod(F.length("t"), F.lit(3)) + 1, F.lit(1)))
+    known = "transform(concat(assign, access, hex), s -> named_struct('kind', 'secret', 'token', s.value))"
+    plain = "transform(w, (x, i) -> named_struct('kind', if(i = 0, 'first', 'word'), 'token', x))"
+    joint = "transform(slice(w, 2, size(w)), (x, i) -> named_struct('kind', 'joint', 'token', concat(right(get(w, i), 1), sign, left(x, 1))))"
+    found = based.select(F.explode(F.expr(f"concat({known}, {plain}, {joint})")).alias("k")).groupBy("k.kind", "k.token").agg(F.count(F.lit(1)).alias("n"))
     digest = F.sha2(F.concat(F.lit("secret:"), F.col("id").cast("string")).cast("binary"), 512)
     forms = F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 64), F.upper(F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", "XYZ"), 1, 40)), F.translate(F.base64(F.unhex(digest)), "+/", "-_"))
-    made = spark.range(SYNTHETIC // 4, numPartitions=1).select(F.explode(forms).alias("token")).withColumn("random", F.lit(True))
-    return known.union(plain).union(made)
+    times = max(1, round(documents.count() / DIGESTS_FOR))
+    made = spark.range(SYNTHETIC // 4, numPartitions=1).select(F.lit("digest").alias("kind"), F.explode(forms).alias("token"), F.lit(times).cast("long").alias("n"))
+    return found.union(made)
 
 
 def train(documents: DataFrame) -> list[float]:
     """128 * 128 log-likelihood ratios of a character after another (NUL: the token's start)."""
-    pairs = labelled_tokens(documents).filter(F.col("token").rlike(f"^{_TOKEN}+$"))
+    tokens = labelled_tokens(documents).filter(F.col("token").rlike(f"^{_TOKEN}+$"))
+    start, after = (F.create_map(*(F.lit(x) for kind, at in _WEIGHTS.items() for x in (kind, at[k])))[F.col("kind")] * F.col("n") for k in (0, 1))
     # characters by one pass of a pattern: positions in a long text cost its length each
-    pairs = pairs.select("random", F.regexp_extract_all("token", F.lit("."), F.lit(0)).alias("c"))
-    pairs = pairs.select("random", F.explode(F.expr("zip_with(concat(array(''), slice(c, 1, size(c) - 1)), c, (x, y) -> named_struct('a', ascii(x), 'b', ascii(y)))")).alias("p"))
-    counts = pairs.groupBy("random", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 66 * 65 rows
+    pairs = tokens.select(F.col("kind").isin("secret", "digest").alias("random"), start.alias("start"), after.alias("after"), F.regexp_extract_all("token", F.lit("."), F.lit(0)).alias("c"))
+    pairs = pairs.select("random", "start", "after", F.explode(F.expr("zip_with(concat(array(''), slice(c, 1, size(c) - 1)), c, (x, y) -> named_struct('a', ascii(x), 'b', ascii(y)))")).alias("p"))
+    n = F.sum(F.when(F.col("p.a") == 0, F.col("start")).otherwise(F.col("after")))
+    counts = pairs.groupBy("random", "p.a", "p.b").agg(n.alias("n")).filter("n > 0").collect()  # at most 2 * 66 * 65 rows
     size = len(_ALPHABET)
     ratio = [0.0] * (128 * 128)
     seen: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
