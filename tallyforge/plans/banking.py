@@ -183,7 +183,8 @@ def _(t):
     return rows.select("id", _C("a.bank_code").alias("bank_code"), _C("a.account_suffix").alias("account_suffix"), B.direction_label(_C("amount"), _C("a.bank_code"), _C("a.account_suffix")).alias("label"), B.mask_accounts(_C("memo")).alias("masked"))
 
 
-_IDS = "SELECT id, CASE n % 4 WHEN 0 THEN 'esun' WHEN 1 THEN 'obank' ELSE 'tdcc' END AS connector, CASE n % 4 WHEN 0 THEN 'bank:esun:00-' || lpad(CAST(n AS STRING), 8, '0') WHEN 1 THEN 'bank:obank:x:' || lpad(CAST(n AS STRING), 6, '0') WHEN 2 THEN 'settlement:700:99-' || lpad(CAST(n AS STRING), 5, '0') ELSE 'other:' || n END AS source_id, n FROM {transactions}"
+# eight digits each: lpad cuts longer numbers off at the end
+_IDS = "SELECT id, CASE n % 4 WHEN 0 THEN 'esun' WHEN 1 THEN 'obank' ELSE 'tdcc' END AS connector, CASE n % 4 WHEN 0 THEN 'bank:esun:00-' || lpad(CAST(n AS STRING), 8, '0') WHEN 1 THEN 'bank:obank:x:' || lpad(CAST(n AS STRING), 8, '0') WHEN 2 THEN 'settlement:700:99-' || lpad(CAST(n AS STRING), 8, '0') ELSE 'other:' || n END AS source_id, n FROM {transactions}"
 
 
 @query("pj10_match_keys", "SELECT id, CASE n % 4 WHEN 0 THEN '808' WHEN 1 THEN '048' WHEN 2 THEN '700' END AS bank_code, CASE WHEN n % 4 <> 3 THEN right(lpad(CAST(n AS VARCHAR), 8, '0'), 4) END AS last4 FROM {transactions}")
