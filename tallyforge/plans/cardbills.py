@@ -55,7 +55,9 @@ _RAWS = """SELECT id, connector_id AS issuer, CASE WHEN CAST(substr(id, 6) AS IN
 def _(t):
     rows = _sql(t, _RAWS, "accounts")
     found = cards.listed_cards(rows).join(rows.select(_C("id").alias("account_id"), "account_last4"), "account_id")
-    return found.groupBy(F.when(_C("last4") == _C("account_last4"), "own").otherwise("listed").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.count_if(_C("last4") == _C("account_last4"))
+    # both kinds have a row, with zero cards too
+    return found.agg(own.alias("own"), (F.count(F.lit(1)) - own).alias("listed")).selectExpr("stack(2, 'own', own, 'listed', listed) AS (kind, n)")
 
 
 _DEPS = "SELECT 'dep:' || o_orderkey AS deposit_id, CASE WHEN o_orderkey % 2 = 0 THEN 'opened' ELSE 'withdrawn' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'TWD' WHEN 1 THEN 'USD' ELSE 'JPY' END AS currency, CAST(100 * (o_orderkey % 900) AS DECIMAL(18,2)) AS balance, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS opened, CASE WHEN o_orderkey % 2 = 1 THEN CAST(o_orderdate AS DATE) END AS last_seen FROM {orders}"

@@ -46,3 +46,11 @@ def both(spark, name, folder):
 def test_match_keys_of_long_numbers(spark, copies):
     got, want = both(spark, "pj10_match_keys", copies([(0, 0), (700_000, 0), (123_456_000, 0)]))
     assert got == want
+
+
+def test_listed_cards_without_any(spark, copies):
+    folder = copies([(0, 0)], {"customer": "c_custkey % 3 = 0"})
+    got, want = both(spark, "pj19_listed_cards", folder)
+    assert got == want and ("listed", "0") in got
+    got, want = both(spark, "pj19_listed_cards", copies([(0, 0)], {"customer": "FALSE"}))
+    assert got == want == [("listed", "0"), ("own", "0")]
