@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import series
+from tallyforge.sources.durable import stored
 
 # Connectors whose deposit transactions are complete, and one whose may not be; names of the balance in payloads.
 TRUSTED = ("esun", "cathaybk", "obank", "kgibank", "skbank", "firstbank")
@@ -67,10 +68,8 @@ def _daily(transactions: DataFrame, walked: DataFrame) -> DataFrame:
     rows = _prepared(transactions).join(own, "account_id")
     # a transaction of the anchor's day that has no time counts as before it
     rows = rows.filter((F.col("day") < F.col("anchor_day")) | (F.col("day") == F.col("anchor_day")) & (F.col("at").isNull() | (F.col("at") <= F.col("anchor_time"))))
-    rows = rows.withColumn("mixed", F.col("currency") != F.col("own"))
-    flags = rows.groupBy("account_id", "day").agg(F.max("mixed").alias("mixed"), F.min(F.col("running").isNotNull()).alias("told"))
-    ends = series.day_end_balances(rows.select("account_id", "day", F.col("place").alias("n"), "amount", "running"))
-    return ends.join(flags, ["account_id", "day"])
+    rows = rows.select("account_id", "day", F.col("place").alias("n"), "amount", "running", (F.col("currency") != F.col("own")).alias("mixed"))
+    return series.day_end_balances(rows, {"mixed": F.max("mixed"), "told": F.min(F.col("running").isNotNull())})
 
 
 def plan(accounts: DataFrame, transactions: DataFrame, months: int) -> tuple[DataFrame, DataFrame]:
@@ -80,8 +79,9 @@ def plan(accounts: DataFrame, transactions: DataFrame, months: int) -> tuple[Dat
     snapshot).  transactions: id, account_id, posted_date, authorized_at, amount, currency, raw_payload.  No day lies more than ``months``
     before the anchor, before the account was opened, or before the first day that any walked account has a transaction.
     """
-    sorted_out = _sorted_out(accounts)
-    daily = _daily(transactions, sorted_out.filter("way = 'walk'"))
+    # both are needed more than once, and the transactions' texts only for them
+    sorted_out = stored(_sorted_out(accounts), "accounts")
+    daily = stored(_daily(transactions, sorted_out.filter("way = 'walk'")), "daily")
     of_account = daily.groupBy("account_id").agg(F.max("mixed").alias("mixed"), F.min("told").alias("told"), F.min("day").alias("first_day"))
     known = sorted_out.join(of_account.withColumnRenamed("account_id", "id"), "id", "left")
     walks = (F.col("way") == "walk") & ~F.coalesce("mixed", F.lit(False))
@@ -92,26 +92,30 @@ def plan(accounts: DataFrame, transactions: DataFrame, months: int) -> tuple[Dat
     start = F.greatest("all_from", C.subtract_months(F.col("anchor_day"), months), "opened_date")
     known = known.withColumns({"reason": reason, "start": start, "stop": F.date_sub("anchor_day", 1)})
     open_ = known.filter("reason is null and start <= stop")
-    days = open_.select(F.col("id").alias("account_id"), "way", "anchor", "told", F.explode(F.sequence("start", "stop")).alias("day"), F.lit(True).alias("asked"))
-    walked = days.filter("way = 'walk'").select("account_id", "day", "asked")
-    # days asked for and days with transactions in one order; the latter say what came after and what the balance was
-    lined = walked.join(daily.select("account_id", "day", "net", "balance"), ["account_id", "day"], "full")
-    later = Window.partitionBy("account_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opening = F.first(F.col("balance") - F.col("net"), True).over(Window.partitionBy("account_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lined = lined.withColumns({"after": F.coalesce(F.sum("net").over(later), F.lit(0).cast(_MONEY)), "forward": F.coalesce(F.last("balance", True).over(upto), opening)})
-    lined = lined.filter("asked").select("account_id", "day", "after", "forward")
-    found = days.join(lined, ["account_id", "day"], "left")
-    backward = F.col("anchor") - F.coalesce("after", F.lit(0).cast(_MONEY))
-    forward = F.when(F.col("told"), F.col("forward"))
+    asked = open_.select(F.col("id").alias("account_id"), "connector_id", "currency", "way", "anchor", "told", "start", "stop")
+    # stretches of days alike: an account's days of transactions and, with no values, the one its range begins with, each up to the next of them; only
+    # the balances asked for are a row a day, and these are never shuffled
+    lined = daily.select("account_id", "day", "net", "balance").unionByName(asked.select("account_id", F.col("start").alias("day")), allowMissingColumns=True)
+    # the beginning of a range comes before what happened on its day
+    turn = Window.partitionBy("account_id").orderBy("day", F.col("net").asc_nulls_first())
+    upto, throughout = (turn.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, Window.unboundedFollowing))
+    opening = F.first(F.col("balance") - F.col("net"), True).over(throughout)
+    net = lambda w: F.coalesce(F.sum("net").over(w), F.lit(0).cast(_MONEY))
+    lined = lined.withColumns({"after": net(throughout) - net(upto), "forward": F.coalesce(F.last("balance", True).over(upto), opening), "next": F.lead("day").over(turn)})
+    found = asked.join(lined, "account_id").withColumns({"from": F.greatest("day", "start"), "to": F.least(F.date_sub("next", 1), "stop")}).filter("from <= to")
+    walk = F.col("way") == "walk"
+    backward = F.col("anchor") - F.when(walk, F.col("after")).otherwise(F.lit(0).cast(_MONEY))
+    forward = F.when(F.col("told") & walk, F.col("forward"))
     meets = F.abs(forward - backward) <= TOLERANCE
     method = F.when(F.col("way") == "carry", "carry_back").when(meets, "running_balance").otherwise("reverse_sum")
-    found = found.select("account_id", "day", method.alias("method"), F.floor(F.when(meets, forward).otherwise(backward).cast("double") + 0.5).alias("balance"), F.when(forward.isNotNull(), ~meets).alias("off"))
-    balances = found.join(known.select(F.col("id").alias("account_id"), "connector_id", "currency"), "account_id").select("account_id", "connector_id", "day", "balance", "currency", "method")
-    count = lambda m: F.count_if(F.col("method") == m).alias(m)
+    found = found.select("account_id", "connector_id", "currency", "from", "to", method.alias("method"), F.floor(F.when(meets, forward).otherwise(backward).cast("double") + 0.5).alias("balance"), F.when(forward.isNotNull(), ~meets).alias("off"))
+    balances = found.select("account_id", "connector_id", F.explode(F.sequence("from", "to")).alias("day"), "balance", "currency", "method")
+    long = F.datediff("to", "from").cast("long") + 1
+    total = lambda test, name: F.coalesce(F.sum(F.when(test, long)), F.lit(0).cast("long")).alias(name)
+    count = lambda m: total(F.col("method") == m, m)
     sums = found.groupBy(F.col("account_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("days"), count("running_balance"), count("reverse_sum"), count("carry_back"), F.count("off").alias("compared_days"), F.count_if("off").alias("mismatch_days"),
-        F.min(F.when(F.col("off"), F.col("day"))).alias("first_mismatch"), F.max(F.when(F.col("off"), F.col("day"))).alias("last_mismatch"),
+        F.sum(long).alias("days"), count("running_balance"), count("reverse_sum"), count("carry_back"), total(F.col("off").isNotNull(), "compared_days"), total(F.col("off"), "mismatch_days"),
+        F.min(F.when(F.col("off"), F.col("from"))).alias("first_mismatch"), F.max(F.when(F.col("off"), F.col("to"))).alias("last_mismatch"),
     )
     numbers = ("days", "running_balance", "reverse_sum", "carry_back", "compared_days", "mismatch_days")
     reports = known.join(sums, "id", "left").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -150,18 +150,20 @@ def replace_derived(existing: DataFrame, planned: DataFrame) -> DataFrame:
     return real.unionByName(planned.join(real.select("id"), "id", "left_anti").select(*real.columns))
 
 
-def day_end_balances(rows: DataFrame) -> DataFrame:
-    """(account_id, day, balance, net): the running balance no other row of the day starts from, if one is; else the last row's.
+def day_end_balances(rows: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
+    """(account_id, day, balance, net, flags): the running balance no other row of the day starts from, if one is; else the last row's.
 
-    rows: account_id, day, n (order), amount, running (balance after the row).  Starts are counted by value, so
-    rows of a day are not compared in pairs.
+    rows: account_id, day, n (order), amount, running (balance after the row); ``flags``: more aggregates of a day's rows.  Starts are counted by
+    value, so rows of a day are not compared in pairs.  A row is shuffled once, and stands there for its start and its end.
     """
-    begins = rows.groupBy("account_id", "day", (F.col("running") - F.col("amount")).alias("running")).agg(F.count(F.lit(1)).alias("starts"))
-    own = F.when(F.col("amount") == 0, 1).otherwise(0)
-    marked = rows.join(begins.withColumn("running", F.col("running").cast("decimal(18,2)")), ["account_id", "day", "running"], "left")
-    end = F.coalesce("starts", F.lit(0)) - own <= 0
-    out = marked.groupBy("account_id", "day").agg(F.count_if(end).alias("ends"), F.min(F.when(end, F.col("running"))).alias("one"), F.max_by("running", "n").alias("last"), F.sum("amount").alias("net"))
-    return out.select("account_id", "day", F.when(F.col("ends") == 1, F.col("one")).otherwise(F.col("last")).alias("balance"), "net")
+    value = lambda x, is_end: F.struct(x.cast("decimal(18,2)").alias("value"), F.lit(is_end).alias("is_end"))
+    running = F.col("running")
+    lined = rows.repartition("account_id", "day").withColumn("_at", F.explode(F.array(value(running, True), value(running - F.col("amount"), False)))).select("*", "_at.*").drop("_at")
+    w = Window.partitionBy("account_id", "day", "value")
+    marked = lined.withColumn("starts", F.count_if(~F.col("is_end") & F.col("value").isNotNull()).over(w)).filter("is_end")
+    end = F.col("starts") - F.when(F.col("amount") == 0, 1).otherwise(0) <= 0
+    out = marked.groupBy("account_id", "day").agg(F.count_if(end).alias("ends"), F.min(F.when(end, running)).alias("one"), F.max_by("running", "n").alias("last"), F.sum("amount").alias("net"), *(x.alias(c) for c, x in (flags or {}).items()))
+    return out.select("account_id", "day", F.when(F.col("ends") == 1, F.col("one")).otherwise(F.col("last")).alias("balance"), "net", *(flags or {}))
 
 
 def opening_balances(day_ends: DataFrame) -> DataFrame:

@@ -104,3 +104,15 @@ def test_plan_matches_plain_accounts(spark, seed, kind):
     assert {(r.account_id, r.day): (r.method, r.balance) for r in balances.collect()} == points
     shown = {r.account_id: (r.status, r.reason) if r.status == "skipped" else (r.status, None, r.from_day, r.to_day, r.days, r.compared_days, r.mismatch_days, r.first_mismatch, r.last_mismatch) for r in reports.collect()}
     assert shown == told
+
+
+def test_days_are_not_shuffled(spark):
+    """A row a day is made last: nothing behind the explode of days is joined, ordered or counted."""
+    accounts = [{"id": f"a{k}", "connector_id": "esun", "account_last4": "1234", "opened_date": None, "anchor_balance": 10.0, "anchor_currency": "TWD", "anchor_at": "2024-03-01T01:00:00+08:00"} for k in range(3)]
+    rows = [{"id": "t1", "account_id": "a1", "posted_date": "2023-12-24", "authorized_at": None, "amount": 5.0, "currency": "TWD", "raw_payload": None}]
+    balances, reports = backfill.plan(spark.createDataFrame(accounts, ACCOUNTS), spark.createDataFrame(rows, ROWS), 2)
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" in text(balances) and "sequence(" not in text(reports)
+    above = text(balances)[: text(balances).index("sequence(")]
+    assert not any(x in above for x in ("Join", "Window", "Aggregate"))
+    assert balances.count() == 3 * 60 and {r.days for r in reports.collect()} == {60}
