@@ -8,12 +8,11 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.functions.text import name_key
-from tallyforge.operators.linkage import unique_both_ways
 
 # Fee words, the least likeness of names, the weights of an exact amount, a name and a near amount, and of the same record.
 FEE_WORDS, LEAST_LIKENESS = "手續費|服務費|FEE", 0.3
@@ -158,12 +157,26 @@ def deposit_events(deposits: DataFrame, accounts: DataFrame, transactions: DataF
     accounts: id, account_type, currency; transactions: id, account_id, currency, status, amount, day.
     """
     only = accounts.filter("account_type = 'savings'").groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("account_id")).filter("n = 1").drop("n")
-    opened = F.col("kind") == "opened"
+    opened = F.coalesce(F.col("kind") == "opened", F.lit(False))
     d = deposits.filter("balance > 0").join(only, "currency").withColumn("amount", F.when(opened, -F.col("balance")).otherwise(F.col("balance")))
-    legs = transactions.filter((F.col("status") == "posted") & (F.col("day") <= F.lit(today).cast("date"))).select(F.col("id").alias("transaction_id"), "account_id", "currency", "amount", "day")
-    fits = F.when(opened, F.col("day") == F.col("opened")).otherwise(F.col("day") > F.col("last_seen"))
-    found = d.join(legs, ["account_id", "currency", "amount"]).filter(fits)
-    return unique_both_ways(found, "deposit_id", "transaction_id").select("deposit_id", "kind", "transaction_id", "day", (-F.col("amount")).alias("amount"))
+    d = d.withColumn("at", F.when(opened, F.col("opened")).otherwise(F.col("last_seen"))).filter("at is not null")
+    legs = transactions.filter((F.col("status") == "posted") & (F.col("day") <= F.lit(today).cast("date"))).select(F.col("id").alias("transaction_id"), "account_id", "currency", "amount", F.col("day").alias("at"))
+    keys = ["account_id", "currency", "amount"]
+    # how many fit each other is told by the day, so pairs are never made to be counted: a row a key, side and day
+    numbers = lambda test, name, of: (F.count_if(test).alias(f"{name}_n"), F.min(F.when(test, F.col(of))).alias(f"{name}_id"))
+    each = d.groupBy(*keys, "at").agg(*numbers(opened, "opened", "deposit_id"), *numbers(~opened, "withdrawn", "deposit_id"))
+    daily = each.join(legs.groupBy(*keys, "at").agg(*numbers(F.lit(True), "legs", "transaction_id")), [*keys, "at"], "full").fillna(0, ["opened_n", "withdrawn_n", "legs_n"])
+    rising, falling = (Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in (F.asc("at"), F.desc("at")))
+    before = lambda w, c: (F.coalesce(F.sum(f"{c}_n").over(w), F.lit(0)).alias(f"{c}_more"), F.min(f"{c}_id").over(w).alias(f"{c}_far"))
+    lined = daily.select("*", *before(rising, "withdrawn"), *before(falling, "legs"))
+    # an opened deposit has the legs of its day, a withdrawn one those after it
+    fit = lambda is_opened, name, one: lined.select(*keys, "at", F.lit(is_opened).alias("is_opened"), F.col(name).alias("n"), F.col(one).alias("transaction_id")).filter("n > 0")
+    of_d = fit(True, "legs_n", "legs_id").unionByName(fit(False, "legs_more", "legs_far"))
+    of_leg = lined.select(*keys, "at", (F.col("opened_n") + F.col("withdrawn_more")).alias("n"), F.coalesce(F.when(F.col("opened_n") > 0, F.col("opened_id")), F.col("withdrawn_far")).alias("deposit_id")).filter("n > 0")
+    one = lambda rows, by, *kept: rows.groupBy(by).agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in kept)).filter("n = 1").drop("n")
+    only_d = one(d.withColumn("is_opened", opened).join(of_d, [*keys, "at", "is_opened"]), "deposit_id", "transaction_id", "kind", "amount")
+    only_leg = one(legs.join(of_leg, [*keys, "at"]), "transaction_id", "deposit_id", "at")
+    return only_d.join(only_leg, ["deposit_id", "transaction_id"]).select("deposit_id", "kind", "transaction_id", F.col("at").alias("day"), (-F.col("amount")).alias("amount"))
 
 
 def is_payment_credit(text: Column, amount: Column) -> Column:

@@ -3,11 +3,12 @@
 import datetime
 import json
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normalise as N
-from tallyforge.operators import ingest, invoices, ledger, linkage, series
+from tallyforge.operators import cards, ingest, invoices, ledger, linkage, series
 from tallyforge.sources.export import export_items
 
 DAY = datetime.date(2024, 1, 1)
@@ -110,3 +111,33 @@ def test_linked_invoices_compete_for_a_transaction(spark):
     rows = spark.createDataFrame([(3, 9, "linked"), (2, 9, "linked"), (4, None, "separate"), (5, None, "linked")], "invoice_id long, transaction_id long, decision string")
     got = sorted((r.invoice_id, r.transaction_id, r.outcome) for r in linkage.preferred_links(rows).collect())
     assert got == [(2, 9, "linked"), (4, None, "separate")]
+
+
+def test_deposit_events_are_counted_not_paired(spark):
+    rng = random.Random(7)
+    day = lambda k: DAY + datetime.timedelta(days=k)
+    deposits, legs = [], []
+    for k in range(400):
+        opened = rng.random() < 0.5
+        # of large amounts few, so that some are unique; a deposit may be opened and withdrawn, and a leg told twice
+        deposits.append((f"d{k - (k % 9 == 8)}", rng.choice(["opened", None if k % 50 == 7 else "opened"]) if opened else "withdrawn", rng.choice(["TWD", "TWD", "JPY"]), rng.choice([0, 1, 2, rng.randrange(3, 150)]), day(rng.randrange(40)), None if k % 31 == 3 else day(rng.randrange(40))))
+        legs.append((f"t{k - (k % 11 == 10)}", rng.choice(["s1", "s1", "s2"]), "TWD", rng.choice(["posted", "posted", "pending"]), rng.choice([-1, 1]) * rng.choice([1, 2, rng.randrange(3, 150)]), day(rng.randrange(45))))
+    today = day(42)
+    pairs = []
+    for name, kind, currency, balance, opened, seen in deposits:
+        for leg, account, _, status, amount, at in legs:
+            wanted = -balance if kind == "opened" else balance
+            if currency == "TWD" and balance > 0 and account == "s1" and status == "posted" and at <= today and amount == wanted and (at == opened if kind == "opened" else seen is not None and at > seen):
+                pairs.append((name, kind, leg, at, -amount))
+    ends = [Counter(p[0] for p in pairs), Counter(p[2] for p in pairs)]
+    want = {p for p in pairs if ends[0][p[0]] == 1 and ends[1][p[2]] == 1}
+    frames = (
+        spark.createDataFrame(deposits, "deposit_id string, kind string, currency string, balance long, opened date, last_seen date"),
+        spark.createDataFrame([("s1", "savings", "TWD"), ("s2", "savings", "JPY"), ("s3", "savings", "JPY")], "id string, account_type string, currency string"),
+        spark.createDataFrame(legs, "id string, account_id string, currency string, status string, amount long, day date"),
+    )
+    found = cards.deposit_events(*frames, str(today))
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 10 and {p[1] for p in want} >= {"opened", "withdrawn"}
+    # no join says that one day lies after another
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any(" > " in x or " < " in x for x in joins)
