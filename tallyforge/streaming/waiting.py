@@ -4,6 +4,7 @@ Rows of both kinds arrive in any order, up to the watermark's delay late.  An in
 payment of its own may have, so what has arrived by then, not the order of arrival, settles it: invoices of a key, first day
 first, take the free payment that is nearest.  One without a payment is overdue when the watermark has passed ``overdue`` days.  A
 payment is forgotten once no invoice can take it, an invoice once it is told, so a key's state spans ``before + after`` days and the watermark's delay.
+Keys are nearly as many as rows, so the state is kept by slot, a fixed share of the keys, and Python is called for slots and not for keys.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Days that a payment may lie before and after its invoice, after which an invoice is overdue, and that rows may be late.
 BEFORE, AFTER, OVERDUE, LATE = 7, 7, 10, 14
 KEYS = ("owner", "currency", "amount")
+#: Parts of the state that Python is called for.  Each is read and written as a whole.  A checkpoint holds for one number.
+SLOTS = 4096
 OUT = "invoice_id string, transaction_id string, outcome string, gap int"
 _DAY_MS = 86_400_000
 
@@ -49,20 +52,29 @@ def decided(invoices: list, payments: list, until: int | None, before: int, afte
 
 
 def _settle(before: int, after: int, overdue: int):
-    def settle(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        invoices, payments = json.loads(state.get[0]) if state.exists else ([], [])
+    def settle(slot: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {}
         for part in parts:
-            for kind, name, day in zip(part.kind, part.id, part.day_number, strict=True):
+            for key, kind, name, day in zip(part.key, part.kind, part.id, part.day_number, strict=True):
+                invoices, payments = kept.setdefault(key, ([], []))
                 invoices.append([int(day), name, False]) if kind == "invoice" else payments.append([int(day), name])
         mark = state.getCurrentWatermarkMs()
         # the watermark's own day may still get rows
         until = mark // _DAY_MS - 1 if mark > 0 else None
-        out, invoices, payments = decided(invoices, payments, until, before, after, overdue)
-        if invoices or payments:
-            state.update((json.dumps([invoices, payments]),))
-            turns = [day + (overdue if told else after) for day, _, told in invoices] + [day + before + after for day, _ in payments]
+        out, first = [], None
+        for key in list(kept):
+            told_now, invoices, payments = decided(*kept[key], until, before, after, overdue)
+            out += told_now
+            if not invoices and not payments:
+                del kept[key]
+                continue
+            kept[key] = (invoices, payments)
+            turn = min([day + (overdue if told else after) for day, _, told in invoices] + [day + before + after for day, _ in payments])
+            first = turn if first is None else min(first, turn)
+        if kept:
+            state.update((json.dumps(kept),))
             # fires once the watermark has come to the day after
-            state.setTimeoutTimestamp(max((min(turns) + 1) * _DAY_MS - 1, mark + 1))
+            state.setTimeoutTimestamp(max((first + 1) * _DAY_MS - 1, mark + 1))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["invoice_id", "transaction_id", "outcome", "gap"]).astype({"gap": "Int32"})
@@ -76,7 +88,8 @@ def waits(rows: DataFrame, before: int = BEFORE, after: int = AFTER, overdue: in
     rows: a stream of ``kind`` (``invoice`` or ``payment``), id, owner, currency, amount, day; rows later than ``late`` days are dropped with the watermark.
     """
     at = rows.withColumn("at", F.timestamp_seconds(F.unix_date("day").cast("long") * 86400)).withWatermark("at", f"{late} days").withColumn("day_number", F.unix_date("day"))
-    keyed = at.groupBy(*KEYS)
+    lined = at.withColumn("key", F.to_json(F.struct(*KEYS))).select(F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot"), "key", "kind", "id", "day_number", "at")
+    keyed = lined.groupBy("slot")
     return keyed.applyInPandasWithState(_settle(before, after, overdue), OUT, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -87,3 +87,14 @@ def test_a_batch_writes_only_its_buckets(spark, tmp_path):
     # a batch number may be missing
     lifecycle.promote(batch(["t4"], "posted", 9), 7, folder)
     assert {r.id for r in lifecycle.latest(spark, folder).filter("status = 'posted'").collect()} == {"t1", "t2", "t3", "t4", "new"}
+
+
+def test_python_is_called_for_slots(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(waiting, "SLOTS", 3)
+    rows = [(kind, f"{kind[0]}{k}", f"o{k}", "TWD", k % 50, FIRST + timedelta(days=k % 60)) for k in range(300) for kind in ("invoice", "payment")]
+    spark.createDataFrame(rows, ROW).write.parquet(str(tmp_path / "in"))
+    waiting.drained(waiting.waits(spark.readStream.schema(ROW).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == plain(rows, FIRST + timedelta(days=59 - waiting.LATE - 1)) and len(got) > 100
+    state = spark.read.format("statestore").load(str(tmp_path / "check"))
+    assert 0 < state.count() <= 3
