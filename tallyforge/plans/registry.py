@@ -195,15 +195,20 @@ _EDGES = """SELECT i.id AS invoice_id, t.id AS transaction_id, abs(t.day - i.day
     AND (t.amount = i.amount OR t.amount < i.amount AND t.amount >= i.amount * 0.8E0 AND i.amount - t.amount <= 500 AND i.seller = t.merchant)"""
 
 
+def _matched(t: Tables, small: int | None = None) -> DataFrame:
+    # without columns that no edge depends on, so that rows are alike
+    paid = t["dense_transactions"].filter("not inflow").select("id", "merchant", "amount", "day")
+    return linkage.settled_alike(t["dense_invoices"], paid, small).filter("invoice_id is not null")
+
+
 @query("jn12_invoice_matches", assignment(_EDGES, range(10, 4, -1)))
 def _(t):
-    return linkage.assign(linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow")))
+    return _matched(t)
 
 
 @query("jn12_matches_by_rounds", assignment(_EDGES, range(10, 4, -1)))
 def _(t):
-    found = linkage.settled(linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow")), small=0)
-    return found.filter("invoice_id is not null")
+    return _matched(t, small=0)
 
 
 _SELLERS = "SELECT id, CASE id % 6 WHEN 0 THEN '全聯實業股份有限公司旅順分公司' WHEN 2 THEN 'Cloudflare Inc.' ELSE '老王牛肉麵' END AS seller, amount, day, CASE WHEN id % 10 = 6 THEN lpad(CAST(id % 7 AS STRING), 4, '0') END AS carrier FROM {dense_invoices}"

@@ -161,3 +161,36 @@ def test_month_ranges():
     for bad in (("2024-03", "2025-03"), ("2024-03", "2024-02"), ("2024-13", "2024-13")):
         with pytest.raises(ValueError):
             ledger.checked_months(*bad)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_classes_of_alike_rows_settle_as_all_edges_do(spark, seed):
+    rng = random.Random(seed)
+    day = pd.Timestamp("2024-01-01").date()
+    days = [day + pd.Timedelta(days=k) for k in (0, 0, 1, 4, 9, 10, 30, 31)]
+    ids = rng.sample(range(1000), 260)
+    invoices = [(ids[k], rng.choice("AB"), rng.choice([100, 110, 300]), rng.choice(days)) for k in range(120)]
+    payments = [(ids[120 + k], rng.choice("ABC"), rng.choice([100, 100, 110, 300, 290]), rng.choice(days)) for k in range(140)]
+    # one to one, on days of their own
+    invoices += [(2000 + k, "A", 500 + k, day + pd.Timedelta(days=100)) for k in range(5)]
+    payments += [(3000 + k, "A", 500 + k - 20 * (k % 2), day + pd.Timedelta(days=100 + k)) for k in range(5)]
+    i = spark.createDataFrame(invoices, "id long, seller string, amount long, day date")
+    p = spark.createDataFrame(payments, "id long, merchant string, amount long, day date")
+    rows = lambda df: sorted(map(str, df.select("invoice_id", "transaction_id", "outcome").collect()))
+    want = rows(linkage.settled(linkage.candidate_edges(i, p), small=10_000))
+    assert rows(linkage.settled_alike(i, p, small=0)) == want
+    assert rows(linkage.settled_alike(i, p)) == want
+    assert all(any(outcome in x for x in want) for outcome in ("matched", "ambiguous", "blocked"))
+
+
+def test_alike_rows_make_no_edges(spark):
+    """4,000 equal invoices and 5,000 equal payments would be 20 million edges."""
+    i = spark.range(4000).selectExpr("id", "'A' AS seller", "100L AS amount", "DATE '2024-01-01' AS day")
+    p = spark.range(5000).selectExpr("id", "'A' AS merchant", "100L AS amount", "DATE '2024-01-01' AS day")
+    made, real = [], linkage.candidate_edges
+    try:
+        linkage.candidate_edges = lambda *a, **k: made.append(real(*a, **k)) or made[-1]
+        got = {(r.invoice_id, r.transaction_id) for r in linkage.settled_alike(i, p).collect()}
+    finally:
+        linkage.candidate_edges = real
+    assert got == {(k, k) for k in range(4000)} and [x.count() for x in made] == [1]
