@@ -187,7 +187,7 @@ def _(t):
     AND (t.amount = i.amount OR t.amount < i.amount AND t.amount >= i.amount * 0.8E0 AND i.amount - t.amount <= 500 AND i.seller = t.merchant))
   SELECT invoice_id, transaction_id, CAST(gap AS INT) AS gap, exact, CAST(CASE WHEN exact THEN 5 ELSE 3 END + CASE gap WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN same THEN 2 ELSE 0 END AS INT) AS score FROM e""")
 def _(t):
-    return linkage.candidate_edges(t["dense_invoices"], t["dense_transactions"].filter("not inflow"))
+    return linkage.edges_of_alike(t["dense_invoices"], t["dense_transactions"].filter("not inflow"))
 
 
 _EDGES = """SELECT i.id AS invoice_id, t.id AS transaction_id, abs(t.day - i.day) AS gap, t.amount = i.amount AS exact, CASE WHEN t.amount = i.amount THEN 5 ELSE 3 END + CASE abs(t.day - i.day) WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END + CASE WHEN i.seller = t.merchant THEN 2 ELSE 0 END AS score
@@ -196,9 +196,7 @@ _EDGES = """SELECT i.id AS invoice_id, t.id AS transaction_id, abs(t.day - i.day
 
 
 def _matched(t: Tables, small: int | None = None) -> DataFrame:
-    # without columns that no edge depends on, so that rows are alike
-    paid = t["dense_transactions"].filter("not inflow").select("id", "merchant", "amount", "day")
-    return linkage.settled_alike(t["dense_invoices"], paid, small).filter("invoice_id is not null")
+    return linkage.settled_alike(t["dense_invoices"], t["dense_transactions"].filter("not inflow"), small).filter("invoice_id is not null")
 
 
 @query("jn12_invoice_matches", assignment(_EDGES, range(10, 4, -1)))
@@ -223,7 +221,7 @@ _LEVELS = "SELECT * FROM (VALUES ('全聯實業股份有限公司旅順分公司
 def _(t):
     i, b = t.spark.sql(_SELLERS, dense_invoices=t["dense_invoices"]), t.spark.sql(_BUYS, dense_transactions=t["dense_transactions"])
     pairs = merchants.similar_pairs(i.select("seller", F.lit(None).cast("string").alias("ban")), b.select("merchant"))
-    return linkage.candidate_edges(i, b, names=linkage.name_points(pairs))
+    return linkage.edges_of_alike(i, b, names=linkage.name_points(pairs))
 
 
 @query("jn16_repeat_groups", """WITH RECURSIVE e AS (SELECT user_id, event_type, event_id AS id, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS sec FROM {events}),

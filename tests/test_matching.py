@@ -181,6 +181,10 @@ def test_classes_of_alike_rows_settle_as_all_edges_do(spark, seed):
     assert rows(linkage.settled_alike(i, p, small=0)) == want
     assert rows(linkage.settled_alike(i, p)) == want
     assert all(any(outcome in x for x in want) for outcome in ("matched", "ambiguous", "blocked"))
+    edges = lambda df: sorted(map(str, df.collect()))
+    assert edges(linkage.edges_of_alike(i, p)) == edges(linkage.candidate_edges(i, p))
+    carried, paid = i.selectExpr("*", "CASE WHEN id % 3 = 0 THEN '77' END AS carrier"), p.selectExpr("*", "id % 2 = 0 AS credit", "string(id % 2 + 76) AS account_last4", "id % 5 > 0 AS outflow")
+    assert edges(linkage.edges_of_alike(carried, paid)) == edges(linkage.candidate_edges(carried, paid))
 
 
 def test_alike_rows_make_no_edges(spark):
