@@ -198,3 +198,24 @@ def test_alike_rows_make_no_edges(spark):
     finally:
         linkage.candidate_edges = real
     assert got == {(k, k) for k in range(4000)} and [x.count() for x in made] == [1]
+
+
+@pytest.mark.parametrize("owner", [(), ("user",)])
+def test_all_candidates_are_ordered_where_they_are_joined(spark, monkeypatch, owner):
+    monkeypatch.setattr(linkage, "CANDIDATES", 50)
+    rng = random.Random(5)
+    day = lambda: pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=rng.randrange(60))
+    invoices = [(k, rng.choice([10, 20, 30]), rng.choice([None, *(day() for _ in range(9))]), rng.choice("ab")) for k in range(60)]
+    payments = [(f"p{k}", rng.choice([-10, -25, 30]), day(), rng.choice([None, "x", "y"]), rng.choice("ab")) for k in range(80)]
+    taken = {"p3", "p4"}
+    want = set()
+    for name, asked, at, user in invoices:
+        near = [(abs(asked - abs(x)), abs((d - at).days), c or p, p) for p, x, d, c, u in payments if at and p not in taken and abs((d - at).days) <= 7 and (not owner or u == user)]
+        want |= {(name, x[3], k + 1) for k, x in enumerate(sorted(near))}
+    frames = (spark.createDataFrame(invoices, "id long, amount long, day date, user string"), spark.createDataFrame(payments, "id string, amount long, day date, name string, user string"), spark.createDataFrame([(x,) for x in taken], "transaction_id string"))
+    found = linkage.manual_candidates(*frames, owner=owner)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 300
+    # no shuffle by invoice: nothing is exchanged above the join
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above = plan[: plan.index("Join")]
+    assert "Window" in above and "Exchange" not in above
